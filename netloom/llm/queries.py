@@ -3,7 +3,7 @@ table and derives the digest columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
@@ -32,10 +32,13 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir)).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *map(count, pii.BASE),
         F.sha2(pii.listing(base), 256).alias("base_sha256"),
         pii.listing(F.col("pii")).alias("spans"),
         F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"),
