@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import packing, pii, simhash_dedup, substring_dedup, suffix_dedup
+from . import language_id, packing, pii, simhash_dedup, substring_dedup, suffix_dedup, vector_search
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +26,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")).drop("ids")
 
@@ -34,6 +39,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(documents(spark, sf_dir))
 
 
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir)).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
@@ -59,7 +68,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_packing, op6_simhash_dedup, op8_pii, op9_exact_dedup, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_language_id,
+        op5_packing,
+        op6_simhash_dedup,
+        op7_vector_search,
+        op8_pii,
+        op9_exact_dedup,
+        op10_suffix_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
