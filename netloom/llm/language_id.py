@@ -127,8 +127,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageFilter(languages, out)
 
 
-def predict(docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row, from the whole text alone.
+def predict(
+    docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for each row, from the whole text alone;
+    with ``carry`` also ``row``, a struct of all the row's columns.
 
     The cells that an n-gram's hashes name are combined by AND: the bits left are
     the languages that contain it, all in one look-up. Per language, the bits over all
@@ -160,13 +163,15 @@ def predict(docs: DataFrame, fitted: LanguageFilter, id_col: str = "doc_id", tex
             letters = batch.column(2).to_numpy(zero_copy_only=False) & bool(names)
             pred = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             score = np.where(letters, shares.max(axis=0) if names else 0.0, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), pa.array(pred), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"]
-            )
+            names_ = ["doc_id", "held_out", "lang_pred", "score", "row"][: 4 + carry]
+            columns = [batch.column(0), batch.column(3), pa.array(pred, pa.string()), pa.array(score), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(columns, names_)
 
     text = F.coalesce(docs[text_col], F.lit(""))
     source = docs.select(
-        docs[id_col].alias("doc_id"), F.lower(text).alias("text"), F.regexp_like(text, F.lit(r"\p{L}")).alias("letters"), held_out(docs[id_col]).alias("held_out")
+        docs[id_col].alias("doc_id"), F.lower(text).alias("text"), F.regexp_like(text, F.lit(r"\p{L}")).alias("letters"), held_out(docs[id_col]).alias("held_out"),
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    row = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
+    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{row}")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import language_id, packing, pii, simhash_dedup, substring_dedup, suffix_dedup, vector_search
+from . import language_id, license_scan, packing, pii, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, vector_search
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +31,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    done = sentencepiece_codec.decode(sentencepiece_codec.encode(documents(spark, sf_dir), model), model)
+    same = F.col("decoded") == F.replace("text", F.lit(sentencepiece_codec.SPACE), F.lit(" "))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licences(documents(spark, sf_dir))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")).drop("ids")
 
@@ -73,6 +85,8 @@ QUERIES = {
     for f in (
         op1_substring_dedup,
         op2_language_id,
+        op3_sentencepiece,
+        op4_license_scan,
         op5_packing,
         op6_simhash_dedup,
         op7_vector_search,
