@@ -1,0 +1 @@
+"""Packet-capture analytics as Spark DataFrame transformations."""
