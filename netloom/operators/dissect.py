@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions.bytes import (
@@ -27,11 +27,17 @@ from ..functions.bytes import (
 
 
 def computed(frames: DataFrame, *columns: Column) -> DataFrame:
-    """The rows with further columns, each evaluated once. A generator of one row keeps
-    the optimiser from copying these long expressions into every filter and
-    projection above, where they would be evaluated again and grow without bound;
-    filters on the other columns still pass through to the scan."""
-    return frames.select("*", F.inline(F.array(F.struct(*columns))))
+    """The rows with further columns; a later stage refers to them by name, so that each is
+    evaluated once."""
+    return frames.select("*", *columns)
+
+
+def fenced(frames: DataFrame) -> DataFrame:
+    """The same rows, counted as the metric of an observation. The optimiser moves no filter
+    below that: it would replace every column in it by its whole definition, down through
+    all stages, and evaluate that a second time. Unused columns are still pruned.
+    Filters on the raw packets belong before ``frames``."""
+    return frames.observe(f"packets-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("packets"))
 
 
 def _type_name(code: Column, names: dict[int, str]) -> Column:
@@ -150,7 +156,8 @@ def transport_layer(frames: DataFrame) -> DataFrame:
         F.when(icmp, unsigned(body, at + 1, 1)).cast("int").alias("icmp_code"),
         F.when(tcp, at + offset).when(udp, at + 8).cast("int").alias("payload_at"),
     ).drop("kind", "tcp_header")
-    staged = computed(staged, F.greatest(F.col("size") - F.col("payload_at"), F.lit(0)).alias("payload_len"))
+    rest = F.when(F.col("payload_at").isNotNull(), F.greatest(F.col("size") - F.col("payload_at"), F.lit(0)))
+    staged = computed(staged, rest.alias("payload_len"))
     length, kind = F.col("payload_len"), F.col("icmp_type")
     info = (
         F.when(
@@ -303,96 +310,124 @@ def varint(payload: Column, at: Column) -> tuple[Column, Column]:
     return value, size
 
 
-def _row(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name.rstrip("_"), kind) for name, kind in kinds.items()])
-
-
-_INT, _TEXT = T.IntegerType(), T.StringType()
-_PLACE = {"start": _INT, "end": _INT, "name_end": _INT}
-_DNS = _row(
-    truncated=T.BooleanType(), id=_INT, flags=_INT, questions=_INT, answers=_INT, authority=_INT, additional=_INT,
-    query=_row(name=_TEXT, type=_INT, class_=_INT, **_PLACE),
-    answer=_row(name=_TEXT, type=_INT, class_=_INT, ttl=T.LongType(), length=_INT, data=_TEXT, **_PLACE),
-)
-
-
-@F.pandas_udf(_DNS)
-def dns_message(payloads: pd.Series) -> pd.DataFrame:
-    """The header, first question and first answer of DNS messages. Names follow
-    compression pointers, at most sixteen; anything that overruns the message leaves it
-    truncated. This walk has no bound that column expressions could state."""
-
-    def u(b: bytes, at: int, n: int) -> int:
-        if at + n > len(b):
-            raise IndexError
-        return int.from_bytes(b[at : at + n], "big")
-
-    def name(b: bytes, at: int) -> tuple[str, int]:
-        labels, after, jumps = [], None, 0
-        while True:
-            n = u(b, at, 1)
-            if n == 0:
-                return ".".join(labels), after if after is not None else at + 1
-            if n >= 0xC0:
-                target = u(b, at, 2) & 0x3FFF
-                after, at, jumps = at + 2 if after is None else after, target, jumps + 1
-                if jumps > 16:
-                    raise IndexError
-            elif n < 0x40:
-                if at + 1 + n > len(b):
-                    raise IndexError
-                labels.append("".join(chr(c) if c < 128 else "�" for c in b[at + 1 : at + 1 + n]))
-                at += 1 + n
-            else:
-                raise IndexError
-
-    def rdata(b: bytes, at: int, n: int, kind: int) -> str:
-        import ipaddress
-
-        if kind == 1:
-            return ".".join(map(str, b[at : at + 4])) if n == 4 else "?"
-        if kind == 28:
-            return str(ipaddress.IPv6Address(b[at : at + 16])) if n == 16 else "?"
-        if kind in (2, 5, 12):
-            try:
-                return name(b, at)[0]
-            except IndexError:
-                return "?"
-        return f"({n}B)"
-
-    def parse(b: bytes | None) -> dict:
-        if b is None:
-            return {}
-        try:
-            keys = ("id", "flags", "questions", "answers", "authority", "additional")
-            out = {"truncated": False} | {k: u(b, 2 * i, 2) for i, k in enumerate(keys)}
-            at = 12
-            for i in range(out["questions"] if at < len(b) else 0):
-                text, after = name(b, at)
-                kind, klass = u(b, after, 2), u(b, after + 2, 2)
-                if i == 0:
-                    out["query"] = {"name": text, "type": kind, "class": klass, "start": at, "end": after + 3, "name_end": after - 1}
-                at = after + 4
-            if out["answers"] and at < len(b):
-                text, after = name(b, at)
-                kind, klass, ttl, n = u(b, after, 2), u(b, after + 2, 2), u(b, after + 4, 4), u(b, after + 8, 2)
-                if after + 10 + n > len(b):
-                    raise IndexError
-                out["answer"] = {
-                    "name": text, "type": kind, "class": klass, "ttl": ttl, "length": n,
-                    "data": rdata(b, after + 10, n, kind), "start": at, "end": after + 9 + n, "name_end": after - 1,
-                }
-            return out
-        except IndexError:
-            return {"truncated": True}
-
-    columns = ["truncated", "id", "flags", "questions", "answers", "authority", "additional", "query", "answer"]
-    rows = [parse(b) for b in payloads]
-    frame = pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns)
-    for c in columns[1:7]:
-        frame[c] = frame[c].astype("Int32")
-    frame["truncated"] = frame["truncated"].astype("boolean")
-    return frame
+def dns_name(message: Column, at: Column) -> Column:
+    """The name at an offset of a DNS message and the offset behind it, as a struct; null if
+    it overruns the message or follows more than sixteen compression pointers. One
+    label or pointer is read per step of a fold."""
+    step_most = F.least(F.octet_length(message) * 9, F.lit(8192))
+
+    def step(acc: Column, _: Column) -> Column:
+        def read(n: Column) -> Column:
+            pos = acc["at"]
+            pointer, label = n >= 0xC0, (n > 0) & (n < 0x40)
+            target = unsigned(message, pos, 2).bitwiseAND(F.lit(0x3FFF)).cast("int")
+            over = n.isNull() | ((n >= 0x40) & (n < 0xC0)) | (label & (pos + 1 + n > F.octet_length(message)))
+            lost = over | F.coalesce(pointer & (target.isNull() | (acc["jumps"] >= 16)), F.lit(False))
+            text = F.when(label & ~over, F.array(ascii_text(cut(message, pos + 1, n)))).otherwise(F.array().cast("array<string>"))
+            return F.struct(
+                F.when(pointer, target).otherwise((pos + 1 + n).cast("int")).alias("at"),
+                F.coalesce(acc["next"], F.when(pointer, pos + 2).when(n == 0, pos + 1)).cast("int").alias("next"),
+                (acc["jumps"] + F.coalesce(pointer, F.lit(False)).cast("int")).alias("jumps"),
+                (F.coalesce(n == 0, F.lit(False)) | lost).alias("done"),
+                lost.alias("lost"),
+                F.concat(acc["labels"], text).alias("labels"),
+            )
+
+        return F.when(acc["done"], acc).otherwise(let(unsigned(message, acc["at"], 1), read))
+
+    start = F.struct(
+        at.cast("int").alias("at"),
+        F.lit(None).cast("int").alias("next"),
+        F.lit(0).alias("jumps"),
+        F.lit(False).alias("done"),
+        F.lit(False).alias("lost"),
+        F.array().cast("array<string>").alias("labels"),
+    )
+    found = F.aggregate(F.sequence(F.lit(0), step_most), start, step)
+    return let(
+        found,
+        lambda x: F.when(
+            x["done"] & ~x["lost"], F.struct(F.array_join(x["labels"], ".").alias("name"), x["next"].alias("next"))
+        ),
+    )
+
+
+def _dns_question(message: Column, at: Column) -> Column:
+    """The question at an offset: name, type, class and where it ends; null if cut off."""
+
+    def rest(name: Column) -> Column:
+        after = name["next"]
+        return F.when(
+            after + 4 <= F.octet_length(message),
+            F.struct(
+                name["name"].alias("name"),
+                unsigned(message, after, 2).cast("int").alias("type"),
+                unsigned(message, after + 2, 2).cast("int").alias("class"),
+                (after + 4).alias("next"),
+            ),
+        )
+
+    return let(dns_name(message, at), rest)
+
+
+def _dns_answer(message: Column, at: Column) -> Column:
+    """The record at an offset, its data as text for addresses and names."""
+
+    def rest(name: Column) -> Column:
+        after = name["next"]
+        size, kind = unsigned(message, after + 8, 2).cast("int"), unsigned(message, after, 2).cast("int")
+        data = (
+            F.when(kind == 1, F.when(size == 4, ipv4(message, after + 10)).otherwise("?"))
+            .when(kind == 28, F.when(size == 16, ipv6(message, after + 10)).otherwise("?"))
+            .when(kind.isin(2, 5, 12), F.coalesce(dns_name(message, after + 10)["name"], F.lit("?")))
+            .otherwise(F.concat(F.lit("("), size.cast("string"), F.lit("B)")))
+        )
+        return F.when(
+            after + 10 + size <= F.octet_length(message),
+            F.struct(
+                name["name"].alias("name"),
+                kind.alias("type"),
+                unsigned(message, after + 2, 2).cast("int").alias("class"),
+                unsigned(message, after + 4, 4).alias("ttl"),
+                size.alias("length"),
+                data.alias("data"),
+                (after + 10 + size).alias("next"),
+            ),
+        )
+
+    return let(dns_name(message, at), rest)
+
+
+def dns_layer(frames: DataFrame) -> DataFrame:
+    """Header, first question and first answer of DNS messages, as ``dns``. What overruns
+    the message leaves it truncated, without fields."""
+    message, is_dns = F.col("payload"), F.col("l7") == C.DNS
+    size = F.octet_length(message)
+    whole = is_dns & (size >= 12)
+    numbers = {
+        n: F.when(whole, unsigned(message, 2 * i, 2)).cast("int").alias(f"dns_{n}")
+        for i, n in enumerate(("id", "flags", "questions", "answers", "authority", "additional"))
+    }
+    rows = computed(frames, *numbers.values())
+    asked = F.when((F.col("dns_questions") > 0) & (size > 12), _dns_question(message, F.lit(12)))
+    rows = computed(rows, asked.alias("dns_query"))
+    # Further questions are only stepped over.
+    others = F.aggregate(
+        F.when(F.col("dns_questions") > 1, F.sequence(F.lit(2), F.col("dns_questions"))).otherwise(F.array().cast("array<int>")),
+        F.col("dns_query.next"),
+        lambda at, _: F.when(at.isNotNull(), _dns_question(message, at)["next"]),
+    )
+    at = F.when((F.col("dns_questions") > 0) & (size > 12), others).otherwise(F.when(whole, 12)).cast("int")
+    rows = computed(rows, at.alias("dns_at"))
+    reply = F.when((F.col("dns_answers") > 0) & (F.col("dns_at") < size), _dns_answer(message, F.col("dns_at")))
+    rows = computed(rows, reply.alias("dns_answer"))
+    unread = (F.col("dns_answers") > 0) & (F.col("dns_at") < size) & F.col("dns_answer").isNull()
+    cutoff = F.when(is_dns, F.coalesce(~whole | F.col("dns_at").isNull() | unread, F.lit(True)))
+    names = [n for n in numbers]
+    fields = [F.col(f"dns_{n}").alias(n) for n in (*names, "query", "answer")]
+    rows = computed(rows, cutoff.alias("dns_cut"))
+    dns = F.when(is_dns, F.struct(F.col("dns_cut").alias("truncated"), *[F.when(~F.col("dns_cut"), f).alias(n) for f, n in zip(fields, (*names, "query", "answer"), strict=True)]))
+    return computed(rows, dns.alias("dns")).drop("dns_at", "dns_cut", *[f"dns_{n}" for n in (*names, "query", "answer")])
 
 
 def dns_type(code: Column) -> Column:
@@ -435,7 +470,6 @@ def application_layer(frames: DataFrame) -> DataFrame:
         F.when(is_quic, hex_lower(cut(payload, 6, dcid))).alias("quic_dcid"),
         F.when(is_quic, hex_lower(cut(payload, scid_at + 1, unsigned(payload, scid_at, 1).cast("int")))).alias("quic_scid"),
         F.when(is_quic, (scid_at + 1 + unsigned(payload, scid_at, 1)).cast("int")).alias("quic_at"),
-        dns_message(F.when(is_dns, payload)).alias("dns_raw"),
     )
     token, token_size = varint(payload, F.col("quic_at"))
     two = computed(two, token.alias("token"), (F.col("quic_at") + token_size + token).cast("int").alias("length_at"))
@@ -460,7 +494,8 @@ def application_layer(frames: DataFrame) -> DataFrame:
     http_info = F.when(
         response, F.concat(F.lit("HTTP Response: "), F.left(F.trim(F.substr(first, F.lit(6))), F.lit(40)), cut_note)
     ).otherwise(F.concat(F.lit("HTTP Request: "), F.left(F.coalesce(first, F.lit("")), F.lit(60)), cut_note))
-    dns = F.col("dns_raw")
+    two = dns_layer(two)
+    dns = F.col("dns")
     is_answer = F.shiftright(dns["flags"], 15) == 1
     rcode = dns["flags"].bitwiseAND(F.lit(15))
     dns_info = F.when(~dns["truncated"],
@@ -471,7 +506,6 @@ def application_layer(frames: DataFrame) -> DataFrame:
     )
     names = F.filter(F.array(dns["query"]["name"], dns["answer"]["name"]), lambda x: x.isNotNull())
     three = computed(two,
-        F.when(is_dns, dns).alias("dns"),
         F.when(is_dns, names).otherwise(F.array().cast("array<string>")).alias("dns_names"),
         F.when(initial, token).alias("quic_token_length"),
         F.when(initial, length).alias("quic_length"),
@@ -491,7 +525,7 @@ def application_layer(frames: DataFrame) -> DataFrame:
             F.lit(False),
         ).alias("l7_truncated"),
     )
-    return three.drop("dns_raw", "http", "quic_at", "token", "length_at", "length")
+    return three.drop("http", "quic_at", "token", "length_at", "length")
 
 
 def frames(raw: DataFrame) -> DataFrame:
@@ -505,10 +539,11 @@ def frames(raw: DataFrame) -> DataFrame:
     def shown(*names: str) -> Column:
         return F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in names], F.lit(""))
 
-    return computed(out,
+    done = computed(out,
         F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"),
         protocols.alias("protocols"),
         F.coalesce("l7", "l4", "l3", "l2", F.lit(C.RAW)).alias("top_protocol"),
         shown("l7_info", "l4_info", "l3_info", "l2_info").alias("info"),
         (F.col("l2_truncated") | F.col("l3_truncated") | F.col("l4_truncated") | F.col("l7_truncated")).alias("any_truncated"),
     )
+    return fenced(done)

@@ -12,10 +12,13 @@ from pyspark.sql.window import Window
 from ..functions.bytes import mostly_text, printable
 from ..functions.render import format_bytes, hex_dump, occurrences
 from ..operators import conversations as conv
-from ..operators import tcp
+from ..operators import decrypt, keys, tcp
 from ..operators.dissect import frames
 from ..operators.filters import filter_frames
 from ..operators.http_stream import http_messages
+from ..shared import shared_path
+from ..sources.keylog import latest_secrets, parse_keylog
+from ..streaming.live import live_frames, spool_table
 from . import synth
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,7 +236,7 @@ def text_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def hex_rows(spark: SparkSession, d: str) -> DataFrame:
     found = events(spark, d).where("l4 = 'ICMP'").select("frame_index", F.explode(hex_dump(F.col("body"))).alias("row"))
-    return found.select("frame_index", F.col("row.at").alias("at"), F.col("row.line").alias("line"))
+    return found.select("frame_index", F.col("row.at").alias("pos"), F.col("row.line").alias("line"))
 
 
 def dns_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +347,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
         f"""WITH {DIALOGUES}, s AS (SELECT sk, idx, string_split(lower(text), 'the') AS parts FROM t0 WHERE copy = 0),
             n AS (SELECT sk, idx, parts, unnest(range(0, len(parts) - 1)) AS nth FROM s)
             SELECT sk AS session, idx AS frame_index, CAST(nth AS INT) AS nth,
-                CAST(list_sum(list_transform(parts[1:nth + 1], x -> length(x))) + 3 * nth AS INT) AS at FROM n""",
+                CAST(list_sum(list_transform(parts[1:nth + 1], lambda x: length(x))) + 3 * nth AS INT) AS at FROM n""",
     ),
     "http_bodies": (
         bodies,
@@ -361,11 +364,110 @@ QUERIES: dict[str, tuple[Query, str]] = {
             SELECT doc_id AS frame_index, CAST(printable AS BIGINT) AS printable, printable * 5 >= n * 4 AS is_text FROM x""",
     ),
     "hexdump_rows": (hex_rows, "WITH " + EV + """
-        , b AS (SELECT frame_index, 'aaaaaaaaaaaabbbbbbbbbbbb0800' || '4500001c0000400040010000' || array_to_string(list_transform(string_split(src_ip, '.'), x -> printf('%02x', CAST(x AS INT))), '')
-                || array_to_string(list_transform(string_split(dst_ip, '.'), x -> printf('%02x', CAST(x AS INT))), '') || CASE WHEN back THEN '00' ELSE '08' END || '00000000010001' AS h FROM f WHERE l4 = 'ICMP'),
-        r AS (SELECT frame_index, unnest(range(0, length(h) // 2, 8)) AS at, h FROM b),
-        q AS (SELECT frame_index, CAST(at AS INT) AS at, substr(h, CAST(2 * at + 1 AS BIGINT), 16) AS part FROM r),
-        y AS (SELECT frame_index, at, part, list_transform(range(0, length(part) // 2), i -> substr(part, CAST(2 * i + 1 AS BIGINT), 2)) AS pairs FROM q)
-        SELECT frame_index, at, printf('%04x', at) || '  ' || rpad(array_to_string(pairs, ' '), 23, ' ') || '  '
-            || array_to_string(list_transform(pairs, v -> CASE WHEN v >= '20' AND v <= '7e' THEN chr(CAST('0x' || v AS INT)) ELSE '.' END), '') AS line FROM y"""),
+        , b AS (SELECT frame_index, 'aaaaaaaaaaaabbbbbbbbbbbb0800' || '4500001c0000400040010000' || array_to_string(list_transform(string_split(src_ip, '.'), lambda x: printf('%02x', CAST(x AS INT))), '')
+                || array_to_string(list_transform(string_split(dst_ip, '.'), lambda x: printf('%02x', CAST(x AS INT))), '') || CASE WHEN back THEN '00' ELSE '08' END || '00000000010001' AS h FROM f WHERE l4 = 'ICMP'),
+        r AS (SELECT frame_index, unnest(range(0, length(h) // 2, 8)) AS pos, h FROM b),
+        q AS (SELECT frame_index, CAST(pos AS INT) AS pos, substr(h, CAST(2 * pos + 1 AS BIGINT), 16) AS part FROM r),
+        y AS (SELECT frame_index, pos, part, list_transform(range(0, length(part) // 2), lambda i: substr(part, CAST(2 * i + 1 AS BIGINT), 2)) AS pairs FROM q)
+        SELECT frame_index, pos, printf('%04x', pos) || '  ' || rpad(array_to_string(pairs, ' '), 23, ' ') || '  '
+            || array_to_string(list_transform(pairs, lambda v: CASE WHEN v >= '20' AND v <= '7e' THEN chr(CAST('0x' || v AS INT)) ELSE '.' END), '') AS line FROM y"""),
+}
+
+
+def live(spark: SparkSession, d: str) -> DataFrame:
+    """The events' packets spooled as datagrams and read back as a stream until it is dry."""
+    spool, out = shared_path(spark, "spool"), shared_path(spark, "live")
+    spool_table(synth.event_packets(spark, d)).repartition(4).write.parquet(spool)
+    stream = live_frames(spark, spool).select("capture_id", "ts_ns", "cap_len", "orig_len", "top_protocol")
+    sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "state"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def keylog_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Key-log lines made of users: good ones, comments, wrong counts and bad digits."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    random, secret = F.sha2(F.col("user_id").cast("string"), 256), F.sha2(F.col("event_id").cast("string"), 256)
+    kind = F.col("event_id") % 7
+    line = (
+        F.when(kind == 0, F.concat(F.lit("# "), random))
+        .when(kind == 1, F.concat(F.lit("CLIENT_RANDOM "), random))
+        .when(kind == 2, F.concat(F.lit("CLIENT_RANDOM "), random, F.lit(" "), F.substring(secret, 1, 63)))
+        .when(kind == 3, F.concat(F.lit("CLIENT_RANDOM "), F.substring(random, 1, 60), F.lit(" "), secret))
+        .otherwise(F.concat(F.lit("  CLIENT_RANDOM\t"), random, F.lit("  "), secret))
+    )
+    return e.select(F.col("event_id").alias("line_no"), line.alias("value"))
+
+
+def keylog(spark: SparkSession, d: str) -> DataFrame:
+    found = latest_secrets(parse_keylog(keylog_lines(spark, d)))
+    return found.select(F.lower(F.hex("client_random")).alias("client_random"), "label", F.lower(F.hex("secret")).alias("secret"))
+
+
+def _sealed(spark: SparkSession, d: str, version13: bool) -> tuple[DataFrame, DataFrame]:
+    """TLS sessions of users with a hello from either side and sealed application data
+    from the client, and their key log."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'view'")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = e.select("event_id", "user_id", (rank - 1).cast("long").alias("seq"))
+    user = F.col("user_id").cast("string")
+    random, server_random = F.sha2(F.concat(user, F.lit("c")), 256), F.sha2(F.concat(user, F.lit("s")), 256)
+    suite = 0x1301 if version13 else 0xC02F
+    users = e.select("user_id").distinct()
+    secret = F.unhex(F.sha2(F.concat(user, F.lit("k")), 256))
+    master = F.concat(secret, F.unhex(F.lit("22" * 16)))
+    if version13:
+        users = users.select("user_id", keys.tls13_keys(secret, F.lit(suite)).alias("k"))
+    else:
+        users = users.select("user_id", keys.tls12_keys(master, F.unhex(random), F.unhex(server_random), F.lit(suite))["client"].alias("k"))
+    plain = F.concat(F.lit("GET /secret/").cast("binary"), F.col("event_id").cast("string").cast("binary"))
+    number = F.lpad(F.hex("seq"), 16, "0")
+    if version13:
+        inner = F.concat(plain, F.unhex(F.lit("17")))
+        header = F.concat(F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(inner) + 16), 4, "0")))
+        nonce = decrypt._xor_tail(F.col("k.iv"), F.col("seq"))
+        body = F.substr(F.aes_encrypt(inner, F.col("k.key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, header), F.lit(13))
+    else:
+        nonce = F.concat(F.col("k.iv"), F.unhex(number))
+        aad = F.concat(F.unhex(number), F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(plain)), 4, "0")))
+        body = F.substr(F.aes_encrypt(plain, F.col("k.key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, aad), F.lit(5))
+        header = F.concat(F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(body)), 4, "0")))
+    data = e.join(users, "user_id").select("user_id", (F.col("event_id") + 10_000_000).alias("at"), F.lit(True).alias("up"), F.hex(F.concat(header, body)).alias("payload"))
+    hello = F.concat(F.lit("16030100290100002503" + "03"), random, F.lit("00" + "0002002F"))
+    answer = F.concat(F.lit("160303002C02000028" + "0303"), server_random, F.lit("00"), F.lit(f"{suite:04X}"), F.lit("000000"))
+    ones = e.select("user_id").distinct()
+    hellos = ones.select("user_id", (F.col("user_id") * 2).alias("at"), F.lit(True).alias("up"), hello.alias("payload")).unionByName(
+        ones.select("user_id", (F.col("user_id") * 2 + 1).alias("at"), F.lit(False).alias("up"), answer.alias("payload"))
+    )
+    rows = hellos.unionByName(data)
+    client, server, port = F.concat(F.lit("10.9.0."), (F.col("user_id") % 256).cast("string")), F.lit("192.0.2.44"), (20000 + F.col("user_id")).cast("int")
+    segment = synth.tcp_segment(F.when(F.col("up"), port).otherwise(443), F.when(F.col("up"), F.lit(443)).otherwise(port), F.lit(1), F.lit(1), F.lit(24), F.col("payload"))
+    packet = synth.ethernet(synth.ip_packet(6, F.when(F.col("up"), client).otherwise(server), F.when(F.col("up"), server).otherwise(client), segment))
+    raw = synth._raw(rows.select(F.lit("tls").alias("capture_id"), F.col("at").alias("frame_index"), (F.col("at") * 1000).alias("ts_ns"), F.lit(1).alias("link_type"), packet.alias("packet"), F.lit(0).alias("extra")))
+    labels = ("CLIENT_TRAFFIC_SECRET_0", "SERVER_TRAFFIC_SECRET_0") if version13 else ("CLIENT_RANDOM",)
+    log = ones.select(F.col("user_id").alias("line_no"), F.explode(F.array(*map(F.lit, labels))).alias("label"), F.unhex(random).alias("client_random"), (secret if version13 else master).alias("secret"))
+    return raw, log
+
+
+def _decrypted(version13: bool) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        raw, log = _sealed(spark, d, version13)
+        return decrypt.decrypt_tls(frames(raw), log).select("frame_index", "status", "text")
+
+    return query
+
+
+_PLAIN = "SELECT event_id + 10000000 AS frame_index, '✓ ApplicationData (' || length('GET /secret/' || event_id) || 'B)' AS status, 'GET /secret/' || event_id AS text FROM events WHERE event_type = 'view'"
+QUERIES |= {
+    "live_equals_batch": (
+        live,
+        _ev("SELECT capture_id, (ts_ns // 1000) * 1000 AS ts_ns, CAST(cap_len AS INT) AS cap_len, orig_len, coalesce(l7, l4) AS top_protocol FROM f"),
+    ),
+    "keylog_sessions": (
+        keylog,
+        """SELECT sha256(CAST(user_id AS VARCHAR)) AS client_random, 'CLIENT_RANDOM' AS label, arg_max(sha256(CAST(event_id AS VARCHAR)), event_id) AS secret
+            FROM events WHERE event_id % 7 >= 4 GROUP BY user_id""",
+    ),
+    "tls13_decrypt": (_decrypted(True), _PLAIN),
+    "tls12_decrypt": (_decrypted(False), _PLAIN),
 }
