@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,38 +17,57 @@ from .common import text_blocks
 
 #: Hashed dimensions of a document vector, dimensions of the curve, bits of each.
 HASHED, DIMS, BITS = 256, 4, 12
-CACHE_WORDS = 400_000
 
 
 class Encoder:
-    """Token ids of whole texts with a cache of space-delimited parts. A text in which
-    a part would not be cut alike on its own is encoded in one piece."""
+    """Token ids of whole texts by a byte-level BPE tokenizer file.
 
-    def __init__(self, path: str):
-        import os
-        import re
+    A file of the plain kind (ids in merge order) is run by the faster of the two
+    installed libraries, which gives the same ids from the same vocabulary; texts that
+    contain one of the file's added tokens, and files of another kind, by the file's own.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s (?:\s|\Z)")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.fast = self._fast(spec)
+
+    def _fast(self, spec: dict):
+        model, cutter = spec["model"], spec.get("pre_tokenizer") or {}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        plain = (
+            model.get("type") == "BPE"
+            and cutter.get("type") == "ByteLevel"
+            and not cutter.get("add_prefix_space")
+            and cutter.get("use_regex", True)
+            and not spec.get("normalizer")
+            and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        )
+        if not plain:
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        # Printable bytes stand for themselves in the file, the others for 256 and up.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = []
+        out = []
         for text in texts:
-            if self.odd.search(text):
-                parts.append([text])
+            if self.fast is None or any(t in text for t in self.added):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
-                head, *rest = text.split(" ")
-                parts.append([head, *[f" {x}" for x in rest]])
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        new = list({x for row in parts for x in row if x not in self.cache})
-        for x, y in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[x] = np.array(y.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, row)), "<u4") for row in parts]
+                ids = self.fast.encode_ordinary(text)
+            out.append(np.array(ids, "<u4"))
+        return out
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
