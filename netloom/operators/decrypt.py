@@ -7,6 +7,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import constants as C
@@ -203,7 +204,9 @@ def quic_initials(frames: DataFrame) -> DataFrame:
     return rows.where("pn_at + length <= octet_length(payload) and length >= 20").withColumn("packet", cut(F.col("payload"), 0, F.col("pn_at") + F.col("length")))
 
 
-_CRYPTO = "array<struct<offset:bigint,length:bigint,data:binary>>"
+_CRYPTO = T.ArrayType(
+    T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("data", T.BinaryType())])
+)
 
 
 @F.pandas_udf(_CRYPTO)
