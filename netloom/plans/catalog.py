@@ -16,6 +16,7 @@ from ..operators import decrypt, keys, tcp
 from ..operators.dissect import frames
 from ..operators.filters import filter_frames
 from ..operators.http_stream import http_messages
+from ..operators.layers import field_bytes, with_layers
 from ..shared import shared_path
 from ..sources.keylog import latest_secrets, parse_keylog
 from ..streaming.live import live_frames, spool_table
@@ -471,3 +472,27 @@ QUERIES |= {
     "tls13_decrypt": (_decrypted(True), _PLAIN),
     "tls12_decrypt": (_decrypted(False), _PLAIN),
 }
+
+
+def layer_fields(spark: SparkSession, d: str) -> DataFrame:
+    """How many layers and fields the protocol trees have."""
+    rows = with_layers(events(spark, d)).select(F.explode("layers").alias("layer"))
+    return rows.groupBy("layer.protocol").agg(F.count("*").alias("layers"), F.sum(F.size("layer.fields")).alias("fields"))
+
+
+def ttl_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """The TTL as shown and the byte it comes from."""
+    rows = with_layers(events(spark, d)).select("frame_index", "data", F.explode(F.col("layers")[1]["fields"]).alias("field")).where("field.name = 'TTL'")
+    return rows.select("frame_index", F.col("field.value").alias("shown"), field_bytes(F.col("data"), F.col("field")).alias("bytes"))
+
+
+QUERIES |= {
+    "layer_fields": (
+        layer_fields,
+        _ev("""SELECT protocol, count(*) AS layers, CAST(sum(CASE protocol WHEN 'Ethernet' THEN 3 WHEN 'IPv4' THEN 11 WHEN 'TCP' THEN 8 WHEN 'UDP' THEN 4 WHEN 'ICMP' THEN 3
+                WHEN 'HTTP' THEN 3 WHEN 'TLS' THEN 4 WHEN 'QUIC' THEN 9 WHEN 'PCAPdroid metadata' THEN 4 ELSE 7 + event_id % 2 END) AS BIGINT) AS fields
+            FROM (SELECT event_id, unnest(['Ethernet', 'IPv4', l4, l7, CASE WHEN app_name IS NOT NULL THEN 'PCAPdroid metadata' END]) AS protocol FROM f)
+            WHERE protocol IS NOT NULL GROUP BY protocol"""),
+    ),
+    "field_bytes": (ttl_bytes, _ev("SELECT frame_index, '64' AS shown, '40' AS bytes FROM f")),
+}
