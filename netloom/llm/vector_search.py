@@ -204,17 +204,22 @@ def nearest(
         asked, q = left.column("query_id").to_numpy(), left.column("q").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         own, v = right.column("vec_id").to_numpy(), right.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         out = []
+        order = np.argsort(own, kind="stable")
+        own, v = own[order], v[order]
+        begins = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))  # rows of one id stand together
         if len(own):
             norms = np.sqrt(np.sum(v * v, axis=1))
             for at in range(0, len(asked), 256):
                 rough = (q[at : at + 256] @ v.T) / norms
                 for i, line in enumerate(rough, at):
                     line[own == asked[i]] = -np.inf
-                    least = np.partition(line, -k)[-k] if len(line) > k else -np.inf
+                    each = np.maximum.reduceat(line, begins)
+                    least = np.partition(each, -k)[-k] if len(each) > k else -np.inf
                     near = np.flatnonzero((line >= least - 1e-9 * abs(least)) & (line > -np.inf))
                     score = np.sum(v[near] * q[i], axis=1) / (norms[near] * np.sqrt(np.sum(q[i] * q[i])))
-                    first = np.lexsort((own[near], -score))[: 2 * k]
-                    out += [(int(asked[i]), int(own[near[j]]), float(score[j])) for j in first]
+                    first = np.lexsort((own[near], -score))
+                    _, at_first = np.unique(own[near[first]], return_index=True)
+                    out += [(int(asked[i]), int(own[near[j]]), float(score[j])) for j in first[np.sort(at_first)[:k]]]
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
