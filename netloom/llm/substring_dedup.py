@@ -159,7 +159,8 @@ def substring_dedup(
         .groupBy("a", "s")
         .agg(F.collect_list("pos").alias("earlier"))
     )
-    known = classes.select("a", "s", "least").join(earlier, ["a", "s"], "left")
+    # Written out, so that the join below has two plain sides and a hot segment's can be split.
+    known = materialize(classes.select("a", "s", "least").join(earlier, ["a", "s"], "left"), "word-known")
     own = F.transform(F.coalesce("earlier", F.array().cast("array<int>")), lambda i: span(F.col("first") + i, F.lit(length)))
     whole = F.array(span(F.col("first"), F.col("windows") + length - 1))
     ranges = (
