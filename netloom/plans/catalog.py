@@ -17,6 +17,7 @@ from ..operators.dissect import frames
 from ..operators.filters import filter_frames
 from ..operators.http_stream import http_messages
 from ..operators.layers import field_bytes, with_layers
+from ..operators.listing import list_rows, sort_frames
 from ..shared import shared_path
 from ..sources.keylog import latest_secrets, parse_keylog
 from ..streaming.live import live_frames, spool_table
@@ -496,3 +497,17 @@ QUERIES |= {
     ),
     "field_bytes": (ttl_bytes, _ev("SELECT frame_index, '64' AS shown, '40' AS bytes FROM f")),
 }
+
+
+QUERIES |= {
+    "list_rows": (
+        lambda s, d: list_rows(events(s, d)),
+        _ev(f"""SELECT capture_id, frame_index, (ticks // 10000) || '.' || lpad(CAST(ticks % 10000 AS VARCHAR), 4, '0') AS time, coalesce(l7, l4) AS top_protocol, orig_len AS length,
+                CASE WHEN app_name IS NOT NULL THEN '[' || app_name || '] ' ELSE '' END || {INFO} AS info
+            FROM (SELECT *, (ts_ns - first_value(ts_ns) OVER (ORDER BY frame_index) + 50000) // 100000 AS ticks FROM f)"""),
+    ),
+    "latest_packets": (
+        lambda s, d: sort_frames(events(s, d), "length").limit(20).select("frame_index", "orig_len"),
+        _ev("SELECT frame_index, orig_len FROM f ORDER BY orig_len DESC, frame_index DESC LIMIT 20"),
+    ),
+}
