@@ -20,8 +20,9 @@ LIST_SIZE, BLOCK = 96, 4096
 #: A vector joins up to REPLICAS lists whose centroids are within the ratio of
 #: its nearest; a query probes every list of its beam within its own ratio.
 REPLICAS, STORE_RATIO, PROBE_RATIO = 4, 1.15, 1.35
-#: Degree of the centroid graph and beam of a search in it.
-DEGREE, BEAM = 24, 48
+#: Degree of the centroid graph, beam of a search in it, and the share of all lists that
+#: a query's beam holds at least: without clear clusters, what is near lies in many lists.
+DEGREE, BEAM, QUERY_SHARE = 24, 48, 1 / 6
 #: Vectors that a query's probed lists hold at least, if there are so many.
 LEAST_PROBED = 256
 
@@ -76,10 +77,12 @@ def centroid_graph(centroids: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_graph(x: np.ndarray, centroids: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def search_graph(
+    x: np.ndarray, centroids: np.ndarray, graph: np.ndarray, beam: int = BEAM
+) -> tuple[np.ndarray, np.ndarray]:
     """Beam search for all rows of ``x`` (unit vectors) at once: ids of the nearest
     centroids found and their distances, nearest first."""
-    n, beam = len(centroids), min(BEAM, len(centroids))
+    n, beam = len(centroids), min(beam, len(centroids))
     rows = np.arange(len(x))[:, None]
     entry = np.unique(np.linspace(0, n - 1, beam).astype(np.int64))
     ids = np.broadcast_to(entry, (len(x), len(entry))).copy()
@@ -185,10 +188,12 @@ def nearest(
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, graph = shared.value
+        beam = max(BEAM, int(len(centroids) * QUERY_SHARE))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                ids, dist = search_graph(_units(batch.column(1).flatten().to_numpy().reshape(-1, dim)), centroids, graph)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                x = _units(batch.column(1).flatten().to_numpy().reshape(-1, dim))
+                ids, dist = search_graph(x, centroids, graph, beam)
                 before = np.cumsum(held[ids], axis=1) - held[ids]
                 who, which = np.nonzero((dist <= PROBE_RATIO * dist[:, :1]) | (before < LEAST_PROBED))
                 found = ids[who, which]
