@@ -35,6 +35,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``rows`` rows: whole texts are
+    long, and a batch lies in the JVM and in the Python worker at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def text_blocks(
     batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

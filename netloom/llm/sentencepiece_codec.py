@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import short_batches, text_blocks
 
 SPACE = "▁"
-#: Words whose ids a task keeps from block to block.
+#: Words whose ids a Python worker keeps from block to block and task to task.
 CACHE_WORDS = 300_000
+_KNOWN: dict[str, dict[str, bytes]] = {}
 # Kinds of pieces in a SentencePiece model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
@@ -45,7 +47,7 @@ class Model:
                 self.surface.append(b"")
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece spans two words; words cannot be encoded alone")
-        self.longest = max(map(len, self.pieces), default=1)
+        self.endings = {p[i:] for p in self.pieces for i in range(len(p))}
         self.worst = min((s for s, _ in self.pieces.values()), default=0.0) - 10
 
     def fallback(self, char: str) -> list[int]:
@@ -53,15 +55,22 @@ class Model:
         return [self.unknown] if -1 in ids else ids
 
 
+@cache
+def load_model(path: str) -> Model:
+    """The model, read once in each Python worker."""
+    return Model(path)
+
+
 def encode_words(words: Iterable[str], model: Model) -> dict[str, list[int]]:
     """The best segmentation of each distinct marked word.
 
     Sorted words are the depth-first order of their trie: what a word shares with
     the one before is a path already walked, whose forward scores stand. ``best[p]``
     is the best score of the first p characters and ``start[p]`` where its last
-    piece begins; both depend on those characters alone. The longest piece wins a tie,
-    and a character that is no piece becomes bytes."""
-    pieces, longest, worst = model.pieces, model.longest, model.worst
+    piece begins; both depend on those characters alone. Pieces that end at p are tried
+    from the shortest, as long as some piece ends alike. The longest wins a tie, and a
+    character that is no piece becomes bytes."""
+    pieces, endings, worst = model.pieces, model.endings, model.worst
     best, start, before = [0.0], [0], ""
     out = {}
     for word in sorted(set(words)):
@@ -71,9 +80,12 @@ def encode_words(words: Iterable[str], model: Model) -> dict[str, list[int]]:
         del best[shared + 1 :], start[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             top, at = None, end - 1
-            for s in range(max(0, end - longest), end):
-                found = pieces.get(word[s:end])
-                if found is not None and (top is None or best[s] + found[0] > top):
+            for s in range(end - 1, -1, -1):
+                part = word[s:end]
+                if part not in endings:
+                    break
+                found = pieces.get(part)
+                if found is not None and (top is None or best[s] + found[0] >= top):
                     top, at = best[s] + found[0], s
             if word[end - 1] not in pieces and (top is None or best[end - 1] + worst > top):
                 top, at = best[end - 1] + worst, end - 1
@@ -104,13 +116,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(model_path), {}
+        model, known = load_model(model_path), _KNOWN.setdefault(model_path, {})
         for batch, *_ in text_blocks(batches):
             rows = [_WORDS.findall(model.prefix + t.replace(" ", SPACE)) if t else [] for t in batch.column(1).to_pylist()]
             if len(known) > CACHE_WORDS:
-                known = {}
+                known.clear()
             new = {w for row in rows for w in row if w not in known}
-            known |= {w: np.array(ids, np.int32).tobytes() for w, ids in encode_words(new, model).items()}
+            known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in encode_words(new, model).items())
             flat = [b"".join(map(known.__getitem__, row)) for row in rows]
             bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(flat), np.int32)))
@@ -118,7 +130,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     source = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, text string, ids array<int>")
+    return short_batches(source).mapInArrow(run, f"doc_id {kind}, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -128,7 +140,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(model_path)
+        model = load_model(model_path)
         surface, skip = model.surface, len(model.prefix)
         for batch in batches:
             texts = []

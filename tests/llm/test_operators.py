@@ -274,7 +274,7 @@ def test_sentencepiece_matches_the_library_and_round_trips(spark, docs):
 def test_shared_prefixes_change_nothing():
     class Toy:
         pieces = {"a": (-1.0, 1), "ab": (-1.5, 2), "abc": (-5.0, 3), "c": (-1.0, 4), "bc": (-1.1, 5), "b": (-2.0, 6)}
-        longest, worst = 3, -15.0
+        endings, worst = {"a", "ab", "abc", "b", "bc", "c"}, -15.0
 
         @staticmethod
         def fallback(char):
