@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import short_batches, text_blocks
 
 #: Rows that the filters are fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 20_000
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         rows = rows.where(F.col("h") < F.lit(bound))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, 1 << 20):
             grams, bounds = _grams(data, offsets)
             lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.uint64)
             owner = np.repeat(np.arange(len(lang), dtype=np.uint64), np.diff(bounds))
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     fitted = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.element_at(F.array(*[F.lit(1.0 / max(1, fitted.get(x, 0))) for x in languages]), F.col("lang") + 1) * F.col("n")
-    grams = rows.select("lang", "text").mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    grams = short_batches(rows.select("lang", "text")).mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams = grams.withColumn("share", share).where((F.col("share") >= LEAST_SHARE) & (F.col("n") > 1))
     best = grams.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("all"))
     mask = F.aggregate(
@@ -148,7 +148,7 @@ def predict(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, false = shared.value.cells, shared.value.false_positive_rates()
         cells = cells.astype(np.uint8) if len(names) <= 8 else cells
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, 1 << 20):
             grams, bounds = _grams(data, offsets)
             masks = np.full(len(grams), -1).astype(cells.dtype)
             for at in _places(grams):
@@ -174,4 +174,4 @@ def predict(
     )
     kind = docs.schema[id_col].dataType.simpleString()
     row = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{row}")
+    return short_batches(source).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{row}")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 # Sentences of public licences and notices in normalised form, with the
 # identifier that stands for each.
 SENTENCES = {
@@ -145,4 +147,4 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, sentences array<string>, licences array<string>")
+    return short_batches(source).mapInArrow(run, f"doc_id {kind}, sentences array<string>, licences array<string>")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import short_batches, text_blocks
 
 #: Hashed dimensions of a document vector, dimensions of the curve, bits of each.
 HASHED, DIMS, BITS = 256, 4, 12
@@ -123,12 +123,12 @@ def on_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``doc_id, text`` (null became empty) and ``key``, the place on the curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, 1 << 20):
             keys = pa.array(curve_positions(data, offsets))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["doc_id", "text", "key"])
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, text string, key long")
+    return short_batches(source).mapInArrow(run, "doc_id long, text string, key long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"

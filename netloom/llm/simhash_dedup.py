@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, short_batches
 
 #: Variants that one bucket should hold on average, and that a task sorts at once.
 BUCKET_VARIANTS = 1 << 20
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return short_batches(source).mapInArrow(run, "doc_id long, fp long")
 
 
 def _flips(bits: int, most: int) -> np.ndarray:

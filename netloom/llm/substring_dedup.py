@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BYTE_VALUES, Anchors, Powers, Rolling, find_anchors, mix, segment_hashes, words
-from .common import materialize, text_blocks
+from .common import materialize, short_batches, text_blocks
 from .repeats import keyed, span, with_ranges
 
 #: Rows of the sketch, and the bounds of a row's cells as powers of two: a merged
@@ -102,7 +102,7 @@ def substring_dedup(
     never remove each other's words. A text below ``length`` words is kept; an
     empty table gives no rows; further columns are ignored.
     """
-    source, gram = keyed(docs, id_col, text_col), max(1, length * 2 // 5)
+    source, gram = short_batches(keyed(docs, id_col, text_col)), max(1, length * 2 // 5)
     if sketch_bits is None:
         total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         anchors = total / 6 * 2 / (length - gram + 2)

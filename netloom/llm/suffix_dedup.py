@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BYTE_VALUES, Powers, Rolling, find_anchors, segment_hashes
-from .common import materialize, text_blocks
+from .common import materialize, short_batches, text_blocks
 from .repeats import keyed, span, with_ranges
 
 GRAM_SHARE = 0.5
@@ -127,7 +127,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     counts as an id of its own. An empty table gives no rows;
     further columns are ignored.
     """
-    source = keyed(docs, id_col, text_col)
+    source = short_batches(keyed(docs, id_col, text_col))
     gram = int(length * GRAM_SHARE)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
