@@ -15,8 +15,17 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Only the head is taken: the run after it, in group 1, may hold words behind the IBAN
+    # and the next IBAN. A letter or digit that ends no word is part of the group.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
 }
+#: Length of an IBAN by country, as registered (ISO 13616).
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 "
+    "FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 "
+    "LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+    "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
 BASE = ("email", "ip", "card", "phone")
 #: Words that make a kind likelier in the characters before a span.
 CONTEXT = {
@@ -35,14 +44,15 @@ LEAST_SCORE = 0.5
 
 def _found(text: Column, kind: str, gate: Column) -> Column:
     """All matches of a kind as array<struct<kind, start, end, value>>; code points,
-    end exclusive. The text between matches gives the offsets."""
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    end exclusive. The text between matches gives the offsets. Of an IBAN, value is
+    the run and start and end are those of its head."""
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1 if kind == "iban" else 0))
     gaps = F.split(text, PATTERNS[kind], -1)
     kinds = "array<struct<kind:string,start:int,end:int,value:string>>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
+        end = start + (4 if kind == "iban" else F.char_length(x["value"]))
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(span)).cast(kinds).alias("spans"))
 
@@ -82,10 +92,42 @@ def _confirmed(kind: str, value: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(value)).between(8, 15)
     if kind == "iban":
-        return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & (mod97(value) == 1)
+        whole = F.regexp_like(value, F.lit("^[A-Z0-9 ]*$"))
+        return whole & F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & (mod97(value) == 1)
     return F.lit(True)
 
 
+def _registered(value: Column) -> Column:
+    length = F.length(F.replace(value, F.lit(" "), F.lit("")))
+    return (length > 9) & F.contains(F.lit(IBAN_LENGTHS), F.concat(F.left(value, F.lit(2)), length.cast("string")))
+
+
+def _ibans(runs: Column) -> Column:
+    """The IBANs that begin the runs. A run may end one at each of its words; of the ends
+    that mod 97 confirms, the one of the country's length counts, else the last. A
+    head inside an IBAN begins no further one."""
+
+    def longest(run: Column) -> Column:
+        words = F.split(run, " ")
+        ends = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+        kept = F.filter(ends, lambda x: _confirmed("iban", x))
+        return F.aggregate(kept, F.lit(""), lambda acc, x: F.when(_registered(x) | ~_registered(acc), x).otherwise(acc))
+
+    def cut(s: Column) -> Column:
+        value = longest(s["value"])
+        return F.struct(s["kind"], s["start"], (s["start"] + F.char_length(value)).alias("end"), value.alias("value"))
+
+    kinds = "array<struct<kind:string,start:int,end:int,value:string>>"
+    return F.aggregate(
+        F.filter(F.transform(runs, cut), lambda s: s["value"] != ""),
+        F.struct(F.lit(0).alias("pos"), F.array().cast(kinds).alias("spans")),
+        lambda acc, s: F.when(
+            s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["spans"], F.array(s)).cast(kinds).alias("spans"))
+        ).otherwise(acc),
+        lambda acc: acc["spans"],
+    )
+
+
 def pii_spans(text: Column) -> Column:
     """The confirmed spans of a text: array<struct<kind, start, end, value, score>>
     by kind, then start. Null text has none."""
@@ -100,7 +142,8 @@ def pii_spans(text: Column) -> Column:
     }
 
     def of(kind: str) -> Column:
-        kept = F.filter(_found(text, kind, gates[kind]), lambda s: _confirmed(kind, s["value"]))
+        found = _found(text, kind, gates[kind])
+        kept = _ibans(found) if kind == "iban" else F.filter(found, lambda s: _confirmed(kind, s["value"]))
         plain, near = SCORES[kind]
 
         def scored(s: Column) -> Column:

@@ -422,3 +422,26 @@ def test_pii(spark):
     near = next(s for r in rows if r["text"].startswith("my iban") for s in r["pii"] if s["kind"] == "iban")
     assert near["score"] == pii.SCORES["iban"][1]
     assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_ibans_before_capitals_and_digits(spark):
+    de, gb, no, mt = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    cases = [
+        (f"{de} Please send", [de]),
+        (f"{de} BIC COBADEFF", [de]),
+        (f"{de} 2024 500 EUR", [de]),
+        (f"{de} A {gb} B 12 {no} {mt} Next", [de, gb, no, mt]),
+        (f"{de} {gb} {no}", [de, gb, no]),
+        (f"é🙂 {gb} AND MORE", [gb]),
+        (f"{no} 1 2 3 X", [no]),
+        (f"{mt}x {mt}0 {de}x {de}00000000000000 DE88370400440532013000 Please", []),
+        # Beyond the registered length the whole run passes mod 97, too.
+        (f"{de} {next(n for n in range(10, 108) if int('370400440532013000' + str(n) + '131489') % 97 == 1)}", [de]),
+        # A country outside the register: the last end that passes.
+        ("XX57 1234 5678 9012 345 Ends", ["XX57 1234 5678 9012 345"]),
+    ]
+    for r in pii.find_pii(table(spark, list(enumerate(t for t, _ in cases)))).collect():
+        text, want = cases[r["doc_id"]]
+        found = [s for s in r["pii"] if s["kind"] == "iban"]
+        assert [s["value"] for s in found] == want, text
+        assert all(text[s["start"] : s["end"]] == s["value"] for s in found)
