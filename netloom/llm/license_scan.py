@@ -74,6 +74,8 @@ RULES = [
 ]
 #: A part of a word in every sentence above, in any case; a text without any is done.
 CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "free", "mpl", "reserved")
+#: What a known sentence begins with, word by word, up to the whole.
+_BEGINNINGS = {" ".join(s.split()[:n]) for s in SENTENCES for n in range(1, len(s.split()) + 1)}
 _SPLIT = re.compile(r"(?<=[.!?:;])\s+|\n+")
 _WORD = re.compile(r"[0-9a-z]+")
 
@@ -86,20 +88,18 @@ def normalised_sentence(sentence: str) -> str:
 
 def sentence_ids(text: str) -> list[str]:
     """Identifiers of the known sentences of a text, in order. A sentence may run over
-    line breaks, so up to eight neighbouring pieces are also tried as one."""
+    any number of line breaks: pieces are joined as long as a known sentence begins with
+    them, and the first join that is one counts."""
     pieces = [p for p in (normalised_sentence(s) for s in _SPLIT.split(text)) if p]
     out, at = [], 0
     while at < len(pieces):
-        for n in range(1, 9):
-            if at + n > len(pieces):
-                continue
-            found = SENTENCES.get(" ".join(pieces[at : at + n]))
-            if found:
-                out.append(found)
-                at += n
-                break
-        else:
-            at += 1
+        joined, to, found = pieces[at], at + 1, SENTENCES.get(pieces[at])
+        while not found and joined in _BEGINNINGS and to < len(pieces):
+            joined, to = f"{joined} {pieces[to]}", to + 1
+            found = SENTENCES.get(joined)
+        if found:
+            out.append(found)
+        at = to if found else at + 1
     return out
 
 

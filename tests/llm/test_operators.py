@@ -445,3 +445,15 @@ def test_ibans_before_capitals_and_digits(spark):
         found = [s for s in r["pii"] if s["kind"] == "iban"]
         assert [s["value"] for s in found] == want, text
         assert all(text[s["start"] : s["end"]] == s["value"] for s in found)
+
+
+def test_licence_sentences_over_many_lines():
+    for sentence, identifier in license_scan.SENTENCES.items():
+        words = sentence.split()
+        for step in (1, 2, 5):
+            lines = "\n".join(f"# {' '.join(words[i : i + step])}" for i in range(0, len(words), step))
+            assert license_scan.sentence_ids(f"Permission\nis given.\n{lines}\nand so on") == [identifier], sentence
+    grant = next(s for s, i in license_scan.SENTENCES.items() if i == "mit-grant")
+    notice = next(s for s, i in license_scan.SENTENCES.items() if i == "mit-notice")
+    ids = license_scan.sentence_ids("\n".join(f"{grant}. {notice}".split()))
+    assert license_scan.matched_licences(ids) == ["MIT"]
