@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import short_batches, text_blocks
 
-#: Rows that the filters are fitted on at most (about; chosen by a hash of the id).
+#: Rows of each language that the filters are fitted on at most (about; chosen by a hash of the id).
 TRAIN_ROWS = 20_000
 #: Cells of the filter, each with one bit per language, and hash functions.
 CELL_BITS, HASHES = 20, 3
+#: Languages in one word of a cell; a cell has as many words as the languages need.
+WORD_BITS = 62
 #: An n-gram belongs to a language if this share of its documents has it, and at least
 #: this fraction of the share that any other language has.
 LEAST_SHARE, LEAST_RATIO = 0.002, 0.2
@@ -29,13 +31,15 @@ LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)]
 
 @dataclass
 class LanguageFilter:
-    """Languages by frequency and the cells: bit i stands for language i."""
+    """Languages by frequency and the cells, a row for each WORD_BITS languages: bit
+    i % WORD_BITS of row i // WORD_BITS stands for language i."""
 
     languages: list[str]
     cells: np.ndarray
 
     def false_positive_rates(self) -> np.ndarray:
-        return np.array([np.mean((self.cells >> i) & 1) ** HASHES for i in range(len(self.languages))])
+        words = np.atleast_2d(self.cells)
+        return np.array([np.mean((words[i // WORD_BITS] >> (i % WORD_BITS)) & 1) ** HASHES for i in range(len(self.languages))])
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,28 +70,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quota: int = TRAIN_ROWS
+) -> LanguageFilter:
     """Learn from the rows that have an id, a text and a language and are not held out,
-    at most about TRAIN_ROWS of them. Counting and the filter's bits are aggregated
-    by Spark; what reaches the driver is the cells, at most 2**CELL_BITS."""
+    at most about ``quota`` of each language: one with fewer rows is learned from all
+    of them, however large the others are. An n-gram counts from its second document
+    on, so a language of a single row is not learned. Any number of languages fits.
+    Counting and the filter's bits are aggregated by Spark; what reaches the driver is
+    the cells, at most 2**CELL_BITS for each WORD_BITS languages."""
     doc_id = docs[id_col]
     rows = docs.where(doc_id.isNotNull() & docs[text_col].isNotNull() & docs[lang_col].isNotNull() & ~held_out(doc_id))
     rows = rows.select(docs[lang_col].alias("lang"), F.lower(docs[text_col]).alias("text"), F.xxhash64(doc_id).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    if len(languages) > 62:
-        raise ValueError("a cell holds at most 62 languages")
+    out = np.zeros((max(1, -(-len(languages) // WORD_BITS)), 1 << CELL_BITS), np.int64)
     if not languages:
-        return LanguageFilter([], np.zeros(1 << CELL_BITS, np.int64))
-    total = sum(sizes.values())
-    if total > TRAIN_ROWS:
-        bound = int(-(1 << 63) + (1 << 64) * (TRAIN_ROWS / total))
-        rows = rows.where(F.col("h") < F.lit(bound))
+        return LanguageFilter([], out)
+    bounds = {x: -(1 << 63) + (1 << 64) * quota // n for x, n in sizes.items() if n > quota}
+    if bounds:
+        bound = F.element_at(F.create_map(*[F.lit(y) for x in bounds.items() for y in x]), F.col("lang"))
+        rows = rows.where(F.coalesce(F.col("h") < bound, F.lit(True)))
+    numbers = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches, 1 << 20):
             grams, bounds = _grams(data, offsets)
-            lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], np.uint64)
+            lang = np.array([numbers[x] for x in batch.column(0).to_pylist()], np.uint64)
             owner = np.repeat(np.arange(len(lang), dtype=np.uint64), np.diff(bounds))
             once = np.unique((owner << np.uint64(32)) | grams)
             pair, n = np.unique(
@@ -107,23 +116,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     grams = short_batches(rows.select("lang", "text")).mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams = grams.withColumn("share", share).where((F.col("share") >= LEAST_SHARE) & (F.col("n") > 1))
     best = grams.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("all"))
-    mask = F.aggregate(
-        "all",
-        F.lit(0).cast("long"),
-        lambda acc, x: F.when(
-            x["share"] >= LEAST_RATIO * F.col("best"), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"]))
-        ).otherwise(acc),
-    )
+    kept = best.select("gram", F.explode(F.filter("all", lambda x: x["share"] >= LEAST_RATIO * F.col("best"))["lang"]).alias("lang"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("lang") % WORD_BITS)
+    masks = kept.select("gram", F.floor(F.col("lang") / WORD_BITS).cast("int").alias("word"), bit.alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cells in _places(batch.column(0).to_numpy()):
-                yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column(1)], ["cell", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column(1), batch.column(2)], ["cell", "word", "mask"])
 
-    cells = best.select("gram", mask.alias("mask")).mapInArrow(place, "cell long, mask long")
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    table = cells.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out[table.column("cell").to_numpy()] = table.column("mask").to_numpy()
+    cells = masks.mapInArrow(place, "cell long, word int, mask long")
+    table = cells.groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out[table.column("word").to_numpy(), table.column("cell").to_numpy()] = table.column("mask").to_numpy()
     return LanguageFilter(languages, out)
 
 
@@ -146,17 +150,19 @@ def predict(
     names = fitted.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, false = shared.value.cells, shared.value.false_positive_rates()
+        cells, false = np.atleast_2d(shared.value.cells), shared.value.false_positive_rates()
         cells = cells.astype(np.uint8) if len(names) <= 8 else cells
         for batch, data, offsets in text_blocks(batches, 1 << 20):
             grams, bounds = _grams(data, offsets)
-            masks = np.full(len(grams), -1).astype(cells.dtype)
-            for at in _places(grams):
-                masks &= cells[at]
+            places = _places(grams)
             n = np.maximum(np.diff(bounds), 1)
             shares = np.zeros((len(names), len(n)))
             for i in range(len(names)):
-                total = np.concatenate([[0], np.cumsum((masks >> i) & 1, dtype=np.int64)])
+                if i % WORD_BITS == 0:
+                    masks = np.full(len(grams), -1).astype(cells.dtype)
+                    for at in places:
+                        masks &= cells[i // WORD_BITS][at]
+                total = np.concatenate([[0], np.cumsum((masks >> (i % WORD_BITS)) & 1, dtype=np.int64)])
                 hits = (total[bounds[1:]] - total[bounds[:-1]]) / n
                 shares[i] = np.clip((hits - false[i]) / max(1e-9, 1 - false[i]), 0, 1)
             best = shares.argmax(axis=0) if names else np.zeros(len(n), int)

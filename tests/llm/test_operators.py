@@ -457,3 +457,23 @@ def test_licence_sentences_over_many_lines():
     notice = next(s for s, i in license_scan.SENTENCES.items() if i == "mit-notice")
     ids = license_scan.sentence_ids("\n".join(f"{grant}. {notice}".split()))
     assert license_scan.matched_licences(ids) == ["MIT"]
+
+
+def test_rare_languages_and_many_languages(spark):
+    rng = random.Random(5)
+    names = [f"l{i:03d}" for i in range(130)]
+    syllables = {x: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)] for x in names}
+
+    def prose(lang):
+        return " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(30))
+
+    many = [(i, prose(x), x) for i, x in enumerate(names * 9)]
+    large = [(i, prose("l000"), "l000") for i in range(10_000, 12_000)]
+    df = spark.createDataFrame(many + large, "doc_id long, text string, lang string")
+    fitted = language_id.fit(df, quota=100)
+    assert fitted.languages[0] == "l000" and sorted(fitted.languages) == names
+    truth = {i: x for i, _, x in many + large}
+    held = [r for r in language_id.predict(df, fitted).collect() if r["held_out"]]
+    rare = [r for r in held if truth[r["doc_id"]] != "l000"]
+    assert len(rare) > 300 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in rare) / len(rare) > 0.95
+    assert sum(r["lang_pred"] == "l000" for r in held if truth[r["doc_id"]] == "l000") > 600
