@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bytes import cut, hex_lower, latin1
+from .bytes import cut, hex_lower, hex_number, latin1
 
 
 def format_bytes(n: Column) -> Column:
@@ -32,13 +32,14 @@ def format_duration(ns: Column) -> Column:
 
 
 def hex_dump(data: Column, width: int = 8) -> Column:
-    """array<struct<at, line>>: offset, hex pairs and ASCII of each ``width`` bytes."""
+    """array<struct<at, line>>: offset (at least four digits), hex pairs and ASCII of each
+    ``width`` bytes."""
 
     def line(at: Column) -> Column:
         part = cut(data, at, width)
         pairs = F.rtrim(F.regexp_replace(hex_lower(part), "(..)", "$1 "))
         shown = F.regexp_replace(latin1(part), "[^\\x20-\\x7e]", ".")
-        text = F.concat(F.lpad(F.lower(F.hex(at)), 4, "0"), F.lit("  "), F.rpad(pairs, 3 * width - 1, " "), F.lit("  "), shown)
+        text = F.concat(F.substring(hex_number(at, 4), 3, 8), F.lit("  "), F.rpad(pairs, 3 * width - 1, " "), F.lit("  "), shown)
         return F.struct(at.alias("at"), text.alias("line"))
 
     rows = F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1, F.lit(width)), line)

@@ -236,11 +236,20 @@ def text_ratio(spark: SparkSession, d: str) -> DataFrame:
     return found.select("frame_index", printable(F.col("payload")).cast("long").alias("printable"), mostly_text(F.col("payload")).alias("is_text"))
 
 
-def hex_rows(spark: SparkSession, d: str) -> DataFrame:
-    found = events(spark, d).where("l4 = 'ICMP'").select("frame_index", F.explode(hex_dump(F.col("body"))).alias("row"))
+def _dumped(packets: DataFrame) -> DataFrame:
+    found = packets.select("frame_index", F.explode(hex_dump(F.col("body"))).alias("row"))
     return found.select("frame_index", F.col("row.at").alias("pos"), F.col("row.line").alias("line"))
 
 
+def hex_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _dumped(events(spark, d).where("l4 = 'ICMP'"))
+
+
+def document_hex_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every packet of the documents as a whole, however long."""
+    return _dumped(frames(synth.document_packets(spark, d)))
+
+
 def dns_answers(spark: SparkSession, d: str) -> DataFrame:
     found = events(spark, d).where("dns.answer is not null")
     return found.select("frame_index", F.col("dns.answer.name").alias("name"), F.col("dns.answer.data").alias("address"), F.col("dns.answer.ttl").alias("ttl"))
@@ -373,6 +382,14 @@ QUERIES: dict[str, tuple[Query, str]] = {
         y AS (SELECT frame_index, pos, part, list_transform(range(0, length(part) // 2), lambda i: substr(part, CAST(2 * i + 1 AS BIGINT), 2)) AS pairs FROM q)
         SELECT frame_index, pos, printf('%04x', pos) || '  ' || rpad(array_to_string(pairs, ' '), 23, ' ') || '  '
             || array_to_string(list_transform(pairs, lambda v: CASE WHEN v >= '20' AND v <= '7e' THEN chr(CAST('0x' || v AS INT)) ELSE '.' END), '') AS line FROM y"""),
+    "hexdump_documents": (document_hex_rows, """
+        WITH b AS (SELECT doc_id AS frame_index, '4500' || printf('%04x', (strlen(text) + 28) % 65536) || '0000400040110000' || '0a03' || printf('%02x', (doc_id // 256) % 256)
+                || printf('%02x', doc_id % 256) || 'c0000207' || '17701771' || printf('%04x', (strlen(text) + 8) % 65536) || '0000' || lower(hex(encode(text))) AS h
+            FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+        q AS (SELECT frame_index, unnest(regexp_extract_all(h, '.{1,16}')) AS part, unnest(range(0, length(h) // 2, 8)) AS pos FROM b),
+        y AS (SELECT frame_index, CAST(pos AS INT) AS pos, part, regexp_extract_all(part, '..') AS pairs FROM q)
+        SELECT frame_index, pos, printf('%04x', pos) || '  ' || rpad(array_to_string(pairs, ' '), 23, ' ') || '  '
+            || array_to_string(list_transform(pairs, lambda v: CASE WHEN v >= '20' AND v <= '7e' THEN chr(CAST('0x' || v AS INT)) ELSE '.' END), '') AS line FROM y"""),
 }
 
 

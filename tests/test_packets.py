@@ -329,3 +329,10 @@ def test_rendering(spark):
     assert dump[0]["line"] == "0000  47 45 54 20 2f 00 ff 61  GET /..a" and dump[1]["line"].startswith("0008  62 63")
     assert one.select(occurrences(F.col("t"), "the")).first()[0] == [0, 4, 8]
     assert one.select(occurrences(F.col("t"), "\\E")).first()[0] == [11, 15]
+
+
+def test_hex_dump_beyond_four_digits(spark):
+    one = spark.createDataFrame([(bytearray(b"a" * 0x10009),)], "b binary")
+    dump = one.select(hex_dump(F.col("b"))).first()[0]
+    assert [r["line"][:7] for r in (dump[0], dump[0x200], dump[0x1FFF], dump[0x2000], dump[0x2001])] == ["0000  6", "1000  6", "fff8  6", "10000  ", "10008  "]
+    assert [r["at"] for r in dump] == list(range(0, 0x10009, 8)) and len({r["line"] for r in dump}) == len(dump)
