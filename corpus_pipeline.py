@@ -10,7 +10,7 @@ from netloom.llm import language_id, packing, pii
 from netloom.llm.common import materialize
 from netloom.llm.queries import tokenizer_file
 from netloom.llm.repeats import LARGEST_ID
-from netloom.llm.simhash_dedup import simhash_dedup
+from netloom.llm.simhash_dedup import simhash_dedup, text_version
 
 
 def _place(doc_id: Column) -> Column:
@@ -33,10 +33,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest id stays."""
-    groups = simhash_dedup(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_place(F.col("doc_id")).alias("place"))
-    return docs.withColumn("place", _place(docs.doc_id)).join(kept.distinct(), "place", "left_semi").select(*docs.columns)
+    """Of each group of linked fingerprints one row stays, that with the smallest id: a null
+    id counts as the largest, and of rows with one id the smallest text hash decides."""
+    groups = simhash_dedup(docs, carry=True)
+    least = F.min(F.struct(_place(F.col("doc_id")).alias("place"), "version")).alias("least")
+    kept = groups.groupBy("root").agg(least).select("least.*")
+    keys = {"place": _place(docs.doc_id), "version": text_version(docs.text)}
+    found = docs.withColumns(keys).join(kept, ["place", "version"], "left_semi")
+    return found.dropDuplicates(["place", "version"]).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

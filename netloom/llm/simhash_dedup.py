@@ -9,7 +9,7 @@ from math import ceil, comb, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, short_batches
@@ -42,16 +42,21 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_version(text: Column) -> Column:
+    """The text's hash; with the id it names a row even where the id is null or repeats."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long)."""
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) and ``version``, the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], ["doc_id", "fp", "version"])
 
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return short_batches(source).mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), text_version(docs[text_col]).alias("version"))
+    return short_batches(source).mapInArrow(run, "doc_id long, fp long, version long")
 
 
 def _flips(bits: int, most: int) -> np.ndarray:
@@ -141,11 +146,12 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def simhash_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, carry: bool = False
 ) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hexadecimal digits) and
     ``component_id``, the smallest id reachable over links of at most ``radius``
-    differing bits.
+    differing bits; with ``carry`` also ``version``, the text's hash, and ``root``, one
+    number per component.
 
     Null and empty texts have fingerprint zero and are linked like any other.
     Copies share a fingerprint and count once in the search. A null id never
@@ -157,7 +163,7 @@ def simhash_dedup(
     roots = connected_components(fingerprint_links(distinct, radius))
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(component, "root").select("fp", "component_id")
+    classes = member.join(component, "root").select("fp", "component_id", "root")
     return fps.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *(["version", "root"] if carry else [])
     )

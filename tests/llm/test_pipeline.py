@@ -86,3 +86,13 @@ def test_run(spark, stages):
     got = corpus_pipeline.run(spark, path).collect()
     assert sorted((p["doc_id"], p["start"], p["ids_crc32"]) for p in got if p["start"] == 0)[:5]
     assert {p["doc_id"] for p in got} == {p["doc_id"] for p in seen[-1][2]}
+
+
+def test_near_stage_keeps_one_row_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(4))
+    # Case and white space change the text, not the fingerprint.
+    rows = [(1, a), (None, a.upper()), (None, a + " "), (None, b), (None, b.upper()), (None, b + "  "), (7, c), (7, c.upper()), (7, d), (7, d), (8, d + " ")]
+    docs = spark.createDataFrame([(i, t, "aa", "src", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    after = corpus_pipeline.near_stage(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"].strip().lower()) for r in after), key=repr) == sorted([(1, a), (None, b), (7, c), (7, d)], key=repr)
