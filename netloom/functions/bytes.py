@@ -30,12 +30,6 @@ def unsigned(data: Column, at: Offset, n: int) -> Column:
     return F.when(_col(at) + n <= F.octet_length(data), value)
 
 
-def unsigned_le(data: Column, at: Offset, n: int) -> Column:
-    """Little-endian unsigned number of ``n`` bytes."""
-    pairs = F.concat(*[F.hex(cut(data, _col(at) + i, 1)) for i in reversed(range(n))])
-    return F.when(_col(at) + n <= F.octet_length(data), F.conv(pairs, 16, 10).cast("long"))
-
-
 def hex_lower(data: Column) -> Column:
     return F.lower(F.hex(data))
 
@@ -50,49 +44,27 @@ def mac(data: Column, at: Offset) -> Column:
     return F.rtrim(F.regexp_replace(hex_lower(cut(data, at, 6)), "(..)", "$1:"), F.lit(":"))
 
 
-def ipv4(data: Column, at: Offset) -> Column:
-    def dotted(h: Column) -> Column:
-        return F.concat_ws(".", *[F.conv(F.substring(h, 2 * i + 1, 2), 16, 10) for i in range(4)])
-
-    return let(F.hex(cut(data, at, 4)), dotted)
-
-
-def ipv6(data: Column, at: Offset) -> Column:
-    """Groups without leading zeros; the longest run of two or more zero groups, the
-    first of equals, becomes ``::``."""
-    groups = F.rtrim(F.regexp_replace(hex_lower(cut(data, at, 16)), "(....)", "$1:"), F.lit(":"))
-
-    def shortened(full: Column) -> Column:
-        out = full
-        for n in range(2, 9):
-            zeros = f"(^|:){':'.join(['0'] * n)}(:|$)"
-            found = F.concat(F.split(full, zeros, 2)[0], F.lit("::"), F.split(full, zeros, 2)[1])
-            out = F.when(F.regexp_like(full, F.lit(zeros)), found).otherwise(out)
-        return out
-
-    return let(F.regexp_replace(groups, "\\b0{1,3}(?=[0-9a-f])", ""), shortened)
-
-
 def latin1(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
-def ascii_text(data: Column) -> Column:
-    """Bytes beyond ASCII become U+FFFD."""
-    return F.regexp_replace(latin1(data), "[^\\x00-\\x7f]", "�")
-
-
 def utf8_text(data: Column) -> Column:
     """Invalid sequences become U+FFFD."""
     return F.call_function("make_valid_utf8", data.cast("string"))
 
 
+def _literal(names: Mapping[int, str]) -> str:
+    return "map(" + ", ".join(f"{value}L, '{name}'" for value, name in names.items()) + ")"
+
+
 def named(code: Column, names: Mapping[int, str], otherwise: Column) -> Column:
-    """A code's name from a small table."""
-    out = None
-    for value, name in names.items():
-        out = F.when(code == value, F.lit(name)) if out is None else out.when(code == value, F.lit(name))
-    return out.otherwise(otherwise)
+    """A code's name from a small table, which is one literal of the plan."""
+    return F.coalesce(F.try_element_at(F.expr(_literal(names)), code.cast("long")), otherwise)
+
+
+def named_sql(code: str, names: Mapping[int, str], otherwise: str) -> str:
+    """The same of SQL expressions."""
+    return f"coalesce(try_element_at({_literal(names)}, CAST({code} AS BIGINT)), {otherwise})"
 
 
 def printable(data: Column) -> Column:

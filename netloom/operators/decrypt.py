@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 from .. import constants as C
 from ..functions.bytes import cut, hex_lower, hex_number, let, mostly_text, unsigned, utf8_text
 from . import keys
-from .dissect import varint
 from .tcp import tcp_packets
 
 SESSION = ["capture_id", "session"]
@@ -195,13 +194,11 @@ def quic_initials(frames: DataFrame) -> DataFrame:
     src = F.concat_ws(":", "src_ip", F.col("src_port").cast("string"))
     dst = F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))
     rows = frames.where((F.col("l7") == C.QUIC) & (F.col("quic_type") == 0) & (F.col("quic_version") == 1))
-    rows = rows.select("capture_id", "frame_index", src.alias("src"), F.concat_ws("|", F.least(src, dst), F.greatest(src, dst)).alias("session"), "payload", "quic_dcid", "quic_scid")
-    rows = rows.withColumn("at", (7 + (F.length("quic_dcid") + F.length("quic_scid")) / 2).cast("int"))
-    token, size = varint(F.col("payload"), F.col("at"))
-    rows = rows.withColumn("at", (F.col("at") + token + size).cast("int"))
-    length, size = varint(F.col("payload"), F.col("at"))
-    rows = rows.withColumns({"length": length.cast("int"), "pn_at": (F.col("at") + size).cast("int")})
-    return rows.where("pn_at + length <= octet_length(payload) and length >= 20").withColumn("packet", cut(F.col("payload"), 0, F.col("pn_at") + F.col("length")))
+    rows = rows.select(
+        "capture_id", "frame_index", src.alias("src"), F.concat_ws("|", F.least(src, dst), F.greatest(src, dst)).alias("session"), "payload",
+        "quic_dcid", F.col("quic_length").alias("length"), F.col("quic_body_at").alias("pn_at"),
+    )
+    return rows.where("pn_at + length <= octet_length(payload) and length >= 20").withColumn("packet", cut(F.col("payload"), 0, (F.col("pn_at") + F.col("length")).cast("int")))
 
 
 _CRYPTO = T.ArrayType(

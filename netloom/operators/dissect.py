@@ -1,549 +1,125 @@
-"""Packet bytes to typed columns: links, networks, transports and applications."""
+"""Packet bytes to typed columns: links, networks, transports and applications.
 
-from __future__ import annotations
+The numbers come from two Arrow stages (``headers``, ``names``); texts are made of them by
+column expressions, so that a query computes only those it shows."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.bytes import (
-    ascii_text,
-    cut,
-    hex_lower,
-    hex_number,
-    ipv4,
-    ipv6,
-    latin1,
-    let,
-    mac,
-    named,
-    unsigned,
-    utf8_text,
-)
-
-
-
-
-def computed(frames: DataFrame, *columns: Column) -> DataFrame:
-    """The rows with further columns; a later stage refers to them by name, so that each is
-    evaluated once."""
-    return frames.select("*", *columns)
-
-
-def fenced(frames: DataFrame) -> DataFrame:
-    """The same rows, counted as the metric of an observation. The optimiser moves no filter
-    below that: it would replace every column in it by its whole definition, down through
-    all stages, and evaluate that a second time. Unused columns are still pruned.
-    Filters on the raw packets belong before ``frames``."""
-    return frames.observe(f"packets-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("packets"))
-
-
-def _type_name(code: Column, names: dict[int, str]) -> Column:
-    return named(code, names, F.concat(F.lit("Type "), code.cast("string")))
-
-
-def split_trailer(raw: DataFrame) -> DataFrame:
-    """The capturing app's 32-byte trailer, recognised by its magic alone, and ``body``,
-    the packet without it."""
-    size = F.octet_length("data")
-    start = size - C.TRAILER_BYTES
-    has = (size >= C.TRAILER_BYTES) & (hex_lower(cut(F.col("data"), start, 4)) == C.TRAILER_MAGIC)
-    name = F.regexp_extract(hex_lower(cut(F.col("data"), start + 8, 20)), "^((?:(?!00)..)*)", 1)
-    uid = unsigned(F.col("data"), start + 4, 4)
-    found = computed(raw,
-        F.coalesce(has, F.lit(False)).alias("has_trailer"),
-        F.when(has, F.when(uid >= 2**31, uid - 2**32).otherwise(uid)).alias("uid"),
-        F.when(has, F.rtrim(utf8_text(F.unhex(name)), F.lit("�"))).alias("app_name"),
-        F.when(has, unsigned(F.col("data"), start + 28, 4)).alias("fcs"),
-        F.when(has, cut(F.col("data"), 0, start)).otherwise(F.col("data")).alias("body"),
-    )
-    return computed(found, F.octet_length("body").alias("size"))
-
-
-def link_layer(frames: DataFrame) -> DataFrame:
-    """Ethernet II, Linux cooked v1 and v2, raw IP: ``l2``, where the network layer
-    begins (``l3_at``) and which it is (``l3``)."""
-    body, link, size = F.col("body"), F.col("link_type"), F.col("size")
-    header = F.when(link == 1, 14).when(link == 113, 16).when(link == 276, 20).when(link == 101, 0)
-    type_at = F.when(link == 1, 12).when(link == 113, 14).when(link == 276, 0)
-    l2 = F.when(link == 1, C.ETHERNET).when(link == 113, C.SLL).when(link == 276, C.SLL2)
-    cutoff = F.coalesce(l2.isNotNull() & (size < header), F.lit(False))
-    packet = F.when(link == 113, unsigned(body, 0, 2)).when(link == 276, unsigned(body, 10, 1))
-    frames = computed(frames,
-        l2.alias("l2"),
-        cutoff.alias("l2_truncated"),
-        F.when(~cutoff, unsigned(body, type_at, 2)).alias("ethertype"),
-        header.alias("l3_at"),
-        F.when(~cutoff, packet).alias("packet_type"),
-    )
-    ethertype, whole, header = F.col("ethertype"), ~F.col("l2_truncated"), F.col("l3_at")
-    nibble = F.shiftright(unsigned(body, 0, 1), 4)
-    l3 = (
-        F.when((link == 101) & (nibble == 4), C.IPV4)
-        .when((link == 101) & (nibble == 6), C.IPV6)
-        .when((ethertype == 0x0800) & (size > header), C.IPV4)
-        .when((ethertype == 0x86DD) & (size > header), C.IPV6)
-    )
-    packet = F.col("packet_type")
-    packet_name = named(packet, C.SLL_PACKETS, F.concat(F.lit("Unknown ("), packet.cast("string"), F.lit(")")))
-    summary = F.when((link == 1) & whole, F.concat(mac(body, 6), F.lit(" → "), mac(body, 0))).when(link == 113, packet_name)
-    return computed(frames, l3.alias("l3"), packet_name.alias("sll_packet"), summary.alias("l2_info")).drop("packet_type")
-
-
-def network_layer(frames: DataFrame) -> DataFrame:
-    """IPv4 and IPv6: addresses, the next protocol and where it begins. Fragments are
-    read like whole packets."""
-    body, at, size, l3 = F.col("body"), F.col("l3_at"), F.col("size"), F.col("l3")
-    frames = computed(frames, (F.when(l3 == C.IPV4, unsigned(body, at, 1).bitwiseAND(F.lit(15)) * 4)).alias("ihl"))
-    ihl = F.col("ihl")
-    fits4 = (l3 == C.IPV4) & (at + 20 <= size) & (ihl >= 20) & (at + ihl <= size)
-    fits6 = (l3 == C.IPV6) & (at + 40 <= size)
-    frames = computed(frames, (F.when(fits4, 4).when(fits6, 6)).alias("ip_version"))
-    four, six = F.col("ip_version") == 4, F.col("ip_version") == 6
-    staged = computed(frames,
-        F.col("ip_version").isNotNull().alias("l3_ok"),
-        F.when(four, unsigned(body, at + 9, 1)).when(six, unsigned(body, at + 6, 1)).alias("ip_protocol"),
-        F.when(four, ipv4(body, at + 12)).when(six, ipv6(body, at + 8)).alias("src_ip"),
-        F.when(four, ipv4(body, at + 16)).when(six, ipv6(body, at + 24)).alias("dst_ip"),
-        (at + F.when(four, ihl).when(six, F.lit(40))).cast("int").alias("l4_at"),
-    ).drop("ihl")
-    next_ = F.col("ip_protocol")
-    l4 = (
-        F.when(F.col("l4_at") >= size, None)
-        .when(next_ == 1, C.ICMP)
-        .when(next_ == 6, C.TCP)
-        .when(next_ == 17, C.UDP)
-        .when(next_ == 58, C.ICMPV6)
-    )
-    unknown6 = (F.col("l3") == C.IPV6) & F.col("l3_ok") & ~next_.isin(1, 6, 17, 58, 59)
-    return computed(staged,
-        l4.alias("l4"),
-        (F.col("l3").isNotNull() & ~F.col("l3_ok") | F.coalesce(unknown6, F.lit(False))).alias("l3_truncated"),
-        F.when(F.col("l3_ok"), F.concat("src_ip", F.lit(" → "), "dst_ip")).alias("l3_info"),
-    )
+from ..functions.bytes import named, named_sql
+from . import headers as H
+from .names import dns, sni
 
 
-def flag_names(flags: Column) -> Column:
+def flag_names_sql(flags: str) -> str:
     """``[SYN,ACK]``, or ``[none]``."""
-    names = F.concat_ws(",", *[F.when(flags.bitwiseAND(F.lit(1 << i)) != 0, n) for i, n in enumerate(C.TCP_FLAGS)])
-    return F.when(names == "", "[none]").otherwise(F.concat(F.lit("["), names, F.lit("]")))
-
-
-def transport_layer(frames: DataFrame) -> DataFrame:
-    """TCP, UDP, ICMP and ICMPv6. The payload reaches to the end of the captured packet."""
-    body, at, size, l4 = F.col("body"), F.col("l4_at"), F.col("size"), F.col("l4")
-    frames = computed(frames, (F.when(l4 == C.TCP, F.shiftright(unsigned(body, at + 12, 1), 4) * 4)).alias("tcp_header"))
-    offset = F.col("tcp_header")
-    whole = (
-        F.when((l4 == C.TCP) & (at + 20 <= size) & (offset >= 20) & (at + offset <= size), 1)
-        .when((l4 == C.UDP) & (at + 8 <= size), 2)
-        .when(l4.isin(C.ICMP, C.ICMPV6) & (at + 4 <= size), 3)
-    )
-    frames = computed(frames, (whole).alias("kind"))
-    tcp, udp, icmp = (F.col("kind") == i for i in (1, 2, 3))
-    staged = computed(frames,
-        F.col("kind").isNotNull().alias("l4_ok"),
-        F.when(tcp | udp, unsigned(body, at, 2)).cast("int").alias("src_port"),
-        F.when(tcp | udp, unsigned(body, at + 2, 2)).cast("int").alias("dst_port"),
-        F.when(tcp, unsigned(body, at + 4, 4)).alias("tcp_seq"),
-        F.when(tcp, unsigned(body, at + 8, 4)).alias("tcp_ack"),
-        F.when(tcp, unsigned(body, at + 12, 2).bitwiseAND(F.lit(0x1FF))).cast("int").alias("tcp_flags"),
-        F.when(tcp, unsigned(body, at + 14, 2)).cast("int").alias("tcp_window"),
-        F.when(udp, unsigned(body, at + 4, 2)).cast("int").alias("udp_length"),
-        F.when(icmp, unsigned(body, at, 1)).cast("int").alias("icmp_type"),
-        F.when(icmp, unsigned(body, at + 1, 1)).cast("int").alias("icmp_code"),
-        F.when(tcp, at + offset).when(udp, at + 8).cast("int").alias("payload_at"),
-    ).drop("kind", "tcp_header")
-    rest = F.when(F.col("payload_at").isNotNull(), F.greatest(F.col("size") - F.col("payload_at"), F.lit(0)))
-    staged = computed(staged, rest.alias("payload_len"))
-    length, kind = F.col("payload_len"), F.col("icmp_type")
-    info = (
-        F.when(
-            F.col("tcp_flags").isNotNull(),
-            F.concat(
-                "src_port", F.lit(" → "), "dst_port", F.lit("  "), flag_names(F.col("tcp_flags")), F.lit(" Seq="), "tcp_seq",
-                F.when(F.col("tcp_flags").bitwiseAND(F.lit(16)) != 0, F.concat(F.lit(" Ack="), "tcp_ack")).otherwise(""),
-                F.lit(" Win="), "tcp_window", F.lit(" Len="), length,
-            ),
-        )
-        .when(F.col("udp_length").isNotNull(), F.concat("src_port", F.lit(" → "), "dst_port", F.lit(" len="), "udp_length"))
-        .when(kind.isNotNull() & (F.col("l4") == C.ICMP), _type_name(kind, C.ICMP_TYPES))
-        .when(kind.isNotNull(), _type_name(kind, C.ICMPV6_TYPES))
-    )
-    return computed(staged,
-        F.when(length > 0, cut(F.col("body"), F.col("payload_at"), length)).alias("payload"),
-        (F.col("l4").isNotNull() & ~F.col("l4_ok")).alias("l4_truncated"),
-        info.alias("l4_info"),
-    )
-
-
-def looks_like_http(payload: Column) -> Column:
-    return F.regexp_like(latin1(cut(payload, 0, 16)), F.lit(r"^(?:HTTP/|(?:" + "|".join(C.HTTP_METHODS) + ") )"))
-
-
-def looks_like_tls(payload: Column) -> Column:
-    return (F.octet_length(payload) >= 5) & unsigned(payload, 0, 1).between(20, 23) & unsigned(payload, 1, 2).between(0x300, 0x304)
-
-
-def _plausible_quic(version: Column) -> Column:
-    return version.isin(0, 1, C.QUIC_V2) | (F.shiftright(version, 24) == 0xFF)
-
-
-def looks_like_quic(payload: Column) -> Column:
-    size = F.octet_length(payload)
-    ids = let(unsigned(payload, 5, 1), lambda dcid: dcid + 7 + unsigned(payload, dcid + 6, 1))
-    plausible = let(unsigned(payload, 1, 4), _plausible_quic)
-    return F.coalesce((size >= 7) & (unsigned(payload, 0, 1) >= 0xC0) & plausible & (ids <= size), F.lit(False))
-
-
-def route(frames: DataFrame) -> DataFrame:
-    """``l7``: by well-known port, in which case nothing else is tried; else by probing the
-    payload. TCP never carries DNS here."""
-    payload, udp_only = F.col("payload"), F.col("l4") == C.UDP
-    probes = {
-        "tls_like": F.when(F.col("l4") == C.TCP, looks_like_tls(payload)),
-        "http_like": F.when(F.col("l4") == C.TCP, looks_like_http(payload)),
-        "quic_like": F.when(udp_only, looks_like_quic(payload)),
-    }
-    frames = computed(frames, *[v.alias(k) for k, v in probes.items()])
-
-    def port(ports: tuple[int, ...]) -> Column:
-        return F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports)
-
-    tls, http, quic = (F.col(x) for x in probes)
-    tcp = (
-        F.when(port(C.HTTP_PORTS), F.when(http, C.HTTP))
-        .when(port(C.TLS_PORTS), F.when(tls, C.TLS))
-        .when(tls, C.TLS)
-        .when(http, C.HTTP)
-    )
-    udp = F.when(port(C.DNS_PORTS), C.DNS).when(quic, C.QUIC)
-    found = F.when(payload.isNull(), None).when(F.col("l4") == C.TCP, tcp).when(udp_only, udp)
-    return computed(frames, found.alias("l7")).drop(*probes)
-
-
-def _http(payload: Column) -> dict[str, Column]:
-    def head(text: Column) -> Column:
-        crlf, lf = F.instr(text, "\r\n\r\n"), F.instr(text, "\n\n")
-        end = F.when(crlf > 0, crlf + 3).when(lf > 0, lf + 1).otherwise(F.length(text))
-        lines = F.filter(F.split(F.left(text, end), "\r\n|\n"), lambda x: x != "")
-        return F.struct(lines.alias("lines"), ((crlf == 0) & (lf == 0)).alias("truncated"), end.alias("end"))
-
-    return {"http": let(latin1(cut(payload, 0, 4096)), head)}
-
-
-def _tls(payload: Column) -> dict[str, Column]:
-    handshake = (unsigned(payload, 0, 1) == 22) & (F.octet_length(payload) >= 9)
-    return {
-        "tls_type": unsigned(payload, 0, 1).cast("int"),
-        "tls_version": unsigned(payload, 1, 2).cast("int"),
-        "tls_length": unsigned(payload, 3, 2).cast("int"),
-        "tls_handshake": F.when(handshake, unsigned(payload, 5, 1)).cast("int"),
-        "tls_handshake_length": F.when(handshake, unsigned(payload, 6, 3)).cast("int"),
-    }
-
-
-def client_hello_name(payload: Column, body_at: int, body_length: Column) -> Column:
-    """The first host name of a ClientHello's server-name extension: four lengths lead
-    to the extensions, which are then walked in a fold."""
-    end = F.least(body_length + body_at, F.octet_length(payload))
-    bounds = let(
-        body_at + 35 + unsigned(payload, body_at + 34, 1),
-        lambda ids: let(
-            ids + 2 + unsigned(payload, ids, 2),
-            lambda suites: let(
-                suites + 1 + unsigned(payload, suites, 1),
-                lambda methods: F.when(
-                    (ids + 2 <= end) & (suites + 1 <= end) & (methods + 2 <= end),
-                    F.struct(
-                        (methods + 2).cast("int").alias("first"),
-                        F.least(methods + 2 + unsigned(payload, methods, 2), end).cast("int").alias("last"),
-                    ),
-                ),
-            ),
-        ),
-    )
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        kind, size = unsigned(payload, at, 2), unsigned(payload, at + 2, 2).cast("int")
-        done = acc["done"] | (at + 4 > acc["last"])
-        over = at + 4 + size > acc["last"]
-        list_size, name_size = unsigned(payload, at + 4, 2), unsigned(payload, at + 7, 2)
-        server = (kind == 0) & (size >= 5)
-        bad = server & ((list_size < 3) | (list_size + 2 > size))
-        good = server & ~bad & (unsigned(payload, at + 6, 1) == 0) & (name_size + 5 <= size)
-        return F.when(done, acc).otherwise(
-            F.struct(
-                (at + 4 + F.coalesce(size, F.lit(0))).cast("int").alias("at"),
-                acc["last"].alias("last"),
-                F.coalesce(over | bad | good, F.lit(True)).alias("done"),
-                F.when(~over & good, ascii_text(cut(payload, at + 9, name_size))).alias("name"),
-            )
-        )
-
-    def walk(b: Column) -> Column:
-        start = F.struct(
-            b["first"].alias("at"), b["last"].alias("last"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("name")
-        )
-        rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), ((b["last"] - b["first"]) / 4).cast("int")))
-        return F.when(b.isNotNull(), F.aggregate(rounds, start, step, lambda acc: acc["name"]))
-
-    return let(bounds, walk)
-
-
-def varint(payload: Column, at: Column) -> tuple[Column, Column]:
-    """A QUIC variable-length integer and its size; both null beyond the end."""
-    first = unsigned(payload, at, 1)
-    kind = F.shiftright(first, 6)
-    value = (
-        F.when(kind == 0, first.bitwiseAND(F.lit(0x3F)))
-        .when(kind == 1, unsigned(payload, at, 2).bitwiseAND(F.lit(0x3FFF)))
-        .when(kind == 2, unsigned(payload, at, 4).bitwiseAND(F.lit(0x3FFFFFFF)))
-        .otherwise(
-            unsigned(payload, at, 4).bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(1 << 32) + unsigned(payload, at + 4, 4)
-        )
-    )
-    size = F.when(value.isNotNull(), F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), (kind + 1).cast("int")))
-    return value, size
-
-
-def dns_name(message: Column, at: Column) -> Column:
-    """The name at an offset of a DNS message and the offset behind it, as a struct; null if
-    it overruns the message or follows more than sixteen compression pointers. One
-    label or pointer is read per step of a fold."""
-    step_most = F.least(F.octet_length(message) * 9, F.lit(8192))
-
-    def step(acc: Column, _: Column) -> Column:
-        def read(n: Column) -> Column:
-            pos = acc["at"]
-            pointer, label = n >= 0xC0, (n > 0) & (n < 0x40)
-            target = unsigned(message, pos, 2).bitwiseAND(F.lit(0x3FFF)).cast("int")
-            over = n.isNull() | ((n >= 0x40) & (n < 0xC0)) | (label & (pos + 1 + n > F.octet_length(message)))
-            lost = over | F.coalesce(pointer & (target.isNull() | (acc["jumps"] >= 16)), F.lit(False))
-            text = F.when(label & ~over, F.array(ascii_text(cut(message, pos + 1, n)))).otherwise(F.array().cast("array<string>"))
-            return F.struct(
-                F.when(pointer, target).otherwise((pos + 1 + n).cast("int")).alias("at"),
-                F.coalesce(acc["next"], F.when(pointer, pos + 2).when(n == 0, pos + 1)).cast("int").alias("next"),
-                (acc["jumps"] + F.coalesce(pointer, F.lit(False)).cast("int")).alias("jumps"),
-                (F.coalesce(n == 0, F.lit(False)) | lost).alias("done"),
-                lost.alias("lost"),
-                F.concat(acc["labels"], text).alias("labels"),
-            )
-
-        return F.when(acc["done"], acc).otherwise(let(unsigned(message, acc["at"], 1), read))
-
-    start = F.struct(
-        at.cast("int").alias("at"),
-        F.lit(None).cast("int").alias("next"),
-        F.lit(0).alias("jumps"),
-        F.lit(False).alias("done"),
-        F.lit(False).alias("lost"),
-        F.array().cast("array<string>").alias("labels"),
-    )
-    found = F.aggregate(F.sequence(F.lit(0), step_most), start, step)
-    return let(
-        found,
-        lambda x: F.when(
-            x["done"] & ~x["lost"], F.struct(F.array_join(x["labels"], ".").alias("name"), x["next"].alias("next"))
-        ),
-    )
-
-
-def _dns_question(message: Column, at: Column) -> Column:
-    """The question at an offset: name, type, class and where it ends; null if cut off."""
-
-    def rest(name: Column) -> Column:
-        after = name["next"]
-        return F.when(
-            after + 4 <= F.octet_length(message),
-            F.struct(
-                name["name"].alias("name"),
-                unsigned(message, after, 2).cast("int").alias("type"),
-                unsigned(message, after + 2, 2).cast("int").alias("class"),
-                (after + 4).alias("next"),
-            ),
-        )
-
-    return let(dns_name(message, at), rest)
-
-
-def _dns_answer(message: Column, at: Column) -> Column:
-    """The record at an offset, its data as text for addresses and names."""
-
-    def rest(name: Column) -> Column:
-        after = name["next"]
-        size, kind = unsigned(message, after + 8, 2).cast("int"), unsigned(message, after, 2).cast("int")
-        data = (
-            F.when(kind == 1, F.when(size == 4, ipv4(message, after + 10)).otherwise("?"))
-            .when(kind == 28, F.when(size == 16, ipv6(message, after + 10)).otherwise("?"))
-            .when(kind.isin(2, 5, 12), F.coalesce(dns_name(message, after + 10)["name"], F.lit("?")))
-            .otherwise(F.concat(F.lit("("), size.cast("string"), F.lit("B)")))
-        )
-        return F.when(
-            after + 10 + size <= F.octet_length(message),
-            F.struct(
-                name["name"].alias("name"),
-                kind.alias("type"),
-                unsigned(message, after + 2, 2).cast("int").alias("class"),
-                unsigned(message, after + 4, 4).alias("ttl"),
-                size.alias("length"),
-                data.alias("data"),
-                (after + 10 + size).alias("next"),
-            ),
-        )
-
-    return let(dns_name(message, at), rest)
-
-
-def dns_layer(frames: DataFrame) -> DataFrame:
-    """Header, first question and first answer of DNS messages, as ``dns``. What overruns
-    the message leaves it truncated, without fields."""
-    message, is_dns = F.col("payload"), F.col("l7") == C.DNS
-    size = F.octet_length(message)
-    whole = is_dns & (size >= 12)
-    numbers = {
-        n: F.when(whole, unsigned(message, 2 * i, 2)).cast("int").alias(f"dns_{n}")
-        for i, n in enumerate(("id", "flags", "questions", "answers", "authority", "additional"))
-    }
-    rows = computed(frames, *numbers.values())
-    asked = F.when((F.col("dns_questions") > 0) & (size > 12), _dns_question(message, F.lit(12)))
-    rows = computed(rows, asked.alias("dns_query"))
-    # Further questions are only stepped over.
-    others = F.aggregate(
-        F.when(F.col("dns_questions") > 1, F.sequence(F.lit(2), F.col("dns_questions"))).otherwise(F.array().cast("array<int>")),
-        F.col("dns_query.next"),
-        lambda at, _: F.when(at.isNotNull(), _dns_question(message, at)["next"]),
-    )
-    at = F.when((F.col("dns_questions") > 0) & (size > 12), others).otherwise(F.when(whole, 12)).cast("int")
-    rows = computed(rows, at.alias("dns_at"))
-    reply = F.when((F.col("dns_answers") > 0) & (F.col("dns_at") < size), _dns_answer(message, F.col("dns_at")))
-    rows = computed(rows, reply.alias("dns_answer"))
-    unread = (F.col("dns_answers") > 0) & (F.col("dns_at") < size) & F.col("dns_answer").isNull()
-    cutoff = F.when(is_dns, F.coalesce(~whole | F.col("dns_at").isNull() | unread, F.lit(True)))
-    names = [n for n in numbers]
-    fields = [F.col(f"dns_{n}").alias(n) for n in (*names, "query", "answer")]
-    rows = computed(rows, cutoff.alias("dns_cut"))
-    dns = F.when(is_dns, F.struct(F.col("dns_cut").alias("truncated"), *[F.when(~F.col("dns_cut"), f).alias(n) for f, n in zip(fields, (*names, "query", "answer"), strict=True)]))
-    return computed(rows, dns.alias("dns")).drop("dns_at", "dns_cut", *[f"dns_{n}" for n in (*names, "query", "answer")])
+    each = ", ".join(f"IF({flags} & {1 << i} <> 0, '{name}', NULL)" for i, name in enumerate(C.TCP_FLAGS))
+    return f"concat('[', IF({flags} & {(1 << len(C.TCP_FLAGS)) - 1} = 0, 'none', concat_ws(',', {each})), ']')"
 
 
 def dns_type(code: Column) -> Column:
     return named(code, C.DNS_TYPES, F.concat(F.lit("TYPE"), code.cast("string")))
 
 
-def application_layer(frames: DataFrame) -> DataFrame:
-    """HTTP heads, TLS records, QUIC long headers and DNS messages."""
-    payload, l7 = F.col("payload"), F.col("l7")
-    is_http, is_tls, is_quic, is_dns = (l7 == x for x in (C.HTTP, C.TLS, C.QUIC, C.DNS))
-    one = computed(frames, *[F.when(is_http, v).alias(k) for k, v in _http(payload).items()])
-    one = computed(one, *[F.when(is_tls, v).alias(k) for k, v in _tls(payload).items()])
-    lines = F.col("http")["lines"]
-    first = F.try_element_at(lines, F.lit(1))
-    response = F.startswith(first, F.lit("HTTP/"))
-    request = F.when(~response, F.split(first, " ", 3))
-    host = F.try_element_at(
-        F.filter(F.slice(lines, 2, F.lit(4096)), lambda x: F.regexp_like(x, F.lit("^(?i:host):|^(?i:host)$"))), F.lit(1)
-    )
-    hello = (F.col("tls_handshake") == 1, F.col("tls_handshake") == 2)
-    random = F.when(F.octet_length("payload") >= 43, hex_lower(cut(payload, 11, 32)))
-    sid = unsigned(payload, 43, 1)
-    suite_at = 44 + sid
-    suite_end = F.least(9 + F.col("tls_handshake_length"), F.octet_length("payload"))
-    suite = F.when(hello[1] & (suite_at + 2 <= suite_end), unsigned(payload, suite_at, 2))
-    dcid = unsigned(payload, 5, 1).cast("int")
-    scid_at = (dcid + 6).cast("int")
-    two = computed(one,
-        lines.alias("http_lines"),
-        F.col("http")["truncated"].alias("http_truncated"),
-        first.alias("http_first"),
-        F.try_element_at(request, F.lit(1)).alias("http_method"),
-        F.try_element_at(request, F.lit(2)).alias("http_path"),
-        F.when(is_http, F.trim(F.regexp_replace(host, "^[^:]*:?", ""))).alias("http_host"),
-        F.when(hello[0] | hello[1], random).alias("tls_random"),
-        F.when(hello[0], client_hello_name(payload, 9, F.col("tls_handshake_length"))).alias("sni"),
-        suite.cast("int").alias("tls_cipher"),
-        F.when(is_quic, F.shiftright(unsigned(payload, 0, 1), 4).bitwiseAND(F.lit(3))).cast("int").alias("quic_type"),
-        F.when(is_quic, unsigned(payload, 1, 4)).alias("quic_version"),
-        F.when(is_quic, hex_lower(cut(payload, 6, dcid))).alias("quic_dcid"),
-        F.when(is_quic, hex_lower(cut(payload, scid_at + 1, unsigned(payload, scid_at, 1).cast("int")))).alias("quic_scid"),
-        F.when(is_quic, (scid_at + 1 + unsigned(payload, scid_at, 1)).cast("int")).alias("quic_at"),
-    )
-    token, token_size = varint(payload, F.col("quic_at"))
-    two = computed(two, token.alias("token"), (F.col("quic_at") + token_size + token).cast("int").alias("length_at"))
-    length_at = F.col("length_at")
-    two = computed(two, varint(payload, length_at)[0].alias("length"))
-    token, length, first = F.col("token"), F.col("length"), F.col("http_first")
-    response = F.startswith(first, F.lit("HTTP/"))
-    initial = is_quic & (F.col("quic_type") == 0)
-    quic_kind = named(F.col("quic_type"), C.QUIC_PACKETS, F.lit("?"))
-    version = F.col("quic_version")
-    version_name = named(version, {0: "Version Negotiation", 1: "v1", C.QUIC_V2: "v2"}, hex_number(version, 8))
-    record = named(F.col("tls_type"), C.TLS_RECORDS, F.lit("?"))
-    shake = named(F.col("tls_handshake"), C.TLS_HANDSHAKES, F.concat(F.lit("Type"), F.col("tls_handshake").cast("string")))
-    tls_info = (
-        F.when(hello[0] & F.col("sni").isNotNull(), F.concat(F.lit("TLS Client Hello (SNI="), "sni", F.lit(")")))
-        .when(hello[0], "TLS Client Hello")
-        .when(hello[1], "TLS Server Hello")
-        .when(F.col("tls_handshake").isNotNull(), F.concat(F.lit("TLS Handshake: "), shake))
-        .otherwise(F.concat(F.lit("TLS "), record))
-    )
-    cut_note = F.when(F.col("http_truncated"), "  (headers truncated)").otherwise("")
-    http_info = F.when(
-        response, F.concat(F.lit("HTTP Response: "), F.left(F.trim(F.substr(first, F.lit(6))), F.lit(40)), cut_note)
-    ).otherwise(F.concat(F.lit("HTTP Request: "), F.left(F.coalesce(first, F.lit("")), F.lit(60)), cut_note))
-    two = dns_layer(two)
-    dns = F.col("dns")
-    is_answer = F.shiftright(dns["flags"], 15) == 1
-    rcode = dns["flags"].bitwiseAND(F.lit(15))
-    dns_info = F.when(~dns["truncated"],
-        F.when(is_answer & dns["answer"].isNotNull(), F.concat(F.lit("A: "), dns["answer"]["name"], F.lit(" → "), dns["answer"]["data"]))
-        .when(is_answer, F.concat(F.lit("Response (rcode="), named(rcode, C.DNS_RCODES, F.concat(F.lit("R"), rcode.cast("string"))), F.lit(")")))
-        .when(dns["query"].isNotNull(), F.concat(F.lit("Q: "), dns["query"]["name"], F.lit(" "), dns_type(dns["query"]["type"])))
-        .otherwise("DNS"),
-    )
-    names = F.filter(F.array(dns["query"]["name"], dns["answer"]["name"]), lambda x: x.isNotNull())
-    three = computed(two,
-        F.when(is_dns, names).otherwise(F.array().cast("array<string>")).alias("dns_names"),
-        F.when(initial, token).alias("quic_token_length"),
-        F.when(initial, length).alias("quic_length"),
-        F.when(is_http, http_info)
-        .when(is_tls, tls_info)
-        .when(is_dns, dns_info)
-        .when(
-            initial & length.isNotNull(),
-            F.concat(F.lit("QUIC Initial v="), version_name, F.lit(" DCID="), F.left("quic_dcid", F.lit(16)), F.lit("…")),
-        )
-        .when(is_quic, F.concat(F.lit("QUIC "), quic_kind))
-        .alias("l7_info"),
-        F.coalesce(
-            F.when(is_http, F.col("http_truncated"))
-            .when(is_tls, F.col("tls_length") + 5 > F.octet_length("payload"))
-            .when(is_dns, dns["truncated"]),
-            F.lit(False),
-        ).alias("l7_truncated"),
-    )
-    return three.drop("http", "quic_at", "token", "length_at", "length")
+def _lower_layers(raw: DataFrame) -> DataFrame:
+    """All numbers, the packet without its trailer (``body``), and the payload."""
+    read = raw.withColumn("_h", H.headers(F.col("data"), F.col("link_type"))).select(*raw.columns, "_h.*")
+    packet = named_sql("packet_type", C.SLL_PACKETS, "concat('Unknown (', packet_type, ')')")
+    return read.selectExpr(
+        "*",
+        "IF(has_trailer, substring(data, 1, size), data) AS body",
+        "IF(payload_len > 0, substring(data, payload_at + 1, payload_len), NULL) AS payload",
+        f"{packet} AS sll_packet",
+    ).drop("packet_type")
+
+
+def _http(rows: DataFrame, head_limit: int | None) -> DataFrame:
+    """The head of an HTTP message: its lines, and what a request asks for."""
+    seen = "payload" if head_limit is None else f"substring(payload, 1, {head_limit})"
+    rows = rows.selectExpr("*", f"IF(l7 = '{C.HTTP}', decode({seen}, 'ISO-8859-1'), NULL) AS _text")
+    rows = rows.selectExpr("*", r"instr(_text, '\r\n\r\n') AS _crlf", r"instr(_text, '\n\n') AS _lf")
+    rows = rows.selectExpr(
+        "*",
+        r"array_remove(split(left(_text, CASE WHEN _crlf > 0 THEN _crlf + 3 WHEN _lf > 0 THEN _lf + 1 ELSE length(_text) END), '\r\n|\n'), '') AS http_lines",
+        "_crlf = 0 AND _lf = 0 AS http_truncated",
+    ).drop("_text", "_crlf", "_lf")
+    rows = rows.selectExpr("*", "try_element_at(http_lines, 1) AS http_first")
+    request = "split(IF(startswith(http_first, 'HTTP/'), NULL, http_first), ' ', 3)"
+    host = "try_element_at(filter(slice(http_lines, 2, greatest(size(http_lines), 1)), x -> regexp_like(x, '^(?i:host)(?::|$)')), 1)"
+    return rows.selectExpr(
+        "*",
+        f"try_element_at({request}, 1) AS http_method",
+        f"try_element_at({request}, 2) AS http_path",
+        f"trim(regexp_replace({host}, '^[^:]*:?', '')) AS http_host",
+    )
+
+
+def _records(rows: DataFrame, most_jumps: int | None) -> DataFrame:
+    """What TLS, QUIC and DNS add to their numbers."""
+    names = {"sni": sni(F.expr("IF(tls_handshake = 1, payload, NULL)")), "dns": dns(F.expr(f"IF(l7 = '{C.DNS}', payload, NULL)"), most_jumps)}
+    return rows.withColumns(names).selectExpr(
+        "*",
+        "IF(tls_handshake IN (1, 2) AND payload_len >= 43, lower(hex(substring(payload, 12, 32))), NULL) AS tls_random",
+        "lower(hex(substring(payload, 7, quic_dcid_length))) AS quic_dcid",
+        "lower(hex(substring(payload, quic_dcid_length + 8, quic_scid_length))) AS quic_scid",
+        f"IF(l7 = '{C.DNS}', array_compact(array(dns.query.name, dns.answer.name)), CAST(array() AS ARRAY<STRING>)) AS dns_names",
+    ).drop("quic_dcid_length", "quic_scid_length")
+
+
+def _infos() -> dict[str, str]:
+    """A line for each layer of a packet."""
+    mac = "rtrim(':', regexp_replace(lower(hex(substring(data, {}, 6))), '(..)', '$1:'))"
+    tls = "'TLS Handshake: ', " + named_sql("tls_handshake", C.TLS_HANDSHAKES, "concat('Type', tls_handshake)")
+    version = named_sql("quic_version", {0: "Version Negotiation", 1: "v1", C.QUIC_V2: "v2"}, "concat('0x', lpad(lower(hex(quic_version)), 8, '0'))")
+    rcode = named_sql("dns.flags & 15", C.DNS_RCODES, "concat('R', dns.flags & 15)")
+    asked = named_sql("dns.query.type", C.DNS_TYPES, "concat('TYPE', dns.query.type)")
+    cut_off = "IF(http_truncated, '  (headers truncated)', '')"
+    return {
+        "l2_info": f"""CASE WHEN l2 = '{C.ETHERNET}' AND NOT l2_truncated THEN concat({mac.format(7)}, ' → ', {mac.format(1)})
+            WHEN l2 = '{C.SLL}' THEN sll_packet END""",
+        "l3_info": "IF(l3_ok, concat(src_ip, ' → ', dst_ip), NULL)",
+        "l4_info": f"""CASE
+            WHEN tcp_flags IS NOT NULL THEN concat(src_port, ' → ', dst_port, '  ', {flag_names_sql('tcp_flags')}, ' Seq=', tcp_seq,
+                IF(tcp_flags & 16 <> 0, concat(' Ack=', tcp_ack), ''), ' Win=', tcp_window, ' Len=', payload_len)
+            WHEN udp_length IS NOT NULL THEN concat(src_port, ' → ', dst_port, ' len=', udp_length)
+            WHEN icmp_type IS NULL THEN NULL
+            WHEN l4 = '{C.ICMP}' THEN {named_sql('icmp_type', C.ICMP_TYPES, "concat('Type ', icmp_type)")}
+            ELSE {named_sql('icmp_type', C.ICMPV6_TYPES, "concat('Type ', icmp_type)")} END""",
+        "l7_info": f"""CASE
+            WHEN l7 = '{C.HTTP}' AND startswith(http_first, 'HTTP/') THEN concat('HTTP Response: ', left(trim(substr(http_first, 6)), 40), {cut_off})
+            WHEN l7 = '{C.HTTP}' THEN concat('HTTP Request: ', left(coalesce(http_first, ''), 60), {cut_off})
+            WHEN l7 = '{C.TLS}' AND tls_handshake = 1 THEN concat('TLS Client Hello', coalesce(concat(' (SNI=', sni, ')'), ''))
+            WHEN l7 = '{C.TLS}' AND tls_handshake = 2 THEN 'TLS Server Hello'
+            WHEN l7 = '{C.TLS}' AND tls_handshake IS NOT NULL THEN concat({tls})
+            WHEN l7 = '{C.TLS}' THEN concat('TLS ', {named_sql('tls_type', C.TLS_RECORDS, "'?'")})
+            WHEN l7 = '{C.DNS}' AND dns.truncated THEN NULL
+            WHEN l7 = '{C.DNS}' AND dns.flags >= 32768 AND dns.answer IS NOT NULL THEN concat('A: ', dns.answer.name, ' → ', dns.answer.data)
+            WHEN l7 = '{C.DNS}' AND dns.flags >= 32768 THEN concat('Response (rcode=', {rcode}, ')')
+            WHEN l7 = '{C.DNS}' AND dns.query IS NOT NULL THEN concat('Q: ', dns.query.name, ' ', {asked})
+            WHEN l7 = '{C.DNS}' THEN 'DNS'
+            WHEN quic_length IS NOT NULL THEN concat('QUIC Initial v=', {version}, ' DCID=', left(quic_dcid, 16), '…')
+            WHEN l7 = '{C.QUIC}' THEN concat('QUIC ', {named_sql('quic_type', C.QUIC_PACKETS, "'?'")}) END""",
+    }
 
 
-def frames(raw: DataFrame) -> DataFrame:
+def frames(raw: DataFrame, head_limit: int | None = None, most_jumps: int | None = None) -> DataFrame:
     """Raw packets (see ``schema.RAW_FRAMES``) with one flat column per decoded value. No
-    shuffle; columns that a query does not use are never computed, because the plan is
-    a chain of projections."""
-    out = application_layer(route(transport_layer(network_layer(link_layer(split_trailer(raw))))))
-    app = F.when(F.col("has_trailer"), C.APP_METADATA)
-    protocols = F.filter(F.array("l2", "l3", "l4", "l7", app), lambda x: x.isNotNull())
-
-    def shown(*names: str) -> Column:
-        return F.coalesce(*[F.when(F.col(n) != "", F.col(n)) for n in names], F.lit(""))
-
-    done = computed(out,
-        F.timestamp_micros(F.expr("ts_ns div 1000")).alias("ts"),
-        protocols.alias("protocols"),
-        F.coalesce("l7", "l4", "l3", "l2", F.lit(C.RAW)).alias("top_protocol"),
-        shown("l7_info", "l4_info", "l3_info", "l2_info").alias("info"),
-        (F.col("l2_truncated") | F.col("l3_truncated") | F.col("l4_truncated") | F.col("l7_truncated")).alias("any_truncated"),
+    shuffle; columns that a query does not use are not computed. A null packet counts as empty.
+
+    ``head_limit`` reads HTTP heads only so many bytes into a packet, and ``most_jumps`` follows
+    only so many compression pointers of a DNS name; neither is bounded by default."""
+    rows = _records(_http(_lower_layers(raw), head_limit), most_jumps)
+    short = f"""CASE l7 WHEN '{C.HTTP}' THEN http_truncated WHEN '{C.TLS}' THEN tls_length + 5 > payload_len WHEN '{C.DNS}' THEN dns.truncated END"""
+    rows = rows.selectExpr("*", *[f"{v} AS {k}" for k, v in _infos().items()], f"coalesce({short}, FALSE) AS l7_truncated")
+    shown = ", ".join(f"nullif({x}_info, '')" for x in ("l7", "l4", "l3", "l2"))
+    return rows.selectExpr(
+        "*",
+        "timestamp_micros(ts_ns div 1000) AS ts",
+        f"array_compact(array(l2, l3, l4, l7, IF(has_trailer, '{C.APP_METADATA}', NULL))) AS protocols",
+        f"coalesce(l7, l4, l3, l2, '{C.RAW}') AS top_protocol",
+        f"coalesce({shown}, '') AS info",
+        "l2_truncated OR l3_truncated OR l4_truncated OR l7_truncated AS any_truncated",
     )
-    return fenced(done)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.bytes import cut, hex_lower, hex_number, mac, named, unsigned
 from ..schema import FIELD, LAYER
-from .dissect import dns_type, flag_names
+from .dissect import dns_type, flag_names_sql
 
 _CHILD = "array<struct<name:string,value:string,start:int,end:int>>"
 
@@ -126,7 +126,7 @@ def _transport() -> Column:
         _field("Sequence number", F.col("tcp_seq"), at + 4, 4),
         _field("Acknowledgement number", F.col("tcp_ack"), at + 8, 4),
         _field("Header length", F.concat((F.col("payload_at") - at).cast("string"), F.lit(" bytes")), at + 12),
-        _field("Flags", flag_names(flags), at + 12, 2, *bits),
+        _field("Flags", F.expr(flag_names_sql("tcp_flags")), at + 12, 2, *bits),
         _field("Window size", F.col("tcp_window"), at + 14, 2),
         _field("Checksum", hex_number(unsigned(body, at + 16, 2), 4), at + 16, 2),
     )

@@ -326,7 +326,7 @@ QUERIES: dict[str, tuple[Query, str]] = {
             max(ts_ns) - min(ts_ns) AS duration_ns FROM k GROUP BY ALL"""),
     ),
     "conversation_frames": (
-        lambda s, d: conv.conversation_frames(events(s, d), conv.conversations(events(s, d)).where("packets >= 2")).select("frame_index", "ip_a", "ip_b"),
+        lambda s, d: (lambda e: conv.conversation_frames(e, conv.conversations(e).where("packets >= 2")))(events(s, d)).select("frame_index", "ip_a", "ip_b"),
         _ev("SELECT frame_index, ip_a, ip_b FROM k QUALIFY count(*) OVER (PARTITION BY l4, ip_a, port_a, ip_b, port_b) >= 2"),
     ),
     "app_traffic": (
@@ -459,10 +459,13 @@ def _sealed(spark: SparkSession, d: str, version13: bool) -> tuple[DataFrame, Da
         ones.select("user_id", (F.col("user_id") * 2 + 1).alias("at"), F.lit(False).alias("up"), answer.alias("payload"))
     )
     rows = hellos.unionByName(data)
-    client, server, port = F.concat(F.lit("10.9.0."), (F.col("user_id") % 256).cast("string")), F.lit("192.0.2.44"), (20000 + F.col("user_id")).cast("int")
-    segment = synth.tcp_segment(F.when(F.col("up"), port).otherwise(443), F.when(F.col("up"), F.lit(443)).otherwise(port), F.lit(1), F.lit(1), F.lit(24), F.col("payload"))
-    packet = synth.ethernet(synth.ip_packet(6, F.when(F.col("up"), client).otherwise(server), F.when(F.col("up"), server).otherwise(client), segment))
-    raw = synth._raw(rows.select(F.lit("tls").alias("capture_id"), F.col("at").alias("frame_index"), (F.col("at") * 1000).alias("ts_ns"), F.lit(1).alias("link_type"), packet.alias("packet"), F.lit(0).alias("extra")))
+    rows = rows.selectExpr("*", f"{synth.address('10.9.0.0')} + user_id % 256 AS client", f"{synth.address('192.0.2.44')} AS server", "20000 + user_id AS port")
+    raw = synth.raw_packets(
+        rows.selectExpr(
+            "'tls' AS capture_id", "at AS frame_index", "at * 1000 AS ts_ns", "6 AS protocol", "IF(up, client, server) AS src", "IF(up, server, client) AS dst",
+            "IF(up, port, 443) AS sport", "IF(up, 443, port) AS dport", "unhex(payload) AS payload",
+        )
+    )
     labels = ("CLIENT_TRAFFIC_SECRET_0", "SERVER_TRAFFIC_SECRET_0") if version13 else ("CLIENT_RANDOM",)
     log = ones.select(F.col("user_id").alias("line_no"), F.explode(F.array(*map(F.lit, labels))).alias("label"), F.unhex(random).alias("client_random"), (secret if version13 else master).alias("secret"))
     return raw, log

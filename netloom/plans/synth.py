@@ -1,160 +1,158 @@
-"""Captures made from tables: rows become real packet bytes by column expressions."""
+"""Captures made from tables: rows become real packet bytes.
+
+Values come from SQL expressions over the table; headers are laid out by one Arrow stage,
+a batch at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import struct
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import RAW_FRAMES
 
 _RAW = [x.split()[0] for x in RAW_FRAMES.split(", ")]
+TCP, UDP, ICMP, ICMPV6 = 6, 17, 1, 58
+#: Addresses as numbers, in SQL.
+NET_10 = "167772160"
 
 
-def number(value: Column | int, n: int) -> Column:
-    """A big-endian number of ``n`` bytes as hexadecimal."""
-    value = F.lit(value) if isinstance(value, int) else value
-    return F.lpad(F.hex(value.cast("long")), 2 * n, "0")
-
-
-def text_hex(value: Column | str) -> Column:
-    return F.hex((F.lit(value) if isinstance(value, str) else value).cast("binary"))
-
-
-def size_of(hexed: Column) -> Column:
-    return (F.length(hexed) / 2).cast("int")
-
-
-def ip_hex(address: Column) -> Column:
-    parts = F.split(address, r"\.")
-    return F.concat(*[number(parts[i].cast("int"), 1) for i in range(4)])
-
-
-def ip_packet(protocol: Column | int, src: Column, dst: Column, inner: Column) -> Column:
-    """An IPv4 packet (hexadecimal) around ``inner``."""
-    head = F.concat(F.lit("4500"), number((size_of(inner) + 20) % 65536, 2), F.lit("0000400040"), number(protocol, 1), F.lit("0000"))
-    return F.concat(head, ip_hex(src), ip_hex(dst), inner)
+def address(text: str) -> int:
+    """A dotted address as a number."""
+    return int.from_bytes(bytes(map(int, text.split("."))), "big")
 
 
-def tcp_segment(src: Column, dst: Column, seq: Column, ack: Column, flags: Column, payload: Column) -> Column:
-    return F.concat(
-        number(src, 2), number(dst, 2), number(seq, 4), number(ack, 4), number(flags.bitwiseOR(F.lit(0x5000)), 2), F.lit("FAF000000000"), payload
-    )
-
-
-def udp_datagram(src: Column, dst: Column, payload: Column) -> Column:
-    return F.concat(number(src, 2), number(dst, 2), number((size_of(payload) + 8) % 65536, 2), F.lit("0000"), payload)
-
-
-def ethernet(inner: Column, ethertype: str = "0800") -> Column:
-    return F.concat(F.lit("AAAAAAAAAAAABBBBBBBBBBBB" + ethertype), inner)
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt out first where it has fewer files than the cluster has cores."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found if len(found.inputFiles()) >= cores else found.repartition(cores)
 
 
-def client_hello(host: Column) -> Column:
-    """A TLS record with a ClientHello that names ``host``."""
-    name = text_hex(host)
-    entry = F.concat(F.lit("00"), number(size_of(name), 2), name)
-    names = F.concat(number(size_of(entry), 2), entry)
-    # A first extension that is not the name makes the reader walk.
-    extensions = F.concat(F.lit("002B0003020304"), F.lit("0000"), number(size_of(names), 2), names)
-    body = F.concat(F.lit("0303" + "11" * 32 + "00" + "0002002F" + "0100"), number(size_of(extensions), 2), extensions)
-    shake = F.concat(F.lit("01"), number(size_of(body), 3), body)
-    return F.concat(F.lit("160301"), number(size_of(shake), 2), shake)
+def _fields(rows: int, size: int, *fields: tuple[int, int, np.ndarray | int]) -> pa.Array:
+    """Records of ``size`` bytes with big-endian numbers (offset, width, value)."""
+    out = np.zeros((rows, size), np.uint8)
+    for at, width, value in fields:
+        for i in range(width):
+            out[:, at + i] = np.asarray(value) >> (8 * (width - 1 - i)) & 255
+    return pa.Array.from_buffers(pa.binary(size), rows, [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
 
 
-def dns_labels(host: Column) -> Column:
-    return F.concat(F.array_join(F.transform(F.split(host, r"\."), lambda x: F.concat(number(F.length(x), 1), text_hex(x))), ""), F.lit("00"))
-
-
-def dns_query(ident: Column, host: Column) -> Column:
-    return F.concat(number(ident % 65536, 2), F.lit("01000001000000000000"), dns_labels(host), F.lit("00010001"))
-
-
-def dns_response(ident: Column, host: Column, address: Column) -> Column:
-    """An answer whose name points back at the question."""
-    return F.concat(
-        number(ident % 65536, 2), F.lit("81800001000100000000"), dns_labels(host), F.lit("00010001"), F.lit("C00C000100010000012C0004"), ip_hex(address)
+def _packets(link: pa.Array, version: pa.Array, protocol: pa.Array, src: pa.Array, dst: pa.Array, sport: pa.Array, dport: pa.Array, seq: pa.Array, ack: pa.Array, flags: pa.Array, payload: pa.Array) -> pa.Array:
+    """Link, network and transport headers around payloads. Addresses are numbers; under
+    version 6 they end ``2001:db8::``. ICMP has no header here: it is all payload."""
+    n = len(payload)
+    link, version, protocol, src, dst, sport, dport, seq, ack, flags = (
+        x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (link, version, protocol, src, dst, sport, dport, seq, ack, flags)
     )
-
-
-def quic_initial(ident: Column) -> Column:
-    return F.concat(F.lit("C00000000108"), number(ident, 8), F.lit("000040100A0B0C0D0E0F10111213141516171819"))
-
-
-def app_trailer(uid: Column, name: Column) -> Column:
-    return F.concat(F.lit("01072021"), number(uid, 4), F.rpad(text_hex(name), 40, "0"), F.lit("DEADBEEF"))
-
-
-def _raw(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"data": F.unhex("packet"), "link_type": F.coalesce(F.col("link_type"), F.lit(1)).cast("int")}).withColumn(
-        "cap_len", F.octet_length("data")
-    ).withColumn("orig_len", (F.col("cap_len") + F.col("extra")).cast("long")).select(*_RAW)
-
-
-def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = pc.binary_length(payload).to_numpy(zero_copy_only=False).astype(np.int64)
+    tcp = _fields(n, 20, (0, 2, sport), (2, 2, dport), (4, 4, seq), (8, 4, ack), (12, 2, 0x5000 | flags), (14, 2, 64240))
+    udp = _fields(n, 8, (0, 2, sport), (2, 2, dport), (4, 2, sizes + 8))
+    none = pa.array([b""] * n, pa.binary())
+    choose = lambda test, a, b: pc.if_else(pa.array(test), a, b)
+    inner = pc.binary_join_element_wise(choose(protocol == TCP, tcp, choose(protocol == UDP, udp, none)), payload, b"")
+    sizes = pc.binary_length(inner).to_numpy(zero_copy_only=False).astype(np.int64)
+    four = _fields(n, 20, (0, 2, 0x4500), (2, 2, sizes + 20), (6, 2, 0x4000), (8, 1, 64), (9, 1, protocol), (12, 4, src), (16, 4, dst))
+    net = (0x2001, 0x0DB8)
+    six = _fields(
+        n, 40, (0, 4, 0x60000000), (4, 2, sizes), (6, 1, protocol), (7, 1, 64), *[(8 + 2 * i, 2, x) for i, x in enumerate(net)], (20, 4, src),
+        *[(24 + 2 * i, 2, x) for i, x in enumerate(net)], (36, 4, dst),
+    )
+    kind = np.where(version == 6, 0x86DD, 0x0800)
+    ethernet = _fields(n, 14, (0, 6, 0xAAAAAAAAAAAA), (6, 6, 0xBBBBBBBBBBBB), (12, 2, kind))
+    cooked1 = _fields(n, 16, (0, 2, 4), (2, 2, 1), (4, 2, 6), (14, 2, kind))
+    cooked2 = _fields(n, 20, (0, 2, kind), (4, 4, 1), (8, 2, 1), (10, 1, 4), (11, 1, 6))
+    outer = choose(link == 1, ethernet, choose(link == 113, cooked1, choose(link == 276, cooked2, none)))
+    return pc.binary_join_element_wise(outer, choose(version == 6, six, four), inner, b"")
+
+
+def raw_packets(rows: DataFrame) -> DataFrame:
+    """Raw packets of rows with ``capture_id, frame_index, ts_ns, protocol, src, dst, payload``
+    and, where they differ from the defaults, ``link_type, version, sport, dport, seq, ack,
+    flags, extra`` (bytes not captured) and ``trailer``."""
+    defaults = {"link_type": "1", "version": "4", "sport": "0", "dport": "0", "seq": "1", "ack": "1", "flags": "24", "extra": "0", "trailer": "X''"}
+    rows = rows.selectExpr("*", *[f"{v} AS {k}" for k, v in defaults.items() if k not in rows.columns])
+    names = ("link_type", "version", "protocol", "src", "dst", "sport", "dport", "seq", "ack", "flags", "payload")
+    packet = F.arrow_udf(_packets, "binary")(*map(F.col, names))
+    rows = rows.withColumn("packet", packet).selectExpr("*", "concat(packet, trailer) AS data")
+    return rows.selectExpr(
+        "capture_id", "CAST(frame_index AS BIGINT) AS frame_index", "CAST(ts_ns AS BIGINT) AS ts_ns", "octet_length(data) AS cap_len",
+        "CAST(octet_length(data) + extra AS BIGINT) AS orig_len", "CAST(link_type AS INT) AS link_type", "data",
+    ).select(*_RAW)
+
+
+def client_hello(host: str) -> bytes:
+    """A TLS record with a ClientHello that names ``host``. A first extension that is not the
+    name makes the reader walk."""
+    name = host.encode()
+    entry = struct.pack(">BH", 0, len(name)) + name
+    server = struct.pack(">HHH", 0, len(entry) + 2, len(entry)) + entry
+    extensions = bytes.fromhex("002B0003020304") + server
+    body = b"\x03\x03" + b"\x11" * 32 + b"\0" + bytes.fromhex("0002002F0100") + struct.pack(">H", len(extensions)) + extensions
+    return b"\x16\x03\x01" + struct.pack(">H", len(body) + 4) + b"\x01" + len(body).to_bytes(3, "big") + body
+
+
+def dns_message(ident: int, host: str, address: int | None) -> bytes:
+    """A query; with an address, its answer, whose name points back at the question."""
+    labels = b"".join(bytes([len(x)]) + x.encode() for x in host.split(".")) + b"\0"
+    head = bytes.fromhex("01000001000000000000" if address is None else "81800001000100000000")
+    answer = b"" if address is None else bytes.fromhex("C00C000100010000012C0004") + address.to_bytes(4, "big")
+    return struct.pack(">H", ident % 65536) + head + labels + b"\0\x01\0\x01" + answer
+
+
+def _event_payload(kind: pa.Array, ident: pa.Array, host: pa.Array, server: pa.Array, back: pa.Array) -> pa.Array:
+    makers = {
+        "click": lambda i, h, s, b: f"GET /item/{i} HTTP/1.1\r\nHost: {h}\r\nAccept: */*\r\n\r\n".encode(),
+        "view": lambda i, h, s, b: client_hello(h),
+        "purchase": lambda i, h, s, b: dns_message(i, h, s if i % 2 else None),
+        "signup": lambda i, h, s, b: bytes.fromhex("C00000000108") + i.to_bytes(8, "big") + bytes.fromhex("000040100A0B0C0D0E0F10111213141516171819"),
+        "error": lambda i, h, s, b: bytes([0 if b else 8]) + bytes.fromhex("00000000010001"),
+    }
+    rows = zip(*(x.to_pylist() for x in (kind, ident, host, server, back)), strict=True)
+    return pa.array([makers[k](*rest) for k, *rest in rows], pa.binary())
+
+
+def event_packets(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
     """One packet per event: click HTTP, view TLS, purchase DNS (every second one an
     answer), signup QUIC, error ICMP. Every third is sent by the server; every fourth
-    has the capturing app's trailer."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    u, i, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
-    host = F.concat(F.lit("site"), (u % 10).cast("string"), F.lit(".example.com"))
-    server = F.concat(F.when(i % 2 == 0, "198.51.100.").otherwise("1.0.0."), (i % 8).cast("string"))
-    client = F.concat(F.lit("10."), ((u / 65536).cast("long") % 256).cast("string"), F.lit("."), ((u / 256).cast("long") % 256).cast("string"), F.lit("."), (u % 256).cast("string"))
-    service = F.when(kind == "click", 80).when(kind == "purchase", 53).otherwise(443)
-    port = (40000 + u % 20000).cast("int")
-    back = i % 3 == 0
-    e = e.withColumns({"host": host, "server": server, "client": client, "service": service, "port": port, "back": back})
-    src, dst = F.when(back, F.col("server")).otherwise(F.col("client")), F.when(back, F.col("client")).otherwise(F.col("server"))
-    sp, dp = F.when(back, F.col("service")).otherwise(F.col("port")), F.when(back, F.col("port")).otherwise(F.col("service"))
-    get = F.concat(F.lit("GET /item/"), i.cast("string"), F.lit(" HTTP/1.1\r\nHost: "), "host", F.lit("\r\nAccept: */*\r\n\r\n"))
-    dns = F.when(i % 2 == 0, dns_query(i, F.col("host"))).otherwise(dns_response(i, F.col("host"), F.col("server")))
-    payload = (
-        F.when(kind == "click", text_hex(get)).when(kind == "view", client_hello(F.col("host"))).when(kind == "purchase", dns).when(kind == "signup", quic_initial(i))
-    )
-    flags = F.when(i % 5 == 0, 2).when(i % 5 == 1, 18).otherwise(24)
-    inner = (
-        F.when(kind.isin("click", "view"), ip_packet(6, src, dst, tcp_segment(sp, dp, i * 100, i, flags, payload)))
-        .when(kind.isin("purchase", "signup"), ip_packet(17, src, dst, udp_datagram(sp, dp, payload)))
-        .otherwise(ip_packet(1, src, dst, F.concat(F.when(back, "00").otherwise("08"), F.lit("00000000010001"))))
-    )
-    trailer = F.when(i % 4 == 0, app_trailer(u, F.concat(F.lit("app"), (u % 5).cast("string")))).otherwise("")
-    return _raw(
-        e.select(
-            F.lit("events").alias("capture_id"),
-            (i + 1).alias("frame_index"),
-            (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
-            F.lit(1).alias("link_type"),
-            F.concat(ethernet(inner), trailer).alias("packet"),
-            (i % 7).alias("extra"),
-        )
-    )
+    has the capturing app's trailer. ``columns`` replace those of ``raw_packets`` by SQL."""
+    e = _table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "ts", "concat('site', user_id % 10, '.example.com') AS host", "event_id % 3 = 0 AS back",
+        f"IF(event_id % 2 = 0, {address('198.51.100.0')}, {address('1.0.0.0')}) + event_id % 8 AS server", f"{NET_10} + user_id % 16777216 AS client",
+        "CASE event_type WHEN 'click' THEN 80 WHEN 'purchase' THEN 53 ELSE 443 END AS service", "40000 + user_id % 20000 AS port",
+    )
+    payload = F.arrow_udf(_event_payload, "binary")(*map(F.col, ("event_type", "event_id", "host", "server", "back")))
+    made = {
+        "capture_id": "'events'", "frame_index": "event_id + 1", "ts_ns": "unix_micros(CAST(ts AS TIMESTAMP)) * 1000",
+        "protocol": "CASE WHEN event_type IN ('click', 'view') THEN 6 WHEN event_type = 'error' THEN 1 ELSE 17 END",
+        "src": "IF(back, server, client)", "dst": "IF(back, client, server)", "sport": "IF(back, service, port)", "dport": "IF(back, port, service)",
+        "seq": "event_id * 100", "ack": "event_id", "flags": "CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 18 ELSE 24 END", "payload": "payload",
+        "extra": "event_id % 7",
+        "trailer": "IF(event_id % 4 = 0, concat(X'01072021', unhex(lpad(hex(user_id), 8, '0')), rpad(CAST(concat('app', user_id % 5) AS BINARY), 20, X'00'), X'DEADBEEF'), X'')",
+    } | columns
+    return raw_packets(e.withColumn("payload", payload).selectExpr(*[f"{v} AS {k}" for k, v in made.items()]))
 
 
 def dialogue_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TCP dialogues of ``conversations``: a session per conversation, a segment per turn,
     numbered by the bytes its sender has sent. Turns divisible by four are sent twice,
     and each repetition carries the next packet number."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("up", F.col("role") == "user")
-    size = F.octet_length("text")
-    own = Window.partitionBy("conv_id", "up").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    sent = F.coalesce(F.sum(size).over(own), F.lit(0))
-    total = F.coalesce(F.sum(size).over(all_), F.lit(0))
-    base, peer = F.when(F.col("up"), 1000).otherwise(5000), F.when(F.col("up"), 5000).otherwise(1000)
-    rows = c.withColumns({"seq": base + sent, "ack": peer + total - sent})
-    rows = rows.withColumn("copy", F.explode(F.when(F.col("turn") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    client, server = F.concat(F.lit("10.1."), ((F.col("conv_id") / 256).cast("long") % 256).cast("string"), F.lit("."), (F.col("conv_id") % 256).cast("string")), F.lit("192.0.2.9")
-    port = (20000 + F.col("conv_id") % 20000).cast("int")
-    segment = tcp_segment(
-        F.when(F.col("up"), port).otherwise(7777), F.when(F.col("up"), F.lit(7777)).otherwise(port), F.col("seq"), F.col("ack"), F.lit(24), text_hex(F.col("text"))
-    )
-    packet = ethernet(ip_packet(6, F.when(F.col("up"), client).otherwise(server), F.when(F.col("up"), server).otherwise(client), segment))
-    index = F.col("conv_id") * 1000 + F.col("turn") * 2 + F.col("copy")
-    return _raw(
-        rows.select(
-            F.lit("dialogues").alias("capture_id"), index.alias("frame_index"), (index * 1_000_000).alias("ts_ns"), F.lit(1).alias("link_type"), packet.alias("packet"), F.lit(0).alias("extra")
+    before = "ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    c = _table(spark, sf_dir, "conversations").selectExpr("*", "role = 'user' AS up", "octet_length(text) AS size")
+    c = c.selectExpr(
+        "*", f"coalesce(sum(size) OVER (PARTITION BY conv_id, up {before}), 0) AS sent", f"coalesce(sum(size) OVER (PARTITION BY conv_id {before}), 0) AS total",
+        f"{address('10.1.0.0')} + conv_id % 65536 AS client", f"{address('192.0.2.9')} AS server", "20000 + conv_id % 20000 AS port",
+    ).selectExpr("*", "explode(IF(turn % 4 = 0, array(0, 1), array(0))) AS copy").selectExpr("*", "conv_id * 1000 + turn * 2 + copy AS n")
+    return raw_packets(
+        c.selectExpr(
+            "'dialogues' AS capture_id", "n AS frame_index", "n * 1000000 AS ts_ns", "6 AS protocol", "IF(up, client, server) AS src", "IF(up, server, client) AS dst",
+            "IF(up, port, 7777) AS sport", "IF(up, 7777, port) AS dport", "IF(up, 1000, 5000) + sent AS seq", "IF(up, 5000, 1000) + total - sent AS ack",
+            "CAST(text AS BINARY) AS payload",
         )
-    )
+    )
 
 
 PAGE_SEGMENT = 1400
@@ -163,54 +161,50 @@ PAGE_SEGMENT = 1400
 def page_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTTP exchanges of ``pages``: a request for the URL, then the page in segments of
     ``PAGE_SEGMENT`` bytes, with Content-Length or, where the id is odd, in one chunk."""
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("html", F.coalesce("html", F.lit("")))
-    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
-    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    size = F.octet_length("html")
-    ask = F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
-    plain = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"), "html")
-    chunk = F.concat(F.lit("HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(size)), F.lit("\r\n"), "html", F.lit("\r\n0\r\n\r\n"))
-    p = p.select("page_id", text_hex(ask).alias("ask"), text_hex(F.when(F.col("page_id") % 2 == 1, chunk).otherwise(plain)).alias("answer"))
-    step = 2 * PAGE_SEGMENT
-    pieces = F.transform(F.sequence(F.lit(0), ((F.length("answer") - 1) / step).cast("int")), lambda i: F.substring("answer", i * step + 1, F.lit(step)))
-    rows = p.select("page_id", "ask", F.posexplode(F.concat(F.array("ask"), pieces)).alias("n", "payload"))
-    up = F.col("n") == 0
-    client = F.concat(F.lit("10.2."), ((F.col("page_id") / 256).cast("long") % 256).cast("string"), F.lit("."), (F.col("page_id") % 256).cast("string"))
-    server, port = F.lit("192.0.2.80"), (30000 + F.col("page_id") % 20000).cast("int")
-    seq = F.when(up, 1).otherwise(1 + (F.col("n") - 1) * PAGE_SEGMENT)
-    ack = F.when(up, F.lit(1)).otherwise(1 + size_of(F.col("ask")))
-    segment = tcp_segment(F.when(up, port).otherwise(80), F.when(up, F.lit(80)).otherwise(port), seq, ack, F.lit(24), F.col("payload"))
-    packet = ethernet(ip_packet(6, F.when(up, client).otherwise(server), F.when(up, server).otherwise(client), segment))
-    index = F.col("page_id") * 1000 + F.col("n")
-    return _raw(
-        rows.select(F.lit("pages").alias("capture_id"), index.alias("frame_index"), (index * 1000).alias("ts_ns"), F.lit(1).alias("link_type"), packet.alias("packet"), F.lit(0).alias("extra"))
+    line = "HTTP/1.1 200 OK\\r\\n"
+    p = _table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "regexp_replace(url, '^[a-z]+://[^/]+', '') AS path", "regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host", "coalesce(html, '') AS html"
     )
+    p = p.selectExpr(
+        "page_id", r"CAST(concat('GET ', path, ' HTTP/1.1\r\nHost: ', host, '\r\n\r\n') AS BINARY) AS ask",
+        rf"""CAST(IF(page_id % 2 = 1, concat('{line}Transfer-Encoding: chunked\r\n\r\n', lower(hex(octet_length(html))), '\r\n', html, '\r\n0\r\n\r\n'),
+            concat('{line}Content-Length: ', octet_length(html), '\r\n\r\n', html)) AS BINARY) AS answer""",
+    )
+    pieces = f"transform(sequence(0, CAST((octet_length(answer) - 1) / {PAGE_SEGMENT} AS INT)), i -> substring(answer, i * {PAGE_SEGMENT} + 1, {PAGE_SEGMENT}))"
+    rows = p.selectExpr("page_id", "octet_length(ask) AS asked", f"posexplode(concat(array(ask), {pieces})) AS (n, payload)").selectExpr(
+        "*", "n = 0 AS up", "page_id * 1000 + n AS i", f"{address('10.2.0.0')} + page_id % 65536 AS client", f"{address('192.0.2.80')} AS server", "30000 + page_id % 20000 AS port"
+    )
+    return raw_packets(
+        rows.selectExpr(
+            "'pages' AS capture_id", "i AS frame_index", "i * 1000 AS ts_ns", "6 AS protocol", "IF(up, client, server) AS src", "IF(up, server, client) AS dst",
+            "IF(up, port, 80) AS sport", "IF(up, 80, port) AS dport", f"IF(up, 1, 1 + (n - 1) * {PAGE_SEGMENT}) AS seq", "IF(up, 1, 1 + asked) AS ack", "payload",
+        )
+    )
 
 
 def document_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw-IP UDP packet per document, with the text as payload."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    src = F.concat(F.lit("10.3."), ((F.col("doc_id") / 256).cast("long") % 256).cast("string"), F.lit("."), (F.col("doc_id") % 256).cast("string"))
-    packet = ip_packet(17, src, F.lit("192.0.2.7"), udp_datagram(F.lit(6000), F.lit(6001), text_hex(F.coalesce("text", F.lit("")))))
-    return _raw(
-        d.select(F.lit("documents").alias("capture_id"), F.col("doc_id").alias("frame_index"), (F.col("doc_id") * 1000).alias("ts_ns"), F.lit(101).alias("link_type"), packet.alias("packet"), F.lit(0).alias("extra"))
-    )
+    d = _table(spark, sf_dir, "documents")
+    return raw_packets(
+        d.selectExpr(
+            "'documents' AS capture_id", "doc_id AS frame_index", "doc_id * 1000 AS ts_ns", "101 AS link_type", "17 AS protocol",
+            f"{address('10.3.0.0')} + doc_id % 65536 AS src", f"{address('192.0.2.7')} AS dst", "6000 AS sport", "6001 AS dport", "CAST(coalesce(text, '') AS BINARY) AS payload",
+        )
+    )
 
 
 def order_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disordered TCP traffic of ``orders``: a session per customer, a packet per order, with
     SYNs, repetitions, gaps, overlaps and bare acknowledgements by the order's key."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    up = k % 2 == 0
-    client = F.concat(F.lit("10.4."), ((c / 256).cast("long") % 256).cast("string"), F.lit("."), (c % 256).cast("string"))
-    server, port = F.lit("192.0.2.5"), (10000 + (c / 65536).cast("long")).cast("int")
-    size = ((k * 13) % 5 * 8).cast("int")
-    flags = F.when(k % 11 == 0, 2).when(k % 11 == 1, 18).otherwise(16)
-    payload = text_hex(F.substring(F.repeat(F.concat(k.cast("string"), F.lit("-")), 40), F.lit(1), size))
-    seq, ack = 4294967000 + (k * 7) % 23 * 8, (k * 3) % 4 * 100
-    segment = tcp_segment(F.when(up, port).otherwise(22), F.when(up, F.lit(22)).otherwise(port), seq, ack, flags, payload)
-    packet = ethernet(ip_packet(6, F.when(up, client).otherwise(server), F.when(up, server).otherwise(client), segment))
-    return _raw(
-        o.select(F.lit("orders").alias("capture_id"), k.alias("frame_index"), (k * 1000).alias("ts_ns"), F.lit(1).alias("link_type"), packet.alias("packet"), F.lit(0).alias("extra"))
-    )
+    o = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k", "o_orderkey % 2 = 0 AS up", f"{address('10.4.0.0')} + o_custkey % 65536 AS client", f"{address('192.0.2.5')} AS server",
+        "10000 + o_custkey div 65536 AS port",
+    )
+    return raw_packets(
+        o.selectExpr(
+            "'orders' AS capture_id", "k AS frame_index", "k * 1000 AS ts_ns", "6 AS protocol", "IF(up, client, server) AS src", "IF(up, server, client) AS dst",
+            "IF(up, port, 22) AS sport", "IF(up, 22, port) AS dport", "4294967000 + (k * 7) % 23 * 8 AS seq", "(k * 3) % 4 * 100 AS ack",
+            "CASE k % 11 WHEN 0 THEN 2 WHEN 1 THEN 18 ELSE 16 END AS flags",
+            "CAST(substring(repeat(concat(k, '-'), 40), 1, CAST((k * 13) % 5 * 8 AS INT)) AS BINARY) AS payload",
+        )
+    )
