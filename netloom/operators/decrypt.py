@@ -81,7 +81,7 @@ def _number(value: Column) -> Column:
     return F.lpad(F.hex(value), 16, "0")
 
 
-def _xor_tail(iv: Column, value: Column) -> Column:
+def number_in_iv(iv: Column, value: Column) -> Column:
     """The IV with its last eight bytes combined with a number."""
     low = unsigned(iv, 8, 4).bitwiseXOR(value.bitwiseAND(F.lit(0xFFFFFFFF)))
     high = unsigned(iv, 4, 4).bitwiseXOR(F.shiftrightunsigned(value, 32))
@@ -94,7 +94,7 @@ def _opened(record: Column, key: Column, iv: Column, tls13: Column, seq: Column)
     nonce12 = F.concat(iv, cut(body, 0, 8))
     size12 = F.lpad(F.hex(F.octet_length(body) - 24), 4, "0")
     aad12 = F.concat(F.unhex(_number(seq)), cut(record, 0, 3), F.unhex(size12))
-    sealed = F.when(tls13, F.concat(_xor_tail(iv, seq), body)).otherwise(F.concat(nonce12, F.substr(body, F.lit(9))))
+    sealed = F.when(tls13, F.concat(number_in_iv(iv, seq), body)).otherwise(F.concat(nonce12, F.substr(body, F.lit(9))))
     aad = F.when(tls13, cut(record, 0, 5)).otherwise(aad12)
     return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
@@ -264,7 +264,7 @@ def decrypt_quic_initials(frames: DataFrame) -> DataFrame:
         F.unhex(F.lpad(F.hex("b0"), 2, "0")), cut(packet, 1, at - 1), F.unhex(F.expr("right(lpad(hex(packet_number), 8, '0'), 2 * pn_size)"))
     )
     rows = rows.withColumn("header", header)
-    sealed = F.concat(_xor_tail(F.col("k.iv"), F.col("packet_number")), F.substr(packet, at + F.col("pn_size") + 1))
+    sealed = F.concat(number_in_iv(F.col("k.iv"), F.col("packet_number")), F.substr(packet, at + F.col("pn_size") + 1))
     plain = F.try_aes_decrypt(sealed, F.col("k.key"), F.lit("GCM"), F.lit("DEFAULT"), F.col("header"))
     opened = rows.withColumn("plain", plain).where("plain is not null")
     return opened.select("capture_id", "frame_index", "packet_number", "plain", crypto_frames("plain").alias("crypto"))

@@ -100,8 +100,67 @@ ATOMS: dict[str, Callable[[str], Column]] = {
 }
 
 
+def _in_tree(test: Callable[[Column], Column]) -> Column:
+    return F.exists("layers", test)
+
+
+def _field_of(protocols: tuple[str, ...], names: tuple[str, ...], test: Callable[[Column], Column], inside: str | None = None) -> Column:
+    """Whether a layer of the protocols has a field (or, with ``inside``, a child of that field)
+    of one of the names whose value passes."""
+
+    def own(fields: Column) -> Column:
+        return F.exists(fields, lambda f: F.lower(f["name"]).isin(*names) & F.coalesce(test(f["value"]), F.lit(False)))
+
+    def layer(x: Column) -> Column:
+        fields = x["fields"]
+        found = own(fields) if inside is None else F.exists(fields, lambda f: (F.lower(f["name"]).rlike(f"^(?:{inside})$")) & own(f["children"]))
+        return x["protocol"].isin(*protocols) & found
+
+    return _in_tree(layer)
+
+
+def _has(needle: str) -> Callable[[Column], Column]:
+    return lambda value: F.contains(F.lower(value), F.lit(needle.lower()))
+
+
+def _request(test: Callable[[Column], Column]) -> Column:
+    return _field_of((C.HTTP,), ("request line",), test)
+
+
+def _tree_url(needle: str) -> Column:
+    def whole(x: Column) -> Column:
+        def first(name: str) -> Column:
+            return F.try_element_at(F.filter(x["fields"], lambda f: F.lower(f["name"]) == name), F.lit(1))["value"]
+
+        path = F.try_element_at(F.split(first("request line"), " "), F.lit(2))
+        return (x["protocol"] == C.HTTP) & _has(needle)(F.concat(F.coalesce(first("host"), F.lit("")), F.coalesce(path, F.lit(""))))
+
+    return _in_tree(whole) | TREE_ATOMS["sni"](needle)
+
+
+def _tree_port(argument: str) -> Column:
+    _port(argument)  # the same errors
+    return _field_of((C.TCP, C.UDP), ("source port", "destination port"), lambda value: value == str(int(argument)))
+
+
+#: The same atoms, answered from the protocol tree instead of the flat columns.
+TREE_ATOMS: dict[str, Callable[[str], Column]] = {
+    "host": lambda a: _field_of((C.IPV4, C.IPV6), ("source", "destination"), lambda value: value == a),
+    "port": _tree_port,
+    "sni": lambda a: _field_of((C.TLS,), ("server name indication",), _has(a), inside="handshake"),
+    "http.host": lambda a: _field_of((C.HTTP,), ("host",), _has(a)),
+    "http.path": lambda a: _request(lambda v: _has(a)(F.try_element_at(F.split(v, " "), F.lit(2)))),
+    "http.method": lambda a: _request(lambda v: F.upper(F.try_element_at(F.split(v, " "), F.lit(1))) == a.upper()),
+    "url": _tree_url,
+    "dns.name": lambda a: _field_of((C.DNS,), ("name",), _has(a), inside="query|answer"),
+    "app": lambda a: _field_of((C.APP_METADATA,), ("app name",), _has(a)),
+    "text": _text,
+}
+
+
 class _Parser:
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, tree: bool = False) -> None:
+        self.atoms, self.tree = TREE_ATOMS if tree else ATOMS, tree
         self.tokens = text.replace("(", " ( ").replace(")", " ) ").split()
         self.at = 0
 
@@ -147,20 +206,22 @@ class _Parser:
             raise UnexpectedEnd
         key = token.lower()
         if key in PROTOCOLS:
-            return F.array_contains("protocols", PROTOCOLS[key])
-        if key not in ATOMS:
+            name = PROTOCOLS[key]
+            return _in_tree(lambda x: x["protocol"] == name) if self.tree else F.array_contains("protocols", name)
+        if key not in self.atoms:
             raise UnknownToken(token)
         argument = self.take()
         if argument is None:
             raise MissingArgument(key)
         # A predicate on an absent value is false, so that its negation holds.
-        return F.coalesce(ATOMS[key](argument), F.lit(False))
+        return F.coalesce(self.atoms[key](argument), F.lit(False))
 
 
-def match_filter(text: str) -> Column:
+def match_filter(text: str, tree: bool = False) -> Column:
     """The expression as a column over ``frames()``; blank matches everything. Errors are
-    raised here, before any job."""
-    parser = _Parser(text)
+    raised here, before any job. With ``tree`` it reads the column ``layers`` of
+    ``with_layers`` instead of the flat columns, with the same answer."""
+    parser = _Parser(text, tree)
     if not parser.tokens:
         return F.lit(True)
     found = parser.either()

@@ -3,11 +3,18 @@ and reassembly, all as windows over sessions."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
+from ..functions.bytes import mostly_text, utf8_text
+from ..functions.render import occurrences
 
 _MASK = (1 << 32) - 1
 SESSION = ["capture_id", "session"]
@@ -117,9 +124,38 @@ def reassemble(frames: DataFrame) -> DataFrame:
     )
 
 
+def in_order(chunks: DataFrame) -> DataFrame:
+    """The chunks of each direction in one partition, one after the other."""
+    return (
+        chunks.select(*SESSION, "src", "frame_index", "chunk").repartition(*SESSION, "src").sortWithinPartitions(*SESSION, "src", "frame_index")
+    )
+
+
+def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple[int, bytes]]]]:
+    """Each direction of ``in_order`` rows with its (packet number, chunk) pairs, which are read
+    from the batches as they are asked for."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, group in groupby(rows, key=lambda r: r[:3]):
+        yield key, ((r[3], r[4]) for r in group)
+
+
+def stream_digests(chunks: DataFrame) -> DataFrame:
+    """The length and SHA-256 of each direction's bytes, gathered nowhere."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, pieces in directions(batches):
+            size, state = 0, hashlib.sha256()
+            for _, chunk in pieces:
+                size += len(chunk)
+                state.update(chunk)
+            yield pa.RecordBatch.from_pydict(dict(zip(("capture_id", "session", "src", "bytes", "sha256"), ([x] for x in (*key, size, state.hexdigest())), strict=True)))
+
+    return in_order(chunks).mapInArrow(digest, "capture_id string, session string, src string, bytes long, sha256 string")
+
+
 def streams(chunks: DataFrame) -> DataFrame:
-    """Each direction's bytes in order, with the chunks they came from. A direction is one
-    value here, as a stream's reader needs it; ``chunks`` itself is never gathered."""
+    """Each direction's bytes as one value, with the chunks they came from: for directions
+    below 2 GB. ``in_order`` and ``directions`` read longer ones piece by piece."""
     return chunks.groupBy("capture_id", "session", "client_first", "src").agg(
         F.expr("listagg(chunk) within group (order by frame_index)").alias("stream"),
         F.sort_array(F.collect_list(F.struct("data_offset", "fresh", "frame_index"))).alias("pieces"),
@@ -133,3 +169,20 @@ def follow_stream(frames: DataFrame, capture_id: str, frame_index: int) -> DataF
     anchor = packets.where(F.col("frame_index") == frame_index).select("session", F.col("src").alias("anchor")).limit(1)
     found = packets.join(anchor, "session").where("payload_len > 0")
     return found.select("frame_index", (F.col("src") == F.col("anchor")).alias("from_client"), "payload_len", "payload")
+
+
+def stream_totals(segments: DataFrame) -> DataFrame:
+    """Segments and bytes of a followed stream."""
+    return segments.agg(F.count("*").alias("segments"), F.coalesce(F.sum("payload_len"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def search_stream(segments: DataFrame, needle: str) -> DataFrame:
+    """The places of a text in a followed stream: packet, where in it, and the place's number
+    among all (``nth``, from 0), with the numbers of the place before and after; behind
+    the last comes the first again. One stream is searched, so its places alone are ordered together."""
+    text = F.when(mostly_text(F.col("payload")), utf8_text(F.col("payload"))).otherwise(F.lower(F.hex("payload")))
+    found = segments.select("frame_index", F.explode(occurrences(text, needle)).alias("pos"))
+    order = Window.orderBy("frame_index", "pos")
+    every = Window.partitionBy()
+    rows = found.select("frame_index", "pos", (F.row_number().over(order) - 1).alias("nth"), F.count("*").over(every).cast("int").alias("total"))
+    return rows.withColumns({"next": (F.col("nth") + 1) % F.col("total"), "previous": (F.col("nth") + F.col("total") - 1) % F.col("total")})

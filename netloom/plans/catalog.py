@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -197,8 +198,7 @@ def _chunks_sql(table: str) -> str:
 
 
 def streams_digest(spark: SparkSession, d: str) -> DataFrame:
-    found = tcp.streams(tcp.reassemble(frames(synth.dialogue_packets(spark, d))))
-    return found.select("session", "src", F.octet_length("stream").cast("long").alias("bytes"), F.sha2("stream", 256).alias("sha256"))
+    return tcp.stream_digests(tcp.reassemble(frames(synth.dialogue_packets(spark, d)))).drop("capture_id")
 
 
 def follow(spark: SparkSession, d: str) -> DataFrame:
@@ -213,7 +213,7 @@ def search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bodies(spark: SparkSession, d: str) -> DataFrame:
-    found = http_messages(tcp.streams(tcp.reassemble(frames(synth.page_packets(spark, d)))))
+    found = http_messages(tcp.reassemble(frames(synth.page_packets(spark, d))))
     answers = found.where(F.startswith("first_line", F.lit("HTTP/")))
     return answers.select(
         "frame_index", "raw_length", F.md5("body").alias("body_md5"), F.col("spans_frames").cast("long").alias("spans_frames"), "body_info"
@@ -423,7 +423,7 @@ def keylog(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.lower(F.hex("client_random")).alias("client_random"), "label", F.lower(F.hex("secret")).alias("secret"))
 
 
-def _sealed(spark: SparkSession, d: str, version13: bool) -> tuple[DataFrame, DataFrame]:
+def sealed_sessions(spark: SparkSession, d: str, version13: bool, chacha: bool = False) -> tuple[DataFrame, DataFrame]:
     """TLS sessions of users with a hello from either side and sealed application data
     from the client, and their key log."""
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'view'")
@@ -431,7 +431,7 @@ def _sealed(spark: SparkSession, d: str, version13: bool) -> tuple[DataFrame, Da
     e = e.select("event_id", "user_id", (rank - 1).cast("long").alias("seq"))
     user = F.col("user_id").cast("string")
     random, server_random = F.sha2(F.concat(user, F.lit("c")), 256), F.sha2(F.concat(user, F.lit("s")), 256)
-    suite = 0x1301 if version13 else 0xC02F
+    suite = (0x1303 if chacha else 0x1301) if version13 else 0xC02F
     users = e.select("user_id").distinct()
     secret = F.unhex(F.sha2(F.concat(user, F.lit("k")), 256))
     master = F.concat(secret, F.unhex(F.lit("22" * 16)))
@@ -444,8 +444,10 @@ def _sealed(spark: SparkSession, d: str, version13: bool) -> tuple[DataFrame, Da
     if version13:
         inner = F.concat(plain, F.unhex(F.lit("17")))
         header = F.concat(F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(inner) + 16), 4, "0")))
-        nonce = decrypt._xor_tail(F.col("k.iv"), F.col("seq"))
+        nonce = decrypt.number_in_iv(F.col("k.iv"), F.col("seq"))
         body = F.substr(F.aes_encrypt(inner, F.col("k.key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, header), F.lit(13))
+        if chacha:
+            body = F.arrow_udf(_chacha_sealed, "binary")(F.col("k.key"), nonce, inner, header)
     else:
         nonce = F.concat(F.col("k.iv"), F.unhex(number))
         aad = F.concat(F.unhex(number), F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(plain)), 4, "0")))
@@ -471,9 +473,13 @@ def _sealed(spark: SparkSession, d: str, version13: bool) -> tuple[DataFrame, Da
     return raw, log
 
 
-def _decrypted(version13: bool) -> Query:
+def _chacha_sealed(*columns: pa.Array) -> pa.Array:
+    return pa.array([keys.chacha_seal(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.binary())
+
+
+def _decrypted(version13: bool, chacha: bool = False) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        raw, log = _sealed(spark, d, version13)
+        raw, log = sealed_sessions(spark, d, version13, chacha)
         return decrypt.decrypt_tls(frames(raw), log).select("frame_index", "status", "text")
 
     return query
@@ -492,6 +498,7 @@ QUERIES |= {
     ),
     "tls13_decrypt": (_decrypted(True), _PLAIN),
     "tls12_decrypt": (_decrypted(False), _PLAIN),
+    "tls13_chacha": (_decrypted(True, True), _PLAIN),
 }
 
 

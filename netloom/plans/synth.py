@@ -5,7 +5,9 @@ a batch at a time."""
 
 from __future__ import annotations
 
+import gzip
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -158,18 +160,28 @@ def dialogue_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_SEGMENT = 1400
 
 
-def page_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _compressed(kind: pa.Array, body: pa.Array) -> pa.Array:
+    made = {"gzip": gzip.compress, "deflate": zlib.compress}
+    return pa.array([made[k](b) for k, b in zip(kind.to_pylist(), body.to_pylist(), strict=True)], pa.binary())
+
+
+def page_packets(spark: SparkSession, sf_dir: str, coded: bool = False) -> DataFrame:
     """HTTP exchanges of ``pages``: a request for the URL, then the page in segments of
-    ``PAGE_SEGMENT`` bytes, with Content-Length or, where the id is odd, in one chunk."""
+    ``PAGE_SEGMENT`` bytes, with Content-Length or, where the id is odd, in one chunk.
+    ``coded`` pages are compressed, by gzip or, where the id is odd, deflate."""
     line = "HTTP/1.1 200 OK\\r\\n"
     p = _table(spark, sf_dir, "pages").selectExpr(
         "page_id", "regexp_replace(url, '^[a-z]+://[^/]+', '') AS path", "regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host", "coalesce(html, '') AS html"
     )
+    if coded:
+        zipped = F.arrow_udf(_compressed, "binary")(F.expr("IF(page_id % 2 = 1, 'deflate', 'gzip')"), F.expr("CAST(html AS BINARY)"))
+        head = rf"CAST(concat('{line}Content-Encoding: ', IF(page_id % 2 = 1, 'deflate', 'gzip'), '\r\nContent-Length: ', octet_length(zipped), '\r\n\r\n') AS BINARY)"
+        p = p.withColumn("zipped", zipped).withColumn("coded", F.expr(f"concat({head}, zipped)"))
     p = p.selectExpr(
-        "page_id", r"CAST(concat('GET ', path, ' HTTP/1.1\r\nHost: ', host, '\r\n\r\n') AS BINARY) AS ask",
+        "*", r"CAST(concat('GET ', path, ' HTTP/1.1\r\nHost: ', host, '\r\n\r\n') AS BINARY) AS ask",
         rf"""CAST(IF(page_id % 2 = 1, concat('{line}Transfer-Encoding: chunked\r\n\r\n', lower(hex(octet_length(html))), '\r\n', html, '\r\n0\r\n\r\n'),
             concat('{line}Content-Length: ', octet_length(html), '\r\n\r\n', html)) AS BINARY) AS answer""",
-    )
+    ).withColumn("answer", F.col("coded" if coded else "answer"))
     pieces = f"transform(sequence(0, CAST((octet_length(answer) - 1) / {PAGE_SEGMENT} AS INT)), i -> substring(answer, i * {PAGE_SEGMENT} + 1, {PAGE_SEGMENT}))"
     rows = p.selectExpr("page_id", "octet_length(ask) AS asked", f"posexplode(concat(array(ask), {pieces})) AS (n, payload)").selectExpr(
         "*", "n = 0 AS up", "page_id * 1000 + n AS i", f"{address('10.2.0.0')} + page_id % 65536 AS client", f"{address('192.0.2.80')} AS server", "30000 + page_id % 20000 AS port"

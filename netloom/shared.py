@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset (tests, local mode), in a
-    temporary folder."""
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder in
+    local mode, in which there is only one machine; on a cluster, an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("netloom.shared.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="netloom-shared-")
         spark.conf.set("netloom.shared.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"

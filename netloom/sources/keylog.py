@@ -26,6 +26,11 @@ def latest_secrets(entries: DataFrame) -> DataFrame:
     return entries.groupBy("client_random", "label").agg(F.max_by("secret", "line_no").alias("secret"))
 
 
+def count_sessions(entries: DataFrame) -> DataFrame:
+    """How many sessions (client randoms) and secrets a key log names."""
+    return latest_secrets(entries).agg(F.count_distinct("client_random").alias("sessions"), F.count("*").alias("secrets"))
+
+
 def read_keylog(spark: SparkSession, path: str) -> DataFrame:
     """Parsed entries of a key-log file; a line's number is its place in the file."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")

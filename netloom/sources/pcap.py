@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 from glob import glob
+from itertools import chain, groupby
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +29,10 @@ MAGICS = {
 NEXT_GENERATION = b"\x0a\x0d\x0d\x0a"
 MOST_CAPTURED = 16 << 20
 SPLIT_BYTES = 64 << 20
+#: Bytes of a file that are read together.
+WINDOW = 1 << 20
+_NAMES = [x.split()[0] for x in RAW_FRAMES.split(", ")]
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
 class CaptureError(ValueError):
@@ -40,67 +49,111 @@ def read_header(data: bytes) -> tuple[str, int, int]:
     return order, unit, struct.unpack(order + "I", data[20:24])[0]
 
 
+def open_file(path: str) -> pa.NativeFile:
+    """A capture for random access, by local path or by any URI that Arrow's file systems
+    know (``file``, ``hdfs``, ``s3``, ``gs`` …)."""
+    system, inside = _located(path)
+    return system.open_input_file(inside)
+
+
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    return fs.FileSystem.from_uri(path)
+
+
+def split_records(path: str, size: int, split: int) -> Iterator[tuple[int, int, int]]:
+    """Start, end and first packet number of stretches of at least ``split`` bytes. Records have
+    no marker to start from, so this follows their lengths from the file's begin; it reads
+    headers out of a window and skips what lies beyond it."""
+    with open_file(path) as f:
+        order, _, _ = read_header(f.read(24))
+        length = struct.Struct(order + "i")
+        at = start = base = 24
+        first = n = 1
+        window = b""
+        while at + 16 <= size:
+            if not base <= at <= base + len(window) - 16:
+                f.seek(at)
+                base, window = at, f.read(WINDOW)
+                if len(window) < 16:
+                    break
+            (captured,) = length.unpack_from(window, at - base + 8)
+            if not 0 <= captured <= MOST_CAPTURED:
+                break  # the reading task reports it
+            at, n = at + 16 + captured, n + 1
+            if at - start >= split:
+                yield start, min(at, size), first
+                start, first = at, n
+        if start < size or size == 24:
+            yield start, size, first
+
+
+def read_records(path: str, start: int, end: int, first: int, strict: bool) -> Iterator[pa.RecordBatch]:
+    """The packets of a stretch, as Arrow batches of ``schema.RAW_FRAMES``."""
+    name = path.rsplit("/", 1)[-1]
+    with open_file(path) as f:
+        order, unit, link = read_header(f.read(24))
+        head = struct.Struct(order + "IIiI")
+        f.seek(start)
+        at, index, window, used = start, first, b"", 0
+        rows: list[tuple] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            stamp, length, original, data = zip(*rows, strict=True)
+            columns = [[name] * len(rows), range(index - len(rows), index), stamp, length, original, [link] * len(rows), data]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
+
+        def more(n: int) -> bool:
+            nonlocal window, used
+            if len(window) - used < n:
+                window, used = window[used:] + f.read(max(WINDOW, n)), 0
+            return len(window) - used >= n
+
+        while at < end and more(16):
+            seconds, fraction, length, original = head.unpack_from(window, used)
+            if not 0 <= length <= MOST_CAPTURED:
+                raise CaptureError(f"{name}: packet {index} claims {length} bytes")
+            if not more(16 + length):
+                if strict:
+                    raise CaptureError(f"{name}: packet {index} is cut off")
+                break
+            rows.append((seconds * 1_000_000_000 + fraction * unit, length, original, window[used + 16 : used + 16 + length]))
+            at, used, index, held = at + 16 + length, used + 16 + length, index + 1, held + length
+            if len(rows) >= 10_000 or held >= WINDOW:
+                yield batch()
+                rows, held = [], 0
+        if rows:
+            yield batch()
+
+
 class PcapPartition(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: int) -> None:
-        self.path, self.start, self.end, self.first = path, start, end, first
+    def __init__(self, path: str, size: int) -> None:
+        self.path, self.size = path, size
 
 
 class PcapReader(DataSourceReader):
-    """Options: ``path`` (file, directory or pattern), ``mode`` (``PERMISSIVE`` ends
-    quietly at a cut-off body, ``FAILFAST`` raises), ``maxBytes`` and ``splitBytes``."""
+    """The source of ``spark.read.format("pcap")``: a task per local file. Options: ``path``
+    (file, directory or pattern), ``mode`` (``PERMISSIVE`` ends quietly at a cut-off body,
+    ``FAILFAST`` raises) and ``maxBytes``. ``read_pcap`` also splits files."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.most = int(options.get("maxbytes", options.get("maxBytes", 0)))
-        self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
 
     def partitions(self) -> list[InputPartition]:
-        """Records have no marker to start from, so a walk over their headers alone, one
-        seek each, finds where a split may begin and the number of its first packet."""
         files = sorted(glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob(self.path))
         if not files:
             raise CaptureError(f"no file at {self.path}")
-        found: list[InputPartition] = []
-        for path in files:
-            size = os.path.getsize(path)
-            if self.most and size > self.most:
-                raise CaptureError(f"{path} has {size} bytes, more than {self.most}")
-            with open(path, "rb") as f:
-                order, _, _ = read_header(f.read(24))
-                at, start, first, n = 24, 24, 1, 1
-                while at + 16 <= size:
-                    f.seek(at + 8)
-                    length = struct.unpack(order + "i", f.read(4))[0]
-                    if not 0 <= length <= MOST_CAPTURED:
-                        break  # the reading task reports it
-                    at, n = at + 16 + length, n + 1
-                    if at - start >= self.split:
-                        found.append(PcapPartition(path, start, at, first))
-                        start, first = at, n
-                found.append(PcapPartition(path, start, size, first))
+        found = [PcapPartition(path, os.path.getsize(path)) for path in files]
+        for part in found:
+            check_size(part.path, part.size, self.most)
         return found
 
-    def read(self, partition: PcapPartition) -> Iterator[tuple]:
-        name = os.path.basename(partition.path)
-        with open(partition.path, "rb") as f:
-            order, unit, link = read_header(f.read(24))
-            f.seek(partition.start)
-            at, index = partition.start, partition.first
-            while at < partition.end:
-                head = f.read(16)
-                if len(head) < 16:
-                    return
-                seconds, fraction, length, original = struct.unpack(order + "IIiI", head)
-                if not 0 <= length <= MOST_CAPTURED:
-                    raise CaptureError(f"{name}: packet {index} claims {length} bytes")
-                body = f.read(length)
-                if len(body) < length:
-                    if self.strict:
-                        raise CaptureError(f"{name}: packet {index} is cut off")
-                    return
-                yield name, index, seconds * 1_000_000_000 + fraction * unit, length, original, link, body
-                at, index = at + 16 + length, index + 1
+    def read(self, partition: PcapPartition) -> Iterator[pa.RecordBatch]:
+        return read_records(partition.path, 24, partition.size, 1, self.strict)
 
 
 class PcapSource(DataSource):
@@ -115,10 +168,63 @@ class PcapSource(DataSource):
         return PcapReader(self.options)
 
 
-def read_pcap(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Raw packets of the capture files at ``path``."""
-    spark.dataSource.register(PcapSource)
-    return spark.read.format("pcap").options(path=path, **options).load()
+def check_size(path: str, size: int, most: int) -> None:
+    if most and size > most:
+        raise CaptureError(f"{path} has {size} bytes, more than {most}")
+
+
+def read_pcap(spark: SparkSession, path: str, mode: str = "PERMISSIVE", maxBytes: int = 0, splitBytes: int = SPLIT_BYTES) -> DataFrame:
+    """Raw packets of the capture files at ``path``, which Spark lists, so that it may be any
+    folder or pattern that Spark and Arrow both reach.
+
+    The driver reads no file. One stage of tasks follows each file's record lengths and
+    gives stretches of ``splitBytes``; these are dealt out evenly and read by a second
+    stage. A packet's number needs all lengths before it, hence the first stage; files are
+    independent of each other in both."""
+    strict, most, split = mode.upper() == "FAILFAST", int(maxBytes), int(splitBytes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                check_size(file, size, most)
+                rows = [(file, *part) for part in split_records(file, size, split)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "start", "end", "first"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from read_records(*part, strict)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    parts = files.mapInArrow(walk, "path string, start long, end long, first long")
+    return parts.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(read, RAW_FRAMES)
+
+
+def write_pcap(raw: DataFrame, folder: str) -> int:
+    """Writes captures to ``folder`` (little-endian, microseconds) and returns how many packets.
+    Packets are sorted over the cluster and each task writes its stretch of a capture as a
+    file of its own, ``<capture>-<first packet>.pcap``, as captures are rotated; a task that
+    runs again writes the same files. A capture has one link type."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for capture, packets in groupby(rows, key=lambda r: r[0]):
+            first = next(packets)
+            system, inside = _located(f"{folder}/{capture}-{first[1]:012d}.pcap")
+            system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+            count, partial = 0, f"{inside}.{uuid.uuid4().hex}"
+            with system.open_output_stream(partial) as f:
+                f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 0xFFFF, first[5]))
+                for _, _, ts, _, original, _, data in chain([first], packets):
+                    seconds, rest = divmod(ts // 1000, 1_000_000)
+                    f.write(struct.pack("<IIII", seconds, rest, len(data), original) + data)
+                    count += 1
+            system.move(partial, inside)
+            yield pa.RecordBatch.from_pydict({"packets": [count]})
+
+    rows = raw.select(*_NAMES).repartitionByRange("capture_id", "frame_index").sortWithinPartitions("capture_id", "frame_index")
+    return rows.mapInArrow(write, "packets long").agg(F.sum("packets")).first()[0] or 0
 
 
 def pcap_bytes(raw: DataFrame) -> DataFrame:

@@ -5,20 +5,29 @@ A socket cannot be read again, so a receiver writes each datagram to the spool f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import socket
+import time
+from collections.abc import Callable, Iterator
+from threading import Event, Thread
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.dissect import frames
 from ..schema import RAW_FRAMES
+from ..shared import shared_path
 from ..sources.pcap import MAGICS, MOST_CAPTURED
 
 SPOOL = "capture_id string, arrival long, datagram binary"
 #: The largest datagram of a sender that puts one packet into each.
 MOST_DATAGRAM = 65_599
+_SPOOL = pa.schema([("capture_id", pa.string()), ("arrival", pa.int64()), ("datagram", pa.binary())])
 _STATE = "order string, unit int, link int, next long, skipped long"
 
 
@@ -43,22 +52,34 @@ def parse_datagram(data: bytes, state: tuple | None) -> tuple[tuple | None, tupl
     return (order, unit, kind, index + 1, skipped), packet
 
 
+PARSED = f"{RAW_FRAMES}, malformed boolean"
+
+
 def _parse(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
     now = state.get if state.exists else None
     rows = pd.concat(list(batches)).sort_values("arrival")
-    out = []
-    for datagram in rows["datagram"]:
-        now, packet = parse_datagram(bytes(datagram), now)
+    out, skipped = [], now[4] if now else 0
+    for datagram in map(bytes, rows["datagram"]):
+        now, packet = parse_datagram(datagram, now)
         if packet:
-            out.append((key[0], *packet))
+            out.append((key[0], *packet, False))
+        elif now[4] > skipped:
+            skipped = now[4]
+            out.append((key[0], skipped, None, len(datagram), len(datagram), None, datagram, True))
     state.update(now)
-    yield pd.DataFrame(out, columns=[x.split()[0] for x in RAW_FRAMES.split(", ")])
+    yield pd.DataFrame(out, columns=[x.split()[0] for x in PARSED.split(", ")])
+
+
+def parsed_datagrams(stream: DataFrame) -> DataFrame:
+    """The packets of a stream of datagrams, in order of arrival within each capture, and, with
+    ``malformed``, the datagrams that hold none, numbered for themselves."""
+    return stream.groupBy("capture_id").applyInPandasWithState(_parse, PARSED, _STATE, "append", "NoTimeout")
 
 
 def raw_from_datagrams(stream: DataFrame) -> DataFrame:
-    """Raw packets of a stream of datagrams, in order of arrival within each capture.
-    Malformed datagrams are skipped and counted in the state."""
-    return stream.groupBy("capture_id").applyInPandasWithState(_parse, RAW_FRAMES, _STATE, "append", "NoTimeout")
+    """Raw packets of a stream of datagrams; malformed ones are left to
+    ``parsed_datagrams``."""
+    return parsed_datagrams(stream).where("not malformed").drop("malformed")
 
 
 def read_spool(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +92,94 @@ def live_frames(spark: SparkSession, path: str) -> DataFrame:
     return frames(raw_from_datagrams(read_spool(spark, path)))
 
 
+def receive(folder: str, port: int, host: str = "0.0.0.0", capture_id: str = "live", most: int = 1000, patience: float = 1.0, stop: Event | None = None) -> int:
+    """Writes the datagrams that reach a UDP port to ``folder``, for ``read_spool``, until
+    ``stop`` is set; returns how many. A file holds at most ``most`` of them and what came within
+    ``patience`` seconds. It is written under a hidden name first, so that no reader sees
+    half a file. A port that is taken raises OSError."""
+    rows: list[bytes] = []
+    count = files = 0
+
+    def write() -> None:
+        nonlocal files
+        table = pa.table({"capture_id": [capture_id] * len(rows), "arrival": range(count - len(rows), count), "datagram": rows}, _SPOOL)
+        name = f"{os.getpid()}-{files:09d}.parquet"
+        pq.write_table(table, os.path.join(folder, f".{name}"))
+        os.replace(os.path.join(folder, f".{name}"), os.path.join(folder, name))
+        rows.clear()
+        files += 1
+
+    os.makedirs(folder, exist_ok=True)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as source:
+        source.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
+        source.bind((host, port))
+        source.settimeout(patience / 4)
+        since = time.monotonic()
+        while stop is None or not stop.is_set():
+            try:
+                rows.append(source.recv(MOST_DATAGRAM))
+                count += 1
+            except TimeoutError:
+                pass
+            if rows and (len(rows) >= most or time.monotonic() - since > patience):
+                write()
+                since = time.monotonic()
+    if rows:
+        write()
+    return count
+
+
+class Progress(StreamingQueryListener):
+    """Calls ``tell`` with the number of datagrams read so far, at the first and whenever
+    another ``step`` are complete."""
+
+    def __init__(self, tell: Callable[[int], None], step: int = 32) -> None:
+        self.tell, self.step, self.count = tell, step, 0
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.count = 0
+
+    def onQueryProgress(self, event: Any) -> None:
+        before, self.count = self.count, self.count + max(0, event.progress.numInputRows)
+        if self.count and (before == 0 or before // self.step < self.count // self.step):
+            self.tell(self.count)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
+
+
+class LiveCapture:
+    """A port and the query over its packets, one at a time: ``start`` ends what ran before and
+    begins with an empty spool of its own; ``stop`` lets the query read what has come."""
+
+    def __init__(self, spark: SparkSession, port: int, host: str = "0.0.0.0") -> None:
+        self.spark, self.port, self.host = spark, port, host
+        self.query = self.thread = None
+
+    def start(self, use: Callable[[DataFrame], Any]) -> str:
+        """``use`` starts a query on the packets and returns it. Returns the spool's folder."""
+        self.stop()
+        self.spool, self.over = shared_path(self.spark, "live-spool"), Event()
+        local = self.spool.removeprefix("file://").replace("file:", "")
+        self.thread = Thread(target=receive, args=(local, self.port, self.host), kwargs={"stop": self.over, "patience": 0.2}, daemon=True)
+        os.makedirs(local)
+        self.thread.start()
+        self.query = use(live_frames(self.spark, self.spool))
+        return self.spool
+
+    def stop(self) -> None:
+        if self.thread:
+            self.over.set()
+            self.thread.join()
+        if self.query:
+            self.query.processAllAvailable()
+            self.query.stop()
+        self.query = self.thread = None
+
+
 def spool_table(raw: DataFrame) -> DataFrame:
     """The datagrams a sender would emit for raw packets: one header per capture, then a
     packet in each."""

@@ -6,7 +6,7 @@ from glob import glob
 import duckdb
 import pytest
 
-from netloom.plans.catalog import QUERIES
+from netloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 

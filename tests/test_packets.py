@@ -1,7 +1,9 @@
 """Dissection, routing, filters, TCP, HTTP, keys and live captures on hand-made packets."""
 
 import gzip
+import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from netloom.functions.render import format_bytes, format_duration, hex_dump, oc
 from netloom.operators import decrypt, filters, keys, tcp
 from netloom.operators.conversations import conversations
 from netloom.operators.dissect import frames
-from netloom.operators.http_stream import attach_bodies, http_messages
+from netloom.operators.names import Overrun, read_name
+from netloom.operators.http_stream import Direction, attach_bodies, http_messages
 from netloom.schema import RAW_FRAMES
 from netloom.sources.keylog import latest_secrets, parse_keylog
 from netloom.sources.pcap import MAGICS, CaptureError, read_header, read_pcap
@@ -202,7 +205,7 @@ def test_http_bodies(spark):
             packets.append(eth(ip4(6, seg(80, 4000 + n, p, seq), "10.0.0.9", "10.0.0.1")))
             seq += len(p)
     df = frames(table(spark, packets))
-    found = http_messages(tcp.streams(tcp.reassemble(df)))
+    found = http_messages(tcp.reassemble(df))
     rows = sorted((r["session"], r["first_line"], r["body_info"], r["preview"]) for r in found.collect())
     assert [r[2] for r in rows] == ["26B across 3 frame(s)", "gzip → 16B decoded across 1 frame(s)", "chunked → 23B across 1 frame(s)", "5B across 1 frame(s)", "0B across 1 frame(s)"]
     assert [r[3] for r in rows] == ["abcdefghijklmnopqrstuvwxyz", "hello gzip world", "MozillaDeveloperNetwork", "Hello", None]
@@ -210,6 +213,63 @@ def test_http_bodies(spark):
     assert attached[1] == ["26B across 3 frame(s)"] and len(attached[6]) == 2
 
 
+def read(data, cuts=(), **limits):
+    direction = Direction(**{"most_messages": None, "most_chunks": None} | limits)
+    bounds = [0, *cuts, len(data)]
+    out = [m for n, (a, b) in enumerate(zip(bounds, bounds[1:])) for m in direction.feed(data[a:b], n)]
+    return out + list(direction.close())
+
+
+def test_http_messages_in_any_pieces():
+    zipped = zlib.compress(b"deflated " * 50)
+    answer = b"HTTP/1.1 200 OK\r\n"
+    parts = [
+        answer + b"Content-Length: 5\r\n\r\nHello", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n",
+        answer + b"Transfer-Encoding: chunked\r\n\r\n4\r\nWiki\r\n6;a=b\r\npedia \r\n0\r\nExpires: never\r\n\r\n",
+        answer + b"Content-Encoding: deflate\r\nContent-Length: %d\r\n\r\n" % len(zipped) + zipped,
+        answer + b"content-encoding: gzip\r\ncontent-length: 3\r\n\r\nbad", answer + b"Content-Length: 90\r\n\r\ncut off",
+    ]
+    data = b"".join(parts)
+    whole = read(data)
+    assert [m["body"] for m in whole] == [b"Hello", b"", b"Wikipedia ", b"deflated " * 50, b"bad", b"cut off"]
+    assert [m["decompress_ok"] for m in whole] == [None, None, None, True, False, None]
+    rng = random.Random(4)
+    for _ in range(60):
+        cuts = sorted(rng.sample(range(1, len(data)), rng.randint(1, 40)))
+        got = read(data, cuts)
+        at = 0
+        for m, part, want in zip(got, parts, whole, strict=True):
+            assert {**m, "frame_index": 0, "spans_frames": 1} == want | {"frame_index": 0, "spans_frames": 1}
+            bounds = [0, *cuts, len(data)]
+            inside = [n for n, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < at + len(part) and b > at]
+            assert (m["frame_index"], m["spans_frames"]) == (inside[0], len(inside))
+            at += len(part)
+
+
+def test_http_messages_without_bounds():
+    many = b"HTTP/1.1 204 No Content\r\n\r\n" * 3000
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"1\r\nx\r\n" * 12_000 + b"0\r\n\r\n"
+    assert len(read(many)) == 3000 and len(read(many, most_messages=1000)) == 1000
+    assert read(chunked)[0]["raw_length"] == 12_000 and read(chunked, most_chunks=10_000)[0]["raw_length"] == 10_000
+    assert read(b"\r\n\r\nHTTP/1.1 200 OK\r\n\r\n") == [] and read(b"no head") == []
+    broken = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nab\r\nzz\r\n"
+    assert read(broken)[0]["body"] == b"ab"
+
+
+def test_long_heads_and_names(spark):
+    get = b"GET / HTTP/1.1\r\nX-Long: " + b"y" * 6000 + b"\r\nHost: late.example\r\n\r\n"
+    df = table(spark, [eth(ip4(6, seg(51000, 80, get)))])
+    assert frames(df).first()["http_host"] == "late.example"
+    cut_off = frames(df, head_limit=4096).first()
+    assert cut_off["http_host"] is None and cut_off["http_truncated"]
+    # Twenty pointers in a row, then a label.
+    hops = b"".join(struct.pack(">H", 0xC000 | (12 + 2 * i + 2)) for i in range(20))
+    message = QUERY[:12] + hops + b"\x02ok\0\0\x01\0\x01"
+    assert read_name(message, 12) == ("ok", 14)
+    with pytest.raises(Overrun):
+        read_name(message, 12, most_jumps=16)
+
+
 def test_key_derivation_vectors():
     prk = bytes.fromhex("077709362c2e32df0ddc3f0dc47bba6390b6c73bb50f9c3122ec844ad7c2b3e5")
     okm = "3cb25f25faacd57a90434f64d0362f2a2d2d0a90cf1a5a4c5db02d56ecc4c5bf34007208d5b887185865"
