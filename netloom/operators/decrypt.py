@@ -16,6 +16,8 @@ from . import keys
 from .tcp import tcp_packets
 
 SESSION = ["capture_id", "session"]
+#: Records that one fold goes through.
+CHUNK = 256
 _SECRETS = {"CLIENT_TRAFFIC_SECRET_0": "client_secret", "SERVER_TRAFFIC_SECRET_0": "server_secret", "CLIENT_RANDOM": "master"}
 
 
@@ -158,10 +160,16 @@ def decrypt_tls(frames: DataFrame, keylog: DataFrame) -> DataFrame:
 
         return let(_opened(r["record"], F.col("key"), F.col("iv"), F.col("tls13"), acc["seq"]), grown)
 
-    first = F.struct(F.lit(0).cast("long").alias("seq"), F.array().cast(kind).alias("out"))
-    fast = direction.select(
-        "capture_id", "tls13", F.inline(F.aggregate("records", first, step, lambda acc: acc["out"]))
-    ).select("capture_id", "frame_index", "tls13", "plain")
+    def chunk(acc: Column, own: Column) -> Column:
+        first = F.struct(acc["seq"].alias("seq"), F.array().cast(kind).alias("out"))
+        return F.aggregate(own, first, step, lambda now: F.struct(now["seq"].alias("seq"), F.concat(acc["out"], F.array(now["out"])).alias("out")))
+
+    # Folded in chunks, because every step copies what it has gathered.
+    starts = F.sequence(F.lit(1), F.size("records"), F.lit(CHUNK))
+    chunks = F.transform(starts, lambda i: F.slice("records", i, F.lit(CHUNK)))
+    first = F.struct(F.lit(0).cast("long").alias("seq"), F.array().cast(f"array<{kind}>").alias("out"))
+    opened = F.flatten(F.aggregate(chunks, first, chunk, lambda acc: acc["out"]))
+    fast = direction.select("capture_id", "tls13", F.inline(opened)).select("capture_id", "frame_index", "tls13", "plain")
     opened = fast.unionByName(slow).withColumn("status", F.lit(None).cast("string"))
     return _described(opened.unionByName(closed))
 
