@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,12 @@ from .common import materialize, short_batches, text_blocks
 from .repeats import keyed, span, with_ranges
 
 GRAM_SHARE = 0.5
-#: Bytes that one transform covers, and the segments of one anchor from which on
-#: its windows are grouped by content over the whole cluster instead.
-TRANSFORM_BYTES = 1 << 20
+#: Bytes that one transform covers, those that one task transforms, about, and the segments
+#: of one anchor from which on its windows are grouped by content over the whole cluster.
+TRANSFORM_BYTES, TASK_BYTES = 1 << 20, 2 << 20
 HOT_SEGMENTS = 2000
+#: Tasks of the transforms at most; beyond that each gets more.
+MOST_TASKS = 20_000
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -111,15 +114,15 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
     1. Every window of ``length`` bytes is assigned to an anchor chosen by content,
        and each anchor's windows form one segment. Identical segments of an anchor
-       are one entry with a weight, so copies cost nothing further: where the weight
-       is two or more, all windows repeat. Anchors that occur once are done.
-    2. Where an anchor has different segments, one of each is fetched, and those of an
-       anchor meet in one Burrows-Wheeler transform, whose intervals are expanded
-       backward, breadth first, up to ``length``; a window repeats if its interval
-       holds weight two. Anchors with more than HOT_SEGMENTS different segments
-       (passages in very many contexts) are instead grouped by window content with
-       partial aggregation, exactly, so that no task gathers them.
-    3. The ranges go back to their documents.
+       are one class with a weight. Anchors that occur once are done, and so are those of
+       one class, which repeats as a whole: no two suffixes are left to compare.
+    2. One segment of each class of all other anchors is fetched, and those of an anchor
+       meet in one Burrows-Wheeler transform, whose intervals are expanded backward,
+       breadth first, up to ``length``; a window repeats if its interval holds weight
+       two. Only anchors with more than HOT_SEGMENTS classes (passages in very many
+       contexts) are grouped by window content with partial aggregation, which is as
+       exact and gathers nothing in one task.
+    3. A class's ranges go to all places of its segment, and from there to the documents.
 
     Anchors and segments are compared by 64-bit hashes each, together 128 bits.
     Null text counts as empty; a text below ``length`` bytes is kept. Repeated rows
@@ -154,18 +157,20 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         F.count("*").alias("segments"), F.sum("weight").alias("total"), F.min("weight").alias("least")
     )
     classes = materialize(classes.join(anchors.where("total > 1"), "a"), "byte-classes")
-    mixed = classes.where("segments > 1 and least = 1")
-    wanted = mixed.select("a", "s", "weight", "segments", "one.*")
+    wanted = classes.where("segments > 1").select("a", "s", "weight", "segments", "one.*")
+    alone = classes.where("segments = 1").select("a", "s", F.array(span(F.lit(0), F.col("one.windows") + length - 1)).alias("spans"))
     cut = F.substring(F.col("text").cast("binary"), F.col("first") + 1, F.col("windows") + length - 1).alias("bytes")
     segments = source.join(wanted, ["place", "version"]).select("a", "s", "weight", "segments", "windows", cut)
     # Repeated rows of one id would fetch a segment twice.
     segments = materialize(segments.dropDuplicates(["a", "s"]), "byte-segments")
+    size = segments.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    tasks = max(1, ceil(size / max(TASK_BYTES, size / MOST_TASKS)))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
             a, s, weight, windows, data = zip(*rows, strict=True)
             masks = repeated_starts(list(data), np.array(windows), np.array(weight), length)
-            keep = [i for i in range(len(rows)) if weight[i] == 1 and masks[i].any()]
+            keep = [i for i in range(len(rows)) if masks[i].any()]
             spans = [
                 [{"start": x, "end": y + length - 1} for x, y in zip(*_runs(masks[i]), strict=True)] for i in keep
             ]
@@ -189,7 +194,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     found = (
         segments.where(f"segments <= {HOT_SEGMENTS}")
         .select("a", "s", "weight", "windows", "bytes")
-        .repartition("a")
+        .repartition(tasks, "a")
         .sortWithinPartitions("a")
         .mapInArrow(expand, "a long, s long, spans array<struct<start:int,end:int>>")
     )
@@ -197,24 +202,13 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         "a", "s", "weight", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("windows") - 1), lambda i: F.md5(F.substring("bytes", i + 1, F.lit(length)))))
     )
     often = hot.groupBy("a", "col").agg(F.sum("weight").alias("n")).where("n > 1")
-    hot = (
-        hot.where("weight = 1")
-        .join(often, ["a", "col"])
-        .groupBy("a", "s")
-        .agg(F.collect_list(span(F.col("pos"), F.lit(length))).alias("spans"))
-    )
-    single = (
-        mixed.where("weight = 1")
-        .select("a", "s", "one.*")
-        .join(found.unionByName(hot), ["a", "s"])
-        .select(
-            "place",
-            "version",
-            F.transform("spans", lambda x: span(F.col("first") + x["start"], x["end"] - x["start"])).alias("spans"),
-        )
-    )
-    whole = places.join(classes.where("weight > 1").select("a", "s"), ["a", "s"]).select(
-        "place", "version", F.array(span(F.col("first"), F.col("windows") + length - 1)).alias("spans")
+    hot = hot.join(often, ["a", "col"]).groupBy("a", "s").agg(F.collect_list(span(F.col("pos"), F.lit(length))).alias("spans"))
+    # Written out, so that the join below has two plain sides and a hot segment's can be split.
+    repeated = materialize(found.unionByName(hot).unionByName(alone), "byte-repeated")
+    ranges = places.join(repeated, ["a", "s"]).select(
+        "place",
+        "version",
+        F.transform("spans", lambda x: span(F.col("first") + x["start"], x["end"] - x["start"])).alias("spans"),
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +236,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_ranges(source, single.unionByName(whole)).mapInArrow(
+    return with_ranges(source, ranges).mapInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
