@@ -19,7 +19,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: A random value for each byte, so that the rolling hash starts from full words.
 BYTE_VALUES = np.random.default_rng(2024).integers(0, 1 << 63, 256, dtype=np.uint64)
-_POSITION_BITS = 30
+#: An Arrow block of text has less than 2**31 bytes.
+_POSITION_BITS = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -17,11 +17,14 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from ``spark.checkpoint.dir``.
-    Only where that is unset (tests, local mode) a temporary one is chosen."""
+    """The folder every executor can reach, from ``spark.checkpoint.dir``. Where that is
+    unset, a temporary one in local mode, in which there is only one machine; on a cluster,
+    an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("netloom.shared.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="netloom-shared-")
         spark.conf.set("netloom.shared.dir", found)
     return found.rstrip("/")
@@ -35,9 +38,18 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a ``materialize``d DataFrame that nothing will read again."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, in a session whose Arrow batches hold at most ``rows`` rows: whole texts are
-    long, and a batch lies in the JVM and in the Python worker at once."""
+    long, and a batch lies in the JVM and in the Python worker at once. The session's setting
+    stays lowered, because it is read when a query runs, long after it was planned."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= rows:
         conf.set(key, str(rows))
@@ -83,5 +95,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = materialize(low.select("a", F.col("m").alias("b")).unionByName(rest).distinct(), "edges")
+        stars, old = materialize(low.select("a", F.col("m").alias("b")).unionByName(rest).distinct(), "edges"), stars
+        discard(old)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
