@@ -4,7 +4,9 @@ import gzip
 import random
 import struct
 import zlib
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from netloom.operators.names import Overrun, read_name
 from netloom.operators.http_stream import Direction, attach_bodies, http_messages
 from netloom.schema import RAW_FRAMES
 from netloom.sources.keylog import latest_secrets, parse_keylog
-from netloom.sources.pcap import MAGICS, CaptureError, read_header, read_pcap
-from netloom.streaming.live import parse_datagram
+from netloom.sources.pcap import MAGICS, CaptureError, PcapSource, read_header, read_pcap
+from netloom.streaming.live import LiveCapture, Progress, parse_datagram
 
 
 def ip4(proto, inner, src="10.0.0.1", dst="8.8.8.8"):
@@ -396,3 +398,70 @@ def test_hex_dump_beyond_four_digits(spark):
     dump = one.select(hex_dump(F.col("b"))).first()[0]
     assert [r["line"][:7] for r in (dump[0], dump[0x200], dump[0x1FFF], dump[0x2000], dump[0x2001])] == ["0000  6", "1000  6", "fff8  6", "10000  ", "10008  "]
     assert [r["at"] for r in dump] == list(range(0, 0x10009, 8)) and len({r["line"] for r in dump}) == len(dump)
+
+
+def test_live_capture_over_a_socket(spark):
+    import socket
+    import time
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    told = []
+    listener = Progress(told.append)
+    spark.streams.addListener(listener)
+    capture = LiveCapture(spark, port, "127.0.0.1")
+    try:
+        for n in (40, 3):  # the second start begins anew
+            folder = capture.start(lambda p: p.select("frame_index", "top_protocol").writeStream.format("memory").queryName(f"live{n}").start())
+            record = lambda body: struct.pack("<IIII", 1, 2, len(body), len(body)) + body
+            time.sleep(0.5)
+            with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as sender:
+                sender.sendto(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1), ("127.0.0.1", port))
+                for _ in range(n):
+                    sender.sendto(record(eth(ip4(17, dgram(51000, 53, QUERY)))), ("127.0.0.1", port))
+                sender.sendto(b"short", ("127.0.0.1", port))
+            end = time.time() + 20
+            while sum(pq.read_metadata(f).num_rows for f in Path(folder.removeprefix("file:")).glob("[!.]*.parquet")) < n + 2 and time.time() < end:
+                time.sleep(0.1)
+            capture.stop()
+            rows = spark.table(f"live{n}").collect()
+            assert sorted(r["frame_index"] for r in rows) == list(range(1, n + 1)) and {r["top_protocol"] for r in rows} == {"DNS"}
+        end = time.time() + 10
+        while not told and time.time() < end:
+            time.sleep(0.1)
+        assert told
+    finally:
+        capture.stop()
+        spark.streams.removeListener(listener)
+
+
+def test_progress_ticks():
+    told = []
+    progress = Progress(told.append)
+    event = lambda n: type("E", (), {"progress": type("P", (), {"numInputRows": n})})
+    for n in (0, 1, 20, 10, 1, 0, 64):
+        progress.onQueryProgress(event(n))
+    assert told == [1, 32, 96]
+
+
+def test_pcap_source_and_names(spark, tmp_path):
+    content = struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + struct.pack("<IIII", 1, 2, 3, 3) + b"abc"
+    (tmp_path / "a b.pcap").write_bytes(content)
+    (tmp_path / "c.pcap").write_bytes(content)
+    assert read_pcap(spark, str(tmp_path)).count() == 2
+    spark.dataSource.register(PcapSource)
+    rows = spark.read.format("pcap").load(path=str(tmp_path / "*.pcap")).collect()
+    assert sorted((r["capture_id"], r["frame_index"], bytes(r["data"])) for r in rows) == [("a b.pcap", 1, b"abc"), ("c.pcap", 1, b"abc")]
+    with pytest.raises(Exception, match="more than"):
+        read_pcap(spark, str(tmp_path), maxBytes=10).count()
+    (tmp_path / "d.pcap").write_bytes(b"\x0a\x0d\x0d\x0a" + bytes(30))
+    with pytest.raises(Exception, match="pcapng"):
+        read_pcap(spark, str(tmp_path)).count()
+
+
+def test_null_packets_and_empty_tables(spark):
+    rows = [("t", 1, 1, 0, 0, 1, None), ("t", 2, 1, 0, 0, None, bytearray(b"abc")), ("t", 3, 1, 0, 0, 1, bytearray())]
+    found = {r["frame_index"]: r for r in frames(spark.createDataFrame(rows, RAW_FRAMES)).collect()}
+    assert found[1]["l2_truncated"] and found[3]["l2_truncated"] and found[2]["top_protocol"] == "Raw"
+    assert frames(spark.createDataFrame([], RAW_FRAMES)).count() == 0
