@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,9 @@ from .common import short_batches, text_blocks
 
 #: Hashed dimensions of a document vector, dimensions of the curve, bits of each.
 HASHED, DIMS, BITS = 256, 4, 12
+#: White space in one run from which on the faster library would overflow its stack.
+LONG_RUN = 10_000
+_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class Encoder:
@@ -24,7 +28,8 @@ class Encoder:
 
     A file of the plain kind (ids in merge order) is run by the faster of the two
     installed libraries, which gives the same ids from the same vocabulary; texts that
-    contain one of the file's added tokens, and files of another kind, by the file's own.
+    contain one of the file's added tokens or a run of white space that is too long for the
+    faster one, and files of another kind, by the file's own.
     """
 
     def __init__(self, path: str):
@@ -62,7 +67,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            if self.fast is None or any(t in text for t in self.added):
+            if self.fast is None or any(t in text for t in self.added) or (len(text) > LONG_RUN and _RUN.search(text)):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             else:
                 ids = self.fast.encode_ordinary(text)
@@ -120,15 +125,17 @@ def curve_positions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def on_curve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` (null became empty) and ``key``, the place on the curve."""
+    """``doc_id, text`` (null became empty), ``key``, the place on the curve, and ``version``,
+    the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches, 1 << 20):
             keys = pa.array(curve_positions(data, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["doc_id", "text", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, batch.column(2)], ["doc_id", "text", "key", "version"])
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return short_batches(source).mapInArrow(run, "doc_id long, text string, key long")
+    source = source.withColumn("version", F.xxhash64("text"))
+    return short_batches(source).mapInArrow(run, "doc_id long, text string, key long, version long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -140,9 +147,9 @@ def pack(
     """The pieces of all documents in sequences of at most ``length`` tokens:
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
-    Documents are range-partitioned and sorted by Hilbert key, then id, so that
-    neighbours on the curve share sequences and copies (one key) still spread over
-    partitions. Inside a partition they run on without gaps: each sequence but the
+    Documents are range-partitioned and sorted by Hilbert key, then id, then text hash, so
+    that neighbours on the curve share sequences, copies (one key) still spread over
+    partitions, and a task that runs again cuts alike. Inside a partition they run on without gaps: each sequence but the
     partition's last is full, and what is left there is cut at powers of two, which
     need no padding. Texts are tokenised only after the shuffle, once, in blocks of
     about a megabyte; the keys, which the range sampling computes a second time,
@@ -197,5 +204,5 @@ def pack(
         if ready:
             yield emit(ready)
 
-    placed = on_curve(docs, id_col, text_col).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    placed = on_curve(docs, id_col, text_col).repartitionByRange("key", "doc_id", "version").sortWithinPartitions("key", "doc_id", "version")
     return placed.mapInArrow(run, PIECES)
