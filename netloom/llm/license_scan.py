@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,18 +48,54 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa4-ref",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc4-ref",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software": "zlib-origin",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "zlib-altered",
+    "this notice may not be removed or altered from any source distribution": "zlib-notice",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
     "all rights reserved": "reserved",
 }
+#: Names of licences as a sentence of any other wording may grant them, in normalised form.
+NAMES = {
+    "mit license": "mit-ref", "apache license version 2 0": "apache2-ref", "apache license 2 0": "apache2-ref", "apache 2 0 license": "apache2-ref",
+    "bsd 2 clause license": "bsd2-ref", "bsd 3 clause license": "bsd3-ref", "2 clause bsd license": "bsd2-ref", "3 clause bsd license": "bsd3-ref",
+    "isc license": "isc-ref", "zlib license": "zlib-ref", "boost software license version 1 0": "bsl-ref", "boost software license": "bsl-ref",
+    "gnu general public license version 2": "gpl2-ref", "gnu general public license version 3": "gpl3-ref", "gnu gpl version 2": "gpl2-ref",
+    "gnu gpl version 3": "gpl3-ref", "gnu affero general public license version 3": "agpl3-ref", "mozilla public license version 2 0": "mpl2-ref",
+    "mozilla public license 2 0": "mpl2-ref", "cc by 4 0": "cc-by4-ref", "cc by sa 4 0": "cc-by-sa4-ref", "cc by nc 4 0": "cc-by-nc4-ref",
+    "creative commons attribution 4 0 international license": "cc-by4-ref", "creative commons zero v1 0 universal": "cc0-ref", "cc0 1 0": "cc0-ref",
+    "unlicense": "unlicense-grant",
+}
+#: What a sentence says before such a name when it grants the licence.
+GRANT = r"\b(?:licen[sc]ed|released|distributed|available|published|provided|covered|shared)(?: [a-z]+){0,4}? under (?:an? |the )?(?:terms of )?(?:an? |the )?"
 #: Rules in the order in which they are tried at a place: an identifier sequence, where
 #: ``a?`` may be missing, and the licence it stands for.
 RULES = [
     ("apache2-ref apache-comply apache-copy? apache-warranty? apache-see?", "Apache-2.0"),
     ("apache2-ref", "Apache-2.0"),
-    ("mit-grant mit-notice mit-warranty?", "MIT"),
+    ("mit-grant mit-notice mit-warranty? mit-liability?", "MIT"),
     ("mit-ref", "MIT"),
-    ("isc-grant", "ISC"),
-    ("bsd-grant bsd-source bsd-binary bsd-endorse", "BSD-3-Clause"),
-    ("bsd-grant bsd-source bsd-binary", "BSD-2-Clause"),
+    ("isc-grant isc-warranty?", "ISC"),
+    ("isc-ref", "ISC"),
+    ("bsd-grant bsd-source bsd-binary bsd-endorse bsd-warranty?", "BSD-3-Clause"),
+    ("bsd-grant bsd-source bsd-binary bsd-warranty?", "BSD-2-Clause"),
+    ("bsd3-ref", "BSD-3-Clause"),
+    ("bsd2-ref", "BSD-2-Clause"),
+    ("zlib-warranty zlib-grant zlib-origin zlib-altered zlib-notice?", "Zlib"),
+    ("zlib-ref", "Zlib"),
+    ("bsl-grant", "BSL-1.0"),
+    ("bsl-ref", "BSL-1.0"),
+    ("agpl3-later gpl-warranty?", "AGPL-3.0-or-later"),
+    ("agpl3-ref", "AGPL-3.0-only"),
+    ("lgpl3-later gpl-warranty?", "LGPL-3.0-or-later"),
     ("gpl3-later gpl-warranty?", "GPL-3.0-or-later"),
     ("gpl2-later gpl-warranty?", "GPL-2.0-or-later"),
     ("lgpl21-later gpl-warranty?", "LGPL-2.1-or-later"),
@@ -69,13 +105,15 @@ RULES = [
     ("cc-by-nc4-ref", "CC-BY-NC-4.0"),
     ("cc-by-sa4-ref", "CC-BY-SA-4.0"),
     ("cc-by4-ref", "CC-BY-4.0"),
-    ("unlicense-grant", "Unlicense"),
+    ("cc0-ref", "CC0-1.0"),
+    ("unlicense-grant unlicense-free?", "Unlicense"),
     ("reserved", "All-Rights-Reserved"),
 ]
-#: A part of a word in every sentence above, in any case; a text without any is done.
-CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "free", "mpl", "reserved")
-#: What a known sentence begins with, word by word, up to the whole.
-_BEGINNINGS = {" ".join(s.split()[:n]) for s in SENTENCES for n in range(1, len(s.split()) + 1)}
+#: A part of a word in every sentence above and in every grant of a name, in any case; a text without any is done.
+CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "free", "mpl", "reserved", "misrepresented", "liab", "notice", "under")
+#: A tag that names its licence; what follows it is one as it stands.
+TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.I)
+TAGGED = "spdx:"
 _SPLIT = re.compile(r"(?<=[.!?:;])\s+|\n+")
 _WORD = re.compile(r"[0-9a-z]+")
 
@@ -86,29 +124,74 @@ def normalised_sentence(sentence: str) -> str:
     return " ".join(words)
 
 
+class Sentences:
+    """Known sentences and the names that any sentence may grant, ready to be looked up."""
+
+    def __init__(self, sentences: Mapping[str, str], names: Mapping[str, str]) -> None:
+        self.known, self.names = dict(sentences), dict(names)
+        # What a known sentence begins with, word by word, up to the whole.
+        self.beginnings = {" ".join(s.split()[:n]) for s in self.known for n in range(1, len(s.split()) + 1)}
+        self.grant = re.compile(GRANT + "(" + "|".join(sorted(map(re.escape, self.names), key=len, reverse=True)) + r")\b") if names else None
+
+    def granted(self, sentence: str) -> str | None:
+        """The identifier of the licence name that a sentence grants."""
+        found = self.grant.search(sentence) if self.grant and " under " in sentence else None
+        return self.names[found[1]] if found else None
+
+    def ids(self, text: str) -> list[str]:
+        """Identifiers of the known sentences of a text, in order. A sentence may run over any
+        number of line breaks: pieces are joined as long as a known sentence begins with them,
+        and the first join that is one counts. A piece that begins none counts if it, or it
+        with the piece after it, grants a licence by name."""
+        out: list[str] = []
+        for part, tag in _parts(text):
+            pieces = [p for p in (normalised_sentence(s) for s in _SPLIT.split(part)) if p]
+            at = 0
+            while at < len(pieces):
+                joined, to, found = pieces[at], at + 1, self.known.get(pieces[at])
+                while not found and joined in self.beginnings and to < len(pieces):
+                    joined, to = f"{joined} {pieces[to]}", to + 1
+                    found = self.known.get(joined)
+                if not found:
+                    found, to = self.granted(pieces[at]), at + 1
+                if not found and to < len(pieces) and not self.granted(pieces[to]) and pieces[to] not in self.known:
+                    found, to = self.granted(f"{pieces[at]} {pieces[to]}"), at + 2
+                if found:
+                    out.append(found)
+                at = to if found else at + 1
+            if tag:
+                out.append(TAGGED + " ".join(tag.split()))
+        return out
+
+
+def _parts(text: str) -> Iterator[tuple[str, str | None]]:
+    """What stands before each tag, with the tag's licence, and what stands after the last."""
+    at = 0
+    for m in TAG.finditer(text):
+        yield text[at : m.start()], m[1]
+        at = m.end()
+    yield text[at:], None
+
+
 def sentence_ids(text: str) -> list[str]:
-    """Identifiers of the known sentences of a text, in order. A sentence may run over
-    any number of line breaks: pieces are joined as long as a known sentence begins with
-    them, and the first join that is one counts."""
-    pieces = [p for p in (normalised_sentence(s) for s in _SPLIT.split(text)) if p]
-    out, at = [], 0
-    while at < len(pieces):
-        joined, to, found = pieces[at], at + 1, SENTENCES.get(pieces[at])
-        while not found and joined in _BEGINNINGS and to < len(pieces):
-            joined, to = f"{joined} {pieces[to]}", to + 1
-            found = SENTENCES.get(joined)
-        if found:
-            out.append(found)
-        at = to if found else at + 1
-    return out
+    """``Sentences.ids`` of the known ones above."""
+    return _DEFAULT.ids(text)
 
 
-def matched_licences(ids: list[str]) -> list[str]:
+_DEFAULT = Sentences(SENTENCES, NAMES)
+
+
+def matched_licences(ids: list[str], rules: Sequence[tuple[str, str]] = RULES) -> list[str]:
     """Licences of an identifier sequence: at each place the first rule that matches
-    takes what it covers; an identifier that no rule begins with is ``UNKNOWN``."""
+    takes what it covers; a tag is its own licence; an identifier that no rule begins with is
+    ``UNKNOWN``."""
     out, at = [], 0
     while at < len(ids):
-        for rule, licence in RULES:
+        if ids[at].startswith(TAGGED):
+            out.append(ids[at].removeprefix(TAGGED))
+            at += 1
+            continue
+        for rule, licence in rules:
             to = at
             for part in rule.split():
                 if to < len(ids) and ids[to] == part.rstrip("?"):
@@ -125,23 +208,32 @@ def matched_licences(ids: list[str]) -> list[str]:
     return out
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licences(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: Mapping[str, str] = SENTENCES,
+    names: Mapping[str, str] = NAMES, rules: Sequence[tuple[str, str]] = tuple(RULES),
+) -> DataFrame:
     """One row per document: ``doc_id, sentences`` (identifiers of the known licence
     sentences, in order) and ``licences`` (what the rules make of the sequence).
 
-    One pass without a shuffle over whole texts; those without a cue word never leave
-    the JVM. Null and empty texts have neither; null ids and repeated rows pass
-    through; an empty table gives no rows; further columns are ignored.
+    ``sentences`` (normalised, to identifiers), ``names`` (that any sentence may grant) and
+    ``rules`` are tables of the caller's, by default those above: reference data that every
+    task gets whole, so no corpus.
+
+    One pass without a shuffle over whole texts, however long; those without a cue word never
+    leave the JVM if the tables are the default ones. Null and empty texts have neither;
+    null ids and repeated rows pass through; an empty table gives no rows; further columns
+    are ignored.
     """
-    text = F.coalesce(docs[text_col], F.lit(""))
-    cue = F.regexp_like(text, F.lit("(?i)" + "|".join(CUES)))
+    text, known = F.coalesce(docs[text_col], F.lit("")), Sentences(sentences, names)
+    own = (dict(sentences), dict(names)) == (SENTENCES, NAMES)
+    cue = F.regexp_like(text, F.lit("(?i)" + "|".join(CUES))) if own else F.lit(True)
     source = docs.select(docs[id_col].alias("doc_id"), F.when(cue, text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.string())
         for batch in batches:
-            ids = [sentence_ids(t) if t else [] for t in batch.column(1).to_pylist()]
-            found = [matched_licences(x) for x in ids]
+            ids = [known.ids(t) if t else [] for t in batch.column(1).to_pylist()]
+            found = [matched_licences(x, rules) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, kind), pa.array(found, kind)], ["doc_id", "sentences", "licences"]
             )
