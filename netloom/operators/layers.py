@@ -1,6 +1,8 @@
 """The protocol tree: layers with fields, values as shown and the bytes they come from.
 
-Built only for detail views; lists, filters and aggregates use the flat columns."""
+Built only for detail views; lists, filters and aggregates use the flat columns. The tree is one
+SQL expression over those, put together as text: as many single column objects would take
+longer to plan than to run."""
 
 from __future__ import annotations
 
@@ -8,252 +10,242 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.bytes import cut, hex_lower, hex_number, mac, named, unsigned
+from ..functions.bytes import cut, hex_lower, named_sql
 from ..schema import FIELD, LAYER
-from .dissect import dns_type, flag_names_sql
+from .dissect import flag_names_sql
 
+_UNKNOWN = "'Unknown'"
 _CHILD = "array<struct<name:string,value:string,start:int,end:int>>"
 
 
-def _leaf(name: str | Column, value: Column, start: Column | None = None, size: Column | int = 1) -> Column:
-    end = None if start is None else start + size - 1
-    return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("name"),
-        value.cast("string").alias("value"),
-        (F.lit(None) if start is None else start).cast("int").alias("start"),
-        (F.lit(None) if end is None else end).cast("int").alias("end"),
+def _leaf(name: str, value: str, start: str | None = None, size: int | str = 1) -> str:
+    """A field without children as SQL; ``name`` is text, the others are SQL."""
+    place = "CAST(NULL AS INT) AS start, CAST(NULL AS INT) AS end" if start is None else f"CAST({start} AS INT) AS start, CAST({start} + {size} - 1 AS INT) AS end"
+    return f"struct('{name}' AS name, CAST({value} AS STRING) AS value, {place})"
+
+
+def _field(name: str, value: str, start: str, size: int | str = 1, *children: str) -> str:
+    return f"{_leaf(name, value, start, size)[:-1]}, CAST(array({', '.join(children)}) AS {_CHILD}) AS children)"
+
+
+def _fields(*fields: str) -> str:
+    """Those that are not null."""
+    return f"array_compact(array({', '.join(fields)}))"
+
+
+def _layer(name: str, start: str, end: str, summary: str, truncated: str, fields: str) -> str:
+    return (
+        f"CAST(struct({name} AS protocol, CAST({start} AS INT) AS start, CAST({end} AS INT) AS end, {summary} AS summary, {truncated} AS truncated, "
+        f"coalesce({fields}, CAST(array() AS array<{FIELD}>)) AS fields) AS {LAYER})"
     )
 
 
-def _field(name: str, value: Column, start: Column, size: Column | int = 1, *children: Column) -> Column:
-    inner = F.array(*children) if children else F.array()
-    return F.struct(*[_leaf(name, value, start, size)[k].alias(k) for k in ("name", "value", "start", "end")], inner.cast(_CHILD).alias("children")).cast(FIELD)
-
-
-def _layer(name: Column | str, start: Column, end: Column, summary: Column, truncated: Column, fields: Column) -> Column:
-    return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("protocol"),
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        summary.alias("summary"),
-        truncated.alias("truncated"),
-        F.when(fields.isNull(), F.array()).otherwise(fields).cast(f"array<{FIELD}>").alias("fields"),
-    ).cast(LAYER)
-
-
-def _coded(code: Column, names: dict[int, str], otherwise: Column | str = "Unknown") -> Column:
-    name = named(code, names, F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
-    return F.concat(code.cast("string"), F.lit(" ("), name, F.lit(")"))
-
-
-def _link() -> Column:
-    body, zero = F.col("body"), F.lit(0)
-    ethertype = F.col("ethertype")
-    kind = F.concat(hex_number(ethertype, 4), F.lit(" ("), named(ethertype, C.ETHERTYPES, F.lit("Unknown")), F.lit(")"))
-    fields = (
-        F.when(F.col("l2_truncated"), None)
-        .when(
-            F.col("l2") == C.ETHERNET,
-            F.array(_field("Destination MAC", mac(body, 0), zero, 6), _field("Source MAC", mac(body, 6), F.lit(6), 6), _field("EtherType", kind, F.lit(12), 2)),
-        )
-        .when(
-            F.col("l2") == C.SLL,
-            F.array(
-                _field("Packet type", F.col("sll_packet"), zero, 2),
-                _field("Link-layer address type", unsigned(body, 2, 2), F.lit(2), 2),
-                _field("Link-layer address length", unsigned(body, 4, 2), F.lit(4), 2),
-                _field("Protocol", hex_number(ethertype, 4), F.lit(14), 2),
-            ),
-        )
-        .otherwise(
-            F.array(
-                _field("Protocol", hex_number(ethertype, 4), zero, 2),
-                _field("Interface index", unsigned(body, 4, 4), F.lit(4), 4),
-                _field("Link-layer address type", unsigned(body, 8, 2), F.lit(8), 2),
-                _field("Packet type", F.col("sll_packet"), F.lit(10)),
-            )
-        )
+def _number(at: str, n: int, data: str = "body") -> str:
+    """The big-endian number of ``n`` bytes at an offset."""
+    return f"CAST(conv(hex(substring({data}, {at} + 1, {n})), 16, 10) AS BIGINT)"
+
+
+def _hexed(value: str, digits: int) -> str:
+    return f"concat('0x', lpad(lower(hex({value})), {digits}, '0'))"
+
+
+def _coded(code: str, names: dict[int, str], otherwise: str = "'Unknown'") -> str:
+    return f"concat({code}, ' (', {named_sql(code, names, otherwise)}, ')')"
+
+
+def _mac(at: int) -> str:
+    return f"rtrim(':', regexp_replace(lower(hex(substring(body, {at + 1}, 6))), '(..)', '$1:'))"
+
+
+def _link() -> str:
+    kind = f"concat({_hexed('ethertype', 4)}, ' (', {named_sql('ethertype', C.ETHERTYPES, _UNKNOWN)}, ')')"
+    ethernet = _fields(_field("Destination MAC", _mac(0), "0", 6), _field("Source MAC", _mac(6), "6", 6), _field("EtherType", kind, "12", 2))
+    cooked1 = _fields(
+        _field("Packet type", "sll_packet", "0", 2),
+        _field("Link-layer address type", _number("2", 2), "2", 2),
+        _field("Link-layer address length", _number("4", 2), "4", 2),
+        _field("Protocol", _hexed("ethertype", 4), "14", 2),
     )
-    end = F.when(F.col("l2_truncated"), F.greatest(F.col("size") - 1, zero)).otherwise(F.col("l3_at") - 1)
-    summary = F.when(F.col("l2") != C.SLL2, F.col("l2_info"))
-    return F.when(F.col("l2").isNotNull(), _layer(F.col("l2"), zero, end, summary, F.col("l2_truncated"), fields))
-
-
-def _network() -> Column:
-    body, at = F.col("body"), F.col("l3_at")
-    ihl = F.col("l4_at") - at
-    word = unsigned(body, at + 6, 2)
-
-    def bit(n: int) -> Column:
-        return F.when(F.shiftright(word, n).bitwiseAND(F.lit(1)) == 1, "true").otherwise("false")
-
-    four = F.array(
-        _field("Version", F.lit("4"), at),
-        _field("Header length", F.concat(ihl.cast("string"), F.lit(" bytes (IHL="), (ihl / 4).cast("int").cast("string"), F.lit(")")), at),
-        _field("Total length", unsigned(body, at + 2, 2), at + 2, 2),
-        _field("Identification", hex_number(unsigned(body, at + 4, 2), 4), at + 4, 2),
-        _field("Flags", hex_number(F.shiftright(word, 13), 1), at + 6, 1, _leaf("Don't fragment", bit(14)), _leaf("More fragments", bit(13))),
-        _field("Fragment offset", word.bitwiseAND(F.lit(0x1FFF)), at + 6, 2),
-        _field("TTL", unsigned(body, at + 8, 1), at + 8),
-        _field("Protocol", _coded(F.col("ip_protocol"), C.IP_PROTOCOLS), at + 9),
-        _field("Header checksum", hex_number(unsigned(body, at + 10, 2), 4), at + 10, 2),
-        _field("Source", F.col("src_ip"), at + 12, 4),
-        _field("Destination", F.col("dst_ip"), at + 16, 4),
+    cooked2 = _fields(
+        _field("Protocol", _hexed("ethertype", 4), "0", 2),
+        _field("Interface index", _number("4", 4), "4", 4),
+        _field("Link-layer address type", _number("8", 2), "8", 2),
+        _field("Packet type", "sll_packet", "10"),
     )
-    first = unsigned(body, at, 4)
-    six = F.array(
-        _field("Version", F.lit("6"), at),
-        _field("Traffic class", hex_number(F.shiftright(first, 20).bitwiseAND(F.lit(0xFF)), 2), at, 2),
-        _field("Flow label", hex_number(first.bitwiseAND(F.lit(0xFFFFF)), 5), at + 1, 3),
-        _field("Payload length", unsigned(body, at + 4, 2), at + 4, 2),
-        _field("Next header", _coded(F.col("ip_protocol"), C.IPV6_NEXT), at + 6),
-        _field("Hop limit", unsigned(body, at + 7, 1), at + 7),
-        _field("Source", F.col("src_ip"), at + 8, 16),
-        _field("Destination", F.col("dst_ip"), at + 24, 16),
+    fields = f"CASE WHEN l2_truncated THEN NULL WHEN l2 = '{C.ETHERNET}' THEN {ethernet} WHEN l2 = '{C.SLL}' THEN {cooked1} ELSE {cooked2} END"
+    end, summary = "IF(l2_truncated, greatest(size - 1, 0), l3_at - 1)", f"IF(l2 <> '{C.SLL2}', l2_info, NULL)"
+    return f"IF(l2 IS NULL, NULL, {_layer('l2', '0', end, summary, 'l2_truncated', fields)})"
+
+
+def _network() -> str:
+    at, word, first = "l3_at", _number("l3_at + 6", 2), _number("l3_at", 4)
+
+    def bit(n: int) -> str:
+        return f"IF({word} & {1 << n} <> 0, 'true', 'false')"
+
+    four = _fields(
+        _field("Version", "4", at),
+        _field("Header length", "concat(l4_at - l3_at, ' bytes (IHL=', (l4_at - l3_at) div 4, ')')", at),
+        _field("Total length", _number(f"{at} + 2", 2), f"{at} + 2", 2),
+        _field("Identification", _hexed(_number(f"{at} + 4", 2), 4), f"{at} + 4", 2),
+        _field("Flags", _hexed(f"shiftright({word}, 13)", 1), f"{at} + 6", 1, _leaf("Don\\'t fragment", bit(14)), _leaf("More fragments", bit(13))),
+        _field("Fragment offset", f"{word} & 8191", f"{at} + 6", 2),
+        _field("TTL", _number(f"{at} + 8", 1), f"{at} + 8"),
+        _field("Protocol", _coded("ip_protocol", C.IP_PROTOCOLS), f"{at} + 9"),
+        _field("Header checksum", _hexed(_number(f"{at} + 10", 2), 4), f"{at} + 10", 2),
+        _field("Source", "src_ip", f"{at} + 12", 4),
+        _field("Destination", "dst_ip", f"{at} + 16", 4),
     )
-    fields = F.when(~F.col("l3_ok"), None).when(F.col("l3") == C.IPV4, four).otherwise(six)
-    end = F.when(F.col("l3_ok"), F.col("l4_at") - 1).otherwise(F.greatest(F.col("size") - 1, at))
-    return F.when(F.col("l3").isNotNull(), _layer(F.col("l3"), at, end, F.col("l3_info"), F.col("l3_truncated"), fields))
-
-
-def _transport() -> Column:
-    body, at = F.col("body"), F.col("l4_at")
-    flags = F.col("tcp_flags")
-    bits = [_leaf(n, F.shiftright(flags, 8 - i).bitwiseAND(F.lit(1))) for i, n in enumerate(reversed(C.TCP_FLAGS))]
-    tcp = F.array(
-        _field("Source port", F.col("src_port"), at, 2),
-        _field("Destination port", F.col("dst_port"), at + 2, 2),
-        _field("Sequence number", F.col("tcp_seq"), at + 4, 4),
-        _field("Acknowledgement number", F.col("tcp_ack"), at + 8, 4),
-        _field("Header length", F.concat((F.col("payload_at") - at).cast("string"), F.lit(" bytes")), at + 12),
-        _field("Flags", F.expr(flag_names_sql("tcp_flags")), at + 12, 2, *bits),
-        _field("Window size", F.col("tcp_window"), at + 14, 2),
-        _field("Checksum", hex_number(unsigned(body, at + 16, 2), 4), at + 16, 2),
+    six = _fields(
+        _field("Version", "6", at),
+        _field("Traffic class", _hexed(f"shiftright({first}, 20) & 255", 2), at, 2),
+        _field("Flow label", _hexed(f"{first} & 1048575", 5), f"{at} + 1", 3),
+        _field("Payload length", _number(f"{at} + 4", 2), f"{at} + 4", 2),
+        _field("Next header", _coded("ip_protocol", C.IPV6_NEXT), f"{at} + 6"),
+        _field("Hop limit", _number(f"{at} + 7", 1), f"{at} + 7"),
+        _field("Source", "src_ip", f"{at} + 8", 16),
+        _field("Destination", "dst_ip", f"{at} + 24", 16),
     )
-    udp = F.array(
-        _field("Source port", F.col("src_port"), at, 2),
-        _field("Destination port", F.col("dst_port"), at + 2, 2),
-        _field("Length", F.col("udp_length"), at + 4, 2),
-        _field("Checksum", hex_number(unsigned(body, at + 6, 2), 4), at + 6, 2),
+    fields = f"CASE WHEN NOT l3_ok THEN NULL WHEN l3 = '{C.IPV4}' THEN {four} ELSE {six} END"
+    end = "IF(l3_ok, l4_at - 1, greatest(size - 1, l3_at))"
+    return f"IF(l3 IS NULL, NULL, {_layer('l3', at, end, 'l3_info', 'l3_truncated', fields)})"
+
+
+def _transport() -> str:
+    at = "l4_at"
+    bits = [_leaf(n, f"shiftright(tcp_flags, {8 - i}) & 1") for i, n in enumerate(reversed(C.TCP_FLAGS))]
+    ports = [_field("Source port", "src_port", at, 2), _field("Destination port", "dst_port", f"{at} + 2", 2)]
+    tcp = _fields(
+        *ports,
+        _field("Sequence number", "tcp_seq", f"{at} + 4", 4),
+        _field("Acknowledgement number", "tcp_ack", f"{at} + 8", 4),
+        _field("Header length", "concat(payload_at - l4_at, ' bytes')", f"{at} + 12"),
+        _field("Flags", flag_names_sql("tcp_flags"), f"{at} + 12", 2, *bits),
+        _field("Window size", "tcp_window", f"{at} + 14", 2),
+        _field("Checksum", _hexed(_number(f"{at} + 16", 2), 4), f"{at} + 16", 2),
     )
-    kind, other = F.col("icmp_type"), F.concat(F.lit("Type "), F.col("icmp_type").cast("string"))
-    shown = F.when(F.col("l4") == C.ICMP, _coded(kind, C.ICMP_TYPES, other)).otherwise(_coded(kind, C.ICMPV6_TYPES, other))
-    icmp = F.array(
-        _field("Type", shown, at), _field("Code", F.col("icmp_code"), at + 1), _field("Checksum", hex_number(unsigned(body, at + 2, 2), 4), at + 2, 2)
+    udp = _fields(*ports, _field("Length", "udp_length", f"{at} + 4", 2), _field("Checksum", _hexed(_number(f"{at} + 6", 2), 4), f"{at} + 6", 2))
+    kinds = [_coded("icmp_type", names, "concat('Type ', icmp_type)") for names in (C.ICMP_TYPES, C.ICMPV6_TYPES)]
+    icmp = _fields(
+        _field("Type", f"IF(l4 = '{C.ICMP}', {kinds[0]}, {kinds[1]})", at),
+        _field("Code", "icmp_code", f"{at} + 1"),
+        _field("Checksum", _hexed(_number(f"{at} + 2", 2), 4), f"{at} + 2", 2),
     )
-    fields = F.when(~F.col("l4_ok"), None).when(F.col("l4") == C.TCP, tcp).when(F.col("l4") == C.UDP, udp).otherwise(icmp)
-    end = F.coalesce(F.col("payload_at"), F.col("size")) - 1
-    return F.when(F.col("l4").isNotNull(), _layer(F.col("l4"), at, F.greatest(end, at), F.col("l4_info"), F.col("l4_truncated"), fields))
-
-
-def _application() -> Column:
-    at, payload, last = F.col("payload_at"), F.col("payload"), F.col("size") - 1
-    lines = F.col("http_lines")
-    first = F.when(F.startswith("http_first", F.lit("HTTP/")), "Status line").otherwise("Request line")
-
-    def header(x: Column) -> Column:
-        colon = F.instr(x, ":")
-        name = F.when(colon > 0, F.substr(x, F.lit(1), colon - 1)).otherwise(x)
-        value = F.when(colon > 0, F.trim(F.substr(x, colon + 1))).otherwise("")
-        return F.struct(name.alias("name"), value.alias("value"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.array().cast(_CHILD).alias("children")).cast(FIELD)
-
-    head = F.struct(first.alias("name"), F.coalesce("http_first", F.lit("")).alias("value"), at.alias("start"), (at + F.length("http_first") - 1).alias("end"), F.array().cast(_CHILD).alias("children")).cast(FIELD)
-    http = F.concat(F.array(head), F.transform(F.slice(lines, 2, F.lit(4096)), header))
-    version = named(F.col("tls_version"), C.TLS_VERSIONS, hex_number(F.col("tls_version"), 4))
-    shake = named(F.col("tls_handshake"), C.TLS_HANDSHAKES, F.concat(F.lit("Type"), F.col("tls_handshake").cast("string")))
-    shake_type = F.concat(F.col("tls_handshake").cast("string"), F.lit(" ("), shake, F.lit(")"))
-    cipher = F.concat(hex_number(F.col("tls_cipher"), 4), F.lit(" ("), named(F.col("tls_cipher"), C.TLS_CIPHERS, F.lit("Unknown")), F.lit(")"))
-    side = F.when(F.col("tls_handshake") == 1, "Client random").otherwise("Server random")
-    inner = F.filter(
-        F.array(
-            _leaf("Handshake type", shake_type, at + 5),
-            _leaf("Length", F.col("tls_handshake_length"), at + 6, 3),
-            F.when(F.col("tls_random").isNotNull(), _leaf(side, F.col("tls_random"), at + 11, 32)),
-            F.when(F.col("sni").isNotNull(), _leaf("Server Name Indication", F.col("sni"))),
-            F.when(F.col("tls_cipher").isNotNull(), _leaf("Cipher suite", cipher)),
-        ),
-        lambda x: x.isNotNull(),
+    fields = f"CASE WHEN NOT l4_ok THEN NULL WHEN l4 = '{C.TCP}' THEN {tcp} WHEN l4 = '{C.UDP}' THEN {udp} ELSE {icmp} END"
+    return f"IF(l4 IS NULL, NULL, {_layer('l4', at, f'greatest(coalesce(payload_at, size) - 1, {at})', 'l4_info', 'l4_truncated', fields)})"
+
+
+def _http() -> str:
+    nowhere = f"CAST(NULL AS INT) AS start, CAST(NULL AS INT) AS end, CAST(array() AS {_CHILD}) AS children"
+    header = (
+        "struct(IF(instr(x, ':') > 0, left(x, instr(x, ':') - 1), x) AS name, IF(instr(x, ':') > 0, trim(substr(x, instr(x, ':') + 1)), '') AS value, "
+        f"{nowhere})"
     )
-    shake_field = F.struct(
-        F.lit("Handshake").alias("name"), shake.alias("value"), (at + 5).alias("start"), F.least(at + 8 + F.col("tls_handshake_length"), last).alias("end"), inner.cast(_CHILD).alias("children")
-    ).cast(FIELD)
-    tls = F.filter(
-        F.array(
-            _field("Content type", _coded(F.col("tls_type"), C.TLS_RECORDS), at),
-            _field("Version", version, at + 1, 2),
-            _field("Length", F.col("tls_length"), at + 3, 2),
-            F.when(F.col("tls_handshake").isNotNull(), shake_field),
-        ),
-        lambda x: x.isNotNull(),
+    first = (
+        "struct(IF(startswith(http_first, 'HTTP/'), 'Status line', 'Request line') AS name, coalesce(http_first, '') AS value, payload_at AS start, "
+        f"payload_at + length(http_first) - 1 AS end, CAST(array() AS {_CHILD}) AS children)"
     )
-    dns, flags = F.col("dns"), F.col("dns.flags")
-    code, op = flags.bitwiseAND(F.lit(15)), F.shiftright(flags, 11).bitwiseAND(F.lit(15))
-    flag_text = F.concat(
-        hex_number(flags, 4), F.when(F.shiftright(flags, 15) == 1, " (response, opcode=").otherwise(" (query, opcode="),
-        named(op, C.DNS_OPCODES, F.concat(F.lit("Op"), op.cast("string"))), F.lit(", rcode="),
-        named(code, C.DNS_RCODES, F.concat(F.lit("R"), code.cast("string"))), F.lit(")"),
-    )
+    rest = "slice(http_lines, 2, greatest(size(http_lines), 1))"
+    return f"CAST(concat(array({first}), transform({rest}, x -> {header})) AS array<{FIELD}>)"
+
+
+def _tls() -> str:
+    at = "payload_at"
+    kind = named_sql("tls_handshake", C.TLS_HANDSHAKES, "concat('Type', tls_handshake)")
+    cipher = f"concat({_hexed('tls_cipher', 4)}, ' (', {named_sql('tls_cipher', C.TLS_CIPHERS, _UNKNOWN)}, ')')"
+    side = f"struct(IF(tls_handshake = 1, 'Client random', 'Server random') AS name, tls_random AS value, CAST({at} + 11 AS INT) AS start, CAST({at} + 42 AS INT) AS end)"
+    inner = _fields(
+        _leaf("Handshake type", f"concat(tls_handshake, ' (', {kind}, ')')", f"{at} + 5"),
+        _leaf("Length", "tls_handshake_length", f"{at} + 6", 3),
+        f"IF(tls_random IS NULL, NULL, {side})",
+        f"IF(sni IS NULL, NULL, {_leaf('Server Name Indication', 'sni')})",
+        f"IF(tls_cipher IS NULL, NULL, {_leaf('Cipher suite', cipher)})",
+    )
+    shake = (
+        f"struct('Handshake' AS name, {kind} AS value, CAST({at} + 5 AS INT) AS start, CAST(least({at} + 8 + tls_handshake_length, size - 1) AS INT) AS end, "
+        f"CAST({inner} AS {_CHILD}) AS children)"
+    )
+    return _fields(
+        _field("Content type", _coded("tls_type", C.TLS_RECORDS), at),
+        _field("Version", named_sql("tls_version", C.TLS_VERSIONS, _hexed("tls_version", 4)), f"{at} + 1", 2),
+        _field("Length", "tls_length", f"{at} + 3", 2),
+        f"IF(tls_handshake IS NULL, NULL, {shake})",
+    )
+
 
-    def klass(x: Column) -> Column:
-        return F.when(x == 1, "IN").otherwise(F.concat(F.lit("CLASS"), x.cast("string")))
+def _dns() -> str:
+    at = "payload_at"
+    opcode, code = "shiftright(dns.flags, 11) & 15", "dns.flags & 15"
+    other_opcode, other_code = f"concat('Op', {opcode})", f"concat('R', {code})"
+    flags = (
+        f"concat({_hexed('dns.flags', 4)}, IF(dns.flags >= 32768, ' (response, opcode=', ' (query, opcode='), "
+        f"{named_sql(opcode, C.DNS_OPCODES, other_opcode)}, ', rcode=', {named_sql(code, C.DNS_RCODES, other_code)}, ')')"
+    )
 
-    def record(x: Column, name: str, value: Column, start: Column, *more: Column) -> Column:
-        kind = F.concat(x["type"].cast("string"), F.lit(" ("), dns_type(x["type"]), F.lit(")"))
-        of_class = F.concat(x["class"].cast("string"), F.lit(" ("), klass(x["class"]), F.lit(")"))
-        return F.when(x.isNotNull(), _field(name, value, at + start, x["next"] - start, _leaf("Name", x["name"]), _leaf("Type", kind), _leaf("Class", of_class), *more))
+    def record(of: str, name: str, start: str, rest: str, *more: str) -> str:
+        kind = named_sql(f"{of}.type", C.DNS_TYPES, f"concat('TYPE', {of}.type)")
+        klass = f"IF({of}.class = 1, 'IN', concat('CLASS', {of}.class))"
+        children = (_leaf("Name", f"{of}.name"), _leaf("Type", f"concat({of}.type, ' (', {kind}, ')')"), _leaf("Class", f"concat({of}.class, ' (', {klass}, ')')"), *more)
+        shown = f"concat({of}.name, '  ', {kind}, '  ', {klass if rest == '' else rest})"
+        return f"IF({of} IS NULL, NULL, {_field(name, shown, f'{at} + {start}', f'({of}.next - {start})', *children)})"
 
-    q, a = dns["query"], dns["answer"]
-    question = record(q, "Query", F.concat(q["name"], F.lit("  "), dns_type(q["type"]), F.lit("  "), klass(q["class"])), F.lit(12))
-    answer = record(
-        a, "Answer", F.concat(a["name"], F.lit("  "), dns_type(a["type"]), F.lit("  "), a["data"], F.lit("  TTL="), a["ttl"].cast("string")), F.coalesce(q["next"], F.lit(12)),
-        _leaf("TTL", a["ttl"]), _leaf("Data length", a["length"]), _leaf("Data", a["data"]),
-    )
+    a = "dns.answer"
     counts = [("Questions", "questions"), ("Answer RRs", "answers"), ("Authority RRs", "authority"), ("Additional RRs", "additional")]
-    numbers = [_field(n, dns[k], at + 4 + 2 * i, 2) for i, (n, k) in enumerate(counts)]
-    dns_fields = F.when(
-        ~dns["truncated"],
-        F.filter(F.array(_field("Transaction ID", hex_number(dns["id"], 4), at, 2), _field("Flags", flag_text, at + 2, 2), *numbers, question, answer), lambda x: x.isNotNull()),
-    )
-    version32 = F.col("quic_version")
-    quic_version = F.concat(hex_number(version32, 8), F.lit(" ("), named(version32, {0: "Version Negotiation", 1: "v1", C.QUIC_V2: "v2"}, hex_number(version32, 8)), F.lit(")"))
-    dcid, scid = (F.length("quic_dcid") / 2).cast("int"), (F.length("quic_scid") / 2).cast("int")
-    quic = F.filter(
-        F.array(
-            _field("Header form", F.lit("Long (1)"), at),
-            _field("Packet type", _coded(F.col("quic_type"), C.QUIC_PACKETS), at),
-            _field("Version", quic_version, at + 1, 4),
-            _field("DCID length", dcid, at + 5),
-            _field("Destination CID", F.col("quic_dcid"), at + 6, dcid),
-            _field("SCID length", scid, at + 6 + dcid),
-            _field("Source CID", F.col("quic_scid"), at + 7 + dcid, scid),
-            F.when(F.col("quic_token_length").isNotNull(), _field("Token length", F.col("quic_token_length"), at + 7 + dcid + scid)),
-            F.when(F.col("quic_length").isNotNull(), _field("Length", F.col("quic_length"), at + 8 + dcid + scid)),
+    fields = _fields(
+        _field("Transaction ID", _hexed("dns.id", 4), at, 2),
+        _field("Flags", flags, f"{at} + 2", 2),
+        *[_field(n, f"dns.{k}", f"{at} + {4 + 2 * i}", 2) for i, (n, k) in enumerate(counts)],
+        record("dns.query", "Query", "12", ""),
+        record(
+            a, "Answer", "coalesce(dns.query.next, 12)", f"{a}.data, '  TTL=', {a}.ttl",
+            _leaf("TTL", f"{a}.ttl"), _leaf("Data length", f"{a}.length"), _leaf("Data", f"{a}.data"),
         ),
-        lambda x: x.isNotNull(),
+    )
+    return f"IF(dns.truncated, NULL, {fields})"
+
+
+def _quic() -> str:
+    at, dcid, scid = "payload_at", "length(quic_dcid) div 2", "length(quic_scid) div 2"
+    hexed = _hexed("quic_version", 8)
+    version = named_sql("quic_version", {0: "Version Negotiation", 1: "v1", C.QUIC_V2: "v2"}, hexed)
+    return _fields(
+        _field("Header form", "'Long (1)'", at),
+        _field("Packet type", _coded("quic_type", C.QUIC_PACKETS), at),
+        _field("Version", f"concat({hexed}, ' (', {version}, ')')", f"{at} + 1", 4),
+        _field("DCID length", dcid, f"{at} + 5"),
+        _field("Destination CID", "quic_dcid", f"{at} + 6", dcid),
+        _field("SCID length", scid, f"{at} + 6 + {dcid}"),
+        _field("Source CID", "quic_scid", f"{at} + 7 + {dcid}", scid),
+        f"IF(quic_token_length IS NULL, NULL, {_field('Token length', 'quic_token_length', f'{at} + 7 + {dcid} + {scid}')})",
+        f"IF(quic_length IS NULL, NULL, {_field('Length', 'quic_length', f'{at} + 8 + {dcid} + {scid}')})",
     )
-    l7 = F.col("l7")
-    fields = F.when(l7 == C.HTTP, http).when(l7 == C.TLS, tls).when(l7 == C.DNS, dns_fields).when(l7 == C.QUIC, quic)
-    end = F.when(l7 == C.TLS, F.least(at + 4 + F.col("tls_length"), last)).otherwise(last)
-    return F.when(l7.isNotNull() & payload.isNotNull(), _layer(l7, at, end, F.col("l7_info"), F.col("l7_truncated"), fields))
-
-
-def _metadata() -> Column:
-    at = F.col("size")
-    fields = F.array(
-        _field("Magic", F.lit("0x" + C.TRAILER_MAGIC), at, 4),
-        _field("UID", F.col("uid"), at + 4, 4),
-        _field("App name", F.col("app_name"), at + 8, 20),
-        _field("FCS (CRC32)", hex_number(F.col("fcs"), 8), at + 28, 4),
+
+
+def _application() -> str:
+    fields = f"CASE l7 WHEN '{C.HTTP}' THEN {_http()} WHEN '{C.TLS}' THEN {_tls()} WHEN '{C.DNS}' THEN {_dns()} WHEN '{C.QUIC}' THEN {_quic()} END"
+    end = f"IF(l7 = '{C.TLS}', least(payload_at + 4 + tls_length, size - 1), size - 1)"
+    return f"IF(l7 IS NULL, NULL, {_layer('l7', 'payload_at', end, 'l7_info', 'l7_truncated', fields)})"
+
+
+def _metadata() -> str:
+    fields = _fields(
+        _field("Magic", f"'0x{C.TRAILER_MAGIC}'", "size", 4),
+        _field("UID", "uid", "size + 4", 4),
+        _field("App name", "app_name", "size + 8", 20),
+        _field("FCS (CRC32)", _hexed("fcs", 8), "size + 28", 4),
     )
-    summary = F.concat("app_name", F.lit(" (UID "), F.col("uid").cast("string"), F.lit(")"))
-    return F.when(F.col("has_trailer"), _layer(C.APP_METADATA, at, at + C.TRAILER_BYTES - 1, summary, F.lit(False), fields))
+    return f"IF(has_trailer, {_layer(_METADATA, 'size', f'size + {C.TRAILER_BYTES - 1}', _SUMMARY, 'FALSE', fields)}, NULL)"
+
+
+_METADATA = f"'{C.APP_METADATA}'"
+_SUMMARY = "concat(app_name, ' (UID ', uid, ')')"
 
 
 def with_layers(frames: DataFrame) -> DataFrame:
     """The packets with ``layers``: protocol, byte range, summary, truncation and fields, each
     with its value as shown, its byte range and its children."""
-    layers = F.array(_link(), _network(), _transport(), _application(), _metadata())
-    return frames.withColumn("layers", F.filter(layers, lambda x: x.isNotNull()))
+    layers = ", ".join((_link(), _network(), _transport(), _application(), _metadata()))
+    return frames.selectExpr("*", f"array_compact(array({layers})) AS layers")
 
 
 def field_bytes(data: Column, field: Column) -> Column:
