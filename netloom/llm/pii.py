@@ -27,7 +27,7 @@ IBAN_LENGTHS = (
     "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
 )
 BASE = ("email", "ip", "card", "phone")
-#: Words that make a kind likelier in the characters before a span.
+#: Words that make a kind likelier in the characters before a span, up to the span before.
 CONTEXT = {
     "email": r"mail|contact|write|kontakt|correo|courriel",
     "ip": r"\bip\b|address|host|server|login|adresse",
@@ -36,34 +36,59 @@ CONTEXT = {
     "iban": r"iban|account|bank|konto|cuenta|compte",
 }
 CONTEXT_CHARS = 48
+#: Matches that one fold goes through.
+CHUNK = 256
+SPANS = "array<struct<kind:string,start:int,end:int,value:string,before:string>>"
 #: Confidence of a confirmed span without and with a context word.
 SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.9), "card": (0.8, 1.0), "phone": (0.6, 0.9), "iban": (0.9, 1.0)}
 #: A span beyond the base kinds is returned from this score on.
 LEAST_SCORE = 0.5
 
 
+def _chunks(values: Column) -> Column:
+    """An array cut into arrays of CHUNK values, so that a fold never carries a long one. The
+    array is bound first: within the inner lambda it would be computed for each chunk."""
+
+    def cut(all_: Column) -> Column:
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(all_, i, F.lit(CHUNK)))
+
+    return F.transform(F.array(values), cut)[0]
+
+
 def _found(text: Column, kind: str, gate: Column) -> Column:
-    """All matches of a kind as array<struct<kind, start, end, value>>; code points,
-    end exclusive. The text between matches gives the offsets. Of an IBAN, value is
-    the run and start and end are those of its head."""
+    """All matches of a kind as array<struct<kind, start, end, value, before>>; code points,
+    end exclusive. The text between matches gives the offsets, first within a chunk of
+    matches, then of the chunks; its last characters are ``before``. Of an IBAN, value
+    is the run and start and end are those of its head."""
     matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1 if kind == "iban" else 0))
     gaps = F.split(text, PATTERNS[kind], -1)
-    kinds = "array<struct<kind:string,start:int,end:int,value:string>>"
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.char_length(x["gap"])
         end = start + (4 if kind == "iban" else F.char_length(x["value"]))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(span)).cast(kinds).alias("spans"))
-
-    first = F.struct(F.lit(0).alias("pos"), F.array().cast(kinds).alias("spans"))
-    spans = F.aggregate(
-        F.zip_with(gaps, matches, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))),
-        first,
-        lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(step(acc, x)),
-        lambda acc: acc["spans"],
-    )
-    return F.when(gate, spans).otherwise(F.array().cast(kinds))
+        span = F.struct(
+            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before")
+        )
+        return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(span)).cast(SPANS).alias("spans"))
+
+    first = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("spans"))
+
+    def placed(chunks: Column) -> Column:
+        begins = F.aggregate(
+            chunks,
+            F.array(F.lit(0)),
+            lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["pos"])),
+        )
+
+        def moved(c: Column, by: Column) -> Column:
+            return F.transform(c["spans"], lambda s: s.withField("start", s["start"] + by).withField("end", s["end"] + by))
+
+        return F.flatten(F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), moved)).cast(SPANS)
+
+    spans = F.transform(F.array(F.transform(_chunks(pairs), lambda c: F.aggregate(c, first, step))), placed)[0]
+    return F.when(gate, spans).otherwise(F.array().cast(SPANS))
 
 
 def _digits(value: Column) -> Column:
@@ -115,14 +140,13 @@ def _ibans(runs: Column) -> Column:
 
     def cut(s: Column) -> Column:
         value = longest(s["value"])
-        return F.struct(s["kind"], s["start"], (s["start"] + F.char_length(value)).alias("end"), value.alias("value"))
+        return F.struct(s["kind"], s["start"], (s["start"] + F.char_length(value)).alias("end"), value.alias("value"), s["before"])
 
-    kinds = "array<struct<kind:string,start:int,end:int,value:string>>"
     return F.aggregate(
         F.filter(F.transform(runs, cut), lambda s: s["value"] != ""),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(kinds).alias("spans")),
+        F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("spans")),
         lambda acc, s: F.when(
-            s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["spans"], F.array(s)).cast(kinds).alias("spans"))
+            s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["spans"], F.array(s)).cast(SPANS).alias("spans"))
         ).otherwise(acc),
         lambda acc: acc["spans"],
     )
@@ -147,9 +171,7 @@ def pii_spans(text: Column) -> Column:
         plain, near = SCORES[kind]
 
         def scored(s: Column) -> Column:
-            at = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-            before = F.lower(F.substring(text, at + 1, s["start"] - at))
-            score = F.when(F.regexp_like(before, F.lit(CONTEXT[kind])), F.lit(near)).otherwise(F.lit(plain))
+            score = F.when(F.regexp_like(F.lower(s["before"]), F.lit(CONTEXT[kind])), F.lit(near)).otherwise(F.lit(plain))
             return F.struct(s["kind"], s["start"], s["end"], s["value"], score.alias("score"))
 
         out = F.transform(kept, scored)
@@ -161,7 +183,8 @@ def pii_spans(text: Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text`` and ``pii``: the spans of each whole text, in one pass without
     a shuffle. Null text counts as empty; null ids and repeated rows pass through;
-    an empty table gives no rows; further columns are ignored."""
+    an empty table gives no rows; further columns are ignored. A text of any length is
+    searched as a whole, in time in proportion to it and about that to its spans."""
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).select(
         "doc_id", "text", pii_spans(F.col("text")).alias("pii")
     )
@@ -173,20 +196,33 @@ def listing(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by ``<KIND>``; overlapping spans become one."""
+    """The text with each span replaced by ``<KIND>``; overlapping spans become one. Spans are
+    gone through in chunks, each over the stretch of text that it covers."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.concat(
-            acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")
-        )
-        return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), joined.alias("out"))).otherwise(
-            F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))
-        )
+    def chunk(acc: Column, own: Column) -> Column:
+        """``acc`` is where the text is done up to, and what it became."""
+        base = acc["pos"]
+        reach = F.array_max(F.transform(own, lambda s: s["end"]))
+
+        def inside(piece: Column) -> Column:
+            def step(now: Column, s: Column) -> Column:
+                joined = F.concat(
+                    now["out"], F.substring(piece, now["pos"] - base + 1, s["start"] - now["pos"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")
+                )
+                return F.when(s["start"] >= now["pos"], F.struct(s["end"].alias("pos"), joined.alias("out"))).otherwise(
+                    F.struct(F.greatest(now["pos"], s["end"]).alias("pos"), now["out"].alias("out"))
+                )
+
+            first = F.struct(base.alias("pos"), F.lit("").alias("out"))
+            return F.aggregate(own, first, step, lambda now: F.struct(now["pos"].alias("pos"), F.concat(acc["out"], F.array(now["out"])).alias("out")))
+
+        piece = F.substring(text, base + 1, F.greatest(reach - base, F.lit(0)))
+        return F.transform(F.array(piece), inside)[0]
 
     return F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)),
+        _chunks(ordered),
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out")),
+        chunk,
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1)),
     )
