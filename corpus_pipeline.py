@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def _place(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LARGEST_ID))
 
 
+def _one_of_each(docs: DataFrame, keys: list[Column], kept: DataFrame) -> DataFrame:
+    """Of the rows whose ``keys`` are among the rows of ``kept``, one for each, with their own
+    columns, whatever those are called."""
+    names = [f"_{uuid.uuid4().hex}" for _ in keys]
+    found = docs.withColumns(dict(zip(names, keys, strict=True))).join(kept.toDF(*names), names, "left_semi")
+    return found.dropDuplicates(names).drop(*names)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised stay; those without a letter go."""
     found = language_id.predict(docs, language_id.fit(docs), carry=True)
@@ -26,10 +36,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest id stays; of rows that repeat one id and
     text, one."""
-    kept = exact.exact_dedup(docs).where("kept").select(_place(F.col("doc_id")).alias("place"), "text_sha256").distinct()
-    keys = {"place": _place(docs.doc_id), "text_sha256": F.sha2(exact.normalised(docs.text), 256)}
-    found = docs.withColumns(keys).join(kept, ["place", "text_sha256"], "left_semi")
-    return found.dropDuplicates(["place", "text_sha256"]).select(*docs.columns)
+    kept = exact.exact_dedup(docs).where("kept").select(_place(F.col("doc_id")), "text_sha256").distinct()
+    return _one_of_each(docs, [_place(docs.doc_id), F.sha2(exact.normalised(docs.text), 256)], kept)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +46,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash_dedup(docs, carry=True)
     least = F.min(F.struct(_place(F.col("doc_id")).alias("place"), "version")).alias("least")
     kept = groups.groupBy("root").agg(least).select("least.*")
-    keys = {"place": _place(docs.doc_id), "version": text_version(docs.text)}
-    found = docs.withColumns(keys).join(kept, ["place", "version"], "left_semi")
-    return found.dropDuplicates(["place", "version"]).select(*docs.columns)
+    return _one_of_each(docs, [_place(docs.doc_id), text_version(docs.text)], kept)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by ``<KIND>``; ``n_chars`` follows the text."""
     found = docs.withColumn("text", pii.redacted(docs.text, pii.pii_spans(docs.text)))
-    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
