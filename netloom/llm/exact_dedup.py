@@ -28,7 +28,8 @@ def exact_dedup(
 
     Null text counts as empty. Of equal texts the smallest id stays; a null id
     stays only if its group has no other. Repeated rows with one id share all
-    flags. An empty table gives no rows; further columns are ignored.
+    flags. An empty table gives no rows; further columns are ignored. A text of any length is
+    compared as a whole.
     ``hash128`` replaces the hash (tests use a weak one).
     """
     hash128 = hash128 or (lambda text: F.unhex(F.md5(text)))

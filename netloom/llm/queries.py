@@ -97,6 +97,36 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # Every window of 50 words, then every word that one of them covers.
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        n AS (SELECT doc_id, words, len(words) AS n FROM w),
+        p AS (SELECT doc_id, words, unnest(range(1, n - 48)) AS k FROM n WHERE n >= 50),
+        win AS (SELECT doc_id, k, md5(array_to_string(words[k : k + 49], ' ')) AS h FROM p),
+        least AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS pos FROM win JOIN least USING (h) WHERE first < doc_id),
+        each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, n + 1)) AS pos FROM n),
+        kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS text FROM each ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+        SELECT n.doc_id, n.n AS n_words, n.n - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM n LEFT JOIN kept USING (doc_id)
+    """,
+    # Every string of 400 bytes, cut out of pieces of its text in hexadecimal, then runs of those that occur again.
+    "op10_suffix_dedup": r"""
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, length(h) // 2 AS n, h, unnest(range(0, length(h) // 2 - 399, 400)) AS block FROM b WHERE length(h) >= 800),
+        q AS (SELECT doc_id, n, block, substr(h, CAST(2 * block + 1 AS BIGINT), 1598) AS part FROM p),
+        r AS (SELECT doc_id, block, part, unnest(range(0, least(400, n - 399 - block))) AS j FROM q),
+        win AS (SELECT doc_id, block + j AS k, md5(substr(part, CAST(2 * j + 1 AS BIGINT), 800)) AS m FROM r),
+        often AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+        hit AS (SELECT doc_id, k FROM win SEMI JOIN often USING (m)),
+        island AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 400 THEN 0 ELSE 1 END AS begins FROM hit),
+        numbered AS (SELECT doc_id, k, sum(begins) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM island),
+        runs AS (SELECT doc_id, min(k) AS first, max(k) + 400 AS last FROM numbered GROUP BY doc_id, run),
+        gaps AS (SELECT doc_id, last, lead(first) OVER (PARTITION BY doc_id ORDER BY first) AS next FROM (SELECT * FROM runs UNION ALL SELECT doc_id, -1, 0 FROM b)),
+        kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (coalesce(next, length(h) // 2) - last) AS BIGINT)), '' ORDER BY last) AS h FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+        sums AS (SELECT doc_id, sum(last - first) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+        SELECT b.doc_id, length(b.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+        FROM b JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+    """,
     "op9_exact_dedup": r"""
         WITH norm AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

@@ -156,7 +156,8 @@ def simhash_dedup(
     Null and empty texts have fingerprint zero and are linked like any other.
     Copies share a fingerprint and count once in the search. A null id never
     becomes a component id unless its component has no other. Repeated rows give
-    repeated rows; an empty table gives none; further columns are ignored.
+    repeated rows; an empty table gives none; further columns are ignored. A text of any
+    length is read as a whole; its shingles are counted in parts of bounded size.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")

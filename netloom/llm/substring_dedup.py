@@ -98,7 +98,8 @@ def substring_dedup(
     3. In a document with a class's smallest id, the windows that a smaller id has
        are removed; in its others, the whole segment. Ranges go back to the texts.
 
-    The sketch's width follows the text's size up to 2**28 cells a row. Hashes
+    The sketch's width follows the text's size up to 2**28 cells a row, the bound of what is
+    broadcast; from there on it fills up, and more is grouped exactly. Hashes
     of a window and its anchor are compared together, 128 bits. Null text counts
     as empty, a null id as the largest. Rows with the same id are one document: they
     never remove each other's words. A text below ``length`` words is kept; an
