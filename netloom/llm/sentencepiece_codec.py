@@ -10,13 +10,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import short_batches, text_blocks
 
 SPACE = "▁"
-#: Words whose ids a Python worker keeps from block to block and task to task.
-CACHE_WORDS = 300_000
-_KNOWN: dict[str, dict[str, bytes]] = {}
+#: Bytes of words and their ids that a Python worker keeps from block to block and task to
+#: task, about, and characters of a word that is kept.
+CACHE_BYTES, KEPT_LENGTH = 64 << 20, 64
+#: What an entry takes beside its characters and ids.
+_ENTRY = 200
+
+
+class Known(dict):
+    """Words and their ids; ``size`` is about what they take."""
+
+    size = 0
+
+    def settle(self, new: dict[str, bytes]) -> None:
+        """After a block with these new words: long ones go, and all do once there is too much."""
+        for word, ids in new.items():
+            if len(word) > KEPT_LENGTH:
+                del self[word]
+            else:
+                self.size += _ENTRY + len(word) + len(ids)
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.size = 0
+
+
+_KNOWN: dict[str, Known] = {}
 # Kinds of pieces in a SentencePiece model file.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 
@@ -112,18 +135,19 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     A task collects the distinct words of each block that it has not met yet, sorts
     them and walks their trie; no text is shuffled. A null or empty text has no ids;
     null ids and repeated rows pass through; an empty table gives none; further columns
-    are ignored. U+2581 in a text counts as a space, as in the format itself.
+    are ignored. U+2581 in a text counts as a space, as in the format itself. A text without
+    spaces is one word of any length, which is not kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = load_model(model_path), _KNOWN.setdefault(model_path, {})
+        model, known = load_model(model_path), _KNOWN.setdefault(model_path, Known())
         for batch, *_ in text_blocks(batches):
             rows = [_WORDS.findall(model.prefix + t.replace(" ", SPACE)) if t else [] for t in batch.column(1).to_pylist()]
-            if len(known) > CACHE_WORDS:
-                known.clear()
             new = {w for row in rows for w in row if w not in known}
-            known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in encode_words(new, model).items())
+            found = {w: np.array(ids, np.int32).tobytes() for w, ids in encode_words(new, model).items()}
+            known.update(found)
             flat = [b"".join(map(known.__getitem__, row)) for row in rows]
+            known.settle(found)
             bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(flat), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["doc_id", "text", "ids"])
@@ -151,5 +175,4 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
                 texts.append(None if raw is None else raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
