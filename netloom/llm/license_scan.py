@@ -133,16 +133,15 @@ class Sentences:
         self.beginnings = {" ".join(s.split()[:n]) for s in self.known for n in range(1, len(s.split()) + 1)}
         self.grant = re.compile(GRANT + "(" + "|".join(sorted(map(re.escape, self.names), key=len, reverse=True)) + r")\b") if names else None
 
-    def granted(self, sentence: str) -> str | None:
-        """The identifier of the licence name that a sentence grants."""
-        found = self.grant.search(sentence) if self.grant and " under " in sentence else None
-        return self.names[found[1]] if found else None
+    def granted(self, sentence: str) -> list[str]:
+        """The identifiers of the licence names that a sentence grants, in order."""
+        return [self.names[m[1]] for m in self.grant.finditer(sentence)] if self.grant and " under " in sentence else []
 
     def ids(self, text: str) -> list[str]:
         """Identifiers of the known sentences of a text, in order. A sentence may run over any
         number of line breaks: pieces are joined as long as a known sentence begins with them,
         and the first join that is one counts. A piece that begins none counts if it, or it
-        with the piece after it, grants a licence by name."""
+        with the piece after it, grants licences by name."""
         out: list[str] = []
         for part, tag in _parts(text):
             pieces = [p for p in (normalised_sentence(s) for s in _SPLIT.split(part)) if p]
@@ -152,13 +151,12 @@ class Sentences:
                 while not found and joined in self.beginnings and to < len(pieces):
                     joined, to = f"{joined} {pieces[to]}", to + 1
                     found = self.known.get(joined)
-                if not found:
-                    found, to = self.granted(pieces[at]), at + 1
-                if not found and to < len(pieces) and not self.granted(pieces[to]) and pieces[to] not in self.known:
-                    found, to = self.granted(f"{pieces[at]} {pieces[to]}"), at + 2
-                if found:
-                    out.append(found)
-                at = to if found else at + 1
+                ids = [found] if found else self.granted(pieces[at])
+                to = to if found else at + 1
+                if not ids and to < len(pieces) and not self.granted(pieces[to]) and pieces[to] not in self.known:
+                    ids, to = self.granted(f"{pieces[at]} {pieces[to]}"), at + 2
+                out += ids
+                at = to if ids else at + 1
             if tag:
                 out.append(TAGGED + " ".join(tag.split()))
         return out

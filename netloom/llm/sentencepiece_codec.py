@@ -175,4 +175,6 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
                 texts.append(None if raw is None else raw.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    # Spark looks columns up by name on the way in, where a name may hold a dot.
+    plain = encoded.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

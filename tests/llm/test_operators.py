@@ -24,7 +24,7 @@ from netloom.llm import (
     suffix_dedup,
     vector_search,
 )
-from netloom.llm.queries import tokenizer_file
+from netloom.llm.queries import ORACLE_SQL, QUERIES, tokenizer_file
 
 # Names that the operators use inside themselves.
 SCHEMA = "doc_id long, text string, norm string, h int, key string, place int, version string, spans string"
@@ -305,7 +305,7 @@ def test_license_scan(spark):
     assert all(r["licences"] == cases[r["doc_id"]][1] for r in got)
     assert license_scan.scan_licences(empty(spark)).count() == 0
     assert all(any(c in s for c in license_scan.CUES) for s in license_scan.SENTENCES)
-    known = set(license_scan.SENTENCES.values())
+    known = {*license_scan.SENTENCES.values(), *license_scan.NAMES.values()}
     assert all(p.rstrip("?") in known for rule, _ in license_scan.RULES for p in rule.split())
 
 
@@ -477,3 +477,187 @@ def test_rare_languages_and_many_languages(spark):
     rare = [r for r in held if truth[r["doc_id"]] != "l000"]
     assert len(rare) > 300 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in rare) / len(rare) > 0.95
     assert sum(r["lang_pred"] == "l000" for r in held if truth[r["doc_id"]] == "l000") > 600
+
+
+def test_long_texts_cross_blocks(spark):
+    """Texts above one block of 4 MB, alone and beside short ones."""
+    rng = np.random.default_rng(8)
+
+    def prose(n):
+        return " ".join(map("".join, np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(0, 26, (n, 7))].tolist()))
+
+    passage = prose(80)
+    long = prose(350_000) + "1 " + passage + " 2" + prose(350_000) + "3 " + passage
+    rows = [(1, passage), (2, long), (3, prose(20)), (4, prose(30) + "4 " + passage + " 5" + prose(30))]
+    df = table(spark, rows)
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()}
+    assert removed == {1: 0, 2: 160, 3: 0, 4: 80}
+    cut_off = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.suffix_dedup(df).collect()}
+    size = len(passage)
+    # A space stands before the passage in three places and behind it in two.
+    assert cut_off[1] == (size, 1) and cut_off[2] == (2 * size + 3, 2) and cut_off[3] == (0, 0) and cut_off[4] == (size + 2, 1)
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(df.union(table(spark, [(9, long)]))).collect()}
+    assert got[9] == 2
+    marks = {r["doc_id"]: r["fingerprint"] for r in simhash_dedup.simhash_dedup(df).collect()}
+    assert marks[2] == f"{brute_fingerprint(long):016x}"
+    mail = table(spark, [(5, long + " write to a.b@example.org " + long), (6, "Licensed under the MIT License. " + long + ". All rights reserved.")])
+    found = {r["doc_id"]: r["pii"] for r in pii.find_pii(mail).collect()}
+    assert [(s["kind"], s["start"]) for s in found[5]] == [("email", len(long) + 10)] and not found[6]
+    assert {r["doc_id"]: r["licences"] for r in license_scan.scan_licences(mail).collect()} == {5: [], 6: ["MIT", "All-Rights-Reserved"]}
+
+
+def test_language_masks_and_scores_by_brute_force(spark):
+    rng = random.Random(5)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["ster", "und", "mi"], "cc": ["éo", "ña", "lo"]}
+    rows = [(i, " ".join("".join(rng.choices(syllables[l], k=2)) for _ in range(rng.randint(0, 12))), l) for i in range(250) for l in [rng.choice("abc") * 2]]
+    rows += [(900, "kalo! 7 UND ñaéo", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+        padded = b" " + data + b" "
+        return [g for g in (padded[i : i + 4] for i in range(len(padded) - 3)) if g != b"    "]
+
+    train = [(t, l) for i, t, l in rows if l and zlib.crc32(str(i).encode()) % 3 != 1]
+    size = Counter(l for _, l in train)
+    languages = sorted(size, key=lambda l: (-size[l], l))
+    counts = {l: Counter(g for t, x in train if x == l for g in set(grams(t))) for l in languages}
+    share = {l: {g: n / size[l] for g, n in counts[l].items() if n > 1 and n / size[l] >= language_id.LEAST_SHARE} for l in languages}
+    cells = np.zeros(1 << language_id.CELL_BITS, np.int64)
+    seeds = [int(s) for s in language_id._SEEDS[: language_id.HASHES]]
+
+    def places(gram):
+        return [(int.from_bytes(gram, "little") * s % (1 << 64)) >> (64 - language_id.CELL_BITS) for s in seeds]
+
+    for g in {g for l in languages for g in share[l]}:
+        best = max(share[l].get(g, 0) for l in languages)
+        for bit, l in enumerate(languages):
+            if share[l].get(g, 0) >= language_id.LEAST_RATIO * best and g in share[l]:
+                for at in places(g):
+                    cells[at] |= 1 << bit
+    fitted = language_id.fit(df)
+    assert fitted.languages == languages and np.array_equal(fitted.cells[0], cells)
+    false = [float(np.mean(cells >> b & 1)) ** language_id.HASHES for b in range(len(languages))]
+    got = {r["doc_id"]: r for r in language_id.predict(df, fitted).collect()}
+    for i, text, _ in rows:
+        all_ = grams(text)
+        hits = [sum(all(cells[p] >> b & 1 for p in places(g)) for g in all_) / max(1, len(all_)) for b in range(len(languages))]
+        scores = [min(1, max(0, (h - f) / (1 - f))) for h, f in zip(hits, false)]
+        letter = any(c.isalpha() for c in text)
+        assert got[i]["lang_pred"] == (languages[scores.index(max(scores))] if letter else "und")
+        assert got[i]["score"] == pytest.approx(max(scores) if letter else 0)
+
+
+def test_licences_by_brute_force():
+    """Every run of pieces is tried as a sentence, the shortest first."""
+    rng = random.Random(6)
+    known, names = license_scan.SENTENCES, license_scan.NAMES
+    words = ["the", "code", "mit", "license", "under", "licensed", "free", "of"]
+
+    def brute(text):
+        pieces = [" ".join(re.findall("[0-9a-z]+", p.lower())) for p in re.split(r"(?<=[.!?:;])\s+|\n+", text)]
+        pieces, out, at = [p for p in pieces if p], [], 0
+
+        def granted(s):
+            out, at = [], 0
+            while found := [(m.start(), m.start(1), -len(n), m.end(), n) for n in names for m in [re.compile(license_scan.GRANT + f"({n})" + r"\b").search(s, at)] if m]:
+                *_, at, name = min(found)
+                out.append(names[name])
+            return out
+
+        while at < len(pieces):
+            runs = [(n, known.get(" ".join(pieces[at : at + n]))) for n in range(1, len(pieces) - at + 1)]
+            n, found = next(((n, [f]) for n, f in runs if f), (1, []))
+            if not found and not (found := granted(pieces[at])):
+                after = pieces[at + 1 : at + 2]
+                if after and not granted(after[0]) and after[0] not in known and (found := granted(" ".join(pieces[at : at + 2]))):
+                    n = 2
+            out += found
+            at += n if found else 1
+        return out
+
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            sentence = rng.choice([rng.choice(sorted(known)), " ".join(rng.choices(words, k=rng.randint(1, 7))), f"this is released under the {rng.choice(sorted(names))} today"])
+            pieces = sentence.split()
+            for k in range(len(pieces) - 1):
+                pieces[k] += "\n" if rng.random() < 0.1 else " "
+            parts.append("".join(pieces) + rng.choice([". ", "\n", "; ", " "]))
+        text = "".join(parts)
+        assert license_scan.sentence_ids(text) == brute(text), text
+    assert license_scan.sentence_ids("// SPDX-License-Identifier: MIT OR  Apache-2.0\ncode") == ["spdx:MIT OR Apache-2.0"]
+    assert license_scan.matched_licences(["spdx:MIT OR Apache-2.0", "mit-ref"]) == ["MIT OR Apache-2.0", "MIT"]
+
+
+def test_licence_tables_of_the_caller(spark):
+    df = table(spark, [(1, "Use it well. Or not."), (2, "Shared under the house terms."), (3, "MIT License")])
+    got = license_scan.scan_licences(df, sentences={"use it well": "well"}, names={"house terms": "house"}, rules=[("well", "W"), ("house", "H")])
+    assert {r["doc_id"]: r["licences"] for r in got.collect()} == {1: ["W"], 2: ["H"], 3: []}
+
+
+def test_long_runs_of_white_space_are_tokenised(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = [" " * 3_000_000, "a" + "\n" * 1_000_000 + "b", "x " * 20_000, "y" * 100_000]
+    encode, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+    for text, ids in zip(texts, encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    pieces = packing.pack(table(spark, list(enumerate(texts))), path).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 0) == 3_000_001
+
+
+def test_texts_without_spaces_are_not_kept(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    rng = random.Random(3)
+    text = "".join(rng.choices("abcdefgh", k=300_000))
+    done = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, [(1, text)]), path), path).collect()
+    assert done[0]["decoded"] == text
+    known = sentencepiece_codec.Known()
+    new = {"short": b"1234", text: b"1" * 400}
+    known.update(new)
+    known.settle(new)
+    assert list(known) == ["short"] and known.size < 1000
+    known.size = sentencepiece_codec.CACHE_BYTES
+    known.update(next=b"1234")
+    known.settle({"next": b"1234"})
+    assert not known and known.size == 0
+
+
+def test_helper_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "kalo", "aa", "p")], "doc_id long, text string, lang string, `my col` string")
+    assert language_id.predict(df, language_id.fit(df), carry=True).select("row.*").columns == df.columns
+    encoded = sentencepiece_codec.encode(df, tokenizer_file("piece_bpe_32k.model")).withColumn("my.col", F.lit(1))
+    assert sentencepiece_codec.decode(encoded, tokenizer_file("piece_bpe_32k.model")).first()[-2] == 1
+
+
+def test_very_many_spans_of_one_text(spark):
+    """More spans than several chunks hold, overlapping ones among them."""
+    text = "".join(f"ip {i % 256}.1.2.{i % 300} mail a{i}@b.org tel +49 30 {i:06d}, card 4111 1111 1111 1111. " for i in range(4000))
+    got = pii.find_pii(table(spark, [(1, text), (2, "x")])).withColumn("clean", pii.redacted(F.col("text"), F.col("pii"))).collect()
+    row = next(r for r in got if r["doc_id"] == 1)
+    spans = [(s["kind"], s["start"], s["end"]) for s in row["pii"]]
+    assert [s for s in spans if s[0] in pii.BASE] == brute_pii(text) and len(spans) > 10_000
+    out, at = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, end)
+    assert row["clean"] == "".join(out) + text[at:]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = QUERIES[name](spark, sf)
+    columns = sorted(found.columns)
+    result = db.execute(ORACLE_SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    want = sorted(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == want

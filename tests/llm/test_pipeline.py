@@ -72,20 +72,65 @@ def test_pii_stage(stages):
         assert not brute_pii(r["text"]) and r["n_chars"] == len(r["text"])
 
 
-def test_packing_stage(stages):
-    before, _, after, _ = stages[1][4]
+def packed(pieces):
     have = {}
-    for p in sorted(after, key=lambda p: p["start"]):
+    for p in sorted(pieces, key=lambda p: p["start"]):
         have.setdefault(p["doc_id"], []).extend(np.frombuffer(bytes(p["ids"]), "<u4").tolist())
         assert zlib.crc32(bytes(p["ids"])) == p["ids_crc32"]
-    assert sorted(have) == sorted(r["doc_id"] for r in before)
+    return have
+
+
+def tokens(texts):
+    from tokenizers import Tokenizer
+
+    from netloom.llm.queries import tokenizer_file
+
+    tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    return {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in texts.items()}
+
+
+def test_packing_stage(stages):
+    before, _, after, _ = stages[1][4]
+    assert packed(after) == tokens({r["doc_id"]: r["text"] for r in before})
+
+
+def brute_redacted(text):
+    spans = sorted((s, e, k) for k, s, e in brute_pii(text))
+    out, at = "", 0
+    for s, e, k in spans:
+        if s >= at:
+            out += text[at:s] + f"<{k.upper()}>"
+        at = max(at, e)
+    return out + text[at:]
 
 
 def test_run(spark, stages):
+    """The whole chain against brute force over the table."""
     path, seen = stages
+    rows = sorted((r for r in seen[0][0] if r["text"] and any(c.isalpha() for c in r["text"])), key=lambda r: r["doc_id"])
+    first = {}
+    for r in rows:
+        first.setdefault(normal(r["text"]), r)
+    rows = sorted(first.values(), key=lambda r: r["doc_id"])
+    roots = components([brute_fingerprint(r["text"]) for r in rows])
+    kept = {rows[i]["doc_id"]: brute_redacted(rows[i]["text"]) for i in set(roots)}
     got = corpus_pipeline.run(spark, path).collect()
-    assert sorted((p["doc_id"], p["start"], p["ids_crc32"]) for p in got if p["start"] == 0)[:5]
-    assert {p["doc_id"] for p in got} == {p["doc_id"] for p in seen[-1][2]}
+    assert packed(got) == tokens(kept)
+    for sequence in {p["sequence_id"] for p in got}:
+        own = sorted((p["offset"], p["length"]) for p in got if p["sequence_id"] == sequence)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["place", "text_sha256", "version", "row", "my col", "key", "norm", "least", "root"]
+    rows = [(i, "kalo mika lomi " * (i % 5 + 1), "aa", "src", 5, *(f"{n}{i}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{n}` string" for n in names)).repartition(2)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns
+        found = after.collect()
+        assert found and all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 12
 
 
 def test_near_stage_keeps_one_row_of_null_and_repeated_ids(spark):
