@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import short_batches, text_blocks
 
@@ -144,7 +145,8 @@ def predict(
     is the score. Ties, and texts of which no n-gram is known, go to the language with
     more training rows. Null texts and those without a letter are ``und`` with score
     0. Repeated rows and null ids are rows like any other; an empty table gives none;
-    without any labelled row every text is ``und``.
+    without any labelled row every text is ``und``. A text of any length counts as a whole:
+    one longer than a block is a block of its own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     names = fitted.languages
@@ -178,6 +180,5 @@ def predict(
         docs[id_col].alias("doc_id"), F.lower(text).alias("text"), F.regexp_like(text, F.lit(r"\p{L}")).alias("letters"), held_out(docs[id_col]).alias("held_out"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
-    kind = docs.schema[id_col].dataType.simpleString()
-    row = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
-    return short_batches(source).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{row}")
+    out = T.StructType([source.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return short_batches(source).mapInArrow(run, out.add(source.schema["row"]) if carry else out)
