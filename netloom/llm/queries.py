@@ -7,7 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as exact
-from . import language_id, license_scan, packing, pii, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, vector_search
+from . import (
+    language_id,
+    license_scan,
+    merkle,
+    oracles,
+    packing,
+    pii,
+    resampling,
+    sentencepiece_codec,
+    sharding,
+    simhash_dedup,
+    substring_dedup,
+    suffix_dedup,
+    vector_search,
+)
 
 
 def tokenizer_file(name: str) -> str:
@@ -80,6 +94,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(documents(spark, sf_dir), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]
+    even = F.coalesce(F.crc32(docs.doc_id.cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(even, F.replace(docs.text, F.lit("\n"), F.lit(""))).otherwise(docs.text)
+    found = merkle.manifest(docs, merkle.leaf_hash(*fields, docs.text), carry={"now": merkle.leaf_hash(*fields, text)})
+    found = found.withColumn("folded_root", merkle.folded(F.col("now"), F.col("path")))
+    proof = merkle.siblings_hash(F.col("path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +127,9 @@ QUERIES = {
         op8_pii,
         op9_exact_dedup,
         op10_suffix_dedup,
+        op11_sharding,
+        op12_merkle_manifest,
+        op13_importance_resampling,
     )
 }
 
@@ -137,4 +174,7 @@ ORACLE_SQL = {
                sha256(n.norm) AS text_sha256
         FROM norm n JOIN grouped g ON n.norm = g.norm
     """,
+    "op11_sharding": oracles.SHARDING,
+    "op12_merkle_manifest": oracles.MERKLE,
+    "op13_importance_resampling": oracles.RESAMPLING,
 }

@@ -653,7 +653,8 @@ def test_queries_against_their_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name_ in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{sf}/{name_}.parquet'")
     found = QUERIES[name](spark, sf)
     columns = sorted(found.columns)
     result = db.execute(ORACLE_SQL[name])
