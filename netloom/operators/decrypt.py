@@ -11,39 +11,68 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import constants as C
-from ..functions.bytes import cut, hex_lower, hex_number, let, mostly_text, unsigned, utf8_text
+from ..functions.bytes import cut, hex_lower, hex_number, mostly_text, unsigned, utf8_text
+from ..shared import written
 from . import keys
 from .tcp import tcp_packets
 
 SESSION = ["capture_id", "session"]
-#: Records that one fold goes through.
-CHUNK = 256
+DIRECTION = [*SESSION, "epoch", "src"]
+#: Consecutive packet numbers that are counted together; longer sessions are several blocks.
+BLOCK = 1 << 16
 _SECRETS = {"CLIENT_TRAFFIC_SECRET_0": "client_secret", "SERVER_TRAFFIC_SECRET_0": "server_secret", "CLIENT_RANDOM": "master"}
 
 
-def tls_packets(frames: DataFrame) -> DataFrame:
-    """TLS packets since the last ClientHello of their session: a new one starts anew."""
-    order = Window.partitionBy(*SESSION).orderBy("frame_index")
-    hello = (F.col("tls_handshake") == 1).cast("int")
-    rows = tcp_packets(frames.where(F.col("l7") == C.TLS)).withColumn(
-        "hello", F.sum(F.coalesce(hello, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    return rows.withColumn("last", F.max("hello").over(Window.partitionBy(*SESSION))).where("hello = last and hello > 0").drop("hello", "last")
+def tls_records(frames: DataFrame) -> DataFrame:
+    """What decryption needs of a capture: hellos, and application data as ``record`` with
+    ``size`` and ``mark`` (a hash). Written to the shared folder, so that a capture is dissected once
+    however often these rows are read, and counting reads only their narrow columns."""
+    rows = tcp_packets(frames.where(F.col("l7") == C.TLS)).where("tls_handshake IN (1, 2) OR tls_type = 23")
+    end = F.least(5 + F.col("tls_length"), F.octet_length("payload"))
+    record = F.when(F.col("tls_type") == 23, cut(F.col("payload"), 0, end))
+    rows = rows.select(
+        *SESSION, "frame_index", "src", F.col("tls_handshake").alias("hello"), F.col("tls_random").alias("random"), F.col("tls_cipher").alias("cipher"),
+        record.alias("record"),
+    )
+    return written(rows.withColumns({"size": F.octet_length("record"), "mark": F.xxhash64("record")}), "tls-records")
+
+
+def _before(sums: DataFrame, by: list[str], *names: str) -> DataFrame:
+    """Of sums per block, what the blocks before it hold, for each of ``names``."""
+    window = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(window), F.lit(0)) for n in names}).drop(*names)
+
 
+def tls_epochs(records: DataFrame) -> DataFrame:
+    """The rows (without the records) behind a ClientHello, with ``epoch``, the number of
+    ClientHellos of their session so far, and ``fresh``: whether no equal record came
+    before in the epoch's direction. One port pair may carry any number of handshakes.
 
-def tls_sessions(packets: DataFrame, keylog: DataFrame) -> DataFrame:
-    """Each session's client, randoms, cipher suite, keys of both directions and, where
+    Hellos are counted inside blocks of packet numbers, and the blocks' sums added up: no window holds a whole
+    session."""
+    rows = records.drop("record").withColumn("block", F.expr(f"frame_index div {BLOCK}"))
+    own = F.coalesce((F.col("hello") == 1).cast("long"), F.lit(0))
+    starts = _before(rows.groupBy(*SESSION, "block").agg(F.sum(own).alias("hellos")), SESSION, "hellos")
+    inside = Window.partitionBy(*SESSION, "block").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("epoch", F.sum(own).over(inside)).join(starts, [*SESSION, "block"])
+    rows = rows.withColumn("epoch", F.col("epoch") + F.col("hellos_before")).where("epoch > 0").drop("hellos_before")
+    copies = Window.partitionBy(*DIRECTION, "mark", "size").orderBy("frame_index")
+    return written(rows.withColumn("fresh", F.row_number().over(copies) == 1), "tls-epochs")
+
+
+def tls_sessions(epochs: DataFrame, keylog: DataFrame) -> DataFrame:
+    """Each handshake's client, randoms, cipher suite, keys of both directions and, where
     it cannot be opened, why."""
 
     def last(value: Column, kind: int) -> Column:
-        return F.max_by(value, F.when(F.col("tls_handshake") == kind, F.col("frame_index")))
+        return F.max_by(value, F.when(F.col("hello") == kind, F.col("frame_index")))
 
-    found = packets.groupBy(SESSION).agg(
+    found = epochs.where("hello IS NOT NULL").groupBy(*SESSION, "epoch").agg(
         last(F.col("src"), 1).alias("client"),
-        F.unhex(last(F.col("tls_random"), 1)).alias("client_random"),
-        F.unhex(last(F.col("tls_random"), 2)).alias("server_random"),
-        last(F.col("tls_cipher"), 2).alias("cipher"),
-    )
+        F.unhex(last(F.col("random"), 1)).alias("client_random"),
+        F.unhex(last(F.col("random"), 2)).alias("server_random"),
+        last(F.col("cipher"), 2).alias("cipher"),
+    )
     # One row per random; a session without keys joins to nothing.
     secrets = keylog.groupBy("client_random").agg(
         *[F.max_by("secret", F.when(F.col("label") == label, F.col("line_no"))).alias(name) for label, name in _SECRETS.items()],
@@ -62,7 +91,7 @@ def tls_sessions(packets: DataFrame, keylog: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("status", status)
     rows = rows.select(
-        *SESSION, "client", "cipher", "status", is13.alias("tls13"),
+        *SESSION, "epoch", "client", "cipher", "status", is13.alias("tls13"),
         keys.tls13_keys("client_secret", "cipher").alias("c13"),
         keys.tls13_keys("server_secret", "cipher").alias("s13"),
         keys.tls12_keys("master", "client_random", "server_random", "cipher").alias("k12"),
@@ -72,7 +101,7 @@ def tls_sessions(packets: DataFrame, keylog: DataFrame) -> DataFrame:
         "server": F.when(F.col("tls13"), F.col("s13")).otherwise(F.col("k12")["server"]),
     }
     return rows.select(
-        *SESSION, "client", "cipher", "tls13",
+        *SESSION, "epoch", "client", "cipher", "tls13",
         *[side[s][p].alias(f"{s}_{p}") for s in side for p in ("key", "iv")],
         F.when(F.col("status").isNull() & F.col("cipher").isNotNull() & side["client"]["key"].isNull(), "secret of a wrong length")
         .otherwise(F.col("status")).alias("status"),
@@ -101,77 +130,125 @@ def _opened(record: Column, key: Column, iv: Column, tls13: Column, seq: Column)
     return F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
-def _chacha(group: pd.DataFrame) -> pd.DataFrame:
-    """One direction of a ChaCha20 session, which Spark's functions cannot open."""
-    out, seq = [], 0
-    for r in group.sort_values("frame_index").itertuples():
-        body = r.record[5:]
-        nonce = r.iv[:4] + (int.from_bytes(r.iv[4:], "big") ^ seq).to_bytes(8, "big")
-        aad = r.record[:5] if r.tls13 else seq.to_bytes(8, "big") + r.record[:3] + (len(body) - 16).to_bytes(2, "big", signed=True)
-        plain = keys.chacha_open(r.key, nonce, body, aad)
-        seq += plain is not None
-        out.append((r.capture_id, r.frame_index, r.tls13, plain))
-    return pd.DataFrame(out, columns=["capture_id", "frame_index", "tls13", "plain"])
+@F.pandas_udf(T.BinaryType())
+def _chacha(record: pd.Series, key: pd.Series, iv: pd.Series, tls13: pd.Series, seq: pd.Series) -> pd.Series:
+    """ChaCha20 records, which Spark's functions cannot open; null in, null out."""
+
+    def one(record: bytes | None, key: bytes, iv: bytes, tls13: bool, seq: int) -> bytes | None:
+        if record is None:
+            return None
+        body = record[5:]
+        nonce = iv[:4] + (int.from_bytes(iv[4:], "big") ^ seq).to_bytes(8, "big")
+        aad = record[:5] if tls13 else seq.to_bytes(8, "big") + record[:3] + (len(body) - 16).to_bytes(2, "big", signed=True)
+        return keys.chacha_open(key, nonce, body, aad)
+
+    return pd.Series([one(*row) for row in zip(record, key, iv, tls13, seq)], dtype=object)
+
+
+def _tried(seq: Column) -> Column:
+    """A row's record opened under a number; null where authentication fails."""
+    record, key, iv, tls13 = map(F.col, ("record", "key", "iv", "tls13"))
+    chacha = F.col("cipher").isin(*keys.CHACHA_SUITES)
+    slow = _chacha(F.when(chacha, record), key, iv, tls13, seq)
+    return F.when(chacha, slow).otherwise(_opened(record, key, iv, tls13, seq))
+
+
+def tls_numbers(epochs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Application data of sessions with a known cipher: ``place`` in its direction, and
+    ``number``, how many records before it are fresh, each among the records that are long enough to be whole
+    (``whole``); with the direction's key and IV. Counted by blocks like ``tls_epochs``."""
+    rows = epochs.where("size IS NOT NULL")
+    # A record's least size depends on the version, which is known only beside the sums.
+    tests = {f"{name}{least}": (F.col("size") >= least) & more for least in (22, 30) for name, more in (("place", F.lit(True)), ("number", F.col("fresh")))}
+    counts = {n: t.cast("long") for n, t in tests.items()}
+    by = [*DIRECTION, "block"]
+    sums = _before(rows.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in counts.items()]), DIRECTION, *tests).join(sessions, [*SESSION, "epoch"])
+    inside = Window.partitionBy(*by).orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in counts.items()}).drop("cipher", "hello", "random")
+    rows = rows.join(sums, by).where("cipher IS NOT NULL")
+
+    def chosen(name: str) -> Column:
+        return F.when(F.col("tls13"), F.col(f"{name}22") + F.col(f"{name}22_before")).otherwise(F.col(f"{name}30") + F.col(f"{name}30_before")).alias(name)
+
+    ours = F.col("src") == F.col("client")
+    return rows.select(
+        *DIRECTION, "frame_index", "fresh", "cipher", "tls13", "status", chosen("place"), chosen("number"),
+        (F.col("size") >= F.when(F.col("tls13"), 22).otherwise(30)).alias("whole"),
+        F.when(ours, F.col("client_key")).otherwise(F.col("server_key")).alias("key"),
+        F.when(ours, F.col("client_iv")).otherwise(F.col("server_iv")).alias("iv"),
+    )
 
 
 def decrypt_tls(frames: DataFrame, keylog: DataFrame) -> DataFrame:
     """A row per application-data packet of a session with a known cipher: ``status``,
     ``content_type``, ``plain`` and ``text`` (where mostly printable). ``keylog`` is parsed
-    entries.
-
-    A record's number counts the records opened before it in its direction, so a
-    direction is one fold over its records; directions and sessions run in parallel."""
-    packets = tls_packets(frames)
-    sessions = tls_sessions(packets, keylog)
-    ours = F.col("src") == F.col("client")
-    least = F.when(F.col("tls13"), 22).otherwise(30)
-    end = F.least(5 + F.col("tls_length"), F.octet_length("payload"))
-    rows = (
-        packets.where("tls_type = 23")
-        .withColumn("record", cut(F.col("payload"), 0, end))
-        .join(sessions, SESSION)
-        .where(F.col("cipher").isNotNull())
-        .select(
-            *SESSION, "src", "frame_index", "record", "cipher", "tls13", "status",
-            F.when(ours, F.col("client_key")).otherwise(F.col("server_key")).alias("key"),
-            F.when(ours, F.col("client_iv")).otherwise(F.col("server_iv")).alias("iv"),
-            (F.octet_length("record") >= least).alias("whole"),
-        )
+    entries. Each ClientHello of a port pair begins a session of its own.
+
+    A record's number counts the records opened before it in its direction. That is guessed:
+    each fresh record opens, each copy of an earlier one does not. All records are opened in
+    parallel under their guessed numbers; a direction is right up to its first surprise, and only
+    what follows there is tried again, under two guesses (as before from the surprise on, and that nothing opens
+    any more), until none is left. A gap in the capture costs one more round, a run of records that fail
+    and then open again two; no direction is gathered anywhere.
+
+    Not lazy: the dissector's TLS rows and the opened records are written to the shared folder, keys are not.
+    """
+    records = tls_records(frames)
+    epochs = tls_epochs(records)
+    numbers = tls_numbers(epochs, tls_sessions(epochs, keylog))
+    closed = numbers.where("status IS NOT NULL").select("capture_id", "frame_index", "tls13", F.lit(None).cast("binary").alias("plain"), "status")
+    open_ = numbers.where("status IS NULL AND whole").drop("status", "whole")
+    rows = open_.join(records.select("capture_id", "frame_index", "record"), ["capture_id", "frame_index"])
+    kept = [*DIRECTION, "frame_index", "tls13", "place", "number", "fresh"]
+    first = written(rows.select(*kept, _tried(F.col("number")).alias("plain")), "tls-opened")
+    opened, state = _settled(first)
+    results = [opened]
+    while not state.isEmpty():
+        again = rows.join(state, DIRECTION).where("place >= start")
+        guess = F.col("seq") + F.col("number") - F.col("base")
+        tried = written(again.select(*kept, "start", "seq", "base", _tried(guess).alias("go"), _tried(F.col("seq")).alias("halt")), "tls-opened")
+        opened, state = _resettled(tried)
+        results.append(opened)
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    return _described(found.withColumn("status", F.lit(None).cast("string")).unionByName(closed))
+
+
+_OPENED = ["capture_id", "frame_index", "tls13", "plain"]
+
+
+def _surprise(plain: str) -> Column:
+    """The first place at which a record does otherwise than guessed, with what comes behind."""
+    number, opens = F.col("number") + F.col("fresh").cast("long"), F.col(plain).isNotNull()
+    return F.min(F.when(opens != F.col("fresh"), F.struct("place", "number", number.alias("after"), opens.alias("opens"))))
+
+
+def _settled(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the first round decides, and of directions with a surprise where to go on: place
+    ``start``, number ``seq``, and the guessed number there (``base``)."""
+    found = first.groupBy(*DIRECTION).agg(_surprise("plain").alias("x")).where("x IS NOT NULL")
+    state = written(found.select(*DIRECTION, (F.col("x.place") + 1).alias("start"), (F.col("x.number") + F.col("x.opens").cast("long")).alias("seq"), F.col("x.after").alias("base")), "tls-state")
+    done = first.join(state, DIRECTION, "left").where("start IS NULL OR place < start")
+    return done.select(*_OPENED), state
+
+
+def _resettled(tried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of a further round, by the guess that holds longer."""
+    number, opens = F.col("number") + F.col("fresh").cast("long"), F.col("halt").isNotNull()
+    halts = F.min(F.when(opens, F.struct("place", number.alias("after"))))
+    own = [F.first(c).alias(c) for c in ("seq", "base")]
+    found = tried.groupBy(*DIRECTION).agg(_surprise("go").alias("go_at"), halts.alias("halt_at"), *own)
+    go = F.expr("go_at IS NULL OR (halt_at IS NOT NULL AND go_at.place >= halt_at.place)")
+    ahead = F.col("seq") + F.col("go_at.number") - F.col("base") + F.col("go_at.opens").cast("long")
+    found = found.select(
+        *DIRECTION, go.alias("goes"), F.when(go, F.col("go_at.place")).otherwise(F.col("halt_at.place")).alias("last"),
+        F.when(go, ahead).otherwise(F.col("seq") + 1).alias("seq"), F.when(go, F.col("go_at.after")).otherwise(F.col("halt_at.after")).alias("base"),
     )
-    closed = rows.where("status is not null").select("capture_id", "frame_index", "tls13", F.lit(None).cast("binary").alias("plain"), "status")
-    open_ = rows.where("status is null and whole")
-    chacha = F.col("cipher").isin(*keys.CHACHA_SUITES)
-    by = [*SESSION, "src", "key", "iv", "tls13"]
-    slow = (
-        open_.where(chacha)
-        .select(*by, "frame_index", "record")
-        .groupBy(*SESSION, "src")
-        .applyInPandas(_chacha, "capture_id string, frame_index long, tls13 boolean, plain binary")
-    )
-    direction = open_.where(~chacha).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("frame_index", "record"))).alias("records"))
-    kind = "array<struct<frame_index:bigint,plain:binary>>"
-
-    def step(acc: Column, r: Column) -> Column:
-        def grown(plain: Column) -> Column:
-            entry = F.struct(r["frame_index"].alias("frame_index"), plain.alias("plain"))
-            return F.struct(
-                (acc["seq"] + plain.isNotNull().cast("long")).alias("seq"), F.concat(acc["out"], F.array(entry)).cast(kind).alias("out")
-            )
-
-        return let(_opened(r["record"], F.col("key"), F.col("iv"), F.col("tls13"), acc["seq"]), grown)
-
-    def chunk(acc: Column, own: Column) -> Column:
-        first = F.struct(acc["seq"].alias("seq"), F.array().cast(kind).alias("out"))
-        return F.aggregate(own, first, step, lambda now: F.struct(now["seq"].alias("seq"), F.concat(acc["out"], F.array(now["out"])).alias("out")))
-
-    # Folded in chunks, because every step copies what it has gathered.
-    starts = F.sequence(F.lit(1), F.size("records"), F.lit(CHUNK))
-    chunks = F.transform(starts, lambda i: F.slice("records", i, F.lit(CHUNK)))
-    first = F.struct(F.lit(0).cast("long").alias("seq"), F.array().cast(f"array<{kind}>").alias("out"))
-    opened = F.flatten(F.aggregate(chunks, first, chunk, lambda acc: acc["out"]))
-    fast = direction.select("capture_id", "tls13", F.inline(opened)).select("capture_id", "frame_index", "tls13", "plain")
-    opened = fast.unionByName(slow).withColumn("status", F.lit(None).cast("string"))
-    return _described(opened.unionByName(closed))
+    verdict = written(found, "tls-state")
+    done = tried.drop("seq", "base").join(verdict.select(*DIRECTION, "goes", "last"), DIRECTION).where("last IS NULL OR place <= last")
+    state = verdict.where("last IS NOT NULL").select(*DIRECTION, (F.col("last") + 1).alias("start"), "seq", "base")
+    return done.withColumn("plain", F.when(F.col("goes"), F.col("go")).otherwise(F.col("halt"))).select(*_OPENED), state
 
 
 def _described(rows: DataFrame) -> DataFrame:

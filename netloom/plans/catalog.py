@@ -423,22 +423,33 @@ def keylog(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.lower(F.hex("client_random")).alias("client_random"), "label", F.lower(F.hex("secret")).alias("secret"))
 
 
-def sealed_sessions(spark: SparkSession, d: str, version13: bool, chacha: bool = False) -> tuple[DataFrame, DataFrame]:
+#: Events whose record comes a second time later, comes damaged first, or is missing.
+FAULTS = {"repeated": "event_id % 5 = 0 AND event_id % 31 <> 5", "damaged": "event_id % 7 = 3 AND event_id % 31 <> 5", "lost": "event_id % 31 = 5"}
+#: Packet numbers of one handshake's packets.
+EPOCH = 100_000_000
+
+
+def sealed_sessions(
+    spark: SparkSession, d: str, version13: bool, chacha: bool = False, suite: int | None = None, handshakes: int = 1, faulty: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """TLS sessions of users with a hello from either side and sealed application data
-    from the client, and their key log."""
+    from the client, and their key log. With ``handshakes``, a user's events are dealt to so many
+    sessions on the same ports, one after the other. ``faulty`` captures hold damaged records in front of the
+    good ones, repeat others later, and lack some."""
     e = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'view'")
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = e.select("event_id", "user_id", (rank - 1).cast("long").alias("seq"))
-    user = F.col("user_id").cast("string")
+    e = e.select("event_id", "user_id", (F.col("event_id") % handshakes).alias("epoch"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "epoch").orderBy("event_id"))
+    e = e.withColumn("seq", (rank - 1).cast("long"))
+    user = F.concat(F.col("user_id").cast("string"), F.when(F.col("epoch") > 0, F.concat(F.lit("/"), F.col("epoch").cast("string"))).otherwise(""))
     random, server_random = F.sha2(F.concat(user, F.lit("c")), 256), F.sha2(F.concat(user, F.lit("s")), 256)
-    suite = (0x1303 if chacha else 0x1301) if version13 else 0xC02F
-    users = e.select("user_id").distinct()
+    suite = suite or ((0x1303 if chacha else 0x1301) if version13 else 0xC02F)
+    users = e.select("user_id", "epoch").distinct()
     secret = F.unhex(F.sha2(F.concat(user, F.lit("k")), 256))
     master = F.concat(secret, F.unhex(F.lit("22" * 16)))
     if version13:
-        users = users.select("user_id", keys.tls13_keys(secret, F.lit(suite)).alias("k"))
+        users = users.select("user_id", "epoch", keys.tls13_keys(secret, F.lit(suite)).alias("k"))
     else:
-        users = users.select("user_id", keys.tls12_keys(master, F.unhex(random), F.unhex(server_random), F.lit(suite))["client"].alias("k"))
+        users = users.select("user_id", "epoch", keys.tls12_keys(master, F.unhex(random), F.unhex(server_random), F.lit(suite))["client"].alias("k"))
     plain = F.concat(F.lit("GET /secret/").cast("binary"), F.col("event_id").cast("string").cast("binary"))
     number = F.lpad(F.hex("seq"), 16, "0")
     if version13:
@@ -453,12 +464,19 @@ def sealed_sessions(spark: SparkSession, d: str, version13: bool, chacha: bool =
         aad = F.concat(F.unhex(number), F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(plain)), 4, "0")))
         body = F.substr(F.aes_encrypt(plain, F.col("k.key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, aad), F.lit(5))
         header = F.concat(F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(body)), 4, "0")))
-    data = e.join(users, "user_id").select("user_id", (F.col("event_id") + 10_000_000).alias("at"), F.lit(True).alias("up"), F.hex(F.concat(header, body)).alias("payload"))
+    data = e.join(users, ["user_id", "epoch"]).select("event_id", "user_id", "epoch", F.lit(True).alias("up"), F.hex(F.concat(header, body)).alias("payload"))
+    data = data.withColumn("at", F.col("event_id") + 10_000_000)
+    if faulty:
+        again = data.where(FAULTS["repeated"]).withColumn("at", F.expr("10000000 + 4 * event_id + 37"))
+        bad = data.where(FAULTS["damaged"]).selectExpr("event_id", "user_id", "epoch", "up", "concat(left(payload, length(payload) - 2), IF(right(payload, 2) = '00', '01', '00')) AS payload", "10000000 + 4 * event_id - 1 AS at")
+        data = data.where(f"NOT ({FAULTS['lost']})").withColumn("at", F.expr("10000000 + 4 * event_id")).unionByName(again).unionByName(bad)
+    data = data.drop("event_id").withColumn("at", F.col("at") + F.col("epoch") * EPOCH)
     hello = F.concat(F.lit("16030100290100002503" + "03"), random, F.lit("00" + "0002002F"))
     answer = F.concat(F.lit("160303002C02000028" + "0303"), server_random, F.lit("00"), F.lit(f"{suite:04X}"), F.lit("000000"))
-    ones = e.select("user_id").distinct()
-    hellos = ones.select("user_id", (F.col("user_id") * 2).alias("at"), F.lit(True).alias("up"), hello.alias("payload")).unionByName(
-        ones.select("user_id", (F.col("user_id") * 2 + 1).alias("at"), F.lit(False).alias("up"), answer.alias("payload"))
+    ones = e.select("user_id", "epoch").distinct()
+    at = F.col("user_id") * 2 + F.col("epoch") * EPOCH
+    hellos = ones.select("user_id", "epoch", at.alias("at"), F.lit(True).alias("up"), hello.alias("payload")).unionByName(
+        ones.select("user_id", "epoch", (at + 1).alias("at"), F.lit(False).alias("up"), answer.alias("payload"))
     )
     rows = hellos.unionByName(data)
     rows = rows.selectExpr("*", f"{synth.address('10.9.0.0')} + user_id % 256 AS client", f"{synth.address('192.0.2.44')} AS server", "20000 + user_id AS port")
@@ -477,9 +495,9 @@ def _chacha_sealed(*columns: pa.Array) -> pa.Array:
     return pa.array([keys.chacha_seal(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.binary())
 
 
-def _decrypted(version13: bool, chacha: bool = False) -> Query:
+def _decrypted(version13: bool, chacha: bool = False, **more) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        raw, log = sealed_sessions(spark, d, version13, chacha)
+        raw, log = sealed_sessions(spark, d, version13, chacha, **more)
         return decrypt.decrypt_tls(frames(raw), log).select("frame_index", "status", "text")
 
     return query
@@ -499,6 +517,20 @@ QUERIES |= {
     "tls13_decrypt": (_decrypted(True), _PLAIN),
     "tls12_decrypt": (_decrypted(False), _PLAIN),
     "tls13_chacha": (_decrypted(True, True), _PLAIN),
+    "tls_two_handshakes": (
+        _decrypted(True, handshakes=2),
+        _PLAIN.replace("event_id + 10000000 AS", f"event_id + 10000000 + event_id % 2 * {EPOCH} AS"),
+    ),
+    "tls_failed_records": (
+        _decrypted(True, faulty=True),
+        f"""WITH v AS (SELECT *, min(CASE WHEN {FAULTS['lost']} THEN event_id END) OVER (PARTITION BY user_id) AS gap FROM events WHERE event_type = 'view'),
+            r AS (
+                SELECT event_id, 10000000 + 4 * event_id AS frame_index, event_id < coalesce(gap, event_id + 1) AS ok FROM v WHERE NOT ({FAULTS['lost']})
+                UNION ALL SELECT event_id, 10000000 + 4 * event_id + 37, FALSE FROM v WHERE {FAULTS['repeated']}
+                UNION ALL SELECT event_id, 10000000 + 4 * event_id - 1, FALSE FROM v WHERE {FAULTS['damaged']})
+            SELECT frame_index, CASE WHEN ok THEN '✓ ApplicationData (' || length('GET /secret/' || event_id) || 'B)' ELSE '✗ auth failed' END AS status,
+                CASE WHEN ok THEN 'GET /secret/' || event_id END AS text FROM r""",
+    ),
 }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -18,3 +18,11 @@ def shared_path(spark: SparkSession, what: str) -> str:
         root = tempfile.mkdtemp(prefix="netloom-shared-")
         spark.conf.set("netloom.shared.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: several jobs use it without making it
+    anew, and lost executors lose none of it."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
