@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytes import cut, hex_lower, hex_number, latin1
 
@@ -46,17 +52,28 @@ def hex_dump(data: Column, width: int = 8) -> Column:
     return F.when(F.octet_length(data) > 0, rows).otherwise(F.array().cast("array<struct<at:int,line:string>>"))
 
 
+def _folded(text: str) -> str:
+    """Lower case, character by character, so that places stay what they were."""
+    if text.isascii():
+        return text.lower()
+    small = text.lower()
+    return small if len(small) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def occurrences(text: Column, needle: str) -> Column:
-    """Starts of the non-overlapping, case-insensitive occurrences, from 0."""
-    if not needle:
-        return F.array().cast("array<int>")
-    quoted = "\\Q" + needle.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    parts = F.split(F.lower(text), quoted, -1)
-    step = len(needle)
-
-    def add(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        return F.struct((end + step).alias("at"), F.concat(acc["out"], F.array(end)).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), first, add, lambda acc: acc["out"])
+    """Starts of the non-overlapping occurrences, whatever their case, from 0, in code points of
+    the text as it stands. One pass over each text, in Arrow batches; null where the text is."""
+    wanted = _folded(needle)
+
+    def find(texts: pa.Array) -> pa.Array:
+        starts, offsets = array("i"), array("i", [0])
+        for text in texts.to_pylist():
+            small, at = _folded(text or ""), 0
+            while wanted and (at := small.find(wanted, at)) >= 0:
+                starts.append(at)
+                at += len(wanted)
+            offsets.append(len(starts))
+        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(starts, np.int32) if starts else [], pa.int32()))
+        return pc.if_else(pc.is_valid(texts), lists, None)
+
+    return F.arrow_udf(find, T.ArrayType(T.IntegerType()))(text)

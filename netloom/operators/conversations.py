@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 KEY = ["capture_id", "l4", "ip_a", "port_a", "ip_b", "port_b"]
+#: What this module reads of a packet, beside its capture and number.
+READ = ["l4", "src_ip", "src_port", "dst_ip", "dst_port", "orig_len", "ts_ns", "app_name"]
 
 
 def with_endpoints(frames: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.bytes import named, named_sql
+from ..shared import written
 from . import headers as H
 from .names import dns, sni
 
@@ -123,3 +124,10 @@ def frames(raw: DataFrame, head_limit: int | None = None, most_jumps: int | None
         f"coalesce({shown}, '') AS info",
         "l2_truncated OR l3_truncated OR l4_truncated OR l7_truncated AS any_truncated",
     )
+
+
+def frames_once(raw: DataFrame) -> DataFrame:
+    """``frames(raw)`` written to the shared folder, for uses that read packets more than once: as
+    they stand and joined to what their sessions tell. Parquet keeps columns apart, so each use
+    reads only its own."""
+    return written(frames(raw), "packets")

@@ -160,7 +160,8 @@ TREE_ATOMS: dict[str, Callable[[str], Column]] = {
 
 class _Parser:
     def __init__(self, text: str, tree: bool = False) -> None:
-        self.atoms, self.tree = TREE_ATOMS if tree else ATOMS, tree
+        self.tree = tree
+        self.atoms = TREE_ATOMS if tree else ATOMS
         self.tokens = text.replace("(", " ( ").replace(")", " ) ").split()
         self.at = 0
 
@@ -217,11 +218,20 @@ class _Parser:
         return F.coalesce(self.atoms[key](argument), F.lit(False))
 
 
-def match_filter(text: str, tree: bool = False) -> Column:
+def match_filter(text: str, tree: bool = False, on_error: str = "raise") -> Column:
     """The expression as a column over ``frames()``; blank matches everything. Errors are
-    raised here, before any job. With ``tree`` it reads the column ``layers`` of
+    raised here, before any job; with ``on_error="match_all"`` an unreadable expression
+    matches everything. With ``tree`` it reads the column ``layers`` of
     ``with_layers`` instead of the flat columns, with the same answer."""
-    parser = _Parser(text, tree)
+    try:
+        return _read(_Parser(text, tree))
+    except FilterError:
+        if on_error != "match_all":
+            raise
+        return F.lit(True)
+
+
+def _read(parser: _Parser) -> Column:
     if not parser.tokens:
         return F.lit(True)
     found = parser.either()
@@ -230,12 +240,33 @@ def match_filter(text: str, tree: bool = False) -> Column:
     return found
 
 
+class _IndexParser(_Parser):
+    """Reads an expression as a necessary condition on a stretch of a capture: what an index does
+    not know, and whatever is negated, may always be there."""
+
+    def one(self) -> Column:
+        if (self.peek() or "").lower() != "not":
+            return super().one()
+        super().one()
+        return F.lit(True)
+
+    def atom(self) -> Column:
+        word, argument = (self.peek() or "").lower(), (self.tokens[self.at + 1] if self.at + 1 < len(self.tokens) else "")
+        super().atom()  # the same errors
+        from ..sources.pcap_index import may_hold
+
+        if word == "host":
+            return may_hold(f"address {argument}")
+        return may_hold(f"port {int(argument)}") if word == "port" else F.lit(True)
+
+
+def index_filter(text: str) -> Column:
+    """The expression as a column over an index of captures (``sources.pcap_index``), false only
+    for stretches without a match."""
+    return _read(_IndexParser(text))
+
+
 def filter_frames(frames: DataFrame, text: str, on_error: str = "raise") -> DataFrame:
     """The packets that match. With ``on_error="match_all"`` an unreadable expression
     matches everything."""
-    try:
-        return frames.where(match_filter(text))
-    except FilterError:
-        if on_error != "match_all":
-            raise
-        return frames
+    return frames.where(match_filter(text, on_error=on_error))

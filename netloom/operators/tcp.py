@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from .. import constants as C
 from ..functions.bytes import mostly_text, utf8_text
 from ..functions.render import occurrences
+from .dissect import frames as dissected
 
 _MASK = (1 << 32) - 1
 SESSION = ["capture_id", "session"]
@@ -162,13 +163,16 @@ def streams(chunks: DataFrame) -> DataFrame:
     )
 
 
-def follow_stream(frames: DataFrame, capture_id: str, frame_index: int) -> DataFrame:
+def follow_stream(raw: DataFrame, capture_id: str, frame_index: int) -> DataFrame:
     """The payloads of one packet's session, in order; the packet's sender is the client.
-    Nothing is deduplicated."""
-    packets = tcp_packets(frames).where(F.col("capture_id") == capture_id)
-    anchor = packets.where(F.col("frame_index") == frame_index).select("session", F.col("src").alias("anchor")).limit(1)
-    found = packets.join(anchor, "session").where("payload_len > 0")
-    return found.select("frame_index", (F.col("src") == F.col("anchor")).alias("from_client"), "payload_len", "payload")
+    Nothing is deduplicated. ``raw`` are raw packets: one is dissected first (and read by the
+    driver) to learn the session; then one capture, once. Both filters stand below the
+    dissector, where a source can apply them. No such TCP packet, no rows."""
+    own = raw.where(F.col("capture_id") == capture_id)
+    anchor = tcp_packets(dissected(own.where(F.col("frame_index") == frame_index))).select("session", "src").first()
+    session, client = anchor or ("", "")
+    found = tcp_packets(dissected(own)).where((F.col("session") == session) & (F.col("payload_len") > 0))
+    return found.select("frame_index", (F.col("src") == client).alias("from_client"), "payload_len", "payload")
 
 
 def stream_totals(segments: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from ..operators.filters import filter_frames
 from ..operators.http_stream import http_messages
 from ..operators.layers import field_bytes, with_layers
 from ..operators.listing import list_rows, sort_frames
-from ..shared import shared_path
+from ..operators.ranks import ranked_frames
+from ..shared import shared_path, written
 from ..sources.keylog import latest_secrets, parse_keylog
 from ..streaming.live import live_frames, spool_table
 from . import synth
@@ -202,7 +203,7 @@ def streams_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def follow(spark: SparkSession, d: str) -> DataFrame:
-    found = tcp.follow_stream(frames(synth.dialogue_packets(spark, d)), "dialogues", 1000)
+    found = tcp.follow_stream(synth.dialogue_packets(spark, d), "dialogues", 1000)
     return found.select("frame_index", "from_client", "payload_len", F.decode("payload", "UTF-8").alias("text"))
 
 
@@ -220,15 +221,14 @@ def bodies(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def sorted_page(spark: SparkSession, d: str) -> DataFrame:
-    """The packets in the list's order by length, descending, with their rank: a sort's order
-    is no property of a result, so the rank shows it. Ranks come from the sorted
-    partitions, not from one window over everything."""
-    rows = events(spark, d).select("frame_index", "orig_len", "top_protocol", "info")
-    counts = rows.groupBy("orig_len").agg(F.count("*").alias("n"))
-    above = counts.select("orig_len", (F.sum("n").over(Window.orderBy(F.desc("orig_len"))) - F.col("n")).alias("above"))
-    within = F.row_number().over(Window.partitionBy("orig_len").orderBy(F.desc("frame_index")))
-    return rows.join(above, "orig_len").select((F.col("above") + within).alias("rank"), "frame_index", "orig_len", "top_protocol", "info")
+def _ranked(by: str, descending: bool) -> Query:
+    """The packets in one of the list's orders with their rank: a sort's order is no property of a
+    result, so the rank shows it."""
+    return lambda spark, d: ranked_frames(events(spark, d), by, descending).select("rank", "frame_index", "orig_len", "top_protocol", "info")
+
+
+def _ranked_sql(order: str) -> str:
+    return _ev(f"SELECT row_number() OVER (ORDER BY {order}) AS rank, frame_index, orig_len, coalesce(l7, l4) AS top_protocol, {INFO} AS info FROM f")
 
 
 def text_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -314,10 +314,11 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _matching("text ß", synth.document_packets),
         "SELECT 'documents' AS capture_id, doc_id AS frame_index FROM documents WHERE contains(text, 'ß')",
     ),
-    "frames_sorted": (
-        sorted_page,
-        _ev(f"SELECT row_number() OVER (ORDER BY orig_len DESC, frame_index DESC) AS rank, frame_index, orig_len, coalesce(l7, l4) AS top_protocol, {INFO} AS info FROM f"),
-    ),
+    "frames_sorted": (_ranked("length", True), _ranked_sql("orig_len DESC, frame_index DESC")),
+    "frames_by_length": (_ranked("length", False), _ranked_sql("orig_len, frame_index")),
+    "frames_by_time": (_ranked("time", True), _ranked_sql("ts_ns DESC, frame_index DESC")),
+    "frames_by_protocol": (_ranked("protocol", False), _ranked_sql("coalesce(l7, l4), frame_index")),
+    "frames_by_info": (_ranked("info", True), _ranked_sql(f"{INFO} DESC, frame_index DESC")),
     "conversations": (lambda s, d: conv.conversations(events(s, d)), _conversations_sql()),
     "conversation_stats": (
         lambda s, d: conv.conversation_stats(events(s, d)),
@@ -326,7 +327,9 @@ QUERIES: dict[str, tuple[Query, str]] = {
             max(ts_ns) - min(ts_ns) AS duration_ns FROM k GROUP BY ALL"""),
     ),
     "conversation_frames": (
-        lambda s, d: (lambda e: conv.conversation_frames(e, conv.conversations(e).where("packets >= 2")))(events(s, d)).select("frame_index", "ip_a", "ip_b"),
+        lambda s, d: (lambda e: conv.conversation_frames(e, conv.conversations(e).where("packets >= 2")))(
+            written(events(s, d).select("capture_id", "frame_index", *conv.READ), "packets")
+        ).select("frame_index", "ip_a", "ip_b"),
         _ev("SELECT frame_index, ip_a, ip_b FROM k QUALIFY count(*) OVER (PARTITION BY l4, ip_a, port_a, ip_b, port_b) >= 2"),
     ),
     "app_traffic": (

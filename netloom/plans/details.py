@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decrypt, enrich, filters, keys, listing, tcp
-from ..operators.dissect import frames
+from ..operators.dissect import frames, frames_once
 from ..operators.http_stream import attach_bodies, http_messages
 from ..operators.layers import with_layers
 from ..shared import shared_path
 from ..sources.keylog import count_sessions, parse_keylog
 from ..sources.pcap import read_pcap, write_pcap
+from ..sources.pcap_index import index_captures, search_captures
 from ..streaming.live import parsed_datagrams, read_spool, spool_table
 from . import synth
 from .catalog import ANALYSIS, DIALOGUES, EV, INFO, Query, events, keylog_lines, sealed_sessions
@@ -42,6 +43,30 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return found.select("ts_ns", "cap_len", "orig_len", "link_type", "src_ip", "top_protocol")
 
 
+def captures_of_one_name(spark: SparkSession, d: str) -> DataFrame:
+    """Packets dealt out to captures of the same names in two folders, read back together: packets and
+    different numbers of each, and the sessions found in it."""
+    root = shared_path(spark, "captures")
+    for half in (0, 1):
+        own = {"capture_id": "concat('c', event_id div 2 % 4)", "frame_index": "event_id div 8 + 1"}
+        write_pcap(synth.event_packets(spark, d, **own).where(f"(ts_ns div 1000000) % 2 = {half}"), f"{root}/half{half}")
+    found = frames(read_pcap(spark, f"{root}/*/*.pcap", splitBytes=1 << 16))
+    place = F.regexp_extract("capture_id", r"^half(\d)/c(\d)", 1), F.regexp_extract("capture_id", r"^half(\d)/c(\d)", 2)
+    return found.groupBy(place[0].alias("half"), place[1].alias("part")).agg(
+        F.count("*").alias("packets"), F.count_distinct("capture_id", "frame_index").alias("numbers"), F.sum("orig_len").alias("bytes")
+    )
+
+
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The events' packets as files with an index, searched by host and port: stretches without a match
+    are not read."""
+    folder, index = shared_path(spark, "captures"), shared_path(spark, "index")
+    write_pcap(synth.event_packets(spark, d), folder)
+    index_captures(spark, f"{folder}/*.pcap", index, 1 << 14)
+    found = search_captures(spark, f"{folder}/*.pcap", index, "port 53 and (host 10.0.0.7 or host 198.51.100.2 or not udp)")
+    return found.select("ts_ns", "cap_len", "src_ip", "dst_ip", "top_protocol")
+
+
 def _quic_sealed(*columns: pa.Array) -> pa.Array:
     """Header and sealed payload with the packet number's and first byte's masks applied."""
 
@@ -86,7 +111,7 @@ def coded_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attached(spark: SparkSession, d: str) -> DataFrame:
-    packets = frames(synth.page_packets(spark, d))
+    packets = frames_once(synth.page_packets(spark, d))
     found = attach_bodies(packets, http_messages(tcp.reassemble(packets))).where("http_bodies is not null")
     return found.select("frame_index", F.array_join("http_bodies", "; ").alias("bodies"))
 
@@ -100,14 +125,14 @@ UNREADABLE = {
 def filter_errors(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with expressions, and how many packets are left where an unreadable one
     matches everything."""
-    packets, rows = synth.event_packets(spark, d), []
+    packets, found = events(spark, d), []
     for text in UNREADABLE:
         try:
             filters.match_filter(text)
         except filters.FilterError as e:
-            rows.append((text, type(e).__name__, "" if e.got is None else str(e.got)))
-    shown = filters.filter_frames(frames(packets), "garbage", on_error="match_all").agg(F.count("*").alias("shown"))
-    return spark.createDataFrame(rows, "text string, error string, got string").crossJoin(F.broadcast(shown))
+            shown = F.count_if(filters.match_filter(text, on_error="match_all"))
+            found.append(F.struct(F.lit(text).alias("text"), F.lit(type(e).__name__).alias("error"), F.lit("" if e.got is None else str(e.got)).alias("got"), shown.alias("shown")))
+    return packets.agg(F.array(*found).alias("rows")).select(F.inline("rows"))
 
 
 TEXTS = ("tcp or quic", "port 53 and not host 1.0.0.3", "sni site3", "http.path item/1", "http.method GET and http.host site2", "url site4", "dns.name SITE5", "app app1", "not (udp or icmp)", "")
@@ -144,7 +169,7 @@ def _layer_fields(tree: DataFrame, protocol: str, *names: str) -> DataFrame:
 
 
 def tcp_tree(spark: SparkSession, d: str) -> DataFrame:
-    packets = frames(synth.dialogue_packets(spark, d))
+    packets = frames_once(synth.dialogue_packets(spark, d))
     return _layer_fields(enrich.with_tcp_analysis(with_layers(packets), tcp.analyse(packets)), "TCP", "Relative Seq", "Relative Ack", "TCP Analysis").select(
         "frame_index", "fields", F.regexp_extract("summary", r"\[TCP .*\]$", 0).alias("tail")
     )
@@ -152,13 +177,13 @@ def tcp_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def tls_tree(spark: SparkSession, d: str) -> DataFrame:
     raw, log = sealed_sessions(spark, d, True)
-    packets = frames(raw)
+    packets = frames_once(raw)
     tree = enrich.with_tls_plaintext(with_layers(packets), decrypt.decrypt_tls(packets, log))
     return _layer_fields(tree, "TLS", "Decryption", "Decrypted (hex)", "Decrypted (text)").drop("summary")
 
 
 def quic_tree(spark: SparkSession, d: str) -> DataFrame:
-    packets = frames(quic_packets(spark, d))
+    packets = frames_once(quic_packets(spark, d))
     tree = enrich.with_quic_plaintext(with_layers(packets), decrypt.decrypt_quic_initials(packets))
     return _layer_fields(tree, "QUIC", "Initial decryption", "CRYPTO frame", "CRYPTO data (hex)", "Handshake").drop("summary")
 
@@ -169,11 +194,11 @@ def payload_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_matches(spark: SparkSession, d: str) -> DataFrame:
-    return tcp.search_stream(tcp.follow_stream(frames(synth.dialogue_packets(spark, d)), "dialogues", 1000), "e")
+    return tcp.search_stream(tcp.follow_stream(synth.dialogue_packets(spark, d), "dialogues", 1000), "e")
 
 
 def stream_totals(spark: SparkSession, d: str) -> DataFrame:
-    return tcp.stream_totals(tcp.follow_stream(frames(synth.dialogue_packets(spark, d)), "dialogues", 1000))
+    return tcp.stream_totals(tcp.follow_stream(synth.dialogue_packets(spark, d), "dialogues", 1000))
 
 
 _HTTP_PAGES = "SELECT page_id * 1000 + 1 AS frame_index, page_id, coalesce(html, '') AS html FROM pages"
@@ -195,6 +220,16 @@ QUERIES: dict[str, tuple[Query, str]] = {
         files,
         f"WITH {EV} SELECT (ts_ns // 1000) * 1000 AS ts_ns, CAST(cap_len AS INT) AS cap_len, orig_len, 1 AS link_type, src_ip, coalesce(l7, l4) AS top_protocol FROM f",
     ),
+    "captures_of_one_name": (
+        captures_of_one_name,
+        f"""WITH {EV} SELECT CAST((ts_ns // 1000000) % 2 AS VARCHAR) AS half, CAST((event_id // 2) % 4 AS VARCHAR) AS part, count(*) AS packets, count(*) AS numbers,
+            CAST(sum(orig_len) AS BIGINT) AS bytes FROM f GROUP BY ALL""",
+    ),
+    "indexed_search": (
+        indexed_search,
+        f"""WITH {EV} SELECT (ts_ns // 1000) * 1000 AS ts_ns, CAST(cap_len AS INT) AS cap_len, src_ip, dst_ip, coalesce(l7, l4) AS top_protocol FROM f
+            WHERE 53 IN (src_port, dst_port) AND ('10.0.0.7' IN (src_ip, dst_ip) OR '198.51.100.2' IN (src_ip, dst_ip) OR l4 <> 'UDP')""",
+    ),
     "quic_initial": (
         quic_opened,
         """SELECT event_id AS frame_index, event_id % 1000 AS packet_number, CAST(0 AS BIGINT) AS at, CAST(8 AS BIGINT) AS size, '01' || printf('%014x', event_id) AS data

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from glob import glob
 from itertools import chain, groupby
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as fs
@@ -89,9 +90,31 @@ def split_records(path: str, size: int, split: int) -> Iterator[tuple[int, int,
             yield start, size, first
 
 
-def read_records(path: str, start: int, end: int, first: int, strict: bool) -> Iterator[pa.RecordBatch]:
-    """The packets of a stretch, as Arrow batches of ``schema.RAW_FRAMES``."""
-    name = path.rsplit("/", 1)[-1]
+def _local(path: str) -> str:
+    """A path without scheme and host."""
+    scheme = re.match("[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", path)
+    return "/" + path[scheme.end() :] if scheme else os.path.abspath(path)
+
+
+def capture_root(path: str) -> str:
+    """The folder below which captures are named: what stands before the first wildcard of a path
+    or pattern."""
+    local = _local(path)
+    fixed = re.split(r"[*?\[{]", local)[0]
+    return fixed.rstrip("/") if fixed == local else fixed.rsplit("/", 1)[0]
+
+
+def capture_name(path: str, root: str) -> str:
+    """A capture's id: its file's path below ``root``, so that files of one name in several folders stay
+    apart; the file's name where the root is the file itself; else the whole path."""
+    local = unquote(_local(path)) if path.startswith("file:") else _local(path)
+    if local == root:
+        return local.rsplit("/", 1)[-1]
+    return local.removeprefix(f"{root}/") if local.startswith(f"{root}/") else path
+
+
+def read_records(path: str, start: int, end: int, first: int, strict: bool, name: str) -> Iterator[pa.RecordBatch]:
+    """The packets of a stretch, as Arrow batches of ``schema.RAW_FRAMES``; ``name`` is the capture's."""
     with open_file(path) as f:
         order, unit, link = read_header(f.read(24))
         head = struct.Struct(order + "IIiI")
@@ -153,7 +176,7 @@ class PcapReader(DataSourceReader):
         return found
 
     def read(self, partition: PcapPartition) -> Iterator[pa.RecordBatch]:
-        return read_records(partition.path, 24, partition.size, 1, self.strict)
+        return read_records(partition.path, 24, partition.size, 1, self.strict, capture_name(partition.path, capture_root(self.path)))
 
 
 class PcapSource(DataSource):
@@ -175,30 +198,43 @@ def check_size(path: str, size: int, most: int) -> None:
 
 def read_pcap(spark: SparkSession, path: str, mode: str = "PERMISSIVE", maxBytes: int = 0, splitBytes: int = SPLIT_BYTES) -> DataFrame:
     """Raw packets of the capture files at ``path``, which Spark lists, so that it may be any
-    folder or pattern that Spark and Arrow both reach.
+    folder or pattern that Spark and Arrow both reach. A capture's id is its file's path below what
+    stands before the first wildcard.
 
-    The driver reads no file. One stage of tasks follows each file's record lengths and
-    gives stretches of ``splitBytes``; these are dealt out evenly and read by a second
-    stage. A packet's number needs all lengths before it, hence the first stage; files are
-    independent of each other in both."""
-    strict, most, split = mode.upper() == "FAILFAST", int(maxBytes), int(splitBytes)
+    The driver reads no file. Tasks find stretches of about ``splitBytes`` (``stretches.plan_stretches``),
+    many of one file at a time; these are dealt out evenly and read by a second stage."""
+    from .stretches import plan_stretches
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                check_size(file, size, most)
-                rows = [(file, *part) for part in split_records(file, size, split)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "start", "end", "first"])
+    files = list_captures(spark, path)
+    return read_stretches(plan_stretches(files, int(splitBytes), int(maxBytes)), path, mode, int(maxBytes))
+
+
+def list_captures(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, modificationTime`` of files, without their contents."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+
+
+def read_stretches(parts: DataFrame, root: str, mode: str = "PERMISSIVE", most: int = 0) -> DataFrame:
+    """The raw packets of stretches (``path, start, end, first``)."""
+    return stretch_rows(parts, root, mode, most).drop("path", "start")
+
+
+def stretch_rows(parts: DataFrame, root: str = "/", mode: str = "PERMISSIVE", most: int = 0) -> DataFrame:
+    """The same with the ``path`` and ``start`` of each packet's stretch."""
+    strict, below = mode.upper() == "FAILFAST", capture_root(root)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from read_records(*part, strict)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    parts = files.mapInArrow(walk, "path string, start long, end long, first long")
-    return parts.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(read, RAW_FRAMES)
+            for file, start, end, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if most:
+                    with open_file(file) as f:
+                        check_size(file, f.size(), most)
+                for found in read_records(file, start, end, first, strict, capture_name(file, below)):
+                    place = [pa.repeat(pa.scalar(x, k), found.num_rows) for x, k in ((file, pa.string()), (start, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*found.columns, *place], [*_NAMES, "path", "start"])
+
+    dealt = parts.select("path", "start", "end", "first").repartition(4 * parts.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(read, f"{RAW_FRAMES}, path string, start long")
 
 
 def write_pcap(raw: DataFrame, folder: str) -> int:
