@@ -57,7 +57,8 @@ def _folded(text: str) -> str:
     if text.isascii():
         return text.lower()
     small = text.lower()
-    return small if len(small) == len(text) else "".join(c.lower()[0] for c in text)
+    # Some letters become two, and one is written otherwise at the end of a word.
+    return small if len(small) == len(text) and "Σ" not in text else "".join(c.lower()[0] for c in text)
 
 
 def occurrences(text: Column, needle: str) -> Column:

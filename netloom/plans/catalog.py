@@ -433,7 +433,7 @@ EPOCH = 100_000_000
 
 
 def sealed_sessions(
-    spark: SparkSession, d: str, version13: bool, chacha: bool = False, suite: int | None = None, handshakes: int = 1, faulty: bool = False
+    spark: SparkSession, d: str, version13: bool, chacha: bool = False, suites: tuple[int, ...] = (), handshakes: int = 1, faulty: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """TLS sessions of users with a hello from either side and sealed application data
     from the client, and their key log. With ``handshakes``, a user's events are dealt to so many
@@ -445,14 +445,16 @@ def sealed_sessions(
     e = e.withColumn("seq", (rank - 1).cast("long"))
     user = F.concat(F.col("user_id").cast("string"), F.when(F.col("epoch") > 0, F.concat(F.lit("/"), F.col("epoch").cast("string"))).otherwise(""))
     random, server_random = F.sha2(F.concat(user, F.lit("c")), 256), F.sha2(F.concat(user, F.lit("s")), 256)
-    suite = suite or ((0x1303 if chacha else 0x1301) if version13 else 0xC02F)
+    suites = suites or ((0x1303 if chacha else 0x1301) if version13 else 0xC02F,)
+    suite = F.element_at(F.array(*map(F.lit, suites)), (F.col("user_id") % len(suites) + 1).cast("int"))
     users = e.select("user_id", "epoch").distinct()
     secret = F.unhex(F.sha2(F.concat(user, F.lit("k")), 256))
     master = F.concat(secret, F.unhex(F.lit("22" * 16)))
-    if version13:
-        users = users.select("user_id", "epoch", keys.tls13_keys(secret, F.lit(suite)).alias("k"))
+    if version13:  # a secret is as long as its suite's hash
+        secret = F.when(suite == 0x1302, master).otherwise(secret)
+        users = users.select("user_id", "epoch", keys.tls13_keys(secret, suite).alias("k"))
     else:
-        users = users.select("user_id", "epoch", keys.tls12_keys(master, F.unhex(random), F.unhex(server_random), F.lit(suite))["client"].alias("k"))
+        users = users.select("user_id", "epoch", keys.tls12_keys(master, F.unhex(random), F.unhex(server_random), suite)["client"].alias("k"))
     plain = F.concat(F.lit("GET /secret/").cast("binary"), F.col("event_id").cast("string").cast("binary"))
     number = F.lpad(F.hex("seq"), 16, "0")
     if version13:
@@ -466,6 +468,8 @@ def sealed_sessions(
         nonce = F.concat(F.col("k.iv"), F.unhex(number))
         aad = F.concat(F.unhex(number), F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(plain)), 4, "0")))
         body = F.substr(F.aes_encrypt(plain, F.col("k.key"), F.lit("GCM"), F.lit("DEFAULT"), nonce, aad), F.lit(5))
+        if chacha:
+            body = F.arrow_udf(_chacha_sealed, "binary")(F.col("k.key"), decrypt.number_in_iv(F.col("k.iv"), F.col("seq")), plain, aad)
         header = F.concat(F.unhex(F.lit("170303")), F.unhex(F.lpad(F.hex(F.octet_length(body)), 4, "0")))
     data = e.join(users, ["user_id", "epoch"]).select("event_id", "user_id", "epoch", F.lit(True).alias("up"), F.hex(F.concat(header, body)).alias("payload"))
     data = data.withColumn("at", F.col("event_id") + 10_000_000)
@@ -475,7 +479,7 @@ def sealed_sessions(
         data = data.where(f"NOT ({FAULTS['lost']})").withColumn("at", F.expr("10000000 + 4 * event_id")).unionByName(again).unionByName(bad)
     data = data.drop("event_id").withColumn("at", F.col("at") + F.col("epoch") * EPOCH)
     hello = F.concat(F.lit("16030100290100002503" + "03"), random, F.lit("00" + "0002002F"))
-    answer = F.concat(F.lit("160303002C02000028" + "0303"), server_random, F.lit("00"), F.lit(f"{suite:04X}"), F.lit("000000"))
+    answer = F.concat(F.lit("160303002C02000028" + "0303"), server_random, F.lit("00"), F.lpad(F.hex(suite), 4, "0"), F.lit("000000"))
     ones = e.select("user_id", "epoch").distinct()
     at = F.col("user_id") * 2 + F.col("epoch") * EPOCH
     hellos = ones.select("user_id", "epoch", at.alias("at"), F.lit(True).alias("up"), hello.alias("payload")).unionByName(
@@ -520,6 +524,9 @@ QUERIES |= {
     "tls13_decrypt": (_decrypted(True), _PLAIN),
     "tls12_decrypt": (_decrypted(False), _PLAIN),
     "tls13_chacha": (_decrypted(True, True), _PLAIN),
+    "tls13_suites": (_decrypted(True, suites=(0x1301, 0x1302)), _PLAIN),
+    "tls12_suites": (_decrypted(False, suites=(0xC02F, 0xC02B, 0x009C, 0xC030, 0xC02C, 0x009D)), _PLAIN),
+    "tls12_chacha": (_decrypted(False, True, suites=(0xCCA8, 0xCCA9, 0xCCAA)), _PLAIN),
     "tls_two_handshakes": (
         _decrypted(True, handshakes=2),
         _PLAIN.replace("event_id + 10000000 AS", f"event_id + 10000000 + event_id % 2 * {EPOCH} AS"),

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.render import format_bytes, format_duration, occurrences
+from ..operators import conversations as conv
 from ..operators import decrypt, enrich, filters, keys, listing, tcp
 from ..operators.dissect import frames, frames_once
 from ..operators.http_stream import attach_bodies, http_messages
@@ -106,10 +108,33 @@ def quic_opened(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coded_bodies(spark: SparkSession, d: str) -> DataFrame:
-    found = http_messages(tcp.reassemble(frames(synth.page_packets(spark, d, coded=True)))).where("coding is not null")
+    found = http_messages(tcp.reassemble(frames(synth.page_packets(spark, d, synth.CODED)))).where("coding is not null")
     return found.select("frame_index", "coding", "decompress_ok", F.octet_length("body").cast("long").alias("size"), F.md5("body").alias("body_md5"))
 
 
+def odd_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies of two gzip members, cut off, and with something behind; what failed stays as it came."""
+    found = http_messages(tcp.reassemble(frames(synth.page_packets(spark, d, synth.ODDLY_CODED)))).where("coding is not null")
+    whole = F.col("decompress_ok")
+    return found.select("frame_index", "coding", "decompress_ok", F.when(whole, F.octet_length("body")).cast("long").alias("size"), F.when(whole, F.md5("body")).alias("body_md5"))
+
+
+def document_search(spark: SparkSession, d: str) -> DataFrame:
+    """A letter in every packet of the documents, however many places a text has."""
+    packets = frames(synth.document_packets(spark, d)).select("frame_index", occurrences(F.decode("payload", "UTF-8"), "E").alias("at"))
+    return packets.select(
+        "frame_index", F.size("at").alias("places"), F.try_element_at("at", F.lit(1)).alias("first"), F.try_element_at("at", F.lit(-1)).alias("last"),
+        F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),
+    )
+
+
+def shown_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes and durations of the dialogues' conversations as a viewer shows them."""
+    found = conv.conversation_stats(frames(synth.dialogue_packets(spark, d)))
+    size = F.col("bytes_ab") + F.col("bytes_ba")
+    return found.select("ip_a", "port_a", "ip_b", "port_b", format_bytes(size).alias("size"), format_duration(F.col("duration_ns")).alias("duration"))
+
+
 def attached(spark: SparkSession, d: str) -> DataFrame:
     packets = frames_once(synth.page_packets(spark, d))
     found = attach_bodies(packets, http_messages(tcp.reassemble(packets))).where("http_bodies is not null")
@@ -240,6 +265,29 @@ QUERIES: dict[str, tuple[Query, str]] = {
         f"""SELECT frame_index, CASE WHEN page_id % 2 = 1 THEN 'deflate' ELSE 'gzip' END AS coding, TRUE AS decompress_ok, strlen(html) AS size, md5(html) AS body_md5
             FROM ({_HTTP_PAGES})""",
     ),
+    "http_odd_bodies": (
+        odd_bodies,
+        f"""SELECT frame_index, CASE WHEN page_id % 4 = 3 THEN 'deflate' ELSE 'gzip' END AS coding, page_id % 4 <> 1 AS decompress_ok,
+                CASE WHEN page_id % 4 <> 1 THEN strlen(html) END AS size, CASE WHEN page_id % 4 <> 1 THEN md5(html) END AS body_md5 FROM ({_HTTP_PAGES})""",
+    ),
+    "document_search": (
+        document_search,
+        """WITH c AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS chars FROM documents),
+            p AS (SELECT doc_id, list_filter(list_transform(chars, lambda x, i: CASE WHEN lower(x) = 'e' THEN i - 1 END), lambda x: x IS NOT NULL) AS found FROM c)
+            SELECT doc_id AS frame_index, CAST(len(found) AS INT) AS places, CAST(found[1] AS INT) AS first, CAST(found[-1] AS INT) AS last, CAST(coalesce(list_sum(found), 0) AS BIGINT) AS total FROM p""",
+    ),
+    "conversation_shown": (
+        shown_conversations,
+        f"""WITH {DIALOGUES}, k AS (
+                SELECT split_part(sk, ' ', 1) AS a, split_part(sk, ' ', 2) AS b, CAST(sum(plen + 54) AS BIGINT) AS n, max(idx) - min(idx) AS ms FROM t0 GROUP BY sk),
+            o AS (SELECT *, split_part(a, ':', 1) AS ip1, CAST(split_part(a, ':', 2) AS INT) AS port1, split_part(b, ':', 1) AS ip2, CAST(split_part(b, ':', 2) AS INT) AS port2 FROM k),
+            s AS (SELECT *, (ip1, port1) <= (ip2, port2) AS same FROM o)
+            SELECT CASE WHEN same THEN ip1 ELSE ip2 END AS ip_a, CASE WHEN same THEN port1 ELSE port2 END AS port_a, CASE WHEN same THEN ip2 ELSE ip1 END AS ip_b, CASE WHEN same THEN port2 ELSE port1 END AS port_b,
+                CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN printf('%.1fKB', floor(n * 10 / 1024 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1fMB', floor(n * 10 / 1048576 + 0.5) / 10)
+                    ELSE printf('%.2fGB', floor(n * 100 / 1073741824 + 0.5) / 100) END AS size,
+                CASE WHEN ms <= 0 THEN '—' WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.2fs', ((ms + 5) // 10) / 100) WHEN ms < 3600000 THEN ((ms + 500) // 1000) || 's'
+                    ELSE printf('%.1fh', ((ms + 180000) // 360000) / 10) END AS duration FROM s""",
+    ),
     "http_attached": (
         attached,
         f"""WITH p AS ({_HTTP_PAGES}),

@@ -160,22 +160,33 @@ def dialogue_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_SEGMENT = 1400
 
 
+def _members(body: bytes) -> bytes:
+    return gzip.compress(body[: len(body) // 2]) + gzip.compress(body[len(body) // 2 :])
+
+
 def _compressed(kind: pa.Array, body: pa.Array) -> pa.Array:
-    made = {"gzip": gzip.compress, "deflate": zlib.compress}
+    made = {
+        "gzip": gzip.compress, "deflate": zlib.compress, "members": _members, "cut": lambda b: gzip.compress(b)[:-12], "tail": lambda b: gzip.compress(b) + b"behind it",
+    }
     return pa.array([made[k](b) for k, b in zip(kind.to_pylist(), body.to_pylist(), strict=True)], pa.binary())
 
 
-def page_packets(spark: SparkSession, sf_dir: str, coded: bool = False) -> DataFrame:
+#: How ``page_packets`` codes a page: as it says, or damaged and joined gzip bodies too.
+CODED = "IF(page_id % 2 = 1, 'deflate', 'gzip')"
+ODDLY_CODED = "element_at(array('members', 'cut', 'tail', 'deflate'), CAST(page_id % 4 + 1 AS INT))"
+
+
+def page_packets(spark: SparkSession, sf_dir: str, coded: str | None = None) -> DataFrame:
     """HTTP exchanges of ``pages``: a request for the URL, then the page in segments of
     ``PAGE_SEGMENT`` bytes, with Content-Length or, where the id is odd, in one chunk.
-    ``coded`` pages are compressed, by gzip or, where the id is odd, deflate."""
+    ``coded`` pages are compressed, as that SQL expression says."""
     line = "HTTP/1.1 200 OK\\r\\n"
     p = _table(spark, sf_dir, "pages").selectExpr(
         "page_id", "regexp_replace(url, '^[a-z]+://[^/]+', '') AS path", "regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host", "coalesce(html, '') AS html"
     )
     if coded:
-        zipped = F.arrow_udf(_compressed, "binary")(F.expr("IF(page_id % 2 = 1, 'deflate', 'gzip')"), F.expr("CAST(html AS BINARY)"))
-        head = rf"CAST(concat('{line}Content-Encoding: ', IF(page_id % 2 = 1, 'deflate', 'gzip'), '\r\nContent-Length: ', octet_length(zipped), '\r\n\r\n') AS BINARY)"
+        zipped = F.arrow_udf(_compressed, "binary")(F.expr(coded), F.expr("CAST(html AS BINARY)"))
+        head = rf"CAST(concat('{line}Content-Encoding: ', IF(({coded}) = 'deflate', 'deflate', 'gzip'), '\r\nContent-Length: ', octet_length(zipped), '\r\n\r\n') AS BINARY)"
         p = p.withColumn("zipped", zipped).withColumn("coded", F.expr(f"concat({head}, zipped)"))
     p = p.selectExpr(
         "*", r"CAST(concat('GET ', path, ' HTTP/1.1\r\nHost: ', host, '\r\n\r\n') AS BINARY) AS ask",

@@ -3,6 +3,7 @@
 import gzip
 import random
 import struct
+import time
 import zlib
 from pathlib import Path
 
@@ -15,8 +16,8 @@ from netloom.functions.render import format_bytes, format_duration, hex_dump, oc
 from netloom.operators import decrypt, filters, keys, tcp
 from netloom.operators.conversations import conversations
 from netloom.operators.dissect import frames
+from netloom.operators.http_stream import Direction, _decoded, attach_bodies, http_messages
 from netloom.operators.names import Overrun, read_name
-from netloom.operators.http_stream import Direction, attach_bodies, http_messages
 from netloom.schema import RAW_FRAMES
 from netloom.sources.keylog import latest_secrets, parse_keylog
 from netloom.sources.pcap import MAGICS, CaptureError, PcapSource, read_header, read_pcap
@@ -393,6 +394,43 @@ def test_rendering(spark):
     assert one.select(occurrences(F.col("t"), "\\E")).first()[0] == [11, 15]
 
 
+def test_search_keeps_places_and_is_linear(spark):
+    texts = ["İxe E", "ẞe", "", None, "eE" * 50_000, "Straße STRASSE strasse", "ΣΑΣ σας"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    got = {r["i"]: r["at"] for r in df.select("i", occurrences(F.col("t"), "E").alias("at")).collect()}
+    assert got == {0: [2, 4], 1: [1], 2: [], 3: None, 4: list(range(100_000)), 5: [5, 13, 21], 6: []}
+    assert df.where("i = 5").select(occurrences(F.col("t"), "ss")).first()[0] == [11, 19]
+    assert df.where("i = 6").select(occurrences(F.col("t"), "σ")).first()[0] == [0, 2, 4]
+    assert df.where("i = 0").select(occurrences(F.col("t"), "i")).first()[0] == [0] and df.where("i = 0").select(occurrences(F.col("t"), "")).first()[0] == []
+    big = "The quick " * 80_000
+    df.limit(1).select(occurrences(F.lit("a"), "a")).first()  # the worker has started
+    begun = time.time()
+    assert len(df.limit(1).select(occurrences(F.lit(big), "the")).first()[0]) == 80_000
+    assert time.time() - begun < 5
+
+
+def test_gzip_members_and_bounds():
+    one, two = gzip.compress(b"first"), gzip.compress(b"second" * 100)
+    assert _decoded(one + two, "gzip") == b"first" + b"second" * 100
+    assert _decoded(one + b"junk", "gzip") == b"first" and _decoded(one + b"\x1f\x8b\x08junk", "gzip") is None
+    assert _decoded(one[:-3], "gzip") is None and _decoded(one + two[:-12], "gzip") is None
+    assert _decoded(zlib.compress(b"x") + b"junk", "deflate") == b"x" and _decoded(zlib.compress(b"x" * 99)[:-5], "deflate") is None
+    bomb = gzip.compress(bytes(1 << 20))
+    assert _decoded(bomb, "gzip", (1 << 20) - 1) is None and _decoded(bomb, "gzip", 1 << 20) == bytes(1 << 20)
+    assert _decoded(one + bomb, "gzip", 1 << 20) is None and _decoded(b"", "gzip") is None and _decoded(b"x", "br") is None
+
+
+def test_a_direction_without_a_head_is_let_go():
+    reader = Direction(most_head=1000)
+    for i in range(200):
+        assert not list(reader.feed(b"\x17" * 100, i))
+        assert len(reader.data.held) <= 1100
+    late = Direction(most_head=100)
+    assert not list(late.feed(b"x" * 101 + b"\r\n\r\n", 1)) and late.done
+    kept = Direction(most_head=None)
+    assert not list(kept.feed(b"x" * 5000, 1)) and [m["first_line"] for m in kept.feed(b"\r\n\r\n", 2)] == ["x" * 5000]
+
+
 def test_hex_dump_beyond_four_digits(spark):
     one = spark.createDataFrame([(bytearray(b"a" * 0x10009),)], "b binary")
     dump = one.select(hex_dump(F.col("b"))).first()[0]

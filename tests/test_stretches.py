@@ -94,3 +94,32 @@ def test_not_a_capture(spark, tmp_path):
     for split in (10, 1000):
         with pytest.raises(Exception, match=CaptureError.__name__):
             read_pcap(spark, str(tmp_path / "x.pcap"), splitBytes=split).count()
+
+
+def test_an_index_saves_reading(spark, tmp_path):
+    from netloom.operators.dissect import frames
+    from netloom.operators.filters import FilterError, filter_frames, index_filter
+    from netloom.sources.pcap_index import index_captures, read_indexed, search_captures
+
+    folder, index = tmp_path / "in", str(tmp_path / "index")
+    folder.mkdir()
+    for name in ("a", "b"):
+        packets = [eth(ip4(6, seg(1000 + i // 10, 443, b"x" * 50), f"10.0.{'ab'.index(name)}.{i // 10}", "192.0.2.1")) for i in range(400)]
+        (folder / f"{name}.pcap").write_bytes(HEAD["<"] + b"".join(record("<", i, p) for i, p in enumerate(packets)))
+    pattern = f"{folder}/*.pcap"
+    index_captures(spark, pattern, index, 3000)
+    every = frames(read_pcap(spark, pattern))
+    for text, most in (("host 10.0.1.7", 120), ("port 1005 and not tcp", 240), ("port 1005 and host 10.0.0.5", 120), ("host 10.0.9.9", 60), ("host 10.0.0.1 or host 10.0.1.30", 240), ("not host 10.0.0.1", 800), ("tcp", 800), ("", 800)):
+        read = read_indexed(spark, pattern, index, text)
+        assert read.count() <= most, text
+        got = search_captures(spark, pattern, index, text).select("capture_id", "frame_index").collect()
+        assert sorted(got) == sorted(filter_frames(every, text).select("capture_id", "frame_index").collect()), text
+    second = 1_700_000_000_000_000_000
+    late = read_indexed(spark, pattern, index, since_ns=second + 390_000_000_000, until_ns=second + 395_000_000_000).select("ts_ns").collect()
+    assert 12 <= len(late) < 200 and sum(second + 390 * 10**9 <= r[0] <= second + 395_000_000_000 for r in late) == 10
+    (folder / "b.pcap").write_bytes(HEAD["<"] + record("<", 1, eth(ip4(6, seg(1, 2), "10.0.9.9"))))
+    (folder / "c.pcap").write_bytes(HEAD["<"] + record("<", 1, eth(ip4(6, seg(1, 2), "10.0.9.9"))))
+    found = search_captures(spark, pattern, index, "host 10.0.9.9").select("capture_id").collect()
+    assert sorted(r[0] for r in found) == ["b.pcap", "c.pcap"]
+    with pytest.raises(FilterError):
+        index_filter("port abc")
