@@ -3,6 +3,8 @@ packets, and what a viewer shows of one packet or stream."""
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from ..sources.keylog import count_sessions, parse_keylog
 from ..sources.pcap import read_pcap, write_pcap
 from ..sources.pcap_index import index_captures, search_captures
 from ..streaming.live import parsed_datagrams, read_spool, spool_table
+from ..streaming.ordered import ordered_datagrams
 from . import synth
 from .catalog import ANALYSIS, DIALOGUES, EV, INFO, Query, events, keylog_lines, sealed_sessions
 
@@ -185,6 +188,30 @@ def live_headless(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("malformed", "link_type").agg(F.count("*").alias("datagrams"), F.count_distinct("frame_index").alias("numbers"))
 
 
+def live_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """The events' datagrams in eight files by a hash, read two a trigger, so that few arrive in order."""
+    spool, out = shared_path(spark, "spool"), shared_path(spark, "live")
+    spool_table(synth.event_packets(spark, d)).withColumn("file", F.pmod(F.xxhash64("arrival"), F.lit(8))).repartition("file").drop("file").write.parquet(spool)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = frames(ordered_datagrams(read_spool(spark, spool, 2)).where("not malformed").drop("malformed"))
+        sink = stream.select("capture_id", "frame_index", "cap_len", "orig_len", "top_protocol").writeStream.format("parquet").option("path", out)
+        query = sink.option("checkpointLocation", shared_path(spark, "state")).start()
+        # Timers always leave a next trigger, so the query ends when all that was spooled is done.
+        total, seen = spark.read.parquet(spool).count(), {}
+        while query.isActive and sum(seen.values()) < total:
+            seen |= {p.batchId: p.numInputRows for p in query.recentProgress}
+            time.sleep(0.1)
+        if query.exception():
+            raise query.exception()
+        query.stop()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out)
+
+
 def _layer_fields(tree: DataFrame, protocol: str, *names: str) -> DataFrame:
     """The fields of those names in the protocol's layer, as one text per packet."""
     layer = F.try_element_at(F.filter("layers", lambda x: x["protocol"] == protocol), F.lit(1))
@@ -320,6 +347,10 @@ QUERIES: dict[str, tuple[Query, str]] = {
         lambda s, d: listing.counted(events(s, d), "tcp and port 443"),
         f"WITH {EV} SELECT capture_id, count(*) FILTER (WHERE l4 = 'TCP' AND (src_port = 443 OR dst_port = 443)) AS shown, count(*) AS total FROM f GROUP BY capture_id",
     ),
+    "live_out_of_order": (
+        live_out_of_order,
+        f"WITH {EV} SELECT capture_id, frame_index, CAST(cap_len AS INT) AS cap_len, orig_len, coalesce(l7, l4) AS top_protocol FROM f",
+    ),
     "live_headless": (
         live_headless,
         """SELECT FALSE AS malformed, 1 AS link_type, count(*) AS datagrams, count(*) AS numbers FROM events

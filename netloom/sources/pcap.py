@@ -53,11 +53,12 @@ def read_header(data: bytes) -> tuple[str, int, int]:
 def open_file(path: str) -> pa.NativeFile:
     """A capture for random access, by local path or by any URI that Arrow's file systems
     know (``file``, ``hdfs``, ``s3``, ``gs`` …)."""
-    system, inside = _located(path)
+    system, inside = located(path)
     return system.open_input_file(inside)
 
 
-def _located(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The Arrow file system of a path or URI, and the path in it."""
     if path.startswith("file:") or "://" not in path:
         return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
     return fs.FileSystem.from_uri(path)
@@ -247,7 +248,7 @@ def write_pcap(raw: DataFrame, folder: str) -> int:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for capture, packets in groupby(rows, key=lambda r: r[0]):
             first = next(packets)
-            system, inside = _located(f"{folder}/{capture}-{first[1]:012d}.pcap")
+            system, inside = located(f"{folder}/{capture}-{first[1]:012d}.pcap")
             system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
             count, partial = 0, f"{inside}.{uuid.uuid4().hex}"
             with system.open_output_stream(partial) as f:

@@ -5,16 +5,11 @@ A socket cannot be read again, so a receiver writes each datagram to the spool f
 
 from __future__ import annotations
 
-import os
-import socket
-import time
 from collections.abc import Callable, Iterator
 from threading import Event, Thread
 from typing import Any
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -22,13 +17,10 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from ..operators.dissect import frames
 from ..schema import RAW_FRAMES
 from ..shared import shared_path
-from ..sources.pcap import MAGICS, MOST_CAPTURED
+from ..sources.pcap import MAGICS, MOST_CAPTURED, located
+from .spool import SPOOL, receive
 
-SPOOL = "capture_id string, arrival long, datagram binary"
-#: The largest datagram of a sender that puts one packet into each.
-MOST_DATAGRAM = 65_599
-_SPOOL = pa.schema([("capture_id", pa.string()), ("arrival", pa.int64()), ("datagram", pa.binary())])
-_STATE = "order string, unit int, link int, next long, skipped long"
+STATE = "order string, unit int, link int, next long, skipped long"
 
 
 def parse_datagram(data: bytes, state: tuple | None) -> tuple[tuple | None, tuple | None]:
@@ -73,7 +65,7 @@ def _parse(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[
 def parsed_datagrams(stream: DataFrame) -> DataFrame:
     """The packets of a stream of datagrams, in order of arrival within each capture, and, with
     ``malformed``, the datagrams that hold none, numbered for themselves."""
-    return stream.groupBy("capture_id").applyInPandasWithState(_parse, PARSED, _STATE, "append", "NoTimeout")
+    return stream.groupBy("capture_id").applyInPandasWithState(_parse, PARSED, STATE, "append", "NoTimeout")
 
 
 def raw_from_datagrams(stream: DataFrame) -> DataFrame:
@@ -82,8 +74,9 @@ def raw_from_datagrams(stream: DataFrame) -> DataFrame:
     return parsed_datagrams(stream).where("not malformed").drop("malformed")
 
 
-def read_spool(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(SPOOL).option("maxFilesPerTrigger", 64).parquet(path)
+def read_spool(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
+    """The spool as a stream, at most ``files`` of its files a trigger."""
+    return spark.readStream.schema(SPOOL).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def live_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -92,43 +85,6 @@ def live_frames(spark: SparkSession, path: str) -> DataFrame:
     return frames(raw_from_datagrams(read_spool(spark, path)))
 
 
-def receive(folder: str, port: int, host: str = "0.0.0.0", capture_id: str = "live", most: int = 1000, patience: float = 1.0, stop: Event | None = None) -> int:
-    """Writes the datagrams that reach a UDP port to ``folder``, for ``read_spool``, until
-    ``stop`` is set; returns how many. A file holds at most ``most`` of them and what came within
-    ``patience`` seconds. It is written under a hidden name first, so that no reader sees
-    half a file. A port that is taken raises OSError."""
-    rows: list[bytes] = []
-    count = files = 0
-
-    def write() -> None:
-        nonlocal files
-        table = pa.table({"capture_id": [capture_id] * len(rows), "arrival": range(count - len(rows), count), "datagram": rows}, _SPOOL)
-        name = f"{os.getpid()}-{files:09d}.parquet"
-        pq.write_table(table, os.path.join(folder, f".{name}"))
-        os.replace(os.path.join(folder, f".{name}"), os.path.join(folder, name))
-        rows.clear()
-        files += 1
-
-    os.makedirs(folder, exist_ok=True)
-    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as source:
-        source.setsockopt(socket.SOL_SOCKET, socket.SO_REUSEADDR, 1)
-        source.bind((host, port))
-        source.settimeout(patience / 4)
-        since = time.monotonic()
-        while stop is None or not stop.is_set():
-            try:
-                rows.append(source.recv(MOST_DATAGRAM))
-                count += 1
-            except TimeoutError:
-                pass
-            if rows and (len(rows) >= most or time.monotonic() - since > patience):
-                write()
-                since = time.monotonic()
-    if rows:
-        write()
-    return count
-
-
 class Progress(StreamingQueryListener):
     """Calls ``tell`` with the number of datagrams read so far, at the first and whenever
     another ``step`` are complete."""
@@ -163,9 +119,9 @@ class LiveCapture:
         """``use`` starts a query on the packets and returns it. Returns the spool's folder."""
         self.stop()
         self.spool, self.over = shared_path(self.spark, "live-spool"), Event()
-        local = self.spool.removeprefix("file://").replace("file:", "")
-        self.thread = Thread(target=receive, args=(local, self.port, self.host), kwargs={"stop": self.over, "patience": 0.2}, daemon=True)
-        os.makedirs(local)
+        system, inside = located(self.spool)
+        system.create_dir(inside, recursive=True)
+        self.thread = Thread(target=receive, args=(self.spool, self.port, self.host), kwargs={"stop": self.over, "patience": 0.2}, daemon=True)
         self.thread.start()
         self.query = use(live_frames(self.spark, self.spool))
         return self.spool
