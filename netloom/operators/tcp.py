@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from .. import constants as C
 from ..functions.bytes import mostly_text, utf8_text
 from ..functions.render import occurrences
+from ..shared import written
+from . import scans
 from .dissect import frames as dissected
 
 _MASK = (1 << 32) - 1
@@ -81,6 +83,11 @@ def analyse(frames: DataFrame) -> DataFrame:
             "dup_ack": F.when(F.col("pure"), F.row_number().over(in_island) - 1).otherwise(0),
         }
     )
+    return _tagged(rows).drop("has", "end", "pure", "nth", "client_isn", "server_isn", "highest", "changed", "island")
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    """The rows with ``tags`` and ``tcp_info``, in which they stand behind the packet's info."""
     tags = F.filter(
         F.array(
             F.when(F.col("retransmission"), F.lit("TCP Retransmission")),
@@ -91,9 +98,69 @@ def analyse(frames: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("tags", tags)
     suffix = F.when(F.size("tags") > 0, F.concat(F.lit("  ["), F.array_join("tags", ", "), F.lit("]"))).otherwise("")
-    return rows.withColumn("tcp_info", F.concat("l4_info", suffix)).drop(
-        "has", "end", "pure", "nth", "client_isn", "server_isn", "highest", "changed", "island"
+    return rows.withColumn("tcp_info", F.concat("l4_info", suffix))
+
+
+_NARROW = ["capture_id", "session", "frame_index", "src", "dst", "tcp_flags", "tcp_seq", "tcp_ack", "payload_len", "l4_info"]
+
+
+def analyse_blocks(frames: DataFrame, block: int = scans.BLOCK) -> DataFrame:
+    """What ``analyse`` tells, with no window over a whole session: for captures with sessions too long for one
+    task. Sessions are scanned in blocks of packet numbers and the blocks' results merged (``scans``).
+    Only the columns above and those of ``analyse``. Not lazy: these columns are written once, and packets
+    dissected once; more steps than ``analyse``, so worth it for long sessions alone."""
+    syn, ack, has = _flag(2), _flag(16), F.col("payload_len") > 0
+    way = [*SESSION, "src"]
+    slim = scans.with_block(tcp_packets(frames).select(*_NARROW), block)
+    rows = written(slim.withColumns({"has": has, "pure": ack & ~has & ~syn, "end": F.when(has, F.col("tcp_seq") + F.col("payload_len"))}), "tcp")
+    opener = F.min(F.when(syn & ~ack, F.struct("frame_index", "src")))["src"]
+    rows = scans.of_group(rows, SESSION, client=F.coalesce(opener, F.min_by("src", "frame_index")))
+    rows = written(scans.of_group(rows, way, begins=F.min("frame_index")), "tcp")
+    from_client, first = F.col("src") == F.col("client"), F.col("frame_index") == F.col("begins")
+    lasts = {
+        "client_isn": F.when(from_client & ((syn & ~ack) | first), F.col("tcp_seq")),
+        "server_isn": F.when(~from_client & (syn | first), F.col("tcp_seq")),
+    }
+    rows = scans.running(rows, SESSION, lasts=lasts)
+    # A segment's repetitions are few; all bare acknowledgements of one number are one group, which needs no order.
+    same = Window.partitionBy(*way, "tcp_seq", "payload_len").orderBy("frame_index")
+    repeated = rows.where("has").withColumn("retransmission", F.row_number().over(same) > 1)
+    rows = written(repeated.unionByName(rows.where("NOT has").withColumn("retransmission", F.lit(False))), "tcp")
+    rows = written(scans.running(rows, way, maxima={"highest": F.col("end")}, before=("highest",)), "tcp")
+    pure = scans.runs(rows.where("pure"), way, "tcp_ack").withColumnRenamed("run", "dup_ack")
+    rows = pure.unionByName(rows.where("NOT pure").withColumn("dup_ack", F.lit(0).cast("long")))
+    own = F.when(from_client, F.col("client_isn")).otherwise(F.col("server_isn"))
+    peer = F.when(from_client, F.col("server_isn")).otherwise(F.col("client_isn"))
+    rows = rows.withColumns(
+        {
+            "rel_seq": (F.col("tcp_seq") - own).bitwiseAND(F.lit(_MASK)),
+            "rel_ack": F.when(ack, (F.col("tcp_ack") - peer).bitwiseAND(F.lit(_MASK))),
+            "out_of_order": F.coalesce(F.col("has") & ~F.col("retransmission") & (F.col("tcp_seq") < F.col("highest")), F.lit(False)),
+            "dup_ack": F.col("dup_ack").cast("int"),
+        }
     )
+    return _tagged(rows).select(*_NARROW, "client", "rel_seq", "rel_ack", "retransmission", "out_of_order", "dup_ack", "tags", "tcp_info")
+
+
+def reassemble_blocks(frames: DataFrame, block: int = scans.BLOCK) -> DataFrame:
+    """``reassemble`` with no window over a whole session or direction, for long ones: numbers are scanned in
+    blocks (``scans``) over narrow columns, and joined to the payloads. Not lazy: both are written once."""
+    kept = ["capture_id", "session", "frame_index", "src", "dst", "tcp_flags", "tcp_seq", "payload_len"]
+    packets = written(tcp_packets(frames).select(*kept, "payload"), "tcp")
+    way, syn = [*SESSION, "src"], _flag(2)
+    rows = scans.of_group(scans.with_block(packets.select(*kept), block), SESSION, client_first=F.min_by("src", "frame_index"))
+    rows = rows.withColumns({"syn": syn, "at": F.when(syn, (F.col("tcp_seq") + 1).bitwiseAND(F.lit(_MASK))).otherwise(F.col("tcp_seq"))})
+    rows = written(scans.running(rows, way, sums={"epoch": F.col("syn").cast("int")}), "tcp")
+    reach = F.when(F.col("payload_len") > 0, F.col("at") + F.col("payload_len")).when(F.col("syn"), F.col("at"))
+    rows = scans.running(rows, [*way, "epoch"], maxima={"reached": reach}, before=("reached",))
+    rows = rows.withColumn("expected", F.coalesce(F.when(F.col("syn"), F.col("at")), F.col("reached"), F.col("at")))
+    start = F.greatest("at", "expected")
+    new = F.least(F.greatest(F.col("at") + F.col("payload_len") - start, F.lit(0)), F.col("payload_len"))
+    rows = written(rows.withColumns({"chunk_seq": start, "fresh": F.when(F.col("payload_len") > 0, new).otherwise(0)}), "tcp")
+    rows = scans.running(rows, way, sums={"data_offset": F.col("fresh")}, before=("data_offset",)).where("fresh > 0")
+    found = rows.join(packets.select("capture_id", "frame_index", "payload"), ["capture_id", "frame_index"])
+    found = found.withColumn("chunk", F.expr("substring(payload, payload_len - fresh + 1, fresh)"))
+    return found.select("capture_id", "session", "client_first", "src", "dst", "frame_index", "chunk_seq", "data_offset", "fresh", "chunk")
 
 
 def reassemble(frames: DataFrame) -> DataFrame:

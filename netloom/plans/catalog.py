@@ -178,16 +178,20 @@ REASSEMBLY = """
 """
 
 
-def _analysed(source: Callable, *columns: str) -> Query:
-    return lambda spark, d: tcp.analyse(frames(source(spark, d))).select("capture_id", "session", "frame_index", "src", *columns)
+#: Packet numbers of a block in the queries that cut sessions: so few that every table gives many blocks.
+FEW = 512
+
+
+def _analysed(source: Callable, *columns: str, how: Callable = tcp.analyse) -> Query:
+    return lambda spark, d: how(frames(source(spark, d))).select("capture_id", "session", "frame_index", "src", *columns)
 
 
 def _analysis_sql(table: str, columns: str) -> str:
     return f"WITH {table}, {ANALYSIS} SELECT capture_id, sk AS session, idx AS frame_index, src, {columns} FROM a6"
 
 
-def _chunks(source: Callable) -> Query:
-    return lambda spark, d: tcp.reassemble(frames(source(spark, d))).select(
+def _chunks(source: Callable, how: Callable = tcp.reassemble) -> Query:
+    return lambda spark, d: how(frames(source(spark, d))).select(
         "capture_id", "session", "src", "frame_index", "chunk_seq", "data_offset", F.col("fresh").cast("long").alias("fresh")
     )
 
@@ -346,6 +350,11 @@ QUERIES: dict[str, tuple[Query, str]] = {
         _analysed(synth.order_packets, "client", "rel_seq", "rel_ack", "retransmission", "out_of_order", "dup_ack"),
         _analysis_sql(ORDERS, "client_ep AS client, rel_seq, rel_ack, retransmission, out_of_order, dup_ack"),
     ),
+    "tcp_analysis_blocks": (
+        _analysed(synth.order_packets, "client", "rel_seq", "rel_ack", "retransmission", "out_of_order", "dup_ack", how=lambda p: tcp.analyse_blocks(p, FEW)),
+        _analysis_sql(ORDERS, "client_ep AS client, rel_seq, rel_ack, retransmission, out_of_order, dup_ack"),
+    ),
+    "tcp_chunks_blocks": (_chunks(synth.order_packets, lambda p: tcp.reassemble_blocks(p, FEW)), _chunks_sql(ORDERS)),
     "tcp_chunks": (_chunks(synth.order_packets), _chunks_sql(ORDERS)),
     "tcp_chunks_dialogues": (_chunks(synth.dialogue_packets), _chunks_sql(DIALOGUES)),
     "tcp_streams_digest": (

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def parse_keylog(lines: DataFrame) -> DataFrame:
-    """``line_no, label, client_random, secret`` of a table ``line_no, value``. Blank lines,
+    """``line_no, label, client_random, secret`` of a table ``line_no, value``; ``line_no`` is of any type that has
+    an order. Blank lines,
     comments, wrong numbers of tokens, odd or invalid hexadecimal, and randoms
     other than 32 bytes are left out."""
     token = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
@@ -32,6 +33,7 @@ def count_sessions(entries: DataFrame) -> DataFrame:
 
 
 def read_keylog(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed entries of a key-log file; a line's number is its place in the file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
-    return parse_keylog(lines)
+    """Parsed entries of key-log files. ``line_no`` orders lines: by file path, then by the place in the file, so that
+    the last secret is that of the last file that names it."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return parse_keylog(lines.select(F.struct("file_path", "file_block_start", "line").alias("line_no"), "value"))

@@ -19,7 +19,7 @@ from netloom.operators.dissect import frames
 from netloom.operators.http_stream import Direction, _decoded, attach_bodies, http_messages
 from netloom.operators.names import Overrun, read_name
 from netloom.schema import RAW_FRAMES
-from netloom.sources.keylog import latest_secrets, parse_keylog
+from netloom.sources.keylog import latest_secrets, parse_keylog, read_keylog
 from netloom.sources.pcap import MAGICS, CaptureError, PcapSource, read_header, read_pcap
 from netloom.streaming.live import LiveCapture, Progress, parse_datagram
 
@@ -343,6 +343,19 @@ def test_keylog(spark):
     assert [(r["label"], bytes(r["secret"]).hex()) for r in rows] == [("CLIENT_RANDOM", "0304")]
 
 
+def test_keylog_files_in_order(spark, tmp_path):
+    random_ = "cd" * 32
+    for name, secrets in (("a", range(300)), ("b", range(300, 310))):
+        (tmp_path / name).write_text("".join(f"CLIENT_RANDOM {random_} {i:04x}\n" for i in secrets))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert [bytes(r["secret"]).hex() for r in latest_secrets(read_keylog(spark, str(tmp_path / "a"))).collect()] == ["012b"]
+        assert [bytes(r["secret"]).hex() for r in latest_secrets(read_keylog(spark, str(tmp_path))).collect()] == ["0135"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize("magic", list(MAGICS))
 def test_pcap_files(spark, tmp_path, magic):
     order, unit = MAGICS[magic]
