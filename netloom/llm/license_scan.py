@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 # Sentences of public licences and notices in normalised form, with the
-# identifier that stands for each.
+# identifier that stands for each. A star stands for one to ``MOST_VARIABLE`` words, as of a name.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-ref",
     "licensed under the apache license version 2 0 the license": "apache2-ref",
@@ -32,6 +32,24 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name * may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "the names of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "gnu free documentation license version 1 3 3 november 2008": "gfdl13-title",
+    "mozilla public license version 2 0": "mpl2-title",
+    "creative commons legal code cc0 1 0 universal": "cc0-title",
+    "cc0 1 0 universal": "cc0-title",
+    "the artistic license 2 0": "artistic2-title",
+    "artistic license 2 0": "artistic2-title",
+    "eclipse public license v 2 0": "epl2-title",
+    "boost software license version 1 0 august 17th 2003": "bsl-title",
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 2": "gpl2-ref",
@@ -79,6 +97,18 @@ GRANT = r"\b(?:licen[sc]ed|released|distributed|available|published|provided|cov
 #: Rules in the order in which they are tried at a place: an identifier sequence, where
 #: ``a?`` may be missing, and the licence it stands for.
 RULES = [
+    ("apache2-title apache2-ref? apache-comply? apache-copy? apache-warranty? apache-see?", "Apache-2.0"),
+    ("gpl2-title", "GPL-2.0-only"),
+    ("gpl3-title", "GPL-3.0-only"),
+    ("lgpl21-title", "LGPL-2.1-only"),
+    ("lgpl3-title", "LGPL-3.0-only"),
+    ("agpl3-title", "AGPL-3.0-only"),
+    ("gfdl13-title", "GFDL-1.3"),
+    ("mpl2-title", "MPL-2.0"),
+    ("cc0-title", "CC0-1.0"),
+    ("artistic2-title", "Artistic-2.0"),
+    ("epl2-title", "EPL-2.0"),
+    ("bsl-title bsl-grant?", "BSL-1.0"),
     ("apache2-ref apache-comply apache-copy? apache-warranty? apache-see?", "Apache-2.0"),
     ("apache2-ref", "Apache-2.0"),
     ("mit-grant mit-notice mit-warranty? mit-liability?", "MIT"),
@@ -110,17 +140,25 @@ RULES = [
     ("reserved", "All-Rights-Reserved"),
 ]
 #: A part of a word in every sentence above and in every grant of a name, in any case; a text without any is done.
-CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "free", "mpl", "reserved", "misrepresented", "liab", "notice", "under")
+CUES = ("licen", "permi", "copyright", "redistribut", "warrant", "free", "mpl", "reserved", "misrepresented", "liab", "notice", "under", "universal", "endorse")
+#: Words that a star in a sentence may stand for, and words that take back a grant that they precede.
+MOST_VARIABLE = 60
+DENIALS = frozenset(("not", "never", "no", "without", "isn", "aren", "wasn", "cannot", "nor", "neither"))
+#: How many words before a grant are looked at for one.
+DENIED_WITHIN = 3
 #: A tag that names its licence; what follows it is one as it stands.
-TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.I)
+_NAME = r"(?:\([ \t]*)*[A-Za-z0-9.:+-]+(?:[ \t]*\))*"
+TAG = re.compile(rf"SPDX-License-Identifier:[ \t]*({_NAME}(?:[ \t]+(?-i:OR|AND|WITH)[ \t]+{_NAME})*)", re.I)
 TAGGED = "spdx:"
+#: A list marker with a bracket, which ends no sentence.
+_MARKER = re.compile(r"^\s*[(\[]?[0-9A-Za-z]{1,2}[)\]]\s")
 _SPLIT = re.compile(r"(?<=[.!?:;])\s+|\n+")
 _WORD = re.compile(r"[0-9a-z]+")
 
 
 def normalised_sentence(sentence: str) -> str:
     """Lower case, words and numbers only, single spaces; list markers go."""
-    words = _WORD.findall(sentence.lower())
+    words = _WORD.findall(_MARKER.sub(" ", sentence).lower())
     return " ".join(words)
 
 
@@ -128,14 +166,41 @@ class Sentences:
     """Known sentences and the names that any sentence may grant, ready to be looked up."""
 
     def __init__(self, sentences: Mapping[str, str], names: Mapping[str, str]) -> None:
-        self.known, self.names = dict(sentences), dict(names)
+        self.known = {s: i for s, i in sentences.items() if "*" not in s.split()}
+        self.names = dict(names)
         # What a known sentence begins with, word by word, up to the whole.
         self.beginnings = {" ".join(s.split()[:n]) for s in self.known for n in range(1, len(s.split()) + 1)}
+        # Those with variable parts, by the fixed words before the first.
+        self.variable: dict[str, list[tuple[re.Pattern, str]]] = {}
+        for sentence, found in sentences.items():
+            if "*" in sentence.split():
+                head = sentence.split(" *")[0]
+                self.variable.setdefault(head, []).append((re.compile(re.escape(sentence).replace(r"\*", rf"[0-9a-z]+(?: [0-9a-z]+){{0,{MOST_VARIABLE - 1}}}")), found))
+                self.beginnings |= {" ".join(head.split()[:n]) for n in range(1, len(head.split()) + 1)}
+        self.longest = max((len(s.split()) for s in sentences if "*" in s.split()), default=0) + MOST_VARIABLE
         self.grant = re.compile(GRANT + "(" + "|".join(sorted(map(re.escape, self.names), key=len, reverse=True)) + r")\b") if names else None
 
     def granted(self, sentence: str) -> list[str]:
-        """The identifiers of the licence names that a sentence grants, in order."""
-        return [self.names[m[1]] for m in self.grant.finditer(sentence)] if self.grant and " under " in sentence else []
+        """The identifiers of the licence names that a sentence grants, in order. A grant behind or with a
+        word of ``DENIALS`` is none."""
+        if not self.grant or " under " not in sentence:
+            return []
+
+        def denied(m: re.Match) -> bool:
+            return not DENIALS.isdisjoint([*sentence[: m.start()].split()[-DENIED_WITHIN:], *sentence[m.start() : m.start(1)].split()])
+
+        return [self.names[m[1]] for m in self.grant.finditer(sentence) if not denied(m)]
+
+    def found(self, sentence: str) -> str | None:
+        """The identifier of a known sentence."""
+        if exact := self.known.get(sentence):
+            return exact
+        heads = (h for h in self.variable if sentence.startswith(h))
+        return next((i for h in heads for pattern, i in self.variable[h] if pattern.fullmatch(sentence)), None)
+
+    def goes_on(self, joined: str) -> bool:
+        """Whether a known sentence may begin so."""
+        return joined in self.beginnings or (any(joined.startswith(f"{h} ") for h in self.variable) and joined.count(" ") < self.longest)
 
     def ids(self, text: str) -> list[str]:
         """Identifiers of the known sentences of a text, in order. A sentence may run over any
@@ -147,18 +212,18 @@ class Sentences:
             pieces = [p for p in (normalised_sentence(s) for s in _SPLIT.split(part)) if p]
             at = 0
             while at < len(pieces):
-                joined, to, found = pieces[at], at + 1, self.known.get(pieces[at])
-                while not found and joined in self.beginnings and to < len(pieces):
+                joined, to, found = pieces[at], at + 1, self.found(pieces[at])
+                while not found and to < len(pieces) and self.goes_on(joined):
                     joined, to = f"{joined} {pieces[to]}", to + 1
-                    found = self.known.get(joined)
+                    found = self.found(joined)
                 ids = [found] if found else self.granted(pieces[at])
                 to = to if found else at + 1
-                if not ids and to < len(pieces) and not self.granted(pieces[to]) and pieces[to] not in self.known:
+                if not ids and to < len(pieces) and not self.granted(pieces[to]) and not self.found(pieces[to]):
                     ids, to = self.granted(f"{pieces[at]} {pieces[to]}"), at + 2
                 out += ids
                 at = to if ids else at + 1
             if tag:
-                out.append(TAGGED + " ".join(tag.split()))
+                out.append(TAGGED + tag)
         return out
 
 
@@ -166,7 +231,10 @@ def _parts(text: str) -> Iterator[tuple[str, str | None]]:
     """What stands before each tag, with the tag's licence, and what stands after the last."""
     at = 0
     for m in TAG.finditer(text):
-        yield text[at : m.start()], m[1]
+        tag = " ".join(m[1].replace("(", " ( ").replace(")", " ) ").split()).replace("( ", "(").replace(" )", ")")
+        while tag.endswith(")") and tag.count(")") > tag.count("("):  # the tag stands in brackets itself
+            tag = tag[:-1]
+        yield text[at : m.start()], tag
         at = m.end()
     yield text[at:], None
 
@@ -213,7 +281,7 @@ def scan_licences(
     """One row per document: ``doc_id, sentences`` (identifiers of the known licence
     sentences, in order) and ``licences`` (what the rules make of the sequence).
 
-    ``sentences`` (normalised, to identifiers), ``names`` (that any sentence may grant) and
+    ``sentences`` (normalised, with stars for variable parts, to identifiers), ``names`` (that any sentence may grant) and
     ``rules`` are tables of the caller's, by default those above: reference data that every
     task gets whole, so no corpus.
 

@@ -19,8 +19,8 @@ from .repeats import keyed, span, with_ranges
 #: row is a bit per cell, so at most 2 * 32 MB ever reach the driver or an executor.
 DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
 CHUNK_BITS = 16
-#: Tasks among which the classes of one anchor are dealt.
-SALTS = 8
+#: Classes of one anchor that are dealt to one task.
+CLASSES = 1024
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -150,9 +150,11 @@ def substring_dedup(
     places = materialize(places, "word-anchors")
     classes = places.where("hashes is not null").groupBy("a", "s", "hashes").agg(F.min("place").alias("least"))
     classes = materialize(classes, "word-classes")
-    # An anchor's classes are dealt to several tasks, because one anchor may have very many.
-    several = classes.groupBy("a").count().where("count > 1").select("a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = classes.withColumn("salt", F.pmod(F.col("s"), F.lit(SALTS)).cast("int"))
+    # An anchor may have very many classes; they are dealt to as many tasks as their number asks for.
+    several = classes.groupBy("a").count().where("count > 1").select("a", F.ceil(F.col("count") / CLASSES).cast("int").alias("salts"))
+    hot = several.where("salts > 1")
+    salted = classes.join(hot, "a", "left").withColumn("salt", F.pmod("s", F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    several = several.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     each = F.sequence(F.lit(0), (F.length("hashes") / 8).cast("int") - 1)
     windows = salted.join(several, ["a", "salt"]).select(
         "a", "s", "least", F.posexplode(F.transform(each, lambda i: F.substring("hashes", i * 8 + 1, F.lit(8))))

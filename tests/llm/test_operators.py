@@ -449,7 +449,7 @@ def test_ibans_before_capitals_and_digits(spark):
 
 def test_licence_sentences_over_many_lines():
     for sentence, identifier in license_scan.SENTENCES.items():
-        words = sentence.split()
+        words = sentence.replace("*", "acme inc").split()
         for step in (1, 2, 5):
             lines = "\n".join(f"# {' '.join(words[i : i + step])}" for i in range(0, len(words), step))
             assert license_scan.sentence_ids(f"Permission\nis given.\n{lines}\nand so on") == [identifier], sentence
@@ -479,6 +479,23 @@ def test_rare_languages_and_many_languages(spark):
     assert sum(r["lang_pred"] == "l000" for r in held if truth[r["doc_id"]] == "l000") > 600
 
 
+def test_hot_anchors_and_hot_rows(spark, monkeypatch):
+    """One anchor with many classes, dealt out two a task, and one row many times."""
+    monkeypatch.setattr(substring_dedup, "CLASSES", 2)
+    rng = random.Random(11)
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.choices("abcdefgh", k=rng.randint(0, 30)), *passage, *rng.choices("abcdefgh", k=rng.randint(0, 30))])) for i in range(40)]
+    rows += [(None, rows[3][1])] * 200 + [(9, rows[9][1])] * 50
+    got = substring_dedup.substring_dedup(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    removed = {}
+    for r in got:
+        removed.setdefault(r["doc_id"], set()).add(r["n_removed"])
+    assert removed[0] == {0} and all(removed[i] == {60} for i in range(1, 40)) and removed[None] == {len(rows[3][1].split())}
+    cut = suffix_dedup.suffix_dedup(table(spark, rows), length=100).collect()
+    assert {r["n_removed"] for r in cut if r["doc_id"] is None} == {len(rows[3][1])} and len(cut) == len(rows)
+
+
 def test_long_texts_cross_blocks(spark):
     """Texts above one block of 4 MB, alone and beside short ones."""
     rng = np.random.default_rng(8)
@@ -562,15 +579,23 @@ def test_licences_by_brute_force():
             out, at = [], 0
             while found := [(m.start(), m.start(1), -len(n), m.end(), n) for n in names for m in [re.compile(license_scan.GRANT + f"({n})" + r"\b").search(s, at)] if m]:
                 *_, at, name = min(found)
-                out.append(names[name])
+                before = s[: min(found)[0]].split()[-3:] + s[min(found)[0] : min(found)[1]].split()
+                out += [names[name]] if not license_scan.DENIALS & set(before) else []
             return out
 
+        def sentence(s):
+            for k, i in known.items():
+                head, star, tail = k.partition(" * ")
+                inner = len(s.split()) - len(k.split()) + 1
+                if s == k or (star and s.startswith(head + " ") and s.endswith(" " + tail) and 1 <= inner <= license_scan.MOST_VARIABLE):
+                    return i
+
         while at < len(pieces):
-            runs = [(n, known.get(" ".join(pieces[at : at + n]))) for n in range(1, len(pieces) - at + 1)]
+            runs = [(n, sentence(" ".join(pieces[at : at + n]))) for n in range(1, len(pieces) - at + 1)]
             n, found = next(((n, [f]) for n, f in runs if f), (1, []))
             if not found and not (found := granted(pieces[at])):
                 after = pieces[at + 1 : at + 2]
-                if after and not granted(after[0]) and after[0] not in known and (found := granted(" ".join(pieces[at : at + 2]))):
+                if after and not granted(after[0]) and not sentence(after[0]) and (found := granted(" ".join(pieces[at : at + 2]))):
                     n = 2
             out += found
             at += n if found else 1
@@ -580,7 +605,7 @@ def test_licences_by_brute_force():
         parts = []
         for _ in range(rng.randint(1, 6)):
             sentence = rng.choice([rng.choice(sorted(known)), " ".join(rng.choices(words, k=rng.randint(1, 7))), f"this is released under the {rng.choice(sorted(names))} today"])
-            pieces = sentence.split()
+            pieces = sentence.replace("*", " ".join(rng.choices(["acme", "inc", "the", "code"], k=rng.randint(1, 5)))).split()
             for k in range(len(pieces) - 1):
                 pieces[k] += "\n" if rng.random() < 0.1 else " "
             parts.append("".join(pieces) + rng.choice([". ", "\n", "; ", " "]))
@@ -590,6 +615,47 @@ def test_licences_by_brute_force():
     assert license_scan.matched_licences(["spdx:MIT OR Apache-2.0", "mit-ref"]) == ["MIT OR Apache-2.0", "MIT"]
 
 
+LICENCE_FILES = {
+    "attrs": {"MIT"}, "pip": {"MIT"}, "pytest": {"MIT"}, "pyyaml": {"MIT"}, "urllib3": {"MIT"}, "certifi": {"MPL-2.0"}, "hypothesis": {"MPL-2.0"}, "idna": {"BSD-3-Clause"},
+    "protobuf": {"BSD-3-Clause"}, "psutil": {"BSD-3-Clause"}, "py4j": {"BSD-3-Clause"}, "pyahocorasick": {"BSD-3-Clause"}, "zstandard": {"BSD-3-Clause"},
+    "pygments": {"BSD-2-Clause"}, "xxhash": {"BSD-2-Clause"}, "requests": {"Apache-2.0"}, "sortedcontainers": {"Apache-2.0"},
+    "packaging": {"Apache-2.0", "BSD-2-Clause"}, "python-dateutil": {"Apache-2.0", "BSD-3-Clause"},
+}
+
+
+def test_licence_files_of_installed_packages(spark):
+    from importlib.metadata import PackageNotFoundError, distribution
+
+    rows, names = [], {}
+    for name in LICENCE_FILES:
+        try:
+            files = distribution(name).files or []
+        except PackageNotFoundError:
+            continue
+        for f in files:
+            if "licen" in f.name.lower() and f.locate().is_file() and not f.name.endswith((".py", ".pyc")):
+                names[len(rows)] = name
+                rows.append((len(rows), f.locate().read_text(encoding="utf-8", errors="replace")))
+    got = {}
+    for r in license_scan.scan_licences(table(spark, rows)).collect():
+        got.setdefault(names[r["doc_id"]], set()).update(r["licences"])
+    assert got and {n: x - {"All-Rights-Reserved"} for n, x in got.items()} == {n: LICENCE_FILES[n] for n in got}
+
+
+def test_licences_denied_tagged_and_titled():
+    ids = license_scan.sentence_ids
+    for text in ("not licensed under the MIT License", "It is no longer released under the terms of the MIT License.", "Isn't licensed under the ISC License", "available, but not under the MIT License"):
+        assert ids(text) == [], text
+    assert ids("This is licensed under the MIT License, not under another") == ["mit-ref"]
+    assert ids("# SPDX-License-Identifier: (MIT OR Apache-2.0) and more") == ["spdx:(MIT OR Apache-2.0)"]
+    assert ids("(SPDX-License-Identifier: ISC)") == ["spdx:ISC"] and ids("SPDX-License-Identifier: MIT or later") == ["spdx:MIT"]
+    assert ids("SPDX-License-Identifier: GPL-2.0-only WITH x-1.0 AND ( MIT OR (ISC) )") == ["spdx:GPL-2.0-only WITH x-1.0 AND (MIT OR (ISC))"]
+    title = "   GNU LESSER GENERAL PUBLIC LICENSE\n      Version 3, 29 June 2007\n\n Copyright"
+    assert license_scan.matched_licences(ids(title)) == ["LGPL-3.0-only"]
+    clause = "Neither the name of {} nor the names of its\n contributors may be used to endorse or promote products derived from this\nsoftware without specific prior written permission."
+    assert ids("3) " + clause.format("Acme Inc.")) == ["bsd-endorse"] and ids(clause.format("x " * 57)) == [] and ids(clause.format("x " * 54)) == ["bsd-endorse"]
+
+
 def test_licence_tables_of_the_caller(spark):
     df = table(spark, [(1, "Use it well. Or not."), (2, "Shared under the house terms."), (3, "MIT License")])
     got = license_scan.scan_licences(df, sentences={"use it well": "well"}, names={"house terms": "house"}, rules=[("well", "W"), ("house", "H")])
