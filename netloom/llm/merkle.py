@@ -15,7 +15,7 @@ from .common import materialize
 from .ranks import positions
 
 #: Levels of an aligned block, which one task walks, and of each subtree stacked in it.
-BLOCK_LEVELS, SUBTREE_LEVELS = 9, 3
+BLOCK_LEVELS, SUBTREE_LEVELS = 7, 3
 #: Siblings on both sides, level by level, as hexadecimal text.
 PATH = "array<struct<left:string,right:string>>"
 
