@@ -154,7 +154,7 @@ def _tried(seq: Column) -> Column:
 
 
 def tls_numbers(epochs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Application data of sessions with a known cipher: ``place`` in its direction, and
+    """Application data of ``sessions``: ``place`` in its direction, and
     ``number``, how many records before it are fresh, each among the records that are long enough to be whole
     (``whole``); with the direction's key and IV. Counted by blocks like ``tls_epochs``."""
     rows = epochs.where("size IS NOT NULL")
@@ -165,14 +165,14 @@ def tls_numbers(epochs: DataFrame, sessions: DataFrame) -> DataFrame:
     sums = _before(rows.groupBy(*by).agg(*[F.sum(c).alias(n) for n, c in counts.items()]), DIRECTION, *tests).join(sessions, [*SESSION, "epoch"])
     inside = Window.partitionBy(*by).orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in counts.items()}).drop("cipher", "hello", "random")
-    rows = rows.join(sums, by).where("cipher IS NOT NULL")
+    rows = rows.join(sums, by)
 
     def chosen(name: str) -> Column:
         return F.when(F.col("tls13"), F.col(f"{name}22") + F.col(f"{name}22_before")).otherwise(F.col(f"{name}30") + F.col(f"{name}30_before")).alias(name)
 
     ours = F.col("src") == F.col("client")
     return rows.select(
-        *DIRECTION, "frame_index", "fresh", "cipher", "tls13", "status", chosen("place"), chosen("number"),
+        *DIRECTION, "frame_index", "fresh", "cipher", "tls13", chosen("place"), chosen("number"),
         (F.col("size") >= F.when(F.col("tls13"), 22).otherwise(30)).alias("whole"),
         F.when(ours, F.col("client_key")).otherwise(F.col("server_key")).alias("key"),
         F.when(ours, F.col("client_iv")).otherwise(F.col("server_iv")).alias("iv"),
@@ -195,10 +195,12 @@ def decrypt_tls(frames: DataFrame, keylog: DataFrame) -> DataFrame:
     """
     records = tls_records(frames)
     epochs = tls_epochs(records)
-    numbers = tls_numbers(epochs, tls_sessions(epochs, keylog))
-    closed = numbers.where("status IS NOT NULL").select("capture_id", "frame_index", "tls13", F.lit(None).cast("binary").alias("plain"), "status")
-    open_ = numbers.where("status IS NULL AND whole").drop("status", "whole")
-    rows = open_.join(records.select("capture_id", "frame_index", "record"), ["capture_id", "frame_index"])
+    sessions = tls_sessions(epochs, keylog).where("cipher IS NOT NULL")
+    shut = sessions.where("status IS NOT NULL").select(*SESSION, "epoch", "tls13", "status")
+    closed = epochs.where("size IS NOT NULL").join(shut, [*SESSION, "epoch"])
+    closed = closed.select("capture_id", "frame_index", "tls13", F.lit(None).cast("binary").alias("plain"), "status")
+    numbers = tls_numbers(epochs, sessions.where("status IS NULL"))
+    rows = numbers.where("whole").drop("whole").join(records.select("capture_id", "frame_index", "record"), ["capture_id", "frame_index"])
     kept = [*DIRECTION, "frame_index", "tls13", "place", "number", "fresh"]
     first = written(rows.select(*kept, _tried(F.col("number")).alias("plain")), "tls-opened")
     opened, state = _settled(first)
@@ -229,6 +231,8 @@ def _settled(first: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``start``, number ``seq``, and the guessed number there (``base``)."""
     found = first.groupBy(*DIRECTION).agg(_surprise("plain").alias("x")).where("x IS NOT NULL")
     state = written(found.select(*DIRECTION, (F.col("x.place") + 1).alias("start"), (F.col("x.number") + F.col("x.opens").cast("long")).alias("seq"), F.col("x.after").alias("base")), "tls-state")
+    if state.isEmpty():
+        return first.select(*_OPENED), state
     done = first.join(state, DIRECTION, "left").where("start IS NULL OR place < start")
     return done.select(*_OPENED), state
 
