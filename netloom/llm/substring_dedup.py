@@ -21,6 +21,8 @@ DEPTH, LEAST_BITS, MOST_BITS = 2, 16, 28
 CHUNK_BITS = 16
 #: Classes of one anchor that are dealt to one task.
 CLASSES = 1024
+#: Hot anchors (twelve bytes each) that are broadcast at most.
+MOST_HOT = 1 << 18
 _SEEDS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 
 
@@ -152,8 +154,9 @@ def substring_dedup(
     classes = materialize(classes, "word-classes")
     # An anchor may have very many classes; they are dealt to as many tasks as their number asks for.
     several = classes.groupBy("a").count().where("count > 1").select("a", F.ceil(F.col("count") / CLASSES).cast("int").alias("salts"))
-    hot = several.where("salts > 1")
-    salted = classes.join(hot, "a", "left").withColumn("salt", F.pmod("s", F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    # Few are that hot; while their list is short it goes to every task, so that no join deals classes by anchor.
+    hot = materialize(several.where("salts > 1"), "hot-anchors")
+    salted = classes.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "a", "left").withColumn("salt", F.pmod("s", F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     several = several.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     each = F.sequence(F.lit(0), (F.length("hashes") / 8).cast("int") - 1)
     windows = salted.join(several, ["a", "salt"]).select(
