@@ -266,11 +266,35 @@ def test_sentencepiece_matches_the_library_and_round_trips(spark, docs):
     assert len(done) == len(rows) + 4
     for r in done:
         assert r["decoded"] == r["text"]
+        # The library sums in single precision, so long texts may be cut otherwise there.
         if r["doc_id"] not in (901,) and len(r["text"]) < 400:
             assert r["ids"] == library.encode(r["text"]), r["text"]
     assert sentencepiece_codec.encode(empty(spark), path).count() == 0
 
 
+def test_sentencepiece_against_a_plain_viterbi(spark):
+    """Whole texts of the table, however long, as one string each: no segmentation scores better."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = sentencepiece_codec.Model(path)
+    longest = max(map(len, model.pieces))
+    score = {i: x for x, i in model.pieces.values()}
+    extra = table(spark, [(900, "  two  spaces "), (901, "emoji 🙂 and 中文 text\n\ttabs"), (902, "x" * 5000), (903, None), (904, "")])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    rows = sentencepiece_codec.encode(docs, path).collect()
+    assert len(rows) == 205
+    for r in rows:
+        text = model.prefix + (r["text"] or "").replace(" ", sentencepiece_codec.SPACE) if r["text"] else ""
+        best = [0.0] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            known = [best[s] + model.pieces[text[s:end]][0] for s in range(max(0, end - longest), end) if text[s:end] in model.pieces]
+            best[end] = max(known, default=-float("inf"))
+            if text[end - 1] not in model.pieces:
+                best[end] = max(best[end], best[end - 1] + model.worst)
+        # A character that is no piece is its bytes, of which the first is no continuation.
+        heads = sum(1 for i in r["ids"] or [] if i not in score and model.surface[i][0] & 0xC0 != 0x80)
+        assert sum(score.get(i, 0.0) for i in r["ids"] or []) + heads * model.worst == pytest.approx(best[-1], rel=1e-9), r["doc_id"]
+
+
 def test_shared_prefixes_change_nothing():
     class Toy:
         pieces = {"a": (-1.0, 1), "ab": (-1.5, 2), "abc": (-5.0, 3), "c": (-1.0, 4), "bc": (-1.1, 5), "b": (-2.0, 6)}
