@@ -13,9 +13,20 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from ..schema import RAW_FRAMES
 
@@ -153,31 +164,74 @@ def read_records(path: str, start: int, end: int, first: int, strict: bool, name
 
 
 class PcapPartition(InputPartition):
-    def __init__(self, path: str, size: int) -> None:
-        self.path, self.size = path, size
+    def __init__(self, path: str, start: int, end: int, first: int) -> None:
+        self.path, self.start, self.end, self.first = path, start, end, first
+
+
+#: How a pushed filter bounds a column, ends included.
+_BOUNDS = {EqualTo: ">=<", GreaterThan: ">=", GreaterThanOrEqual: ">=", LessThan: "=<", LessThanOrEqual: "=<"}
 
 
 class PcapReader(DataSourceReader):
     """The source of ``spark.read.format("pcap")``: a task per local file. Options: ``path``
     (file, directory or pattern), ``mode`` (``PERMISSIVE`` ends quietly at a cut-off body,
-    ``FAILFAST`` raises) and ``maxBytes``. ``read_pcap`` also splits files."""
+    ``FAILFAST`` raises), ``maxBytes``, and ``index``, the local folder of an index of the same files
+    (``pcap_index.index_captures``), by which files are split. ``read_pcap`` also splits files without one.
+
+    With ``pushFilters`` (and Spark's setting of that name for Python sources), filters on ``capture_id``,
+    ``frame_index`` and ``ts_ns`` leave out files and stretches in which no packet can pass; Spark applies them again."""
 
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.most = int(options.get("maxbytes", options.get("maxBytes", 0)))
+        self.index = options.get("index")
+        self.low: dict[str, list] = {}
+        self.high: dict[str, list] = {}
+
+    def _may(self, column: str, least, most) -> bool:
+        """Whether values from ``least`` to ``most`` (None: unknown) can pass what was pushed."""
+        return all(most is None or most >= x for x in self.low.get(column, ())) and all(least is None or least <= x for x in self.high.get(column, ()))
 
     def partitions(self) -> list[InputPartition]:
         files = sorted(glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob(self.path))
         if not files:
             raise CaptureError(f"no file at {self.path}")
-        found = [PcapPartition(path, os.path.getsize(path)) for path in files]
-        for part in found:
-            check_size(part.path, part.size, self.most)
-        return found
+        for path in files:
+            check_size(path, os.path.getsize(path), self.most)
+        known: dict[str, list[dict]] = {}
+        for row in pq.read_table(self.index, columns=["path", "start", "end", "first", "length", "modified", "least_ns", "most_ns"]).to_pylist() if self.index else ():
+            known.setdefault(unquote(_local(row["path"])), []).append(row)
+        root, found = capture_root(self.path), []
+        for path in files:
+            name, size = capture_name(path, root), os.path.getsize(path)
+            own = sorted(known.get(os.path.abspath(path), ()), key=lambda r: r["start"])
+            if not own or own[0]["length"] != size or int(own[0]["modified"].timestamp() * 1000) != os.stat(path).st_mtime_ns // 1_000_000:
+                own = [{"start": 24, "end": size, "first": 1, "least_ns": None, "most_ns": None}]
+            lasts = [*(r["first"] - 1 for r in own[1:]), None]
+            for r, last in zip(own, lasts, strict=True):
+                if self._may("capture_id", name, name) and self._may("ts_ns", r["least_ns"], r["most_ns"]) and self._may("frame_index", r["first"], last):
+                    found.append(PcapPartition(path, r["start"], r["end"], r["first"]))
+        return found or [PcapPartition(files[0], 24, 24, 1)]
 
     def read(self, partition: PcapPartition) -> Iterator[pa.RecordBatch]:
-        return read_records(partition.path, 24, partition.size, 1, self.strict, capture_name(partition.path, capture_root(self.path)))
+        p = partition
+        return read_records(p.path, p.start, p.end, p.first, self.strict, capture_name(p.path, capture_root(self.path)))
+
+
+class PushedPcapReader(PcapReader):
+    """The same with filters, where the option ``pushFilters`` asks for it; Spark refuses such a reader while
+    ``spark.sql.python.filterPushdown.enabled`` is off."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            how = _BOUNDS.get(type(f), "")
+            if how and f.attribute in (("capture_id",), ("frame_index",), ("ts_ns",)) and f.value is not None:
+                if how[0] == ">":
+                    self.low.setdefault(f.attribute[0], []).append(f.value)
+                if how[-1] == "<":
+                    self.high.setdefault(f.attribute[0], []).append(f.value)
+            yield f
 
 
 class PcapSource(DataSource):
@@ -189,7 +243,7 @@ class PcapSource(DataSource):
         return RAW_FRAMES
 
     def reader(self, schema) -> DataSourceReader:
-        return PcapReader(self.options)
+        return (PushedPcapReader if self.options.get("pushFilters", "false").lower() == "true" else PcapReader)(self.options)
 
 
 def check_size(path: str, size: int, most: int) -> None:

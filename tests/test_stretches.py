@@ -123,3 +123,35 @@ def test_an_index_saves_reading(spark, tmp_path):
     assert sorted(r[0] for r in found) == ["b.pcap", "c.pcap"]
     with pytest.raises(FilterError):
         index_filter("port abc")
+
+
+def test_filters_pushed_into_the_source(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from netloom.sources.pcap import PcapSource
+    from netloom.sources.pcap_index import index_captures
+
+    folder, index = tmp_path / "in", str(tmp_path / "index")
+    folder.mkdir()
+    for name in ("a", "b"):
+        (folder / f"{name}.pcap").write_bytes(HEAD["<"] + b"".join(record("<", i, eth(ip4(6, seg(1, 2, b"x" * 50)))) for i in range(300)))
+    index_captures(spark, f"{folder}/*.pcap", index, 3000)
+    spark.dataSource.register(PcapSource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = lambda: spark.read.format("pcap").option("index", index).option("pushFilters", "true").load(str(folder))
+        whole = {tuple(r) for r in spark.read.format("pcap").load(str(folder)).collect()}
+        assert {tuple(r) for r in read().collect()} == whole and len(whole) == 600
+        parts = read().rdd.getNumPartitions()
+        assert parts > 20
+        second = 1_700_000_000_000_000_000
+        for test, tasks in (
+            (F.col("capture_id") == "a.pcap", parts // 2), ((F.col("ts_ns") >= second + 250 * 10**9) & (F.col("ts_ns") < second + 252 * 10**9), 4), ((F.col("frame_index") > 290) & (F.col("capture_id") == "b.pcap"), 2),
+            (F.col("frame_index") <= 3, 2), ((F.col("ts_ns") == 7), 1), (F.col("orig_len") > 10**6, parts),
+        ):
+            found = read().where(test)
+            assert found.rdd.getNumPartitions() <= tasks
+            assert {tuple(r) for r in found.collect()} == {tuple(r) for r in spark.createDataFrame(list(whole), found.schema).where(test).collect()}
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
