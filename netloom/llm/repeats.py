@@ -23,10 +23,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_ranges(source: DataFrame, ranges: DataFrame) -> DataFrame:
     """The source's rows with ``spans``, an array of the (start, end) that ``ranges``
     (``place, version, spans``: arrays) has for them. Rows that repeat an id and text send the
-    same spans, which are made distinct before they are gathered, so a list is bounded by the document's
-    own length however often the row repeats."""
-    each = ranges.select("place", "version", F.explode("spans").alias("span")).distinct()
-    gathered = each.groupBy("place", "version").agg(F.collect_list("span").alias("spans"))
+    same arrays, of which a set keeps one, in each task before anything is shuffled; so a list is bounded by
+    the document's own length however often the row repeats."""
+    gathered = ranges.groupBy("place", "version").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
     return source.join(gathered, ["place", "version"], "left").select("doc_id", "text", "spans")
 
 
