@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ SPACE = "▁"
 CACHE_BYTES, KEPT_LENGTH = 64 << 20, 64
 #: What an entry takes beside its characters and ids.
 _ENTRY = 200
+#: Words whose trie is walked at a time.
+WORDS = 1 << 14
 
 
 class Known(dict):
@@ -125,6 +129,107 @@ def encode_words(words: Iterable[str], model: Model) -> dict[str, list[int]]:
     return out
 
 
+class Backward:
+    """The trie of all pieces read backward, as arrays: children by node and character, and each
+    node's score (NaN where no piece ends) and id. Node 0 is the root, and what is no child."""
+
+    def __init__(self, model: Model) -> None:
+        letters = sorted({c for p in model.pieces for c in p})
+        #: Each character's number; 0 is in no piece.
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width, self.worst, self.fallback = len(letters) + 1, model.worst, model.fallback
+        place = {c: i for i, c in enumerate(letters, 1)}
+        nodes, keys = {"": 0}, []
+        for piece in model.pieces:
+            for i in range(len(piece) - 1, -1, -1):
+                if piece[i:] not in nodes:
+                    nodes[piece[i:]] = len(nodes)
+                    keys.append(nodes[piece[i + 1 :]] * self.width + place[piece[i]])
+        self.keys = pd.Index(np.array(keys, np.int64))
+        at = [nodes[p] for p in model.pieces]
+        self.score, self.id = np.full(len(nodes), np.nan), np.zeros(len(nodes), np.int64)
+        self.score[at], self.id[at] = zip(*model.pieces.values(), strict=True)
+        self.alone = np.zeros(self.width, bool)
+        self.alone[[place[p] for p in model.pieces if len(p) == 1]] = True
+
+    def child(self, nodes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return self.keys.get_indexer(nodes * self.width + numbers) + 1
+
+
+@cache
+def backward(model: Model) -> Backward:
+    """The model's trie, made once in each Python worker."""
+    return Backward(model)
+
+
+def encode_short(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What ``encode_words`` gives for these sorted, distinct words, as one array of ids and
+    the words' bounds in it. Their trie is walked by depth, all its nodes of one depth at once:
+    a node is the first word with its characters, and the words that share them take over
+    its score, size and piece. Arrays hold as many columns as the longest word has characters."""
+    trie, n = backward(model), len(words)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    most = int(lengths.max(initial=1))
+    codes = np.ascontiguousarray(np.array(words, f"U{most}").view(np.uint32).reshape(n, most).T)
+    numbers = trie.number[codes]
+    alike = np.logical_and.accumulate(codes[:, 1:] == codes[:, :-1]).sum(axis=0)
+    shared = np.concatenate([[0], np.minimum(alike, np.minimum(lengths[1:], lengths[:-1]))])
+    best, size, piece = np.zeros((most + 1, n)), np.zeros((most + 1, n), np.int32), np.zeros((most + 1, n), np.int64)
+    for end in range(1, most + 1):
+        rows = np.flatnonzero((shared < end) & (lengths >= end))
+        if not len(rows):
+            continue
+        # A character that is no piece has a negative id until it becomes bytes.
+        top = np.where(trie.alone[numbers[end - 1, rows]], -np.inf, best[end - 1, rows] + trie.worst)
+        cut, chosen = np.ones(len(rows), np.int32), -1 - codes[end - 1, rows].astype(np.int64)
+        live, nodes = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+        for start in range(end - 1, -1, -1):
+            nodes = trie.child(nodes, numbers[start, rows[live]])
+            live, nodes = live[nodes > 0], nodes[nodes > 0]
+            if not len(live):
+                break
+            total = best[start, rows[live]] + trie.score[nodes]
+            better = total >= top[live]  # never true of NaN
+            to = live[better]
+            top[to], cut[to], chosen[to] = total[better], end - start, trie.id[nodes[better]]
+        first = np.maximum.accumulate(np.where(shared < end, np.arange(n), 0))
+        for array, values in ((best, top), (size, cut), (piece, chosen)):
+            array[end, rows] = values
+            array[end] = array[end, first]
+    ids, used = np.zeros((n, most), np.int64), np.zeros((n, most), bool)
+    live, ends = np.flatnonzero(lengths), lengths[lengths > 0]
+    for column in range(most - 1, -1, -1):
+        ids[live, column], used[live, column] = piece[ends, live], True
+        ends = ends - size[ends, live]
+        live, ends = live[ends > 0], ends[ends > 0]
+    flat, bounds = ids[used], np.concatenate([[0], np.cumsum(used.sum(axis=1))])
+    other = flat < 0
+    if other.any():
+        spelled = [trie.fallback(chr(-1 - i)) for i in flat[other].tolist()]
+        counts = np.ones(len(flat), np.int64)
+        counts[other] = [len(x) for x in spelled]
+        flat, other = np.repeat(flat, counts), np.repeat(other, counts)
+        flat[other] = np.concatenate(spelled)
+        bounds = np.concatenate([[0], np.cumsum(counts)])[bounds]
+    return flat.astype(np.int32), bounds
+
+
+def encode_new(words: Iterable[str], model: Model) -> dict[str, bytes]:
+    """Each word's ids as 32-bit numbers. Words too long to keep are walked one character
+    after another, the others together."""
+    words = sorted(words)
+    long = encode_words([w for w in words if len(w) > KEPT_LENGTH], model)
+    found = {w: np.array(ids, np.int32).tobytes() for w, ids in long.items()}
+    short = [w for w in words if len(w) <= KEPT_LENGTH]
+    for i in range(0, len(short), WORDS):
+        part = short[i : i + WORDS]
+        flat, bounds = encode_short(part, model)
+        raw, at = flat.tobytes(), (4 * bounds).tolist()
+        found.update((w, raw[x:y]) for w, x, y in zip(part, at, at[1:], strict=False))
+    return found
+
+
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -144,7 +249,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch, *_ in text_blocks(batches):
             rows = [_WORDS.findall(model.prefix + t.replace(" ", SPACE)) if t else [] for t in batch.column(1).to_pylist()]
             new = {w for row in rows for w in row if w not in known}
-            found = {w: np.array(ids, np.int32).tobytes() for w, ids in encode_words(new, model).items()}
+            found = encode_new(new, model)
             known.update(found)
             flat = [b"".join(map(known.__getitem__, row)) for row in rows]
             known.settle(found)
@@ -157,6 +262,30 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return short_batches(source).mapInArrow(run, f"doc_id {kind}, text string, ids array<int>")
 
 
+def joined(surface: pa.Array, ids: pa.ListArray, prefixed: bool) -> pa.Array:
+    """The texts of all lists of ids, ``surface`` being each id's bytes; where the model has a
+    prefix, a first space goes."""
+    values = ids.flatten()
+    if values.null_count:
+        raise ValueError("an id is null")
+    bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+    parts = surface.take(values)
+    ends = np.frombuffer(parts.buffers()[1], np.int32)[bounds] if len(values) else np.zeros(len(bounds), np.int32)
+    data = np.frombuffer(parts.buffers()[2], np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+    if prefixed:
+        rows = np.flatnonzero(ends[1:] > ends[:-1])
+        rows = rows[data[ends[rows]] == ord(" ")]
+        gone = np.zeros(len(ends), np.int32)
+        gone[rows + 1] = 1
+        data, ends = np.delete(data, ends[rows]), ends - np.cumsum(gone, dtype=np.int32)
+    texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends)), pa.py_buffer(data)])
+    texts = pc.if_else(ids.is_valid(), texts, None)
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the text of ``ids_col``; null ids decode to null. Bytes that
     are no UTF-8 become U+FFFD. Ids out of range raise an error."""
@@ -165,15 +294,10 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
-        surface, skip = model.surface, len(model.prefix)
+        surface = pa.array(model.surface, pa.binary())
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                raw = b"".join([surface[i] for i in ids.values.to_numpy().tolist()]) if ids.is_valid else None
-                if raw is not None and skip and raw[:1] == b" ":
-                    raw = raw[1:]
-                texts.append(None if raw is None else raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            texts = joined(surface, batch.column(at), bool(model.prefix))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, "decoded"])
 
     # Spark looks columns up by name on the way in, where a name may hold a dot.
     plain = encoded.toDF(*[f"c{i}" for i in range(len(names))])
