@@ -559,6 +559,35 @@ def test_hot_anchors_and_hot_rows(spark, monkeypatch):
     assert {r["n_removed"] for r in cut if r["doc_id"] is None} == {len(rows[3][1])} and len(cut) == len(rows)
 
 
+def test_planted_passages_of_over_fifty_words(spark):
+    """Passages of 51 words and more, planted in pairs of documents: op1 counts words, op10 bytes from 400 on."""
+    rng = random.Random(29)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+
+    def passage(words, size):
+        text = f" {prose(words)} "
+        return text[: size - 1] + " " if len(text) >= size else text[:-1] + "x" * (size - len(text)) + " "
+
+    planted = [passage(51, 360), passage(55, 399), passage(55, 400), passage(51, 401), passage(120, 900)]
+    assert all(len(p.split()) > 50 for p in planted)
+    rows = [(i, prose(90)) for i in range(20)]
+    for i, p in enumerate(planted):
+        rows += [(100 + i, f"{prose(40)}1{p}2{prose(70)}"), (200 + i, f"{prose(70)}3{p}4{prose(40)}")]
+    rows.append((300, f"{prose(20)}5{planted[2]}6{prose(20)}7{planted[2]}8{prose(20)}"))
+    found = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(table(spark, rows)).collect()}
+    want = {i: (len(t), 0, 0) for i, t in rows}
+    for i, p in enumerate(planted):
+        for place in (100 + i, 200 + i):
+            want[place] = (len(dict(rows)[place]), len(p), 1) if len(p) >= 400 else want[place]
+    want[300] = (len(rows[-1][1]), 800, 2)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"]) for i, r in found.items()} == want
+    assert all(bytes(found[i]["kept"]).decode() == t for i, t in rows if not want[i][1])
+    words = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()}
+    assert words == {i: 0 for i, _ in rows} | {200 + i: len(p.split()) for i, p in enumerate(planted)} | {300: 110}
+
+
 def test_long_texts_cross_blocks(spark):
     """Texts above one block of 4 MB, alone and beside short ones."""
     rng = np.random.default_rng(8)
