@@ -1,10 +1,14 @@
 """Queries over ids, texts and numbers of rows as larger tables have them, against their SQL."""
 
+import random
+
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from netloom.operators import keys
 from netloom.plans.registry import QUERIES
 
 
@@ -37,3 +41,19 @@ USERS = [0, 45_616, 65_536, 53_616, 131_072, 5_000_000, 5_000_001, 10_000_000]
 def test_each_user_has_a_session_of_their_own(spark, tmp_path, name):
     got, want = checked(spark, tmp_path, name, events=views(USERS))
     assert got == want and len(got) >= 24 - (name == "tls_failed_records")
+
+
+def test_chacha_rows_together():
+    """Many records at once against one by one, around the sizes of blocks, and the RFC's block."""
+    rng = random.Random(5)
+    rows = [(rng.randbytes(32), rng.randbytes(12), rng.randbytes(n), rng.randbytes(n % 21)) for n in (0, 1, 15, 16, 63, 64, 65, 16384, 300_000, *range(100, 120))]
+    sealed = keys.chacha_seal_all(rows)
+    assert sealed == [keys.chacha_seal(*row) for row in rows]
+    shut = [(key, nonce, data, aad) for (key, nonce, _, aad), data in zip(rows, sealed, strict=True)]
+    bad = [(key, nonce, data[:-1] + bytes([data[-1] ^ 1]), aad) for key, nonce, data, aad in shut]
+    short = [(*rows[0][:2], b"short", b"")]
+    want = [x for row in rows for x in (row[2], None)]
+    assert keys.chacha_open_all([x for pair in zip(shut, bad, strict=True) for x in pair] + short) == [*want, None]
+    key, nonce = np.arange(32, dtype=np.uint8).view("<u4"), np.frombuffer(bytes.fromhex("000000090000004a00000000"), "<u4")
+    block = keys._chacha_blocks(key[None], np.array([1]), nonce[None])  # RFC 8439 section 2.3.2
+    assert block.tobytes()[:16].hex() == "10f1e7e4d13b5915500fdd1fa32071c4" and keys.chacha_open_all([]) == []
