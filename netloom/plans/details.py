@@ -123,8 +123,9 @@ def odd_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_search(spark: SparkSession, d: str) -> DataFrame:
-    """A letter in every packet of the documents, however many places a text has."""
-    packets = frames(synth.document_packets(spark, d)).select("frame_index", occurrences(F.decode("payload", "UTF-8"), "E").alias("at"))
+    """A letter in every packet of the documents, however many places a text has; none where there is no payload."""
+    text = F.coalesce(F.decode("payload", "UTF-8"), F.lit(""))
+    packets = frames(synth.document_packets(spark, d)).select("frame_index", occurrences(text, "E").alias("at"))
     return packets.select(
         "frame_index", F.size("at").alias("places"), F.try_element_at("at", F.lit(1)).alias("first"), F.try_element_at("at", F.lit(-1)).alias("last"),
         F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"),

@@ -57,3 +57,12 @@ def test_chacha_rows_together():
     key, nonce = np.arange(32, dtype=np.uint8).view("<u4"), np.frombuffer(bytes.fromhex("000000090000004a00000000"), "<u4")
     block = keys._chacha_blocks(key[None], np.array([1]), nonce[None])  # RFC 8439 section 2.3.2
     assert block.tobytes()[:16].hex() == "10f1e7e4d13b5915500fdd1fa32071c4" and keys.chacha_open_all([]) == []
+
+
+def documents(*texts):
+    return {"doc_id": pa.array([i for i, _ in texts], pa.int64()), "text": pa.array([t for _, t in texts], pa.string())}
+
+
+def test_a_letter_in_documents_without_text(spark, tmp_path):
+    got, want = checked(spark, tmp_path, "document_search", documents=documents((0, None), (1, ""), (2, "Ee é"), (3, "x"), (4, "İEΣe")))
+    assert got == want and [r[1] for r in got] == [0, 0, 2, 0, 2]
