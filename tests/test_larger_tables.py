@@ -66,3 +66,10 @@ def documents(*texts):
 def test_a_letter_in_documents_without_text(spark, tmp_path):
     got, want = checked(spark, tmp_path, "document_search", documents=documents((0, None), (1, ""), (2, "Ee é"), (3, "x"), (4, "İEΣe")))
     assert got == want and [r[1] for r in got] == [0, 0, 2, 0, 2]
+
+
+def test_text_is_searched_in_headers_too(spark, tmp_path):
+    """Documents whose address (50,079 and 58,271) or lengths have the letter's bytes, and one with them across two others."""
+    texts = [(1, "Maß"), (2, "MASS"), (3, "ẞ"), (50_079, "x"), (58_271, "x"), (50_080, "x"), (4, "x" * 50_071), (5, "x" * 50_070), (6, "㟀"), (7, "¼9😀"), (8, None)]
+    got, want = checked(spark, tmp_path, "filter_text", documents=documents(*texts))
+    assert got == want and {r[1] for r in got} == {1, 4, 6, 50_079, 58_271}
