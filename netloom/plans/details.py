@@ -19,10 +19,10 @@ from ..shared import shared_path
 from ..sources.keylog import count_sessions, parse_keylog
 from ..sources.pcap import read_pcap, write_pcap
 from ..sources.pcap_index import index_captures, search_captures
-from ..streaming.live import parsed_datagrams, read_spool, spool_table
+from ..streaming.live import read_spool, spool_table
 from ..streaming.ordered import ordered_datagrams
 from . import synth
-from .catalog import ANALYSIS, DIALOGUES, EV, INFO, Query, events, keylog_lines, sealed_sessions
+from .catalog import ANALYSIS, DIALOGUES, EV, INFO, Query, events, keylog_lines, read_dry, sealed_sessions
 
 _HEX6 = "'2001:db8::' || printf('%x', {0} // 65536) || ':' || printf('%x', {0} % 65536)"
 _V6 = f"""WITH {EV}, v AS (
@@ -180,12 +180,14 @@ def filters_agree(spark: SparkSession, d: str) -> DataFrame:
 def live_headless(spark: SparkSession, d: str) -> DataFrame:
     """A spool whose header was missed, with a datagram too short and one that claims too
     much after every hundredth packet: packets as guessed, and the malformed ones."""
-    spool, out = shared_path(spark, "spool"), shared_path(spark, "live")
+    out = shared_path(spark, "live")
     rows = spool_table(synth.event_packets(spark, d)).where("arrival > 0").selectExpr("capture_id", "arrival * 3 AS arrival", "datagram")
     bad = rows.where("arrival % 300 = 0").selectExpr("capture_id", "inline(array(struct(arrival + 1, X'0102'), struct(arrival + 2, concat(substring(datagram, 1, 8), X'FFFFFF7F', X'00000000', X'00'))))")
-    rows.unionByName(bad.toDF(*rows.columns)).repartition(4).write.parquet(spool)
-    sink = parsed_datagrams(read_spool(spark, spool)).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "state"))
-    sink.trigger(availableNow=True).start().awaitTermination()
+
+    def use(parsed: DataFrame, number: int) -> None:
+        parsed.select("malformed", "link_type", "frame_index").write.mode("overwrite").parquet(f"{out}/trigger={number}")
+
+    read_dry(spark, rows.unionByName(bad.toDF(*rows.columns)), use)
     return spark.read.parquet(out).groupBy("malformed", "link_type").agg(F.count("*").alias("datagrams"), F.count_distinct("frame_index").alias("numbers"))
 
 

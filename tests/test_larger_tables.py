@@ -1,6 +1,8 @@
 """Queries over ids, texts and numbers of rows as larger tables have them, against their SQL."""
 
+import os
 import random
+import struct
 
 import duckdb
 import numpy as np
@@ -10,6 +12,8 @@ import pytest
 
 from netloom.operators import keys
 from netloom.plans.registry import QUERIES
+from netloom.sources.pcap import MAGICS
+from netloom.streaming import blocks, live
 
 
 def checked(spark, folder, name, **tables):
@@ -73,3 +77,46 @@ def test_text_is_searched_in_headers_too(spark, tmp_path):
     texts = [(1, "Maß"), (2, "MASS"), (3, "ẞ"), (50_079, "x"), (58_271, "x"), (50_080, "x"), (4, "x" * 50_071), (5, "x" * 50_070), (6, "㟀"), (7, "¼9😀"), (8, None)]
     got, want = checked(spark, tmp_path, "filter_text", documents=documents(*texts))
     assert got == want and {r[1] for r in got} == {1, 4, 6, 50_079, 58_271}
+
+
+def odd_datagrams(seed, n):
+    """Datagrams of any order and unit: headers in between, records that fit in one order or none, short ones."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        order, what = rng.choice("<>"), rng.choices(["record", "head", "short", "long"], [10, i % 40 == seed, 1, 1])[0]
+        body = bytes([rng.choice([0x45, 0x60, 0])]) + rng.randbytes(rng.randint(0, 30))
+        if what == "head":
+            magic = rng.choice([m for m, (o, _) in MAGICS.items() if o == order])
+            out.append(magic + struct.pack(order + "HHiIII", 2, 4, 0, 0, 65535, rng.choice([1, 101, 113])))
+        else:
+            record = struct.pack(order + "IIII", 1_700_000_000 + i, i, len(body) + (what == "long"), 1500 + i) + body
+            out.append(record[: rng.randint(0, 15)] if what == "short" else record)
+    return out
+
+
+def test_blocks_of_datagrams_against_a_walk(spark, tmp_path, monkeypatch):
+    """Two captures over three triggers, one of them without the second capture, another with numbers in between left out."""
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    sent, said, state = {c: odd_datagrams(seed, 150) for seed, c in ((3, "a"), (7, "b"))}, [], {}
+    triggers = [{"a": range(50), "b": range(70)}, {"a": range(50, 90)}, {"a": range(100, 150), "b": range(70, 150)}]
+    os.makedirs(f"{tmp_path}/spool")
+    for t, part in enumerate(triggers):
+        rows = [(c, i, sent[c][i]) for c, numbers in part.items() for i in numbers]
+        for c, _, data in rows:
+            skipped = state[c][4] if c in state else 0
+            state[c], packet = live.parse_datagram(data, state.get(c))
+            if packet or state[c][4] > skipped:
+                said.append((c, *(packet or (state[c][4], None, len(data), len(data), None, data)), packet is None))
+        random.Random(t).shuffle(rows)
+        names = ("capture_id", "arrival", "datagram")
+        pq.write_table(pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}), f"{tmp_path}/spool/{t}.parquet")
+        os.utime(f"{tmp_path}/spool/{t}.parquet", (1_700_000_000 + t,) * 2)
+
+    def use(parsed, number):
+        parsed.write.mode("overwrite").parquet(f"{tmp_path}/out/trigger={number}")
+
+    writer = blocks.parse_in_blocks(live.read_spool(spark, f"{tmp_path}/spool", 1), f"{tmp_path}/standing", use)
+    writer.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").drop("trigger").collect()
+    assert sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in found), key=repr) == sorted(said, key=repr)
+    assert len({x[5] for x in said}) > 2 and sum(x[-1] for x in said) > 10
