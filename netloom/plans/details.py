@@ -195,11 +195,17 @@ def live_out_of_order(spark: SparkSession, d: str) -> DataFrame:
     """The events' datagrams in eight files by a hash, read two a trigger, so that few arrive in order."""
     spool, out = shared_path(spark, "spool"), shared_path(spark, "live")
     spool_table(synth.event_packets(spark, d)).withColumn("file", F.pmod(F.xxhash64("arrival"), F.lit(8))).repartition("file").drop("file").write.parquet(spool)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    cores, partitions = spark.sparkContext.defaultParallelism, "spark.sql.shuffle.partitions"
+    # A store per core is enough for one capture, whose packets are dealt out again to be dissected.
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        partitions: str(min(cores, int(spark.conf.get(partitions)))),
+    }
+    before = {key: spark.conf.get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
-        stream = frames(ordered_datagrams(read_spool(spark, spool, 2)).where("not malformed").drop("malformed"))
+        stream = frames(ordered_datagrams(read_spool(spark, spool, 2)).where("not malformed").drop("malformed").repartition(cores))
         sink = stream.select("capture_id", "frame_index", "cap_len", "orig_len", "top_protocol").writeStream.format("parquet").option("path", out)
         query = sink.option("checkpointLocation", shared_path(spark, "state")).start()
         # Timers always leave a next trigger, so the query ends when all that was spooled is done.
@@ -211,7 +217,8 @@ def live_out_of_order(spark: SparkSession, d: str) -> DataFrame:
             raise query.exception()
         query.stop()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.parquet(out)
 
 

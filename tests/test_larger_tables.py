@@ -6,6 +6,7 @@ import struct
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -14,6 +15,7 @@ from netloom.operators import keys
 from netloom.plans.registry import QUERIES
 from netloom.sources.pcap import MAGICS
 from netloom.streaming import blocks, live
+from netloom.streaming.ordered import InOrder
 
 
 def checked(spark, folder, name, **tables):
@@ -120,3 +122,46 @@ def test_blocks_of_datagrams_against_a_walk(spark, tmp_path, monkeypatch):
     found = spark.read.parquet(f"{tmp_path}/out").drop("trigger").collect()
     assert sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in found), key=repr) == sorted(said, key=repr)
     assert len({x[5] for x in said}) > 2 and sum(x[-1] for x in said) > 10
+
+
+class Kept:
+    """Stands for a state of either kind and for its handle, and counts what is asked of it."""
+
+    def __init__(self, calls):
+        self.calls, self.held, self.timers = calls, {}, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("getValueState", "getMapState"):
+                return Kept(self.calls)
+            if name in ("update", "updateValue"):
+                self.held[args[0] if len(args) > 1 else ()] = args[-1]
+            return {
+                "exists": lambda: bool(self.held), "get": lambda: self.held[()], "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k],
+                "removeKey": lambda k: self.held.pop(k), "keys": lambda: iter(list(self.held)), "listTimers": lambda: iter(self.timers), "deleteTimer": self.timers.remove,
+                "registerTimer": self.timers.append, "getCurrentProcessingTimeInMs": lambda: 0,
+            }.get(name, lambda *_: None)(*args)
+
+        return call
+
+
+def test_waiting_datagrams_take_few_calls():
+    """Five thousand datagrams of which the later half comes first, some twice, and one never: each call is one to another process."""
+    calls = []
+    handle, order = Kept(calls), InOrder(0, 1000, 10_000)
+    order.init(handle)
+    data = {i: struct.pack("<IIII", i, 0, 2, 2) + i.to_bytes(2, "big") for i in range(5000)}
+    rng, out = random.Random(2), []
+    for part in ([*range(2500, 5000), *range(2600, 2650)], [*range(10, 2490), 2600], range(10), [*range(2490, 2495), 3, *range(2496, 2500)]):
+        rows = list(part)
+        rng.shuffle(rows)
+        half = len(rows) // 2
+        batches = (pd.DataFrame({"arrival": x, "datagram": [data[i] for i in x]}) for x in (rows[:half], rows[half:]))
+        out.append(pd.concat([pd.DataFrame(columns=["data"]), *order.handleInputRows(("a",), batches, handle)]))
+    assert [len(x) for x in out] == [0, 0, 2490, 5] and len(handle.timers) == 1
+    out += list(order.handleExpiredTimer(("a",), handle, None))
+    said = pd.concat(out)
+    assert [bytes(x) for x in said["data"]] == [i.to_bytes(2, "big") for i in range(5000) if i != 2495]
+    assert list(said["frame_index"]) == list(range(1, 5000)) and not order.early.exists()
+    assert len(calls) < 250
